@@ -1,0 +1,125 @@
+"""I/O probes that time real reads and writes on executors.
+
+Timing must happen where the bytes move, so these two are the only places
+that run Python inside tasks (``mapInPandas``, Arrow batches).  Each task
+handles its own files; results are written as a table in the shared folder
+(surviving executor loss) and read back.  The OS page cache is not bypassed.
+"""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_subdir
+
+PROBE_SCHEMA = ("path STRING, rows BIGINT, bytes BIGINT, start_s DOUBLE, end_s DOUBLE, "
+                "seconds DOUBLE, mb_s DOUBLE")
+ROUND_SCHEMA = ("round INT, phase STRING, shard INT, path STRING, bytes BIGINT, "
+                "start_s DOUBLE, end_s DOUBLE")
+
+
+def _fs_path(uri: str):
+    import pyarrow.fs as pafs
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _read_one(uri: str):
+    import pyarrow.parquet as pq
+    fs, p = _fs_path(uri)
+    t0 = time.time()
+    if p.endswith(".parquet"):
+        with fs.open_input_file(p) as f:
+            table = pq.read_table(f)
+        rows, nbytes = table.num_rows, fs.get_file_info(p).size
+    else:
+        with fs.open_input_stream(p) as f:
+            nbytes, rows = 0, 0
+            while True:
+                b = f.read(8 << 20)
+                if not b:
+                    break
+                nbytes += len(b)
+    return rows, nbytes, t0, time.time()
+
+
+def probe_read(files: DataFrame, path_col: str = "path", tasks: int | None = None) -> DataFrame:
+    """Read every listed file on an executor and time it; one row per file."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for uri in pdf[path_col]:
+                rows, nbytes, t0, t1 = _read_one(uri)
+                sec = t1 - t0
+                out.append((uri, rows, nbytes, t0, t1, sec, nbytes / 1e6 / sec if sec > 0 else 0.0))
+            yield pd.DataFrame(out, columns=["path", "rows", "bytes", "start_s", "end_s", "seconds", "mb_s"])
+
+    n = tasks or files.sparkSession.sparkContext.defaultParallelism
+    return files.select(path_col).repartition(n, path_col).mapInPandas(run, PROBE_SCHEMA)
+
+
+def probe_roundtrip(spark: SparkSession, df: DataFrame, shards: int = 8, rounds: int = 3,
+                    out_dir: str | None = None) -> DataFrame:
+    """``rounds`` x (save ``df`` as ``shards`` files, then load them back).
+
+    One row per (round, phase, shard) with the bytes and the wall-clock start
+    and end on the executor: A7 gives the barrier span, A6 the bytes, F4 the
+    GB/s, A3/A4 the mean and cold/warm split.  Each file is counted once.
+    """
+    import pandas as pd
+
+    base = out_dir or shared_subdir(spark, "roundtrip")
+    results = []
+    for r in range(1, rounds + 1):
+        data_dir = f"{base}/data/round={r}"
+
+        def save(batches, data_dir=data_dir, r=r):
+            import pyarrow as pa
+            import pyarrow.parquet as pq
+            from pyspark import TaskContext
+            shard = TaskContext.get().partitionId()
+            uri = f"{data_dir}/shard-{shard:05d}.parquet"
+            fs, p = _fs_path(uri)
+            fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+            t0 = time.time()
+            writer = None
+            with fs.open_output_stream(p) as f:
+                for pdf in batches:
+                    t = pa.Table.from_pandas(pdf, preserve_index=False)
+                    writer = writer or pq.ParquetWriter(f, t.schema)
+                    writer.write_table(t)
+                if writer:
+                    writer.close()
+            t1 = time.time()
+            size = fs.get_file_info(p).size
+            yield pd.DataFrame([(r, "save", shard, uri, size, t0, t1)],
+                               columns=["round", "phase", "shard", "path", "bytes", "start_s", "end_s"])
+
+        saved = f"{base}/probe/round={r}/phase=save"
+        df.repartition(shards).mapInPandas(save, ROUND_SCHEMA).write.mode("overwrite").parquet(saved)
+
+        def load(batches, r=r):
+            for pdf in batches:
+                out = []
+                for shard, uri in zip(pdf["shard"], pdf["path"]):
+                    _, nbytes, t0, t1 = _read_one(uri)
+                    out.append((r, "load", int(shard), uri, nbytes, t0, t1))
+                yield pd.DataFrame(out, columns=["round", "phase", "shard", "path", "bytes", "start_s", "end_s"])
+
+        loaded = f"{base}/probe/round={r}/phase=load"
+        files = spark.read.parquet(saved).select("shard", "path")
+        files.repartition(shards, "shard").mapInPandas(load, ROUND_SCHEMA).write.mode("overwrite").parquet(loaded)
+        results += [saved, loaded]
+    return spark.read.schema(ROUND_SCHEMA).parquet(*results)
+
+
+def roundtrip_rates(rounds: DataFrame) -> DataFrame:
+    """A7 + A6 + F4 on probe rows: per (round, phase) barrier seconds, bytes, GB/s."""
+    from ..functions import gb_per_s
+    g = rounds.groupBy("round", "phase").agg(
+        (F.max("end_s") - F.min("start_s")).alias("elapsed_s"), F.sum("bytes").alias("bytes"))
+    return g.withColumn("gb_s", gb_per_s("bytes", "elapsed_s"))

@@ -1,0 +1,40 @@
+"""Deterministic synthetic observations in training-batch shape.
+
+Values come from integer arithmetic on (id, position, seed), so they do not
+depend on partitioning or task order and any engine can repeat them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+CAMERAS = ["base_0_rgb", "left_wrist_0_rgb", "right_wrist_0_rgb"]
+STATE_DIM, PROMPT_LEN, ACTION_HORIZON, ACTION_DIM = 32, 200, 10, 32
+MOD = 2 ** 31
+
+
+def uniform_pm1(id_col: Column, pos: Column, seed: int) -> Column:
+    """Uniform-ish value in [-1, 1) from (id, position, seed)."""
+    h = F.pmod(F.pmod(id_col, F.lit(MOD)) * F.lit(1103515245) + pos * F.lit(12345) + F.lit(seed),
+               F.lit(MOD))
+    return (h.cast("double") / F.lit(2.0 ** 30) - F.lit(1.0)).cast("float")
+
+
+def synthetic_observations(df: DataFrame, id_col: str, seed: int = 0, image_px: int = 256) -> DataFrame:
+    """One observation per input row: 3 images of 3 x px x px floats in [-1, 1),
+    masks all true, zero state[32], zero prompt[200] with true mask, zero actions[10][32].
+    """
+    i = F.col(id_col).cast("bigint")
+    n_img = 3 * image_px * image_px
+    images = F.create_map(*[x for k, cam in enumerate(CAMERAS) for x in (
+        F.lit(cam),
+        F.transform(F.sequence(F.lit(0), F.lit(n_img - 1)),
+                    lambda p, k=k: uniform_pm1(i, p + F.lit(k * n_img), seed)))])
+    masks = F.create_map(*[x for cam in CAMERAS for x in (F.lit(cam), F.lit(True))])
+    return df.select(
+        i.alias("id"), images.alias("images"), masks.alias("image_masks"),
+        F.array_repeat(F.lit(0.0).cast("float"), STATE_DIM).alias("state"),
+        F.array_repeat(F.lit(0).cast("bigint"), PROMPT_LEN).alias("tokenized_prompt"),
+        F.array_repeat(F.lit(True), PROMPT_LEN).alias("tokenized_prompt_mask"),
+        F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), ACTION_DIM), ACTION_HORIZON).alias("actions"))
