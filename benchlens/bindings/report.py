@@ -1,3 +1,126 @@
-"""Bindings."""
+"""Report bindings: documents as result files."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..operators import agg, joins, windows
+from . import common as C
+from . import query
+
+
+def _classified(spark, sf, how="left"):
+    return joins.classify(C.doc_files(spark, sf), "stem", dims.registry(spark), how)
+
+
+@query("s2_prefix_classify", f"""
+SELECT doc_id, stem, prefix, bench FROM ({C.classified_sql()})""")
+def s2_prefix_classify(spark, sf):
+    return _classified(spark, sf).select("doc_id", "stem", "prefix", "bench")
+
+
+@query("j1_prefix_join", f"""
+SELECT doc_id, stem, bench FROM ({C.classified_sql()}) WHERE bench IS NOT NULL""")
+def j1_prefix_join(spark, sf):
+    return _classified(spark, sf, "inner").select("doc_id", "stem", "bench")
+
+
+@query("j8_coverage_anti", f"""
+SELECT 'unknown_file' AS kind, stem AS name FROM ({C.classified_sql()}) WHERE bench IS NULL
+UNION ALL
+SELECT 'missing_result' AS kind, reg.prefix AS name FROM {C.registry_sql()}
+WHERE reg.prefix NOT IN (SELECT prefix FROM ({C.classified_sql()}) WHERE prefix IS NOT NULL)""")
+def j8_coverage_anti(spark, sf):
+    unknown, missing, _ = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark))
+    return (unknown.select(F.lit("unknown_file").alias("kind"), F.col("stem").alias("name"))
+            .unionByName(missing.select(F.lit("missing_result").alias("kind"), F.col("prefix").alias("name"))))
+
+
+@query("j8_known_semi", f"""
+SELECT doc_id, stem FROM ({C.DOC_FILES_SQL}) f
+WHERE EXISTS (SELECT 1 FROM ({C.classified_sql()}) c WHERE c.stem = f.stem AND c.bench IS NOT NULL)""")
+def j8_known_semi(spark, sf):
+    _, _, known = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark))
+    return known.select("doc_id", "stem")
+
+
+@query("a5_group_bench", f"""
+SELECT bench, count(*) AS n_files, min(file) AS first_file,
+       row_number() OVER (ORDER BY min(file)) AS ord
+FROM ({C.classified_sql()}) WHERE bench IS NOT NULL GROUP BY bench""")
+def a5_group_bench(spark, sf):
+    return agg.group_results(_classified(spark, sf, "inner"), "bench", "file")
+
+
+@query("a12_having", f"""
+SELECT doc_id, bench, bytes FROM ({C.classified_sql()}) c
+WHERE bench IS NOT NULL AND (bench, bytes) IN (
+  SELECT (bench, bytes) FROM ({C.classified_sql()}) WHERE bench IS NOT NULL
+  GROUP BY bench, bytes HAVING count(*) > 1)""")
+def a12_having(spark, sf):
+    """Comparison rows only for (benchmark, size) groups seen more than once."""
+    c = _classified(spark, sf, "inner").select("doc_id", "bench", "bytes")
+    return agg.comparison(c, ["bench", "bytes"])
+
+
+@query("a16_count", f"""
+SELECT count(*) AS n_results FROM ({C.classified_sql()}) WHERE bench IS NOT NULL""")
+def a16_count(spark, sf):
+    return agg.count_results(_classified(spark, sf, "inner"))
+
+
+@query("w1_iteration", f"""
+SELECT doc_id, bench, file, row_number() OVER (PARTITION BY bench ORDER BY file) - 1 AS iteration
+FROM ({C.classified_sql()}) WHERE bench IS NOT NULL""")
+def w1_iteration(spark, sf):
+    c = _classified(spark, sf, "inner").select("doc_id", "bench", "file")
+    return windows.with_iteration(c, ["bench"], "file")
+
+
+@query("w6_group_size", f"""
+SELECT doc_id, bench, count(*) OVER (PARTITION BY bench) AS group_size
+FROM ({C.classified_sql()}) WHERE bench IS NOT NULL""")
+def w6_group_size(spark, sf):
+    c = _classified(spark, sf, "inner").select("doc_id", "bench")
+    return windows.with_group_size(c, ["bench"])
+
+
+@query("o1_file_order", f"""
+SELECT file, row_number() OVER (ORDER BY file) AS ord FROM ({C.DOC_FILES_SQL})""")
+def o1_file_order(spark, sf):
+    return windows.file_order(C.doc_files(spark, sf).select("file"), "file")
+
+
+@query("o2_size_order", """
+SELECT doc_id, CAST(n_chars AS VARCHAR) || 'k' AS label,
+       row_number() OVER (ORDER BY n_chars * 1024, doc_id) AS ord
+FROM documents""")
+def o2_size_order(spark, sf):
+    d = C.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.col("n_chars").cast("string"), F.lit("k")).alias("label"))
+    return windows.size_order(d, "label", "doc_id")
+
+
+def _registry_metrics_sql() -> str:
+    rows = dims.REGISTRY + dims.REGISTRY_EXTENSIONS
+    vals = ", ".join(f"({C.sql_str(p)}, {C.sql_str(b)}, {j}, {C.sql_str(k)}, {C.sql_str(lbl)})"
+                     for p, b, ms, _ in rows for j, (k, lbl, _) in enumerate(ms))
+    return f"(VALUES {vals}) AS m(prefix, bench, metric_ord, metric_key, metric_label)"
+
+
+@query("s4_registry_explode", f"""
+SELECT m.prefix, m.bench, m.metric_ord, m.metric_key, m.metric_label, coalesce(c.n_files, 0) AS n_files
+FROM {_registry_metrics_sql()}
+LEFT JOIN (SELECT prefix, count(*) AS n_files FROM ({C.classified_sql()}) WHERE prefix IS NOT NULL GROUP BY prefix) c
+  ON c.prefix = m.prefix""")
+def s4_registry_explode(spark, sf):
+    """Registry in long form (one row per declared metric) with the files found for it."""
+    reg = dims.registry(spark)
+    long = reg.select("prefix", "bench", F.posexplode("metrics").alias("metric_ord", "m")).select(
+        "prefix", "bench", F.col("metric_ord").cast("bigint").alias("metric_ord"),
+        F.col("m.key").alias("metric_key"), F.col("m.label").alias("metric_label"))
+    counts = (_classified(spark, sf).where(F.col("prefix").isNotNull())
+              .groupBy("prefix").agg(F.count("*").alias("n_files")))
+    return (long.join(counts, "prefix", "left")
+            .withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("bigint")))
