@@ -75,7 +75,7 @@ def barrier_elapsed(df: DataFrame, keys: Sequence[str], start: str, end: str,
     out = df.groupBy(*keys).agg(F.min(s).alias("_s"), F.max(e).alias("_e"))
     first = dict(df.dtypes)[start]
     if first.startswith("timestamp"):
-        span = F.timestampdiff("MICROSECOND", F.col("_s"), F.col("_e")) / F.lit(1e6)
+        span = F.expr("timestampdiff(MICROSECOND, _s, _e)") / F.lit(1e6)
     else:
         span = F.col("_e") - F.col("_s")
     return out.withColumn(name, span.cast("double")).drop("_s", "_e")
