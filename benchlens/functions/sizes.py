@@ -16,7 +16,7 @@ def parse_size(c) -> Column:
     Case-insensitive single-letter suffix k/m/g on a whole number.  Decimals
     ('1.5m'), two-letter units ('4mb') and empty strings give NULL.
     """
-    s = F.lower(F.trim(col(c)))
+    s = F.lower(col(c))
     ok = s.rlike(r"^[0-9]+[kmg]?$")
     digits = F.regexp_extract(s, r"^([0-9]+)", 1).try_cast("bigint")
     unit = F.regexp_extract(s, r"([kmg]?)$", 1)
