@@ -27,10 +27,14 @@ def synthetic_observations(df: DataFrame, id_col: str, seed: int = 0, image_px:
     """
     i = F.col(id_col).cast("bigint")
     n_img = 3 * image_px * image_px
-    images = F.create_map(*[x for k, cam in enumerate(CAMERAS) for x in (
-        F.lit(cam),
-        F.transform(F.sequence(F.lit(0), F.lit(n_img - 1)),
-                    lambda p, k=k: uniform_pm1(i, p + F.lit(k * n_img), seed)))])
+
+    def camera(k: int) -> Column:
+        # one-argument lambda: a second parameter would receive the element index
+        offset = k * n_img
+        return F.transform(F.sequence(F.lit(0), F.lit(n_img - 1)),
+                           lambda p: uniform_pm1(i, p + F.lit(offset), seed))
+
+    images = F.create_map(*[x for k, cam in enumerate(CAMERAS) for x in (F.lit(cam), camera(k))])
     masks = F.create_map(*[x for cam in CAMERAS for x in (F.lit(cam), F.lit(True))])
     return df.select(
         i.alias("id"), images.alias("images"), masks.alias("image_masks"),
