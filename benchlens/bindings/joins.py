@@ -1,3 +1,134 @@
-"""Bindings."""
+"""Lookup bindings: part names as device names (J2, F6, F18), events as
+measurements against a spec (J3), documents curves against the published
+curve (S12)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..functions import mfu_pct
+from ..operators import joins
+from . import common as C
+from . import query
+
+# --- fixed values: a pattern table over part names whose patterns overlap, so
+# the table order decides (binding fixture, not a reference table).
+PART_PATTERNS = [(1, "standard.*brand#1[0-9]", 1.5e15), (2, "standard", 1.0e15), (3, "brand#2", 8.0e14),
+                 (4, "polished|brushed", 6.0e14), (5, "large|medium", 4.0e14)]
+# --- fixed values: GPU names handed to parts by p_partkey % 7
+GPU_NAMES = ["NVIDIA H100 80GB HBM3", "NVIDIA H100 SXM5 80GB", "NVIDIA B300 SXM6 AC", "NVIDIA A100-SXM4-40GB",
+             "NVIDIA H200 SXM 141GB", "NVIDIA B200", "NVIDIA A100 80GB PCIe"]
+
+DEVICES_SQL = """
+SELECT p_partkey, p_type || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) AS device FROM part"""
+
+
+def _patterns_sql(rows, value="flops") -> str:
+    vals = ", ".join(f"({o}, {C.sql_str(p)}, {v}::DOUBLE)" for o, p, v in rows)
+    return f"(VALUES {vals}) AS t(ord, pattern, {value})"
+
+
+def devices(spark, sf):
+    p = C.table(spark, sf, "part")
+    return p.select("p_partkey", F.concat_ws(" ", "p_type", "p_brand", F.col("p_size").cast("string")).alias("device"))
+
+
+@query("j2_regex_first_match", f"""
+SELECT d.p_partkey, d.device, coalesce(arg_min(t.flops, t.ord), 989e12) AS peak_flops
+FROM ({DEVICES_SQL}) d LEFT JOIN {_patterns_sql(PART_PATTERNS)} ON regexp_matches(d.device, t.pattern, 'i')
+GROUP BY d.p_partkey, d.device""")
+def j2_regex_first_match(spark, sf):
+    t = spark.createDataFrame(PART_PATTERNS, "ord INT, pattern STRING, flops DOUBLE")
+    return joins.lookup_first_match(devices(spark, sf), "device", t, "flops",
+                                    default=dims.DEFAULT_PEAK_FLOPS, out="peak_flops").drop("flops")
+
+
+GPUS_SQL = f"""
+SELECT p_partkey, p_size, p_retailprice, {C.sql_list(GPU_NAMES)}[p_partkey % {len(GPU_NAMES)} + 1] AS gpu_name FROM part"""
+
+
+def gpus(spark, sf):
+    p = C.table(spark, sf, "part")
+    names = F.array(*[F.lit(n) for n in GPU_NAMES])
+    return p.select("p_partkey", "p_size", "p_retailprice",
+                    F.element_at(names, (F.col("p_partkey") % len(GPU_NAMES) + 1).cast("int")).alias("gpu_name"))
+
+
+@query("j2_peak_lookup", f"""
+SELECT g.p_partkey, g.gpu_name, coalesce(arg_min(t.flops, t.ord), {dims.DEFAULT_PEAK_FLOPS}::DOUBLE) AS peak_flops
+FROM ({GPUS_SQL}) g LEFT JOIN {_patterns_sql(dims.PEAK_FLOPS)} ON regexp_matches(g.gpu_name, t.pattern, 'i')
+GROUP BY g.p_partkey, g.gpu_name""")
+def j2_peak_lookup(spark, sf):
+    """J2 with the shipped peak-FLOPS table on device names."""
+    return joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
+                                    dims.peak_flops(spark), "flops", default=dims.DEFAULT_PEAK_FLOPS,
+                                    out="peak_flops").drop("flops")
+
+
+@query("f6_mfu", f"""
+WITH g AS (SELECT g.p_partkey, g.p_size, g.p_retailprice, coalesce(arg_min(t.flops, t.ord), {dims.DEFAULT_PEAK_FLOPS}::DOUBLE) AS peak
+           FROM ({GPUS_SQL}) g LEFT JOIN {_patterns_sql(dims.PEAK_FLOPS)} ON regexp_matches(g.gpu_name, t.pattern, 'i')
+           GROUP BY ALL)
+SELECT p_partkey, round(NULLIF((p_size % 10) * 1e15, 0) * (p_retailprice / 1000) / (peak * (p_partkey % 16 + 1)) * 100, 9) AS mfu_pct
+FROM g""")
+def f6_mfu(spark, sf):
+    """MFU with flops/step = (size mod 10) PFLOP (zero -> NULL), steps/s = price / 1000."""
+    g = joins.lookup_first_match(gpus(spark, sf), "gpu_name", dims.peak_flops(spark), "flops",
+                                 default=dims.DEFAULT_PEAK_FLOPS, out="peak")
+    m = mfu_pct((F.col("p_size") % 10) * F.lit(1e15), F.col("p_retailprice") / F.lit(1000.0), "peak",
+                F.col("p_partkey") % 16 + 1)
+    return g.select("p_partkey", F.round(m, 9).alias("mfu_pct"))
+
+
+@query("f18_block_size", f"""
+SELECT g.p_partkey, arg_min(t.nb, t.ord) AS nb
+FROM ({GPUS_SQL}) g LEFT JOIN (VALUES {", ".join(f"({o}, {C.sql_str(p)}, {nb})" for o, p, nb in dims.BLOCK_SIZES)}) AS t(ord, pattern, nb)
+  ON regexp_matches(g.gpu_name, t.pattern, 'i')
+GROUP BY g.p_partkey""")
+def f18_block_size(spark, sf):
+    """Linpack block size by device family (336 Hopper/Ampere, 512 Blackwell)."""
+    g = joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
+                                 dims.block_sizes(spark), "nb")
+    return g.select("p_partkey", "nb")
+
+
+def _baseline_sql() -> str:
+    vals = ", ".join(f"({C.sql_str(m)}, {v}::DOUBLE, {C.sql_str(u)}, {p}::DOUBLE, "
+                     f"{'NULL' if o is None else str(o) + '::DOUBLE'})" for m, v, u, p, o in dims.BASELINE)
+    return f"(VALUES {vals}) AS b(metric, value, unit, peak, other_peak)"
+
+
+@query("j3_efficiency", f"""
+WITH m AS (SELECT event_id, {C.sql_list([b[0] for b in dims.BASELINE])}[user_id % {len(dims.BASELINE)} + 1] AS metric,
+                  value * 20 AS measured FROM events)
+SELECT m.event_id, m.metric, round(m.measured / b.peak * 100, 9) AS pct_of_peak,
+       round(m.measured / NULLIF(b.other_peak, 0), 9) AS vs_other
+FROM m LEFT JOIN {_baseline_sql()} ON m.metric = b.metric""")
+def j3_efficiency(spark, sf):
+    """Each event a measurement of one published metric (by user), against its spec."""
+    e = C.table(spark, sf, "events")
+    names = F.array(*[F.lit(b[0]) for b in dims.BASELINE])
+    m = e.select("event_id", F.element_at(names, (F.col("user_id") % len(dims.BASELINE) + 1).cast("int")).alias("metric"),
+                 (F.col("value") * 20).alias("measured"))
+    x = joins.efficiency(m, "metric", "measured", dims.baseline(spark))
+    return x.select("event_id", "metric", F.round("pct_of_peak", 9).alias("pct_of_peak"),
+                    F.round("vs_other", 9).alias("vs_other"))
+
+
+def _published_curve_sql() -> str:
+    vals = ", ".join(f"({C.sql_str(l)}, {w}::DOUBLE, {r}::DOUBLE)" for l, w, r in dims.BASELINE_SWEEP)
+    return f"(VALUES {vals}) AS pc(block_size, write_mbs, read_mbs)"
+
+
+@query("s12_baseline", f"""
+SELECT c.source, c.block_size, c.rate, pc.read_mbs AS published_read_mbs,
+       round(c.rate / pc.read_mbs, 9) AS vs_published
+FROM ({C.CURVE_SQL}) c JOIN {_published_curve_sql()} ON c.block_size = pc.block_size""")
+def s12_baseline(spark, sf):
+    """Every measured curve point next to the published read rate at its size."""
+    pub = (dims.baseline_sweep(spark).where(F.col("rw") == "read")
+           .select("block_size", F.col("mbs").alias("published_read_mbs")))
+    c = C.size_bucket_curve(spark, sf).join(F.broadcast(pub), "block_size")
+    return c.select("source", "block_size", "rate", "published_read_mbs",
+                    F.round(F.col("rate") / F.col("published_read_mbs"), 9).alias("vs_published"))
