@@ -99,23 +99,26 @@ def f14_metric_text(spark, sf):
 
 @query("a15_series", """
 WITH p AS (SELECT l_returnflag || l_linestatus AS series, metric, min(o) AS o, sum(value) AS v
-           FROM (UNPIVOT (SELECT l_returnflag, l_linestatus, l_quantity AS "1_qty", l_tax AS "2_tax",
-                                 l_discount AS "3_disc" FROM lineitem)
+           FROM (UNPIVOT (SELECT l_returnflag, l_linestatus, CAST(round(l_quantity * 100) AS BIGINT) AS "1_qty",
+                                 CAST(round(l_tax * 100) AS BIGINT) AS "2_tax",
+                                 CAST(round(l_discount * 100) AS BIGINT) AS "3_disc" FROM lineitem)
                  ON "1_qty", "2_tax", "3_disc" INTO NAME metric VALUE value)
                 CROSS JOIN LATERAL (SELECT CAST(split_part(metric, '_', 1) AS INT) AS o) GROUP BY ALL)
 SELECT series, string_agg(split_part(metric, '_', 2), ',' ORDER BY o) AS categories,
-       string_agg(CAST(CAST(round(v) AS BIGINT) AS VARCHAR), ',' ORDER BY o) AS data
+       string_agg(CAST(v AS VARCHAR), ',' ORDER BY o) AS data
 FROM p GROUP BY series""")
 def a15_series(spark, sf):
-    """Per (returnflag, linestatus) series the totals of three metrics, in fixed order."""
+    """Per (returnflag, linestatus) series the totals of three metrics (in
+    hundredths, so sums are exact integers), in a fixed category order."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     li = C.table(spark, sf, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("series"),
-        F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"), F.col("l_discount").alias("disc"))
+        cents("l_quantity").alias("qty"), cents("l_tax").alias("tax"), cents("l_discount").alias("disc"))
     long = project.to_scalars(li, ["series"], ["qty", "tax", "disc"], "cat", "val")
     long = long.withColumn("o", F.when(F.col("cat") == "qty", 1).when(F.col("cat") == "tax", 2).otherwise(3))
     s = agg.to_series(long, "series", "o", "cat", "val")
     return s.select("series", F.array_join("categories", ",").alias("categories"),
-                    F.array_join(F.transform("data", lambda v: F.round(v).cast("bigint").cast("string")), ",")
+                    F.array_join(F.transform("data", lambda v: v.cast("string")), ",")
                     .alias("data"))
 
 
