@@ -13,8 +13,17 @@ STEM_PREFIXES = ["hpl_", "nccl_", "mlperf_", "lerobot_", "pi05_1n8g_", "pi05_2n1
                  "pi05_ckpt_1n_", "storage_sweep_", "stream_"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, balanced: bool = False) -> DataFrame:
+    """Scan one driver table.
+
+    ``balanced=True`` spreads an unsplittable file over the cores; used only
+    where the work before the first shuffle is heavy (sorts, wide arrays).
+    """
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    if balanced:
+        from ..sources.tables import read_parquet_balanced
+        return read_parquet_balanced(spark, path)
+    return spark.read.parquet(path)
 
 
 def sql_str(s: str) -> str:
