@@ -120,9 +120,7 @@ def pivot_rw(df: DataFrame, keys: Sequence[str], rw_col: str, stats: Sequence[st
 def sweep_stats(trials: DataFrame, keys: Sequence[str], bw_bytes: str, digits: int = 1) -> DataFrame:
     """A1 + A2 + F4 + F5 on raw trials: MB/s median (upper) and min, rounded half-even."""
     t = trials.withColumn("_mbs", mb_per_s(bw_bytes))
-    med = ordinal_median(t, keys, "_mbs", "bw_median_mbs")
-    mn = min_passes(t, keys, "_mbs", "bw_min_mbs")
-    out = med.join(mn, list(keys))
+    out = ordinal_median(t, keys, "_mbs", "bw_median_mbs", extra={"bw_min_mbs": F.min})
     return out.select(*keys, round_half_even("bw_median_mbs", digits).alias("bw_median_mbs"),
                       round_half_even("bw_min_mbs", digits).alias("bw_min_mbs"))
 

@@ -30,13 +30,17 @@ ACCURACY = 10_000
 
 def kth_values(df: DataFrame, keys: Sequence[str], value: str,
                ranks: dict[str, Callable[[Column], Column]], q: float,
-               accuracy: int = ACCURACY, small_group: int = SMALL_GROUP) -> DataFrame:
+               accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
+               extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Exact value at 1-based rank ``ranks[name](n)`` per group.
 
     ``q`` is where the ranks sit as a fraction of n (0.5 for the median, 0.99
     for p99); all ranks must be within 1 row of ``q * n`` for large groups.
-    Returns ``keys + ['n'] + list(ranks)``.  NULL values are ignored.
+    ``extra`` adds plain aggregates of the value (e.g. ``{"min": F.min}``)
+    computed in the same first pass, saving a scan.
+    Returns ``keys + ['n'] + list(extra) + list(ranks)``.  NULL values are ignored.
     """
+    extra = extra or {}
     keys = list(keys)
     v = F.col(value)
     margin = 3.0 / accuracy
@@ -45,9 +49,10 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
 
     stats = base.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"))
+        F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"),
+        *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
     stats = stats.select(
-        *keys, "n",
+        *keys, "n", *extra,
         F.when(F.col("n") > small_group, F.col("_b")[0]).alias("_lo"),
         F.when(F.col("n") > small_group, F.col("_b")[1]).alias("_hi"))
 
@@ -56,14 +61,14 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
     inside = F.col("_lo").isNull() | F.col("_v").between(F.col("_lo"), F.col("_hi"))
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     cand = (j.where(inside | below)
-             .groupBy(*keys, "n", F.when(inside, F.col("_v")).alias("_cv"))
+             .groupBy(*keys, "n", *extra, F.when(inside, F.col("_v")).alias("_cv"))
              .agg(F.count("*").alias("_c")))
     w = (Window.partitionBy(*keys).orderBy(F.col("_cv").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cand = cand.withColumn("_cum", F.sum("_c").over(w))
     aggs = [F.min(F.when(F.col("_cum") >= fn(F.col("n")), F.col("_cv"))).alias(name)
             for name, fn in ranks.items()]
-    return cand.groupBy(*keys).agg(F.first("n").alias("n"), *aggs)
+    return cand.groupBy(*keys, "n", *extra).agg(*aggs)
 
 
 def ordinal_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
