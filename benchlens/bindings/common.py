@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf: str, name: str, balanced: bool = False) -> Da
     return spark.read.parquet(path)
 
 
+def cents(c) -> "F.Column":
+    """Two-decimal values as exact integer hundredths: averages of these are
+    order-independent (integer-valued doubles sum exactly), so Spark and the
+    oracle agree to the last bit, ties included."""
+    return F.round(F.col(c) * 100).cast("bigint")
+
+
 def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -104,7 +111,7 @@ def size_bucket_curve(spark: SparkSession, sf: str) -> DataFrame:
                     "size_bytes", ["block_size"])
     x = x.where(F.col("size_bytes").isNotNull())
     return x.groupBy("source", "size_bytes", "block_size").agg(
-        F.round(F.avg("bytes") / F.lit(1024.0), 6).alias("rate"), F.count("*").alias("n_files"))
+        F.bround(F.avg("bytes") / F.lit(1024.0), 6).alias("rate"), F.count("*").alias("n_files"))
 
 
 def sweep_sizes_sql() -> str:
@@ -113,7 +120,7 @@ def sweep_sizes_sql() -> str:
 
 
 CURVE_SQL = f"""
-SELECT source, size_bytes, block_size, round(avg(bytes) / 1024.0::DOUBLE, 6) AS rate, count(*) AS n_files
+SELECT source, size_bytes, block_size, round_even(avg(bytes) / 1024.0::DOUBLE, 6) AS rate, count(*) AS n_files
 FROM ({DOC_FILES_SQL}) f
 ASOF JOIN {sweep_sizes_sql()} ON f.bytes >= sw.size_bytes
 GROUP BY source, size_bytes, block_size"""

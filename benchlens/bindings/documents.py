@@ -73,14 +73,14 @@ def s5_json_path(spark, sf):
 
 
 @query("s6_explode_nested", """
-SELECT vec_id, label, CAST(pos - 1 AS BIGINT) AS pos, round(x::DOUBLE, 6) AS x, pos % 8 AS block
+SELECT vec_id, label, CAST(pos - 1 AS BIGINT) AS pos, round_even(x::DOUBLE, 6) AS x, pos % 8 AS block
 FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS pos
       FROM embeddings)""")
 def s6_explode_nested(spark, sf):
     """A header (vec_id, label) repeated for every element of a nested array of structs."""
     e = C.table(spark, sf, "embeddings")
     nested = e.select("vec_id", "label", F.transform(
-        "embedding", lambda x, i: F.struct(F.round(x.cast("double"), 6).alias("x"),
+        "embedding", lambda x, i: F.struct(F.bround(x.cast("double"), 6).alias("x"),
                                            ((i + 1) % 8).cast("bigint").alias("block"))).alias("sweep"))
     flat = D.flatten_sweep(nested, "sweep", ["vec_id", "label"])
     return flat.withColumn("pos", F.col("pos").cast("bigint"))

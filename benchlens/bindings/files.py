@@ -122,7 +122,7 @@ def _read_curve_sql() -> str:
 
 @query("j5_asof_curve", f"""
 SELECT f.doc_id, f.bytes, cv.curve_bytes, cv.read_mbs,
-       round(f.bytes / 1e6 / cv.read_mbs, 9) AS expected_s
+       round_even(f.bytes / 1e6 / cv.read_mbs, 9) AS expected_s
 FROM ({C.DOC_FILES_SQL}) f ASOF LEFT JOIN {_read_curve_sql()} ON f.bytes >= cv.curve_bytes""")
 def j5_asof_curve(spark, sf):
     """Expected read time of each file from the published read curve
@@ -132,17 +132,17 @@ def j5_asof_curve(spark, sf):
              .select(F.col("bytes").alias("curve_bytes"), F.col("mbs").alias("read_mbs")))
     x = joins.asof_lookup(f, "bytes", curve, "curve_bytes", ["read_mbs"])
     return x.select("doc_id", "bytes", "curve_bytes", "read_mbs",
-                    F.round(transfer_seconds(F.col("bytes") / F.lit(1e6), "read_mbs"), 9).alias("expected_s"))
+                    F.bround(transfer_seconds(F.col("bytes") / F.lit(1e6), "read_mbs"), 9).alias("expected_s"))
 
 
 @query("f16_transfer_time", """
-SELECT doc_id, round(n_chars * 1024 / 1e9 / 10.5::DOUBLE, 12) AS save_s, round(n_chars * 1024 / 1e9 / 8.4::DOUBLE, 12) AS load_s
+SELECT doc_id, round_even(n_chars * 1024 / 1e9 / 10.5::DOUBLE, 12) AS save_s, round_even(n_chars * 1024 / 1e9 / 8.4::DOUBLE, 12) AS load_s
 FROM documents""")
 def f16_transfer_time(spark, sf):
     """F16: save and load time of each file at the published 10.5 / 8.4 GB/s."""
     d = C.table(spark, sf, "documents").withColumn("gb", F.col("n_chars") * 1024 / F.lit(1e9))
-    return d.select("doc_id", F.round(transfer_seconds("gb", F.lit(10.5)), 12).alias("save_s"),
-                    F.round(transfer_seconds("gb", F.lit(8.4)), 12).alias("load_s"))
+    return d.select("doc_id", F.bround(transfer_seconds("gb", F.lit(10.5)), 12).alias("save_s"),
+                    F.bround(transfer_seconds("gb", F.lit(8.4)), 12).alias("load_s"))
 
 
 @query("k1_json_roundtrip", f"""

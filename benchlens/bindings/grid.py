@@ -97,13 +97,13 @@ def f13_task_label(spark, sf):
 
 
 @query("f15_headroom", f"""
-SELECT s_suppkey, round((abs(s_acctbal) / 100 + 1) / 288.0::DOUBLE * 100, 9) AS mem_share_pct,
+SELECT s_suppkey, round_even((abs(s_acctbal) / 100 + 1) / 288.0::DOUBLE * 100, 9) AS mem_share_pct,
        CAST(floor(288.0::DOUBLE / (abs(s_acctbal) / 100 + 1)) AS BIGINT) AS batch_headroom
 FROM ({CLUSTERS_SQL})""")
 def f15_headroom(spark, sf):
     """memory used of a 288 GB device and how many times the batch fits."""
     c = clusters(spark, sf).withColumn("used", F.abs("s_acctbal") / F.lit(100.0) + F.lit(1.0))
-    return c.select("s_suppkey", F.round(share_pct("used", F.lit(288.0)), 9).alias("mem_share_pct"),
+    return c.select("s_suppkey", F.bround(share_pct("used", F.lit(288.0)), 9).alias("mem_share_pct"),
                     headroom("used", F.lit(288.0)).alias("batch_headroom"))
 
 
@@ -117,7 +117,7 @@ def bands(spark):
 
 @query("f17_verdict", f"""
 WITH c AS (SELECT s_suppkey, (abs(s_acctbal) / 100 + 1) / 288.0::DOUBLE * 100 * 2 AS share FROM ({CLUSTERS_SQL}))
-SELECT s_suppkey, round(share, 9) AS share, b.verdict
+SELECT s_suppkey, round_even(share, 9) AS share, b.verdict
 FROM c LEFT JOIN (VALUES {", ".join(f"({lo}::DOUBLE, {'NULL' if hi is None else str(hi) + '::DOUBLE'}, {C.sql_str(v)})" for lo, hi, v in BANDS)}) AS b(lo, hi, verdict)
   ON c.share >= b.lo AND (b.hi IS NULL OR c.share < b.hi)""")
 def f17_verdict(spark, sf):
@@ -125,7 +125,7 @@ def f17_verdict(spark, sf):
     c = clusters(spark, sf).withColumn(
         "share", share_pct(F.abs("s_acctbal") / F.lit(100.0) + F.lit(1.0), F.lit(288.0)) * F.lit(2.0))
     v = joins.size_class(c, "share", bands(spark), "verdict")
-    return v.select("s_suppkey", F.round("share", 9).alias("share"), "verdict")
+    return v.select("s_suppkey", F.bround("share", 9).alias("share"), "verdict")
 
 
 def _sizes_sql() -> str:
@@ -177,7 +177,7 @@ WITH v AS (
   SELECT o_orderkey AS id,
          (((o_orderkey % 2147483648) * 1103515245 + p * 12345 + 7) % 2147483648) / 1073741824.0::DOUBLE - 1 AS x
   FROM orders, LATERAL (SELECT unnest(generate_series(0, 35)) AS p))
-SELECT id, round(sum(x::FLOAT::DOUBLE), 4) AS image_sum, count(*) AS image_values,
+SELECT id, round_even(sum(x::FLOAT::DOUBLE), 4) AS image_sum, count(*) AS image_values,
        0.0::DOUBLE AS state_sum, 200 AS prompt_len, 10 AS action_rows
 FROM v GROUP BY id""")
 def s9_synthetic(spark, sf):
@@ -186,7 +186,7 @@ def s9_synthetic(spark, sf):
     obs = synthetic_observations(o, "o_orderkey", seed=7, image_px=2)
     imgs = F.flatten(F.map_values("images"))
     return obs.select(
-        "id", F.round(F.aggregate(imgs, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("image_sum"),
+        "id", F.bround(F.aggregate(imgs, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("image_sum"),
         F.size(imgs).cast("bigint").alias("image_values"),
         F.aggregate("state", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("state_sum"),
         F.size("tokenized_prompt").alias("prompt_len"), F.size("actions").alias("action_rows"))

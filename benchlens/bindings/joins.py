@@ -70,7 +70,7 @@ def j2_peak_lookup(spark, sf):
 WITH g AS (SELECT g.p_partkey, g.p_size, g.p_retailprice, coalesce(arg_min(t.flops, t.ord), {dims.DEFAULT_PEAK_FLOPS}::DOUBLE) AS peak
            FROM ({GPUS_SQL}) g LEFT JOIN {_patterns_sql(dims.PEAK_FLOPS)} ON regexp_matches(g.gpu_name, t.pattern, 'i')
            GROUP BY ALL)
-SELECT p_partkey, round(NULLIF((p_size % 10) * 1e15, 0) * (p_retailprice / 1000) / (peak * (p_partkey % 16 + 1)) * 100, 9) AS mfu_pct
+SELECT p_partkey, round_even(NULLIF((p_size % 10) * 1e15, 0) * (p_retailprice / 1000) / (peak * (p_partkey % 16 + 1)) * 100, 9) AS mfu_pct
 FROM g""")
 def f6_mfu(spark, sf):
     """MFU with flops/step = (size mod 10) PFLOP (zero -> NULL), steps/s = price / 1000."""
@@ -78,7 +78,7 @@ def f6_mfu(spark, sf):
                                  default=dims.DEFAULT_PEAK_FLOPS, out="peak")
     m = mfu_pct((F.col("p_size") % 10) * F.lit(1e15), F.col("p_retailprice") / F.lit(1000.0), "peak",
                 F.col("p_partkey") % 16 + 1)
-    return g.select("p_partkey", F.round(m, 9).alias("mfu_pct"))
+    return g.select("p_partkey", F.bround(m, 9).alias("mfu_pct"))
 
 
 @query("f18_block_size", f"""
@@ -102,8 +102,8 @@ def _baseline_sql() -> str:
 @query("j3_efficiency", f"""
 WITH m AS (SELECT event_id, {C.sql_list([b[0] for b in dims.BASELINE])}[user_id % {len(dims.BASELINE)} + 1] AS metric,
                   value * 20 AS measured FROM events)
-SELECT m.event_id, m.metric, round(m.measured / b.peak * 100, 9) AS pct_of_peak,
-       round(m.measured / NULLIF(b.other_peak, 0), 9) AS vs_other
+SELECT m.event_id, m.metric, round_even(m.measured / b.peak * 100, 9) AS pct_of_peak,
+       round_even(m.measured / NULLIF(b.other_peak, 0), 9) AS vs_other
 FROM m LEFT JOIN {_baseline_sql()} ON m.metric = b.metric""")
 def j3_efficiency(spark, sf):
     """Each event a measurement of one published metric (by user), against its spec."""
@@ -112,8 +112,8 @@ def j3_efficiency(spark, sf):
     m = e.select("event_id", F.element_at(names, (F.col("user_id") % len(dims.BASELINE) + 1).cast("int")).alias("metric"),
                  (F.col("value") * 20).alias("measured"))
     x = joins.efficiency(m, "metric", "measured", dims.baseline(spark))
-    return x.select("event_id", "metric", F.round("pct_of_peak", 9).alias("pct_of_peak"),
-                    F.round("vs_other", 9).alias("vs_other"))
+    return x.select("event_id", "metric", F.bround("pct_of_peak", 9).alias("pct_of_peak"),
+                    F.bround("vs_other", 9).alias("vs_other"))
 
 
 def _published_curve_sql() -> str:
@@ -123,7 +123,7 @@ def _published_curve_sql() -> str:
 
 @query("s12_baseline", f"""
 SELECT c.source, c.block_size, c.rate, pc.read_mbs AS published_read_mbs,
-       round(c.rate / pc.read_mbs, 9) AS vs_published
+       round_even(c.rate / pc.read_mbs, 9) AS vs_published
 FROM ({C.CURVE_SQL}) c JOIN {_published_curve_sql()} ON c.block_size = pc.block_size""")
 def s12_baseline(spark, sf):
     """Every measured curve point next to the published read rate at its size."""
@@ -131,4 +131,4 @@ def s12_baseline(spark, sf):
            .select("block_size", F.col("mbs").alias("published_read_mbs")))
     c = C.size_bucket_curve(spark, sf).join(F.broadcast(pub), "block_size")
     return c.select("source", "block_size", "rate", "published_read_mbs",
-                    F.round(F.col("rate") / F.col("published_read_mbs"), 9).alias("vs_published"))
+                    F.bround(F.col("rate") / F.col("published_read_mbs"), 9).alias("vs_published"))

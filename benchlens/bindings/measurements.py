@@ -21,53 +21,56 @@ def steps(spark, sf):
 
 
 @query("a3_mean_rounds", """
-SELECT user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id""")
+SELECT user_id, round_even(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6) AS mean_value FROM events GROUP BY user_id""")
 def a3_mean_rounds(spark, sf):
-    m = agg.mean_rounds(C.table(spark, sf, "events"), ["user_id"], "value", "mean_value")
-    return m.select("user_id", F.round("mean_value", 6).alias("mean_value"))
+    e = C.table(spark, sf, "events").withColumn("cents", C.cents("value"))
+    m = agg.mean_rounds(e, ["user_id"], "cents", "mean_value")
+    return m.select("user_id", F.bround(F.col("mean_value") / 100, 6).alias("mean_value"))
 
 
 @query("a3_mean_array", """
-SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 6) AS mean_round
+SELECT vec_id, round_even(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 6) AS mean_round
 FROM embeddings""")
 def a3_mean_array(spark, sf):
     e = C.table(spark, sf, "embeddings")
-    return e.select("vec_id", F.round(agg.mean_array("embedding"), 6).alias("mean_round"))
+    return e.select("vec_id", F.bround(agg.mean_array("embedding"), 6).alias("mean_round"))
 
 
 @query("a4_cold_warm", """
-SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS cold,
-       round(list_sum(list_transform(embedding[2:], lambda x: x::DOUBLE)) / (len(embedding) - 1), 6) AS warm,
-       round((list_sum(list_transform(embedding[2:], lambda x: x::DOUBLE)) / (len(embedding) - 1))
+SELECT vec_id, round_even(embedding[1]::DOUBLE, 6) AS cold,
+       round_even(list_sum(list_transform(embedding[2:], lambda x: x::DOUBLE)) / (len(embedding) - 1), 6) AS warm,
+       round_even((list_sum(list_transform(embedding[2:], lambda x: x::DOUBLE)) / (len(embedding) - 1))
              / NULLIF(embedding[1]::DOUBLE, 0), 6) AS cold_penalty
 FROM embeddings""")
 def a4_cold_warm(spark, sf):
     """A4: first element is the cold round, the rest are warm rounds."""
     e = C.table(spark, sf, "embeddings")
     cold, warm, pen = agg.cold_warm_array("embedding")
-    return e.select("vec_id", F.round(cold, 6).alias("cold"), F.round(warm, 6).alias("warm"),
-                    F.round(pen, 6).alias("cold_penalty"))
+    return e.select("vec_id", F.bround(cold, 6).alias("cold"), F.bround(warm, 6).alias("warm"),
+                    F.bround(pen, 6).alias("cold_penalty"))
 
 
 @query("a4_cold_warm_rows", """
-WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS round, value FROM events)
-SELECT user_id, round(avg(value) FILTER (WHERE round = 1), 6) AS cold,
-       round(avg(value) FILTER (WHERE round > 1), 6) AS warm,
-       round(avg(value) FILTER (WHERE round > 1) / NULLIF(avg(value) FILTER (WHERE round = 1), 0), 6) AS cold_penalty
+WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS round,
+                  CAST(round(value * 100) AS BIGINT) AS value FROM events)
+SELECT user_id, round_even(avg(value) FILTER (WHERE round = 1) / 100, 6) AS cold,
+       round_even(avg(value) FILTER (WHERE round > 1) / 100, 6) AS warm,
+       round_even(avg(value) FILTER (WHERE round > 1) / NULLIF(avg(value) FILTER (WHERE round = 1), 0), 6) AS cold_penalty
 FROM r GROUP BY user_id""")
 def a4_cold_warm_rows(spark, sf):
     """A4 on rows: W1 numbers each user's events (rounds), then cold/warm means."""
-    e = C.table(spark, sf, "events").select("user_id", "event_id", "value")
+    e = C.table(spark, sf, "events").select("user_id", "event_id", C.cents("value").alias("value"))
     r = windows.with_iteration(e, ["user_id"], "event_id", "round", base=1)
     out = agg.cold_warm(r, ["user_id"], "round", "value")
-    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("cold", "warm", "cold_penalty")])
+    return out.select("user_id", F.bround(F.col("cold") / 100, 6).alias("cold"),
+                      F.bround(F.col("warm") / 100, 6).alias("warm"), F.bround("cold_penalty", 6).alias("cold_penalty"))
 
 
 @query("a6_rank_sum", f"""
-SELECT run, round(sum(value), 6) AS total, count(*) AS n_ranks FROM ({STEPS_SQL}) GROUP BY run""")
+SELECT run, round_even(sum(value), 6) AS total, count(*) AS n_ranks FROM ({STEPS_SQL}) GROUP BY run""")
 def a6_rank_sum(spark, sf):
     out = agg.rank_sum(steps(spark, sf), ["run"], "value")
-    return out.select("run", F.round("total", 6).alias("total"), "n_ranks")
+    return out.select("run", F.bround("total", 6).alias("total"), "n_ranks")
 
 
 @query("a7_barrier_span", """
@@ -86,19 +89,20 @@ def a8_peak(spark, sf):
 
 
 @query("a9_latency", """
-SELECT event_type, round(avg(value), 6) AS avg_latency_ms,
-       round(quantile_cont(value, 0.99), 6) AS p99_latency_ms
+SELECT event_type, round_even(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6) AS avg_latency_ms,
+       round_even(quantile_cont(value, 0.99), 6) AS p99_latency_ms
 FROM events GROUP BY event_type""")
 def a9_latency(spark, sf):
-    out = agg.latency_summary(C.table(spark, sf, "events"), ["event_type"], "value")
-    return out.select("event_type", F.round("avg_latency_ms", 6).alias("avg_latency_ms"),
-                      F.round("p99_latency_ms", 6).alias("p99_latency_ms"))
+    e = C.table(spark, sf, "events").withColumn("cents", C.cents("value"))
+    out = agg.latency_summary(e, ["event_type"], "value", avg_of="cents")
+    return out.select("event_type", F.bround(F.col("avg_latency_ms") / 100, 6).alias("avg_latency_ms"),
+                      F.bround("p99_latency_ms", 6).alias("p99_latency_ms"))
 
 
 @query("a10_throughput", """
 SELECT user_id, count(*) AS steps, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS elapsed_s,
-       round(count(*) / NULLIF(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0), 9) AS steps_per_sec,
-       round(count(*) / NULLIF(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0) * 32 * 8, 9) AS samples_per_sec
+       round_even(count(*) / NULLIF(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0), 9) AS steps_per_sec,
+       round_even(count(*) / NULLIF(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0) * 32 * 8, 9) AS samples_per_sec
 FROM events GROUP BY user_id""")
 def a10_throughput(spark, sf):
     """A10: steps per user over the A7 span; 32 samples per rank and 8 ranks."""
@@ -107,8 +111,8 @@ def a10_throughput(spark, sf):
     n = e.groupBy("user_id").agg(F.count("*").alias("steps"))
     x = n.join(span, "user_id").withColumn("batch", F.lit(32)).withColumn("world", F.lit(8))
     t = agg.throughput(x, "steps", "elapsed_s", "batch", "world")
-    return t.select("user_id", "steps", "elapsed_s", F.round("steps_per_sec", 9).alias("steps_per_sec"),
-                    F.round("samples_per_sec", 9).alias("samples_per_sec"))
+    return t.select("user_id", "steps", "elapsed_s", F.bround("steps_per_sec", 9).alias("steps_per_sec"),
+                    F.bround("samples_per_sec", 9).alias("samples_per_sec"))
 
 
 @query("a13_first_params", """
@@ -135,27 +139,30 @@ def p7_leader(spark, sf):
 
 
 @query("j6_scaling", """
-WITH a AS (SELECT event_type, user_id % 10 AS config, 1 + user_id % 3 AS nodes, avg(value) AS thr
+WITH a AS (SELECT event_type, user_id % 10 AS config, 1 + user_id % 3 AS nodes,
+                  avg(CAST(round(value * 100) AS BIGINT)) AS thr
            FROM events GROUP BY ALL),
 b AS (SELECT event_type, config, thr AS base_thr FROM a WHERE nodes = 1)
-SELECT a.event_type, a.config, a.nodes, round(b.base_thr, 6) AS base_thr, round(a.thr, 6) AS thr,
-       round(a.thr / NULLIF(b.base_thr, 0), 6) AS scale_ratio,
-       round(a.thr / NULLIF(b.base_thr, 0) / (a.nodes / 1), 6) AS scale_eff
+SELECT a.event_type, a.config, a.nodes, round_even(b.base_thr / 100, 6) AS base_thr, round_even(a.thr / 100, 6) AS thr,
+       round_even(a.thr / NULLIF(b.base_thr, 0), 6) AS scale_ratio,
+       round_even(a.thr / NULLIF(b.base_thr, 0) / (a.nodes / 1), 6) AS scale_eff
 FROM a JOIN b USING (event_type, config) WHERE a.nodes <> 1""")
 def j6_scaling(spark, sf):
     """Runs on 2 and 3 nodes against the same cluster/config on 1 node."""
     e = C.table(spark, sf, "events").select(
-        "event_type", (F.col("user_id") % 10).alias("config"), (1 + F.col("user_id") % 3).alias("nodes"), "value")
+        "event_type", (F.col("user_id") % 10).alias("config"), (1 + F.col("user_id") % 3).alias("nodes"),
+        C.cents("value").alias("value"))
     s = joins.scaling(e, ["event_type", "config"], "nodes", "value")
     return s.select("event_type", "config", "nodes",
-                    *[F.round(c, 6).alias(c) for c in ("base_thr", "thr", "scale_ratio", "scale_eff")])
+                    *[F.bround(F.col(c) / 100, 6).alias(c) for c in ("base_thr", "thr")],
+                    *[F.bround(c, 6).alias(c) for c in ("scale_ratio", "scale_eff")])
 
 
 @query("j7_bottleneck", """
 WITH c AS (SELECT user_id, sum(value) AS train_rate FROM events WHERE event_type = 'click' GROUP BY user_id),
 s AS (SELECT user_id, sum(value) AS storage_rate FROM events WHERE event_type = 'view' GROUP BY user_id)
-SELECT user_id, round(train_rate, 6) AS train_rate, round(storage_rate, 6) AS storage_rate,
-       round(storage_rate / NULLIF(train_rate, 0), 6) AS headroom,
+SELECT user_id, round_even(train_rate, 6) AS train_rate, round_even(storage_rate, 6) AS storage_rate,
+       round_even(storage_rate / NULLIF(train_rate, 0), 6) AS headroom,
        CASE WHEN train_rate < storage_rate THEN 'compute_or_network' ELSE 'storage' END AS bottleneck
 FROM c JOIN s USING (user_id)""")
 def j7_bottleneck(spark, sf):
@@ -164,7 +171,7 @@ def j7_bottleneck(spark, sf):
     c = e.where(F.col("event_type") == "click").groupBy("user_id").agg(F.sum("value").alias("train_rate"))
     s = e.where(F.col("event_type") == "view").groupBy("user_id").agg(F.sum("value").alias("storage_rate"))
     b = joins.bottleneck(c, s, ["user_id"], "train_rate", "storage_rate")
-    return b.select("user_id", *[F.round(x, 6).alias(x) for x in ("train_rate", "storage_rate", "headroom")],
+    return b.select("user_id", *[F.bround(x, 6).alias(x) for x in ("train_rate", "storage_rate", "headroom")],
                     "bottleneck")
 
 

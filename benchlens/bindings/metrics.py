@@ -123,29 +123,29 @@ def a15_series(spark, sf):
 
 
 @query("a17_per_device", """
-SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 4) AS total, count(*) AS devices,
-       round(sum(l_extendedprice) / count(*), 6) AS per_device
+SELECT l_returnflag, l_linestatus, round_even(sum(l_extendedprice), 4) AS total, count(*) AS devices,
+       round_even(sum(l_extendedprice) / count(*), 6) AS per_device
 FROM lineitem GROUP BY ALL""")
 def a17_per_device(spark, sf):
     """Group total and the same per line (each line one device)."""
     li = C.table(spark, sf, "lineitem").withColumn("one", F.lit(1))
     out = agg.per_device(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", "one")
-    return out.select("l_returnflag", "l_linestatus", F.round("total", 4).alias("total"),
-                      F.col("devices").cast("bigint").alias("devices"), F.round("per_device", 6).alias("per_device"))
+    return out.select("l_returnflag", "l_linestatus", F.bround("total", 4).alias("total"),
+                      F.col("devices").cast("bigint").alias("devices"), F.bround("per_device", 6).alias("per_device"))
 
 
 @query("u1_summary_union", """
-SELECT 'lineitem' AS bench, l_returnflag || l_linestatus AS item, round(sum(l_quantity), 4) AS qty,
+SELECT 'lineitem' AS bench, l_returnflag || l_linestatus AS item, round_even(sum(l_quantity), 4) AS qty,
        NULL::DOUBLE AS mean_value, count(*) AS n
 FROM lineitem GROUP BY ALL
 UNION ALL
-SELECT 'events' AS bench, event_type AS item, NULL::DOUBLE AS qty, round(avg(value), 6) AS mean_value, count(*) AS n
+SELECT 'events' AS bench, event_type AS item, NULL::DOUBLE AS qty, round_even(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6) AS mean_value, count(*) AS n
 FROM events GROUP BY ALL""")
 def u1_summary_union(spark, sf):
     li = C.table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("item")).agg(
-        F.round(F.sum("l_quantity"), 4).alias("qty"), F.count("*").alias("n")).withColumn("bench", F.lit("lineitem"))
+        F.bround(F.sum("l_quantity"), 4).alias("qty"), F.count("*").alias("n")).withColumn("bench", F.lit("lineitem"))
     ev = C.table(spark, sf, "events").groupBy(F.col("event_type").alias("item")).agg(
-        F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n")).withColumn("bench", F.lit("events"))
+        F.bround(F.avg(C.cents("value")) / 100, 6).alias("mean_value"), F.count("*").alias("n")).withColumn("bench", F.lit("events"))
     return setops.summary_union([li, ev]).select("bench", "item", "qty", "mean_value", "n")
 
 
@@ -162,14 +162,14 @@ def k2_scalars_roundtrip(spark, sf):
 
 
 @query("k3_summary_roundtrip", """
-SELECT l_returnflag AS bench, l_linestatus, round(sum(l_quantity), 4) AS qty, round(avg(l_discount), 6) AS disc,
+SELECT l_returnflag AS bench, l_linestatus, round_even(sum(l_quantity), 4) AS qty, round_even(avg(CAST(round(l_discount * 100) AS BIGINT)) / 100, 6) AS disc,
        count(*) AS n
 FROM lineitem GROUP BY ALL""")
 def k3_summary_roundtrip(spark, sf):
     """K3: wide summary rows written partitioned by benchmark, then read back."""
     li = C.table(spark, sf, "lineitem")
     s = li.groupBy(F.col("l_returnflag").alias("bench"), "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 4).alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"),
+        F.bround(F.sum("l_quantity"), 4).alias("qty"), F.bround(F.avg(C.cents("l_discount")) / 100, 6).alias("disc"),
         F.count("*").alias("n"))
     path = shared_subdir(spark, "summary")
     sinks.write_summary(s, path)

@@ -74,11 +74,11 @@ def f5_round(spark, sf):
 # ---------------------------------------------------------------- curves
 @query("w3_gain", f"""
 SELECT source, block_size, rate,
-       round(rate / NULLIF(lag(rate) OVER (PARTITION BY source ORDER BY size_bytes), 0), 6) AS gain
+       round_even(rate / NULLIF(lag(rate) OVER (PARTITION BY source ORDER BY size_bytes), 0), 6) AS gain
 FROM ({C.CURVE_SQL})""")
 def w3_gain(spark, sf):
     g = windows.gain(C.size_bucket_curve(spark, sf), ["source"], "size_bytes", "rate")
-    return g.select("source", "block_size", "rate", F.round("gain", 6).alias("gain"))
+    return g.select("source", "block_size", "rate", F.bround("gain", 6).alias("gain"))
 
 
 def _plateau_sql(eps: float) -> str:

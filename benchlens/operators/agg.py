@@ -87,14 +87,15 @@ def peak(df: DataFrame, keys: Sequence[str], bytes_col: str, name: str = "peak_g
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], latency: str, p: float = 0.99,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, avg_of: str | None = None) -> DataFrame:
     """Average and p99 latency per group.
 
     Exact p99 (linear interpolation) by default, skew-safe; ``approx=True``
-    uses ``percentile_approx`` in a single partial aggregation.
+    uses ``percentile_approx`` in a single partial aggregation.  ``avg_of``
+    averages another column (e.g. the latency in exact integer units).
     """
     keys = list(keys)
-    avg = df.groupBy(*keys).agg(F.avg(F.col(latency).cast("double")).alias("avg_latency_ms"))
+    avg = df.groupBy(*keys).agg(F.avg(F.col(avg_of or latency).cast("double")).alias("avg_latency_ms"))
     if approx:
         pq = df.groupBy(*keys).agg(F.percentile_approx(latency, p, 10000).alias("p99_latency_ms"))
     else:
