@@ -14,7 +14,10 @@ keep every task bounded:
 * ``row_positions`` numbers rows within a group by a unique order, like
   ``row_number()``, but range-partitions on (group, order) so a hot group is
   split over many tasks; per-partition counts (one row per task and group)
-  give each task its offset.
+  give each task its offset.  The range bounds are fixed once per shuffle
+  (retried map tasks reuse them) and both uses of the partitioned rows read
+  the same exchange, so positions survive task retries; the order must be
+  unique within a group.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 SMALL_GROUP = 1_000_000
 ACCURACY = 10_000
 
@@ -55,6 +60,12 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
         *keys, "n", *extra,
         F.when(F.col("n") > small_group, F.col("_b")[0]).alias("_lo"),
         F.when(F.col("n") > small_group, F.col("_b")[1]).alias("_hi"))
+    # The sketch merge order is not deterministic: if part of this stage were
+    # recomputed after an executor loss, tasks could see different brackets for
+    # one group.  The table is one row per group; a reliable checkpoint in the
+    # shared folder fixes it once.
+    ensure_checkpoint_dir(df.sparkSession)
+    stats = stats.checkpoint(eager=True)
 
     # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
     j = base.join(stats, keys)
