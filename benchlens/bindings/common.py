@@ -106,12 +106,11 @@ def size_bucket_curve(spark: SparkSession, sf: str) -> DataFrame:
     sizes); files below the first size are left out of the curve.
     """
     from ..operators.joins import asof_lookup
-    f = doc_files(spark, sf)
-    x = asof_lookup(f, "bytes", dims.sweep_sizes(spark).withColumnRenamed("bytes", "size_bytes"),
-                    "size_bytes", ["block_size"])
-    x = x.where(F.col("size_bytes").isNotNull())
+    f = doc_files(spark, sf).select("source", F.col("bytes").alias("file_bytes"))
+    x = asof_lookup(f, "file_bytes", dims.sweep_sizes(spark), "bytes", ["block_size"])
+    x = x.where(F.col("bytes").isNotNull()).withColumnRenamed("bytes", "size_bytes")
     return x.groupBy("source", "size_bytes", "block_size").agg(
-        F.bround(F.avg("bytes") / F.lit(1024.0), 6).alias("rate"), F.count("*").alias("n_files"))
+        F.bround(F.avg("file_bytes") / F.lit(1024.0), 6).alias("rate"), F.count("*").alias("n_files"))
 
 
 def sweep_sizes_sql() -> str:

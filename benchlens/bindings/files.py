@@ -128,9 +128,7 @@ def j5_asof_curve(spark, sf):
     """Expected read time of each file from the published read curve
     (largest swept size not above the file size; none below 64 KiB)."""
     f = C.doc_files(spark, sf).select("doc_id", "bytes")
-    curve = (dims.baseline_sweep(spark).where(F.col("rw") == "read")
-             .select(F.col("bytes").alias("curve_bytes"), F.col("mbs").alias("read_mbs")))
-    x = joins.asof_lookup(f, "bytes", curve, "curve_bytes", ["read_mbs"])
+    x = joins.asof_lookup(f, "bytes", dims.published_curve(spark, "read"), "curve_bytes", ["read_mbs"])
     return x.select("doc_id", "bytes", "curve_bytes", "read_mbs",
                     F.bround(transfer_seconds(F.col("bytes") / F.lit(1e6), "read_mbs"), 9).alias("expected_s"))
 

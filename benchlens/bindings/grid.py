@@ -112,7 +112,7 @@ BANDS = [(0.0, 40.0, "below expected"), (40.0, 55.0, "typical"), (55.0, None, "a
 
 
 def bands(spark):
-    return spark.createDataFrame(BANDS, "lo DOUBLE, hi DOUBLE, class STRING")
+    return dims.literal(spark, BANDS, "lo DOUBLE, hi DOUBLE, class STRING")
 
 
 @query("f17_verdict", f"""
@@ -181,8 +181,11 @@ SELECT id, round_even(sum(x::FLOAT::DOUBLE), 4) AS image_sum, count(*) AS image_
        0.0::DOUBLE AS state_sum, 200 AS prompt_len, 10 AS action_rows
 FROM v GROUP BY id""")
 def s9_synthetic(spark, sf):
-    """One observation per order (2 x 2 pixel images, seed 7), summarised."""
-    o = C.table(spark, sf, "orders").select("o_orderkey")
+    """One observation per order (2 x 2 pixel images, seed 7), summarised.
+
+    Array building is the heavy part and runs before any shuffle, so an
+    unsplittable orders file is spread over the cores first."""
+    o = C.table(spark, sf, "orders", balanced=True).select("o_orderkey")
     obs = synthetic_observations(o, "o_orderkey", seed=7, image_px=2)
     imgs = F.flatten(F.map_values("images"))
     return obs.select(

@@ -39,7 +39,7 @@ SELECT d.p_partkey, d.device, coalesce(arg_min(t.flops, t.ord), 989e12) AS peak_
 FROM ({DEVICES_SQL}) d LEFT JOIN {_patterns_sql(PART_PATTERNS)} ON regexp_matches(d.device, t.pattern, 'i')
 GROUP BY d.p_partkey, d.device""")
 def j2_regex_first_match(spark, sf):
-    t = spark.createDataFrame(PART_PATTERNS, "ord INT, pattern STRING, flops DOUBLE")
+    t = dims.literal(spark, PART_PATTERNS, "ord INT, pattern STRING, flops DOUBLE")
     return joins.lookup_first_match(devices(spark, sf), "device", t, "flops",
                                     default=dims.DEFAULT_PEAK_FLOPS, out="peak_flops").drop("flops")
 

@@ -102,6 +102,14 @@ BASELINE_SWEEP = [
 ]
 
 
+def literal(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A DataFrame from local rows that remembers them: operators can check its
+    size (and read small columns) without running a Spark job."""
+    df = spark.createDataFrame(rows, schema)
+    df._local_rows = list(rows)
+    return df
+
+
 def _size_bytes(label: str) -> int:
     mult = {"k": KIB, "m": MIB, "g": GIB}
     return int(label[:-1]) * mult[label[-1]] if label[-1] in mult else int(label)
@@ -123,30 +131,36 @@ def registry(spark: SparkSession, extensions: bool = True) -> DataFrame:
     ])
     data = [(i + 1, p, b, [(k, l, a) for k, l, a in m], [(k, a) for k, a in ps])
             for i, (p, b, m, ps) in enumerate(rows)]
-    return spark.createDataFrame(data, schema)
+    return literal(spark, data, schema)
 
 
 def peak_flops(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PEAK_FLOPS, "ord INT, pattern STRING, flops DOUBLE")
+    return literal(spark, PEAK_FLOPS, "ord INT, pattern STRING, flops DOUBLE")
 
 
 def block_sizes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BLOCK_SIZES, "ord INT, pattern STRING, nb INT")
+    return literal(spark, BLOCK_SIZES, "ord INT, pattern STRING, nb INT")
 
 
 def size_classes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SIZE_CLASSES, "lo BIGINT, hi BIGINT, class STRING")
+    return literal(spark, SIZE_CLASSES, "lo BIGINT, hi BIGINT, class STRING")
 
 
 def sweep_sizes(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, lbl, disp, _size_bytes(lbl)) for i, (lbl, disp) in enumerate(SWEEP_SIZES)]
-    return spark.createDataFrame(rows, "ord INT, block_size STRING, block_size_label STRING, bytes BIGINT")
+    return literal(spark, rows, "ord INT, block_size STRING, block_size_label STRING, bytes BIGINT")
 
 
 def baseline(spark: SparkSession) -> DataFrame:
     """Published figures with the peaks they are compared to."""
-    return spark.createDataFrame(
-        BASELINE, "metric STRING, value DOUBLE, unit STRING, peak DOUBLE, other_peak DOUBLE")
+    return literal(spark, BASELINE, "metric STRING, value DOUBLE, unit STRING, peak DOUBLE, other_peak DOUBLE")
+
+
+def published_curve(spark: SparkSession, rw: str = "read") -> DataFrame:
+    """The published curve of one direction: (curve_bytes, <rw>_mbs)."""
+    i = 2 if rw == "read" else 1
+    rows = [(_size_bytes(r[0]), r[i]) for r in BASELINE_SWEEP]
+    return literal(spark, rows, f"curve_bytes BIGINT, {rw}_mbs DOUBLE")
 
 
 def baseline_sweep(spark: SparkSession) -> DataFrame:
@@ -155,4 +169,4 @@ def baseline_sweep(spark: SparkSession) -> DataFrame:
     for lbl, w, r in BASELINE_SWEEP:
         rows.append((lbl, _size_bytes(lbl), "write", w))
         rows.append((lbl, _size_bytes(lbl), "read", r))
-    return spark.createDataFrame(rows, "block_size STRING, bytes BIGINT, rw STRING, mbs DOUBLE")
+    return literal(spark, rows, "block_size STRING, bytes BIGINT, rw STRING, mbs DOUBLE")

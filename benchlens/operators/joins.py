@@ -17,8 +17,14 @@ MAX_DIM_ROWS = 10_000  # proven bound checked before broadcasting a passed-in ta
 
 
 def _bounded(dim: DataFrame, what: str) -> DataFrame:
-    """Check a user-supplied dimension is small before it is broadcast."""
-    if dim.limit(MAX_DIM_ROWS + 1).count() > MAX_DIM_ROWS:
+    """Check a dimension is small before it is broadcast.
+
+    Literal tables from ``dims.literal`` carry their rows, so the check is
+    free; any other table is counted (at most MAX_DIM_ROWS + 1 rows read).
+    """
+    local = getattr(dim, "_local_rows", None)
+    n = len(local) if local is not None else dim.limit(MAX_DIM_ROWS + 1).count()
+    if n > MAX_DIM_ROWS:
         raise ValueError(f"{what} has more than {MAX_DIM_ROWS} rows; it is meant to be a small table")
     return F.broadcast(dim)
 
@@ -36,7 +42,11 @@ def classify(df: DataFrame, stem_col: str, registry: DataFrame, how: str = "left
     ``how='left'`` keeps unknown files with NULL bench; ``'inner'`` drops them.
     """
     reg = registry.select("reg_ord", "prefix", "bench")
-    prefixes = [r["prefix"] for r in _bounded(reg, "registry").orderBy("reg_ord").collect()]
+    local = getattr(registry, "_local_rows", None)
+    if local is not None:  # literal registry: (reg_ord, prefix, ...) rows at hand
+        prefixes = [r[1] for r in sorted(local, key=lambda r: r[0])]
+    else:
+        prefixes = [r["prefix"] for r in _bounded(reg, "registry").orderBy("reg_ord").collect()]
     x = df.withColumn("prefix", F.nullif(F.regexp_extract(F.col(stem_col), prefix_pattern(prefixes), 1),
                                          F.lit("")))
     return x.join(F.broadcast(reg), "prefix", how)
@@ -70,8 +80,9 @@ def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFram
 
     ``spec`` has (metric, peak, other_peak).
     """
+    _bounded(spec, "spec")
     s = spec.select(F.col("metric").alias(metric_col), "peak", "other_peak")
-    x = df.join(_bounded(s, "spec"), metric_col, "left")
+    x = df.join(F.broadcast(s), metric_col, "left")
     m = F.col(measured_col).cast("double")
     return (x.withColumn("pct_of_peak", m / F.col("peak") * F.lit(100.0))
              .withColumn("vs_other", m / F.nullif(F.col("other_peak"), F.lit(0.0))))
@@ -79,10 +90,11 @@ def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFram
 
 def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class") -> DataFrame:
     """Layout class of a size from non-overlapping [lo, hi) ranges (hi NULL = open)."""
+    _bounded(classes, "size classes")
     c = classes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("class").alias(out))
     s = F.col(size_col)
     cond = (s >= F.col("_lo")) & (F.col("_hi").isNull() | (s < F.col("_hi")))
-    return df.join(_bounded(c, "size classes"), cond, "left").drop("_lo", "_hi")
+    return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
 
 
 def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
@@ -94,6 +106,7 @@ def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
     at most one match per row.  Rows below the first point get NULLs.
     """
     by = list(by)
+    _bounded(curve, "curve")
     w = Window.partitionBy(*by).orderBy(curve_key)
     c = curve.select(*by, F.col(curve_key).alias("_ck"), *curve_cols,
                      F.lead(curve_key).over(w).alias("_nk"))
@@ -103,7 +116,7 @@ def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
     cond = (k >= F.col("_ck")) & (F.col("_nk").isNull() | (k < F.col("_nk")))
     for b in by:
         cond = cond & (F.col(b) == F.col(f"_by_{b}"))
-    res = df.join(_bounded(c, "curve"), cond, "left").drop("_nk", *[f"_by_{b}" for b in by])
+    res = df.join(F.broadcast(c), cond, "left").drop("_nk", *[f"_by_{b}" for b in by])
     return res.withColumnRenamed("_ck", curve_key)
 
 
