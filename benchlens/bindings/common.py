@@ -114,7 +114,7 @@ def size_bucket_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep_sizes_sql() -> str:
-    vals = ", ".join(f"({sql_str(l)}, {dims._size_bytes(l)})" for l, _ in dims.SWEEP_SIZES)
+    vals = ", ".join(f"({sql_str(l)}, CAST({dims._size_bytes(l)} AS BIGINT))" for l, _ in dims.SWEEP_SIZES)
     return f"(VALUES {vals}) AS sw(block_size, size_bytes)"
 
 

@@ -23,7 +23,7 @@ def s7_file_inventory(spark, sf):
 
 
 @query("s7_inventory_totals", """
-SELECT count(*) AS n_files, sum(size) AS total_bytes FROM read_blob('/root/testdata/sf0.01/*')""")
+SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM read_blob('/root/testdata/sf0.01/*')""")
 def s7_inventory_totals(spark, sf):
     return FS.inventory_totals(FS.file_inventory(spark, sf))
 
@@ -116,7 +116,7 @@ def j4_size_class(spark, sf):
 
 
 def _read_curve_sql() -> str:
-    vals = ", ".join(f"({dims._size_bytes(l)}, {r}::DOUBLE)" for l, _, r in dims.BASELINE_SWEEP)
+    vals = ", ".join(f"(CAST({dims._size_bytes(l)} AS BIGINT), {r}::DOUBLE)" for l, _, r in dims.BASELINE_SWEEP)
     return f"(VALUES {vals}) AS cv(curve_bytes, read_mbs)"
 
 

@@ -104,7 +104,7 @@ def o2_size_order(spark, sf):
 
 def _registry_metrics_sql() -> str:
     rows = dims.REGISTRY + dims.REGISTRY_EXTENSIONS
-    vals = ", ".join(f"({C.sql_str(p)}, {C.sql_str(b)}, {j}, {C.sql_str(k)}, {C.sql_str(lbl)})"
+    vals = ", ".join(f"({C.sql_str(p)}, {C.sql_str(b)}, CAST({j} AS BIGINT), {C.sql_str(k)}, {C.sql_str(lbl)})"
                      for p, b, ms, _ in rows for j, (k, lbl, _) in enumerate(ms))
     return f"(VALUES {vals}) AS m(prefix, bench, metric_ord, metric_key, metric_label)"
 
