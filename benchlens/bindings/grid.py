@@ -124,7 +124,7 @@ def f17_verdict(spark, sf):
     """a share of peak put in its verdict band (range join on a band table)."""
     c = clusters(spark, sf).withColumn(
         "share", share_pct(F.abs("s_acctbal") / F.lit(100.0) + F.lit(1.0), F.lit(288.0)) * F.lit(2.0))
-    v = joins.size_class(c, "share", bands(spark), "verdict")
+    v = joins.verdict(c, "share", bands(spark))
     return v.select("s_suppkey", F.bround("share", 9).alias("share"), "verdict")
 
 

@@ -88,8 +88,8 @@ FROM ({GPUS_SQL}) g LEFT JOIN (VALUES {", ".join(f"({o}, {C.sql_str(p)}, {nb})"
 GROUP BY g.p_partkey""")
 def f18_block_size(spark, sf):
     """Linpack block size by device family (336 Hopper/Ampere, 512 Blackwell)."""
-    g = joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
-                                 dims.block_sizes(spark), "nb")
+    g = joins.accelerator_block_size(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
+                                     dims.block_sizes(spark))
     return g.select("p_partkey", "nb")
 
 

@@ -97,6 +97,16 @@ def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "cla
     return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
 
 
+def verdict(df: DataFrame, share_col: str, bands: DataFrame, out: str = "verdict") -> DataFrame:
+    """label of the band [lo, hi) a share falls in (bands: lo, hi, class)."""
+    return size_class(df, share_col, bands, out)
+
+
+def accelerator_block_size(df: DataFrame, name_col: str, table: DataFrame, out: str = "nb") -> DataFrame:
+    """Linpack block size by device family (first matching pattern; NULL if none)."""
+    return lookup_first_match(df, name_col, table, "nb", out=out)
+
+
 def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
                 curve_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """As-of lookup: the curve row with the largest key <= the row's key.

@@ -3,9 +3,10 @@
 from .documents import (extract_path, flatten_sweep, parse_config_text, parse_documents,
                         read_param_configs, read_results, split_valid)
 from .files import file_inventory, inventory_totals
-from .probes import probe_read, probe_roundtrip, roundtrip_rates
-from .synthetic import synthetic_observations
+from .probes import probe_read, probe_read_path, probe_roundtrip, roundtrip_rates
+from .synthetic import synthetic_batch, synthetic_observations
 
 __all__ = ["read_results", "parse_documents", "split_valid", "extract_path", "flatten_sweep",
            "parse_config_text", "read_param_configs", "file_inventory", "inventory_totals",
-           "probe_read", "probe_roundtrip", "roundtrip_rates", "synthetic_observations"]
+           "probe_read", "probe_read_path", "probe_roundtrip", "roundtrip_rates", "synthetic_observations",
+           "synthetic_batch"]

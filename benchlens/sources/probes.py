@@ -62,16 +62,29 @@ def probe_read(files: DataFrame, path_col: str = "path", tasks: int | None = Non
     return files.select(path_col).repartition(n, path_col).mapInPandas(run, PROBE_SCHEMA)
 
 
-def probe_roundtrip(spark: SparkSession, df: DataFrame, shards: int = 8, rounds: int = 3,
-                    out_dir: str | None = None) -> DataFrame:
+def probe_read_path(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """S10 on a folder: list it (S7) and read every file on an executor."""
+    from .files import file_inventory
+    return probe_read(file_inventory(spark, path, glob))
+
+
+def probe_roundtrip(spark: SparkSession, df: DataFrame | None = None, shards: int = 8, rounds: int = 3,
+                    out_dir: str | None = None, total_bytes: int | None = None) -> DataFrame:
     """``rounds`` x (save ``df`` as ``shards`` files, then load them back).
 
+    Without ``df``, ``total_bytes`` of 8-byte values are written (like a model
+    checkpoint of that size).
+
     One row per (round, phase, shard) with the bytes and the wall-clock start
     and end on the executor: A7 gives the barrier span, A6 the bytes, F4 the
     GB/s, A3/A4 the mean and cold/warm split.  Each file is counted once.
     """
     import pandas as pd
 
+    if df is None:
+        if not total_bytes:
+            raise ValueError("give a DataFrame or total_bytes")
+        df = spark.range(0, max(1, total_bytes // 8), numPartitions=shards).withColumnRenamed("id", "w")
     base = out_dir or shared_subdir(spark, "roundtrip")
     results = []
     for r in range(1, rounds + 1):

@@ -42,3 +42,8 @@ def synthetic_observations(df: DataFrame, id_col: str, seed: int = 0, image_px:
         F.array_repeat(F.lit(0).cast("bigint"), PROMPT_LEN).alias("tokenized_prompt"),
         F.array_repeat(F.lit(True), PROMPT_LEN).alias("tokenized_prompt_mask"),
         F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), ACTION_DIM), ACTION_HORIZON).alias("actions"))
+
+
+def synthetic_batch(spark, n: int, seed: int = 0, image_px: int = 256, partitions: int | None = None) -> DataFrame:
+    """S9 for a plain count of rows (ids 0..n-1), e.g. one training batch."""
+    return synthetic_observations(spark.range(0, n, numPartitions=partitions), "id", seed, image_px)
