@@ -123,15 +123,18 @@ def a15_series(spark, sf):
 
 
 @query("a17_per_device", """
-SELECT l_returnflag, l_linestatus, round_even(sum(l_extendedprice), 4) AS total, count(*) AS devices,
-       round_even(sum(l_extendedprice) / count(*), 6) AS per_device
+SELECT l_returnflag, l_linestatus, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100 AS total,
+       count(*) AS devices,
+       round_even(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100 / count(*), 6) AS per_device
 FROM lineitem GROUP BY ALL""")
 def a17_per_device(spark, sf):
-    """Group total and the same per line (each line one device)."""
-    li = C.table(spark, sf, "lineitem").withColumn("one", F.lit(1))
-    out = agg.per_device(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", "one")
-    return out.select("l_returnflag", "l_linestatus", F.bround("total", 4).alias("total"),
-                      F.col("devices").cast("bigint").alias("devices"), F.bround("per_device", 6).alias("per_device"))
+    """Group total (exact, in hundredths) and the same per line (each line one device)."""
+    li = C.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus",
+                                               C.cents("l_extendedprice").alias("cents"), F.lit(1).alias("one"))
+    out = agg.per_device(li, ["l_returnflag", "l_linestatus"], "cents", "one")
+    return out.select("l_returnflag", "l_linestatus", (F.col("total") / 100).alias("total"),
+                      F.col("devices").cast("bigint").alias("devices"),
+                      F.bround(F.col("total") / 100 / F.col("devices"), 6).alias("per_device"))
 
 
 @query("u1_summary_union", """
