@@ -115,14 +115,14 @@ CONFIG_SQL = """
 SELECT vec_id,
        'config for vector ' || CAST(vec_id AS VARCHAR) || chr(10) ||
        array_to_string(list_transform(generate_series(0, 7), lambda b:
-           array_to_string(list_transform(embedding[b * 8 + 1: b * 8 + 8], lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ' ')
+           array_to_string(list_transform(embedding[b * 8 + 1: b * 8 + 8], lambda x: CAST(CAST(round(x::DOUBLE * 1000) AS BIGINT) AS VARCHAR)), ' ')
            || '    block ' || CAST(b AS VARCHAR) || ' (8 values x 1000)'), chr(10)) AS text
 FROM embeddings"""
 
 
 def config_texts(spark, sf):
     e = C.table(spark, sf, "embeddings")
-    ints = F.transform("embedding", lambda x: F.round(x * 1000).cast("bigint").cast("string"))
+    ints = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string"))
     lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.concat(
         F.array_join(F.slice(ints, b * 8 + 1, 8), " "), F.lit("    block "), b.cast("string"),
         F.lit(" (8 values x 1000)")))
