@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 MAX_DIM_ROWS = 10_000  # proven bound checked before broadcasting a passed-in table
 
 
+def _is_small(dim: DataFrame, limit: int = MAX_DIM_ROWS) -> bool:
+    """True when the table has at most ``limit`` rows (free for ``dims.literal`` tables)."""
+    local = getattr(dim, "_local_rows", None)
+    return (len(local) if local is not None else dim.limit(limit + 1).count()) <= limit
+
+
 def _bounded(dim: DataFrame, what: str) -> DataFrame:
     """Check a dimension is small before it is broadcast.
 
@@ -80,21 +86,30 @@ def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFram
 
     ``spec`` has (metric, peak, other_peak).
     """
-    _bounded(spec, "spec")
     s = spec.select(F.col("metric").alias(metric_col), "peak", "other_peak")
-    x = df.join(F.broadcast(s), metric_col, "left")
+    # an equi-join: broadcast a small spec, otherwise let AQE plan a shuffle join
+    x = df.join(F.broadcast(s) if _is_small(spec) else s, metric_col, "left")
     m = F.col(measured_col).cast("double")
     return (x.withColumn("pct_of_peak", m / F.col("peak") * F.lit(100.0))
              .withColumn("vs_other", m / F.nullif(F.col("other_peak"), F.lit(0.0))))
 
 
-def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class") -> DataFrame:
-    """Layout class of a size from non-overlapping [lo, hi) ranges (hi NULL = open)."""
-    _bounded(classes, "size classes")
+def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class",
+               broadcast_limit: int = MAX_DIM_ROWS) -> DataFrame:
+    """Layout class of a size from non-overlapping [lo, hi) ranges (hi NULL = open).
+
+    A small range table is broadcast (each row meets every range, at most one
+    matches).  A large one is handled as an as-of join on ``lo`` (the range
+    with the largest lo <= size), then the row is kept only if size < hi.
+    """
     c = classes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("class").alias(out))
     s = F.col(size_col)
-    cond = (s >= F.col("_lo")) & (F.col("_hi").isNull() | (s < F.col("_hi")))
-    return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
+    if _is_small(classes, broadcast_limit):
+        cond = (s >= F.col("_lo")) & (F.col("_hi").isNull() | (s < F.col("_hi")))
+        return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
+    x = asof_join_large(df, size_col, c, "_lo", ["_hi", out])
+    inside = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (s < F.col("_hi")))
+    return x.withColumn(out, F.when(inside, F.col(out))).drop("_lo", "_hi")
 
 
 def verdict(df: DataFrame, share_col: str, bands: DataFrame, out: str = "verdict") -> DataFrame:
@@ -107,16 +122,61 @@ def accelerator_block_size(df: DataFrame, name_col: str, table: DataFrame, out:
     return lookup_first_match(df, name_col, table, "nb", out=out)
 
 
+def asof_join_large(df: DataFrame, key_col: str, right: DataFrame, right_key: str,
+                    right_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """As-of join for two large sides: each row of ``df`` gets the ``right`` row
+    with the largest ``right_key`` <= ``key_col`` (same ``by`` values), or NULLs.
+
+    Both sides are unioned and range-partitioned on (by, key), so no group is
+    gathered into one task.  Within a task a running ``last(ignorenulls)``
+    carries the latest right row forward; rows at the start of a task take the
+    carry from earlier tasks, found on a small per-task table.  For equal keys
+    the right row sorts first (as-of uses <=).
+    """
+    by = list(by)
+    left_cols = df.columns
+    l = df.select(*[F.col(b) for b in by], F.col(key_col).alias("_k"), F.lit(1).alias("_side"),
+                  F.struct(*[F.col(c) for c in left_cols]).alias("_row"),
+                  F.lit(None).cast(right.select(F.struct(right_key, *right_cols)).schema[0].dataType).alias("_cur"))
+    r = right.select(*[F.col(b) for b in by], F.col(right_key).alias("_k"), F.lit(0).alias("_side"),
+                     F.lit(None).cast(l.schema["_row"].dataType).alias("_row"),
+                     F.struct(right_key, *right_cols).alias("_cur"))
+    order = [*by, "_k", "_side"]
+    u = l.unionByName(r).repartitionByRange(*order).sortWithinPartitions(*order) \
+         .withColumn("_pid", F.spark_partition_id())
+    w = (Window.partitionBy("_pid", *by).orderBy("_k", "_side")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("_run", F.last("_cur", ignorenulls=True).over(w))
+    # Small table, one row per (task, group): a marker where left rows are, and
+    # the task's last right row.  The carry of a marker is the last right row
+    # of any earlier task (markers sort before the same task's right row).
+    cur_t = u.schema["_cur"].dataType
+    lasts = (u.where(F.col("_side") == 0).groupBy("_pid", *by)
+              .agg(F.max(F.struct("_k", "_cur")).alias("_m"))
+              .select("_pid", *by, F.lit(1).alias("_o"), F.col("_m._cur").alias("_last")))
+    markers = (u.where(F.col("_side") == 1).select("_pid", *by).distinct()
+                .select("_pid", *by, F.lit(0).alias("_o"), F.lit(None).cast(cur_t).alias("_last")))
+    wc = Window.partitionBy(*by).orderBy("_pid", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (markers.unionByName(lasts).withColumn("_carry", F.last("_last", ignorenulls=True).over(wc))
+             .where(F.col("_o") == 0).select("_pid", *by, "_carry"))
+    res = u.where(F.col("_side") == 1).join(carry, ["_pid", *by], "left")
+    cur = F.coalesce("_run", "_carry")
+    return res.select("_row.*", *[cur[c].alias(c) for c in [right_key, *right_cols]])
+
+
 def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
-                curve_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+                curve_cols: Sequence[str], by: Sequence[str] = (),
+                broadcast_limit: int = MAX_DIM_ROWS) -> DataFrame:
     """As-of lookup: the curve row with the largest key <= the row's key.
 
-    The curve is a small table: each point gets the key of the next point, so
-    a point covers [key, next) and the lookup is a broadcast range join with
-    at most one match per row.  Rows below the first point get NULLs.
+    A small curve: each point gets the key of the next point, so a point
+    covers [key, next) and the lookup is a broadcast range join with at most
+    one match per row.  A large curve goes through ``asof_join_large``.
+    Rows below the first point get NULLs.
     """
     by = list(by)
-    _bounded(curve, "curve")
+    if not _is_small(curve, broadcast_limit):
+        return asof_join_large(df, key_col, curve, curve_key, curve_cols, by)
     w = Window.partitionBy(*by).orderBy(curve_key)
     c = curve.select(*by, F.col(curve_key).alias("_ck"), *curve_cols,
                      F.lead(curve_key).over(w).alias("_nk"))
