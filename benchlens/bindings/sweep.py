@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import dims
 from ..functions import gb_per_s, mb_per_s, round_half_even
 from ..operators import agg, windows
 from . import common as C

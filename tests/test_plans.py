@@ -7,7 +7,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from benchlens import dims
 from benchlens.plans import report as R
 from benchlens.plans import runs, sweep
 
