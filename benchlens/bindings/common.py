@@ -13,17 +13,28 @@ STEM_PREFIXES = ["hpl_", "nccl_", "mlperf_", "lerobot_", "pi05_1n8g_", "pi05_2n1
                  "pi05_ckpt_1n_", "storage_sweep_", "stream_"]
 
 
+_HANDLES: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str, balanced: bool = False) -> DataFrame:
     """Scan one driver table.
 
+    Table handles are resolved once per application (file listing and footer
+    schema), like catalog tables; every query still reads the data itself.
     ``balanced=True`` spreads an unsplittable file over the cores; used only
     where the work before the first shuffle is heavy (sorts, wide arrays).
     """
     path = f"{sf.rstrip('/')}/{name}.parquet"
-    if balanced:
-        from ..sources.tables import read_parquet_balanced
-        return read_parquet_balanced(spark, path)
-    return spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, path, balanced)
+    df = _HANDLES.get(key)
+    if df is None:
+        if balanced:
+            from ..sources.tables import read_parquet_balanced
+            df = read_parquet_balanced(spark, path)
+        else:
+            df = spark.read.parquet(path)
+        _HANDLES[key] = df
+    return df
 
 
 def cents(c) -> "F.Column":
