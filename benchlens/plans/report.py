@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, sinks
 from ..functions import task_label
 from ..operators import agg, joins, windows
 from ..sources import documents as D
@@ -120,3 +120,13 @@ def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
         raise ValueError("No recognised JSON result files found.")
 
     return Report(valid, rejected.select("file", "bench"), unknown, scalars, params, comparison, lines, tasks)
+
+
+def write_report(rep: Report, path: str) -> None:
+    """K1-K3: points and comparison tables partitioned by benchmark, text lines
+    and tasks as JSON records, all written by executors under ``path``."""
+    sinks.write_scalars(rep.scalars, f"{path}/scalars")
+    sinks.write_summary(rep.comparison, f"{path}/comparison")
+    sinks.write_summary(rep.params, f"{path}/params")
+    sinks.write_results(rep.lines, f"{path}/lines")
+    sinks.write_results(rep.tasks, f"{path}/tasks")

@@ -55,6 +55,15 @@ def test_report(spark, results):
     assert [t.bench for t in sorted(tasks.values(), key=lambda t: t.ord)][0] == "π₀.₅ Training (1 node × 8 GPU)"
 
 
+def test_write_report(spark, results, tmp_path):
+    rep = R.report(spark, results, cluster="c1", at=dt.datetime(2026, 6, 24, 12, 0))
+    out = str(tmp_path / "out")
+    R.write_report(rep, out)
+    back = spark.read.parquet(f"{out}/scalars").where("bench = 'π₀.₅ Checkpoint'")
+    assert {r.title for r in back.collect()} == {"Save GB/s", "Load GB/s", "Checkpoint Size GB"}
+    assert spark.read.json(f"{out}/tasks").count() == 3
+
+
 def test_report_empty_is_error(spark, tmp_path):
     (tmp_path / "x_1.json").write_text("{}")
     with pytest.raises(ValueError):
