@@ -12,12 +12,9 @@ keep every task bounded:
   answer is then read from a running count over the few candidates left.
   Groups with at most ``small_group`` rows skip the bracket.
 * ``row_positions`` numbers rows within a group by a unique order, like
-  ``row_number()``, but range-partitions on (group, order) so a hot group is
-  split over many tasks; per-partition counts (one row per task and group)
-  give each task its offset.  The range bounds are fixed once per shuffle
-  (retried map tasks reuse them) and both uses of the partitioned rows read
-  the same exchange, so positions survive task retries; the order must be
-  unique within a group.
+  ``row_number()``, but buckets rows by sampled cut points of (group, order)
+  so a hot group is split over many tasks; each bucket's first group takes
+  an offset from a table of at most one row per bucket.
 """
 
 from __future__ import annotations
@@ -31,6 +28,7 @@ from ..session import ensure_checkpoint_dir
 
 SMALL_GROUP = 1_000_000
 ACCURACY = 10_000
+BROADCAST_GROUPS = 200_000  # stats rows (keys, n, two doubles) broadcast below this count
 
 
 def kth_values(df: DataFrame, keys: Sequence[str], value: str,
@@ -66,9 +64,13 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
     # shared folder fixes it once.
     ensure_checkpoint_dir(df.sparkSession)
     stats = stats.checkpoint(eager=True)
+    # The checkpoint carries no size statistics, so the planner cannot size it;
+    # its row count is cheap now (it is materialized) and proves the bound.
+    small = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    stats_side = F.broadcast(stats) if small else stats
 
     # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
-    j = base.join(stats, keys)
+    j = base.join(stats_side, keys)
     inside = F.col("_lo").isNull() | F.col("_v").between(F.col("_lo"), F.col("_hi"))
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     cand = (j.where(inside | below)
@@ -103,24 +105,84 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, p: float,
     return out.select(*keys, "n", (F.col("_x0") + frac * (F.col("_x1") - F.col("_x0"))).alias(name))
 
 
+def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int) -> list:
+    """Up to ``buckets - 1`` sorted cut points of the composite key (driver side,
+    bounded by ``buckets``): a sample of about 100 keys per bucket (at most a
+    million keys), sorted, cut evenly; bucket sizes then vary by about 10 %."""
+    n = df.count()
+    if n == 0 or buckets <= 1:
+        return []
+    frac = min(1.0, min(100.0 * buckets, 1_000_000.0) / n)
+    # the sample is bounded (<= ~1M keys): sort it in one task rather than with
+    # a global sort, whose range sampling would scan the whole input again
+    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k")).sample(False, frac, seed)
+                .coalesce(1).sortWithinPartitions("k").collect())
+    keys = [r["k"] for r in sample]
+    if len(keys) < 2:
+        return []
+    step = len(keys) / buckets
+    cuts = []
+    for i in range(1, buckets):
+        k = keys[min(len(keys) - 1, int(i * step))]
+        if not cuts or k != cuts[-1]:
+            cuts.append(k)
+    return cuts
+
+
+def _bucket_of(x: DataFrame, cols: Sequence[str], cuts: list, name: str) -> DataFrame:
+    """Number of cut points <= the row's key, by binary search over a literal array."""
+    if not cuts:
+        return x.withColumn(name, F.lit(0))
+    types = {f.name: f.dataType for f in x.schema.fields}
+    arr = F.array(*[F.struct(*[F.lit(c[i]).cast(types[col]).alias(col) for i, col in enumerate(cols)])
+                    for c in cuts])
+    key = F.struct(*[F.col(c) for c in cols])
+    x = x.withColumn(name, F.lit(0))
+    step = 1 << (len(cuts).bit_length() - 1)
+    while step >= 1:
+        cand = F.col(name) + F.lit(step)
+        x = x.withColumn(name, F.when((cand <= len(cuts)) & (F.element_at(arr, cand) <= key), cand)
+                         .otherwise(F.col(name)))
+        step //= 2
+    return x
+
+
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                  name: str = "pos", num_partitions: int | None = None, seed: int = 17) -> DataFrame:
     """1-based position of each row within its group by a *unique* order.
 
     Same result as ``row_number().over(partitionBy(keys).orderBy(order))`` but
-    no group is ever gathered into one task.
+    no group is ever gathered into one task:
+
+    * cut points of the (keys, order) key are sampled once and kept as a
+      literal; each row's bucket is a pure function of the row, so the plan is
+      deterministic under task retries and whatever the input order;
+    * one shuffle on the bucket id; ``row_number`` over (bucket, keys) needs no
+      further exchange (partitioning on the bucket already clusters it);
+    * only the first group of a bucket can have rows in earlier buckets, so the
+      non-zero offsets are at most one row per bucket: a broadcast whose bound
+      is known before any job runs.
     """
     keys, order = list(keys), list(order)
     cols = keys + order
-    parts = [num_partitions] if num_partitions else []
-    s = (df.repartitionByRange(*parts, *cols).sortWithinPartitions(*cols)
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_li", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    per_task = s.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count("*").alias("_c"))
-    w = (Window.partitionBy(*keys).orderBy("_pid")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offs = per_task.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    res = s.join(offs.drop("_c"), ["_pid", *keys])
-    res = res.withColumn(name, (F.col("_li") - F.col("_first") + F.col("_off") + 1).cast("bigint"))
-    return res.drop("_mid", "_pid", "_li", "_first", "_off")
+    spark = df.sparkSession
+    buckets = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _bucket_bounds(df, cols, buckets, seed)
+    b = _bucket_of(df, cols, cuts, "_bk")
+    # range on the bucket id puts about one bucket per task (hashing the ids
+    # would stack several on one task); each bucket lands whole in one task,
+    # which is all the positions rely on
+    # with twice as many partitions as distinct bucket ids, range bounds can
+    # give every bucket its own task (spare ones stay empty and AQE drops them)
+    x = b.repartitionByRange(2 * (len(cuts) + 1), "_bk")
+    w = Window.partitionBy("_bk", *keys).orderBy(*order)
+    x = x.withColumn("_local", F.row_number().over(w))
+    # bucket ids are a pure function of the row: count before the shuffle so
+    # partial aggregation sends one row per task and (bucket, group)
+    counts = b.groupBy("_bk", *keys).agg(F.count("*").alias("_c"))
+    wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.sum("_c").over(wo)).where(F.col("_off") > 0).drop("_c")
+    # at most one row per bucket (len(cuts) + 1 rows): proven small
+    res = x.join(F.broadcast(offs), ["_bk", *keys], "left")
+    res = res.withColumn(name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
+    return res.drop("_bk", "_local", "_off")

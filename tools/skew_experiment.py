@@ -49,7 +49,10 @@ def main() -> None:
     log_dir = tempfile.mkdtemp(prefix="benchlens-evlog-")
     spark = local_session(8, 32, app="skew", extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                                                           "spark.eventLog.buffer.kb": "1k",
-                                                          "spark.eventLog.compress": "false"})
+                                                          "spark.eventLog.compress": "false",
+                                                          # small advisory size: AQE would otherwise merge the
+                                                          # few-MB partitions of this small input into one task
+                                                          "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m"})
     e = spark.read.parquet(f"{sf}/events.parquet")
     big = (e.select("event_id", "user_id", "event_type", "value", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep"))
             .select((F.col("event_id") * times + F.col("rep")).alias("oid"),
@@ -85,7 +88,7 @@ def main() -> None:
     b = run("median: window over raw rows", naive)
     assert {r.k: r.m for r in a} == {r.k: r.m for r in b}
 
-    pos = ranking.row_positions(big, ["k"], ["oid"], "pos", num_partitions=32)
+    pos = ranking.row_positions(big, ["k"], ["oid"], "pos")
     c = run("positions: range-partitioned", pos.groupBy("k").agg(F.max("pos").alias("mx"), F.sum("pos").alias("s")))
     naive_pos = big.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("oid")))
     d = run("positions: row_number window", naive_pos.groupBy("k").agg(F.max("pos").alias("mx"), F.sum("pos").alias("s")))
