@@ -24,13 +24,22 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_subdir
 
 SMALL_GROUP = 1_000_000
 ACCURACY = 10_000
 BROADCAST_GROUPS = 200_000  # stats rows (keys, n, two doubles) broadcast below this count
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` once as a table in the shared checkpoint folder
+    and read it back.  Unlike ``checkpoint()``, whose write recomputes the plan
+    unless it is cached, the rows are computed once."""
+    path = shared_subdir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def kth_values(df: DataFrame, keys: Sequence[str], value: str,
                ranks: dict[str, Callable[[Column], Column]], q: float,
                accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
@@ -50,24 +59,33 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
     qlo, qhi = max(0.0, q - margin), min(1.0, q + margin)
     base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
-    stats = base.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"),
-        *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
-    stats = stats.select(
-        *keys, "n", *extra,
-        F.when(F.col("n") > small_group, F.col("_b")[0]).alias("_lo"),
-        F.when(F.col("n") > small_group, F.col("_b")[1]).alias("_hi"))
-    # The sketch merge order is not deterministic: if part of this stage were
-    # recomputed after an executor loss, tasks could see different brackets for
-    # one group.  The table is one row per group; a reliable checkpoint in the
-    # shared folder fixes it once.
-    ensure_checkpoint_dir(df.sparkSession)
-    stats = stats.checkpoint(eager=True)
-    # The checkpoint carries no size statistics, so the planner cannot size it;
-    # its row count is cheap now (it is materialized) and proves the bound.
-    small = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    stats_side = F.broadcast(stats) if small else stats
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # Pass 1: group sizes (and the extra aggregates), written once to the
+    # shared checkpoint folder so the checks below read one row per group.
+    counts = base.groupBy(*keys).agg(F.count("*").alias("n"),
+                                     *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
+    counts = materialize(counts, "kth-counts")
+    # one small job over the written table: how many groups, how many large
+    sizes = counts.agg(F.count("*").alias("groups"),
+                       F.count(F.when(F.col("n") > small_group, 1)).alias("large")).first()
+    if sizes["large"] == 0:
+        # every group is small: all its rows are candidates, no bracket needed
+        stats = counts.select("*", F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+    else:
+        # Sketches only for the large groups (at most rows / small_group of them).
+        # Their merge order is not deterministic: if part of the stage were
+        # recomputed after an executor loss, tasks could see different brackets
+        # for one group, so they are written once too.
+        big = counts.where(F.col("n") > small_group).select(*keys)
+        few = sizes["large"] <= BROADCAST_GROUPS
+        sk = (base.join(F.broadcast(big) if few else big, keys).groupBy(*keys)
+                  .agg(F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"))
+                  .select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
+        sk = materialize(sk, "kth-brackets")
+        stats = counts.join(F.broadcast(sk) if few else sk, keys, "left")
+    # the counted number of groups proves the broadcast bound
+    stats_side = F.broadcast(stats) if sizes["groups"] <= BROADCAST_GROUPS else stats
 
     # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
     j = base.join(stats_side, keys)
