@@ -124,3 +124,135 @@ def s4_registry_explode(spark, sf):
               .groupBy("prefix").agg(F.count("*").alias("n_files")))
     return (long.join(counts, "prefix", "left")
             .withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("bigint")))
+
+
+# --- events as result documents for the whole report -----------
+# Every document carries all registry metric keys, valued event value + offset;
+# MFU is null (as shipped) and peak memory is written under the producer's
+# alias key.  (key in the document, offset or None for a JSON null)
+DOC_KEYS = [("tflops", 0), ("busbw_gb_s", 1), ("algbw_gb_s", 2), ("samples_per_sec", 3),
+            ("throughput_mb_s", 4), ("avg_latency_ms", 5), ("p99_latency_ms", 6), ("steps_per_sec", 7),
+            ("peak_mem_gb", 8), ("mfu_pct", None), ("save_gb_s", 9), ("load_gb_s", 10),
+            ("checkpoint_size_gb", 11), ("read_bw_median_mbs", 12), ("write_bw_median_mbs", 13)]
+
+
+# Parameters: 'workers' is present as null, 'model' is absent, 'gpu' and
+# 'batch_size_per_gpu' are the producer's alias keys.  (key, Spark expr, SQL expr, is text)
+DOC_PARAMS = [
+    ("nodes", F.col("user_id") % 4 + 1, "user_id % 4 + 1", False),
+    ("msg_size_bytes", F.col("event_id") * 1024, "event_id * 1024", False),
+    ("num_accelerators", F.lit(8), "8", False),
+    ("batch_size", F.lit(32), "32", False),
+    ("workers", F.lit(None).cast("int"), None, False),
+    ("world_size", F.col("user_id") % 16 + 1, "user_id % 16 + 1", False),
+    ("batch_size_per_gpu", F.lit(32), "32", False),
+    ("global_batch_size", (F.col("user_id") % 16 + 1) * 32, "(user_id % 16 + 1) * 32", False),
+    ("gpu", F.concat(F.lit("NVIDIA B300 #"), (F.col("user_id") % 3).cast("string")),
+     "'NVIDIA B300 #' || CAST(user_id % 3 AS VARCHAR)", True),
+    ("passes", F.lit(3), "3", False),
+]
+
+
+def event_documents(spark, sf):
+    e = C.table(spark, sf, "events")
+    pre = F.array(*[F.lit(p) for p in C.STEM_PREFIXES])
+    stem = F.concat(F.element_at(pre, (F.col("event_id") % len(C.STEM_PREFIXES) + 1).cast("int")),
+                    F.col("event_id").cast("string"))
+    doc = F.struct(*[(F.col("value") + F.lit(float(o))).alias(k) if o is not None
+                     else F.lit(None).cast("double").alias(k) for k, o in DOC_KEYS],
+                   *[x.alias(k) for k, x, _, _ in DOC_PARAMS])
+    return e.select(F.concat(stem, F.lit(".json")).alias("file"), stem.alias("stem"),
+                    F.to_json(doc, {"ignoreNullFields": "false"}).alias("raw"))
+
+
+def _declared_sql() -> str:
+    offsets = dict(DOC_KEYS)
+    rows = []
+    for p, b, ms, _ in dims.REGISTRY + dims.REGISTRY_EXTENSIONS:
+        for i, (k, lbl, aliases) in enumerate(ms):
+            src = next((x for x in [k, *aliases] if x in offsets), None)
+            off = offsets.get(src) if src else None
+            rows.append(f"({C.sql_str(b)}, {i}, {C.sql_str(lbl)}, "
+                        f"{'NULL' if off is None else str(float(off)) + '::DOUBLE'})")
+    return f"(VALUES {', '.join(rows)}) AS m(bench, ord, title, off)"
+
+
+def _params_sql() -> str:
+    """(bench, param, JSON text of the value or NULL, is_null) for declared params present in the docs."""
+    have = {k: (sql, text) for k, _, sql, text in DOC_PARAMS}
+    rows = []
+    for p, b, _, params in dims.REGISTRY + dims.REGISTRY_EXTENSIONS:
+        for k, aliases in params:
+            src = next((x for x in [k, *aliases] if x in have), None)
+            if src is None:
+                continue  # absent key: no row
+            sql, text = have[src]
+            if sql is None:
+                val, isnull = "NULL", "true"
+            elif text:
+                val, isnull = f"'\"' || {sql} || '\"'", "false"
+            else:
+                val, isnull = f"CAST({sql} AS VARCHAR)", "false"
+            rows.append((b, k, val, isnull))
+    return rows
+
+
+def _classified_events_sql() -> str:
+    return f"""
+WITH f AS (
+  SELECT {C.sql_list(C.STEM_PREFIXES)}[event_id % {len(C.STEM_PREFIXES)} + 1] || CAST(event_id AS VARCHAR) AS stem,
+         value, user_id, event_id
+  FROM events)
+SELECT f.stem || '.json' AS file, f.value, f.user_id, f.event_id, reg.bench
+FROM f JOIN {C.registry_sql()} ON reg.prefix = NULLIF(regexp_extract(f.stem, '{C.prefix_regex()}', 1), '')"""
+
+
+def _report_params_sql() -> str:
+    parts = []
+    for b, k, val, isnull in _params_sql():
+        parts.append(f"SELECT {C.sql_str(b)} AS bench, {C.sql_str(k)} AS param, {val} AS value, {isnull} AS is_null "
+                     f"FROM first WHERE bench = {C.sql_str(b)}")
+    return f"""
+WITH c AS ({_classified_events_sql()}),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY file) AS rn FROM c) WHERE rn = 1)
+{" UNION ALL ".join(parts)}"""
+
+
+@query("report_params", _report_params_sql())
+def report_params(spark, sf):
+    """SURVEY 3.1: parameters of each benchmark's first file, captured by key
+    presence (present-null kept, absent not), aliases filling canonical keys."""
+    from ..plans.report import report_documents
+    return report_documents(spark, event_documents(spark, sf), cluster="driver").params
+
+
+@query("report_lines", f"""
+WITH c AS ({_classified_events_sql()})
+SELECT c.bench, c.file, string_agg(m.title || ': ' || CAST(c.value + m.off AS VARCHAR), '  ' ORDER BY m.ord) AS text
+FROM c JOIN {_declared_sql()} ON c.bench = m.bench
+WHERE m.off IS NOT NULL
+GROUP BY c.bench, c.file""")
+def report_lines(spark, sf):
+    """SURVEY 3.1: one line of 'label: value' per file, NULL metrics left out."""
+    from ..plans.report import report_documents
+    return report_documents(spark, event_documents(spark, sf), cluster="driver").lines
+
+
+@query("report_scalars", f"""
+WITH f AS (
+  SELECT {C.sql_list(C.STEM_PREFIXES)}[event_id % {len(C.STEM_PREFIXES)} + 1] || CAST(event_id AS VARCHAR) AS stem, value
+  FROM events),
+c AS (
+  SELECT f.stem || '.json' AS file, f.value, reg.bench,
+         row_number() OVER (PARTITION BY reg.bench ORDER BY f.stem || '.json') - 1 AS iteration
+  FROM f JOIN {C.registry_sql()} ON reg.prefix = NULLIF(regexp_extract(f.stem, '{C.prefix_regex()}', 1), ''))
+SELECT c.bench, m.title, c.file AS series, c.value + m.off AS value, c.iteration
+FROM c JOIN {_declared_sql()} ON c.bench = m.bench
+WHERE m.off IS NOT NULL""")
+def report_scalars(spark, sf):
+    """SURVEY 3.1 end to end: events written as result documents, classified,
+    validated, projected (alias fills the canonical key), unpivoted with NULL
+    metrics dropped, and numbered per benchmark by file name."""
+    from ..plans.report import report_documents
+    rep = report_documents(spark, event_documents(spark, sf), cluster="driver")
+    return rep.scalars

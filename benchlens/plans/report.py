@@ -10,7 +10,7 @@ exploded registry.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +21,99 @@ from ..operators import agg, joins, windows
 from ..sources import documents as D
 
 
-@dataclass
 class Report:
-    documents: DataFrame   # file, stem, prefix, bench, doc (valid, known files)
-    rejected: DataFrame    # known files whose JSON did not parse to an object
-    unknown: DataFrame     # files whose name matches no registry prefix
-    scalars: DataFrame     # bench, title, series (file), value, iteration
-    params: DataFrame      # bench, param, value (JSON text), is_null  (first file only)
-    comparison: DataFrame  # bench, file, key, display  (benchmarks with > 1 file)
-    lines: DataFrame       # bench, file, text
-    tasks: DataFrame       # bench, n_files, first_file, ord, task_name
+    """The report's tables, each built on first use (so asking for one table
+    does not run the jobs another one needs).
+
+    documents   file, stem, prefix, bench, doc (valid, known files)
+    rejected    known files whose JSON did not parse to an object
+    unknown     files whose name matches no registry prefix
+    scalars     bench, title, series (file), value, iteration
+    params      bench, param, value (JSON text), is_null (first file only)
+    comparison  bench, file, ord, key, display (benchmarks with > 1 file)
+    lines       bench, file, text
+    tasks       bench, n_files, first_file, ord, task_name
+    """
+
+    def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at):
+        self._spark, self._cluster, self._at = spark, cluster, at
+        self._reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
+        self._reg = dims.registry(spark, extensions)
+        c = joins.classify(files, "stem", self._reg, "left")
+        self.unknown = c.where(F.col("bench").isNull()).select("file", "stem")
+        parsed = D.parse_documents(c.where(F.col("bench").isNotNull()))
+        valid, rejected = D.split_valid(parsed)
+        self.documents = valid.select("file", "stem", "prefix", "bench", "doc")
+        self.rejected = rejected.select("file", "bench")
+
+    @cached_property
+    def _points(self) -> DataFrame:
+        """P1 + P2 + P3: declared, non-NULL metric points (alias fills a missing canonical key)."""
+        valid, reg = self.documents, self._reg
+        mkeys = _registry_keys(self._reg_rows, 2)
+        wide = valid.select("bench", "file", *[D.extract_path("doc", f"$.{k}", "double").alias(f"m__{k}")
+                                               for k in mkeys])
+        long = wide.unpivot(["bench", "file"], [f"m__{k}" for k in mkeys], "_k", "_v") \
+                   .withColumn("_k", F.regexp_replace("_k", "^m__", ""))
+        decl = _keys(reg, "metrics").select(
+            "bench", "ord", "key", "label",
+            F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
+        pts = long.join(F.broadcast(decl), ["bench", "_k"]).where(F.col("_v").isNotNull())
+        return pts.groupBy("bench", "file", "ord", "label").agg(F.min_by("_v", "_pref").alias("value"))
+
+    @cached_property
+    def scalars(self) -> DataFrame:
+        """Points numbered per benchmark by file name (0-based iteration)."""
+        it = windows.with_iteration(self.documents.select("bench", "file"), ["bench"], "file")
+        return self._points.join(it, ["bench", "file"]).select(
+            "bench", F.col("label").alias("title"), F.col("file").alias("series"), "value", "iteration")
+
+    @cached_property
+    def params(self) -> DataFrame:
+        """A13 + P5: parameters of the first file of each benchmark, by key presence."""
+        valid = self.documents
+        first = valid.groupBy("bench").agg(F.min("file").alias("file"))
+        first_docs = valid.join(first, ["bench", "file"], "left_semi")
+        pkeys = _registry_keys(self._reg_rows, 3)
+        pw = first_docs.select("bench", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("_k"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in pkeys]))
+            .alias("e")).select("bench", "e._k", "e._v").where(F.col("_v").isNotNull())
+        pdecl = _keys(self._reg, "params").select(
+            "bench", F.col("key").alias("param"), F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
+        return pw.join(F.broadcast(pdecl), ["bench", "_k"]).groupBy("bench", "param").agg(
+            F.min_by(F.struct(F.when(~F.is_variant_null("_v"), F.to_json("_v")).alias("value"),
+                              F.is_variant_null("_v").alias("is_null")), "_pref").alias("p")
+        ).select("bench", "param", "p.value", "p.is_null")
+
+    @cached_property
+    def comparison(self) -> DataFrame:
+        """A12 + P6: comparison cells for benchmarks with more than one file ('—' when absent)."""
+        valid = self.documents
+        mkeys = _registry_keys(self._reg_rows, 2)
+        multi = agg.comparison(valid.select("bench", "file"), ["bench"])
+        cells = multi.join(F.broadcast(_keys(self._reg, "metrics").select("bench", "ord", "key")), "bench")
+        present = valid.select("bench", "file", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("key"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in mkeys]))
+            .alias("e")).select("bench", "file", "e.key", "e._v")
+        return cells.join(present, ["bench", "file", "key"], "left").select(
+            "bench", "file", "ord", "key",
+            F.when(F.col("_v").isNull(), F.lit("—")).when(F.is_variant_null("_v"), F.lit("None"))
+             .otherwise(F.to_json("_v")).alias("display"))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """one line of text per file, metrics in declared order."""
+        pieces = self._points.select("bench", "file", "ord",
+                                     F.concat("label", F.lit(": "), F.col("value").cast("string")).alias("t"))
+        return (pieces.groupBy("bench", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("a"))
+                      .select("bench", "file", F.array_join(F.transform("a", lambda x: x["t"]), "  ").alias("text")))
+
+    @cached_property
+    def tasks(self) -> DataFrame:
+        """A5 + F13: one task per benchmark, ordered by first file."""
+        ts = F.lit(self._at).cast("timestamp") if self._at is not None else F.current_timestamp()
+        return agg.group_results(self.documents.select("bench", "file"), "bench", "file").withColumn(
+            "task_name", task_label("bench", F.lit(self._cluster), ts))
 
 
 def _keys(reg: DataFrame, field: str) -> DataFrame:
@@ -55,71 +138,22 @@ def _registry_keys(registry_rows, field: int) -> list[str]:
 def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
            recursive: bool = False, extensions: bool = True, at=None,
            require_results: bool = True) -> Report:
-    """Build every report table lazily.  ``require_results`` refuses an empty
-    result set up front (A16), with a one-row probe rather than a count."""
-    reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
-    reg = dims.registry(spark, extensions)
+    """The report over every ``*.json`` file under ``results_dir``."""
     files = D.read_results(spark, results_dir, recursive)
-    c = joins.classify(files, "stem", reg, "left")
-    unknown = c.where(F.col("bench").isNull()).select("file", "stem")
-    parsed = D.parse_documents(c.where(F.col("bench").isNotNull()))
-    valid, rejected = D.split_valid(parsed)
-    valid = valid.select("file", "stem", "prefix", "bench", "doc")
-
-    # One typed column per metric key (canonical and alias) ...
-    mkeys = _registry_keys(reg_rows, 2)
-    wide = valid.select("bench", "file", *[D.extract_path("doc", f"$.{k}", "double").alias(f"m__{k}")
-                                           for k in mkeys])
-    long = wide.unpivot(["bench", "file"], [f"m__{k}" for k in mkeys], "_k", "_v") \
-               .withColumn("_k", F.regexp_replace("_k", "^m__", ""))
-    # ... kept only where the benchmark declares it (alias fills a missing canonical key)
-    decl = _keys(reg, "metrics").select(
-        "bench", "ord", "key", "label",
-        F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
-    pts = long.join(F.broadcast(decl), ["bench", "_k"]).where(F.col("_v").isNotNull())  # P3
-    pts = pts.groupBy("bench", "file", "ord", "label").agg(F.min_by("_v", "_pref").alias("value"))
-    it = windows.with_iteration(valid.select("bench", "file"), ["bench"], "file")
-    scalars = pts.join(it, ["bench", "file"]).select(
-        "bench", F.col("label").alias("title"), F.col("file").alias("series"), "value", "iteration")
-
-    # A13 + P5: parameters of the first file of each benchmark, by key presence
-    first = valid.groupBy("bench").agg(F.min("file").alias("file"))
-    first_docs = valid.join(first, ["bench", "file"], "left_semi")
-    pkeys = _registry_keys(reg_rows, 3)
-    pw = first_docs.select("bench", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("_k"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in pkeys]))
-        .alias("e")).select("bench", "e._k", "e._v").where(F.col("_v").isNotNull())
-    pdecl = _keys(reg, "params").select("bench", F.col("key").alias("param"),
-                                        F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
-    params = pw.join(F.broadcast(pdecl), ["bench", "_k"]).groupBy("bench", "param").agg(
-        F.min_by(F.struct(F.when(~F.is_variant_null("_v"), F.to_json("_v")).alias("value"),
-                          F.is_variant_null("_v").alias("is_null")), "_pref").alias("p")
-    ).select("bench", "param", "p.value", "p.is_null")
-
-    # A12 + P6: comparison table for benchmarks with more than one file
-    multi = agg.comparison(valid.select("bench", "file"), ["bench"])
-    cells = multi.join(F.broadcast(_keys(reg, "metrics").select("bench", "ord", "key")), "bench")
-    present = valid.select("bench", "file", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("key"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in mkeys]))
-        .alias("e")).select("bench", "file", "e.key", "e._v")
-    comparison = cells.join(present, ["bench", "file", "key"], "left").select(
-        "bench", "file", "ord", "key",
-        F.when(F.col("_v").isNull(), F.lit("—")).when(F.is_variant_null("_v"), F.lit("None"))
-         .otherwise(F.to_json("_v")).alias("display"))
-
-    # one line of text per file
-    pieces = pts.select("bench", "file", "ord", F.concat("label", F.lit(": "), F.col("value").cast("string")).alias("t"))
-    lines = pieces.groupBy("bench", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("a")) \
-                  .select("bench", "file", F.array_join(F.transform("a", lambda x: x["t"]), "  ").alias("text"))
-
-    # A5 + F13: one task per benchmark, ordered by first file
-    ts = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
-    tasks = agg.group_results(valid.select("bench", "file"), "bench", "file").withColumn(
-        "task_name", task_label("bench", F.lit(cluster), ts))
-    if require_results and valid.isEmpty():  # A16
-        raise ValueError("No recognised JSON result files found.")
+    return report_documents(spark, files, cluster, extensions, at, require_results)
+
 
-    return Report(valid, rejected.select("file", "bench"), unknown, scalars, params, comparison, lines, tasks)
+def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "cluster",
+                     extensions: bool = True, at=None, require_results: bool = True) -> Report:
+    """The report on documents already in a DataFrame of (file, stem, raw).
+
+    ``require_results`` refuses an empty result set up front (A16) with a
+    one-row probe rather than a count.
+    """
+    rep = Report(spark, files, cluster, extensions, at)
+    if require_results and rep.documents.isEmpty():
+        raise ValueError("No recognised JSON result files found.")
+    return rep
 
 
 def write_report(rep: Report, path: str) -> None:
