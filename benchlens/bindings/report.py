@@ -139,17 +139,17 @@ DOC_KEYS = [("tflops", 0), ("busbw_gb_s", 1), ("algbw_gb_s", 2), ("samples_per_s
 # Parameters: 'workers' is present as null, 'model' is absent, 'gpu' and
 # 'batch_size_per_gpu' are the producer's alias keys.  (key, Spark expr, SQL expr, is text)
 DOC_PARAMS = [
-    ("nodes", F.col("user_id") % 4 + 1, "user_id % 4 + 1", False),
-    ("msg_size_bytes", F.col("event_id") * 1024, "event_id * 1024", False),
-    ("num_accelerators", F.lit(8), "8", False),
-    ("batch_size", F.lit(32), "32", False),
-    ("workers", F.lit(None).cast("int"), None, False),
-    ("world_size", F.col("user_id") % 16 + 1, "user_id % 16 + 1", False),
-    ("batch_size_per_gpu", F.lit(32), "32", False),
-    ("global_batch_size", (F.col("user_id") % 16 + 1) * 32, "(user_id % 16 + 1) * 32", False),
-    ("gpu", F.concat(F.lit("NVIDIA B300 #"), (F.col("user_id") % 3).cast("string")),
+    ("nodes", "user_id % 4 + 1", "user_id % 4 + 1", False),
+    ("msg_size_bytes", "event_id * 1024", "event_id * 1024", False),
+    ("num_accelerators", "8", "8", False),
+    ("batch_size", "32", "32", False),
+    ("workers", "CAST(NULL AS INT)", None, False),
+    ("world_size", "user_id % 16 + 1", "user_id % 16 + 1", False),
+    ("batch_size_per_gpu", "32", "32", False),
+    ("global_batch_size", "(user_id % 16 + 1) * 32", "(user_id % 16 + 1) * 32", False),
+    ("gpu", "concat('NVIDIA B300 #', CAST(user_id % 3 AS STRING))",
      "'NVIDIA B300 #' || CAST(user_id % 3 AS VARCHAR)", True),
-    ("passes", F.lit(3), "3", False),
+    ("passes", "3", "3", False),
 ]
 
 
@@ -160,7 +160,7 @@ def event_documents(spark, sf):
                     F.col("event_id").cast("string"))
     doc = F.struct(*[(F.col("value") + F.lit(float(o))).alias(k) if o is not None
                      else F.lit(None).cast("double").alias(k) for k, o in DOC_KEYS],
-                   *[x.alias(k) for k, x, _, _ in DOC_PARAMS])
+                   *[F.expr(x).alias(k) for k, x, _, _ in DOC_PARAMS])
     return e.select(F.concat(stem, F.lit(".json")).alias("file"), stem.alias("stem"),
                     F.to_json(doc, {"ignoreNullFields": "false"}).alias("raw"))
 
