@@ -154,7 +154,9 @@ DOC_PARAMS = [
 
 
 def event_documents(spark, sf):
-    e = C.table(spark, sf, "events")
+    # building and parsing JSON per event is the heavy part and runs before any
+    # shuffle: spread the unsplittable events file over the cores
+    e = C.table(spark, sf, "events", balanced=True)
     pre = F.array(*[F.lit(p) for p in C.STEM_PREFIXES])
     stem = F.concat(F.element_at(pre, (F.col("event_id") % len(C.STEM_PREFIXES) + 1).cast("int")),
                     F.col("event_id").cast("string"))

@@ -35,7 +35,8 @@ class Report:
     tasks       bench, n_files, first_file, ord, task_name
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at):
+    def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at,
+                 materialize: bool = False):
         self._spark, self._cluster, self._at = spark, cluster, at
         self._reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
         self._reg = dims.registry(spark, extensions)
@@ -44,22 +45,34 @@ class Report:
         parsed = D.parse_documents(c.where(F.col("bench").isNotNull()))
         valid, rejected = D.split_valid(parsed)
         self.documents = valid.select("file", "stem", "prefix", "bench", "doc")
+        if materialize:
+            # parse once: every table below reads the parsed documents
+            from ..operators.ranking import materialize as write_once
+            self.documents = write_once(self.documents, "report-documents")
         self.rejected = rejected.select("file", "bench")
 
     @cached_property
     def _points(self) -> DataFrame:
-        """P1 + P2 + P3: declared, non-NULL metric points (alias fills a missing canonical key)."""
-        valid, reg = self.documents, self._reg
-        mkeys = _registry_keys(self._reg_rows, 2)
-        wide = valid.select("bench", "file", *[D.extract_path("doc", f"$.{k}", "double").alias(f"m__{k}")
-                                               for k in mkeys])
-        long = wide.unpivot(["bench", "file"], [f"m__{k}" for k in mkeys], "_k", "_v") \
-                   .withColumn("_k", F.regexp_replace("_k", "^m__", ""))
-        decl = _keys(reg, "metrics").select(
-            "bench", "ord", "key", "label",
-            F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
-        pts = long.join(F.broadcast(decl), ["bench", "_k"]).where(F.col("_v").isNotNull())
-        return pts.groupBy("bench", "file", "ord", "label").agg(F.min_by("_v", "_pref").alias("value"))
+        """P1 + P2 + P3: declared, non-NULL metric points (alias fills a missing canonical key).
+
+        The registry is a small fixed table, so each benchmark's declared
+        metrics become one row-local expression: a CASE on the benchmark picks
+        the (ord, label, value) points of that benchmark only.  No unpivot of
+        every key and no shuffle.
+        """
+        per_bench = []
+        for _, bench, metrics, _ in self._reg_rows:
+            pts = []
+            for i, (k, label, aliases) in enumerate(metrics):
+                vals = [D.extract_path("doc", f"$.{x}", "double") for x in [k, *aliases]]
+                pts.append(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"),
+                                    (vals[0] if len(vals) == 1 else F.coalesce(*vals)).alias("value")))
+            per_bench.append((bench, F.array(*pts)))
+        pick = F.lit(None)
+        for bench, arr in reversed(per_bench):
+            pick = F.when(F.col("bench") == bench, arr).otherwise(pick)
+        x = self.documents.select("bench", "file", F.explode(pick).alias("p"))
+        return x.select("bench", "file", "p.ord", "p.label", "p.value").where(F.col("value").isNotNull())
 
     @cached_property
     def scalars(self) -> DataFrame:
@@ -137,20 +150,23 @@ def _registry_keys(registry_rows, field: int) -> list[str]:
 
 def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
            recursive: bool = False, extensions: bool = True, at=None,
-           require_results: bool = True) -> Report:
+           require_results: bool = True, materialize: bool = False) -> Report:
     """The report over every ``*.json`` file under ``results_dir``."""
     files = D.read_results(spark, results_dir, recursive)
-    return report_documents(spark, files, cluster, extensions, at, require_results)
+    return report_documents(spark, files, cluster, extensions, at, require_results, materialize)
 
 
 def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "cluster",
-                     extensions: bool = True, at=None, require_results: bool = True) -> Report:
+                     extensions: bool = True, at=None, require_results: bool = True,
+                     materialize: bool = False) -> Report:
     """The report on documents already in a DataFrame of (file, stem, raw).
 
     ``require_results`` refuses an empty result set up front (A16) with a
-    one-row probe rather than a count.
+    one-row probe rather than a count.  ``materialize=True`` writes the parsed,
+    valid documents once to the shared checkpoint folder, so several tables do
+    not parse every document again (worth it when most tables are built).
     """
-    rep = Report(spark, files, cluster, extensions, at)
+    rep = Report(spark, files, cluster, extensions, at, materialize)
     if require_results and rep.documents.isEmpty():
         raise ValueError("No recognised JSON result files found.")
     return rep

@@ -128,3 +128,11 @@ def test_streaming_points(spark, results, tmp_path):
     assert vals[("pi05_1n8g_7.json", "peak_gpu_mem_gb")] == 68.8
     assert ("pi05_1n8g_7.json", "mfu_pct") not in vals
     assert ("misc_1.json", "tflops") not in vals
+
+
+def test_report_materialized_matches(spark, results):
+    a = R.report(spark, results, cluster="c1", at=dt.datetime(2026, 6, 24, 12, 0))
+    b = R.report(spark, results, cluster="c1", at=dt.datetime(2026, 6, 24, 12, 0), materialize=True)
+    for t in ("scalars", "params", "comparison", "lines", "tasks"):
+        da, db = getattr(a, t), getattr(b, t)
+        assert sorted(map(tuple, da.collect())) == sorted(map(tuple, db.select(*da.columns).collect())), t
