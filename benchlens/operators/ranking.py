@@ -125,16 +125,18 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, p: float,
 
 def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int) -> list:
     """Up to ``buckets - 1`` sorted cut points of the composite key (driver side,
-    bounded by ``buckets``): a sample of about 100 keys per bucket (at most a
-    million keys), sorted, cut evenly; bucket sizes then vary by about 10 %."""
-    n = df.count()
-    if n == 0 or buckets <= 1:
+    bounded by ``buckets``).
+
+    A uniform sample of about 100 keys per bucket (at most a million) is the
+    M rows with the smallest random tag: ``orderBy(rand).limit(M)`` runs as a
+    per-task top-M, one pass with bounded memory and no count.  The cut points
+    split the sorted sample evenly, so bucket sizes vary by about 10 %.
+    """
+    if buckets <= 1:
         return []
-    frac = min(1.0, min(100.0 * buckets, 1_000_000.0) / n)
-    # the sample is bounded (<= ~1M keys): sort it in one task rather than with
-    # a global sort, whose range sampling would scan the whole input again
-    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k")).sample(False, frac, seed)
-                .coalesce(1).sortWithinPartitions("k").collect())
+    m = int(min(100 * buckets, 1_000_000))
+    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k"), F.rand(seed).alias("_r"))
+                .orderBy("_r").limit(m).orderBy("k").collect())
     keys = [r["k"] for r in sample]
     if len(keys) < 2:
         return []
