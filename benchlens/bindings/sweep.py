@@ -116,3 +116,88 @@ FROM (SELECT *, max(rate) OVER (PARTITION BY source) AS mx FROM ({C.CURVE_SQL}))
 def a14_peak_at(spark, sf):
     """Best curve rate per source and the size it came from."""
     return agg.peak_at(C.size_bucket_curve(spark, sf), ["source"], "rate", "size_bytes")
+
+
+# --- SURVEY 3.2 end to end: events as raw tester outputs of a size sweep ------
+# cluster = event_type, block size by user_id (8 sizes), direction by event parity;
+# each output holds both directions' bandwidth, the trial picks its own.
+def _sizes_list() -> list[str]:
+    from .. import dims
+    return [lbl for lbl, _ in dims.SWEEP_SIZES]
+
+
+def tester_outputs(spark, sf):
+    e = C.table(spark, sf, "events")
+    sizes = F.array(*[F.lit(x) for x in _sizes_list()])
+    job = F.struct(F.struct(F.round(F.col("value") * 1e6).cast("bigint").alias("bw_bytes")).alias("read"),
+                   F.struct(F.round(F.col("value") * 5e5).cast("bigint").alias("bw_bytes")).alias("write"))
+    return e.select(F.col("event_type").alias("cluster"),
+                    F.element_at(sizes, (F.col("user_id") % 8 + 1).cast("int")).alias("block_size"),
+                    F.when(F.col("event_id") % 2 == 0, "write").otherwise("read").alias("rw"),
+                    F.col("event_id").alias("pass"),
+                    F.to_json(F.struct(F.array(job).alias("jobs"))).alias("raw"))
+
+
+def _sweep_summary_df(spark, sf):
+    from ..plans import sweep as SW
+    trials = SW.trials_from_outputs(tester_outputs(spark, sf))
+    return SW.summarize(trials, ["cluster", "block_size"])
+
+
+def _sweep_sql_base() -> str:
+    from .. import dims
+    sizes = ", ".join(f"({C.sql_str(l)}, CAST({dims._size_bytes(l)} AS BIGINT))" for l, _ in dims.SWEEP_SIZES)
+    return f"""
+WITH t AS (
+  SELECT event_type AS cluster, {C.sql_list(_sizes_list())}[user_id % 8 + 1] AS block_size,
+         CASE WHEN event_id % 2 = 0 THEN 'write' ELSE 'read' END AS rw,
+         CASE WHEN event_id % 2 = 0 THEN CAST(round(value * 5e5) AS BIGINT) ELSE CAST(round(value * 1e6) AS BIGINT) END AS bw_bytes
+  FROM events),
+s AS (
+  SELECT cluster, block_size, rw,
+         round_even(list_sort(list(bw_bytes / 1e6))[count(*) // 2 + 1], 1) AS med,
+         round_even(min(bw_bytes / 1e6), 1) AS mn
+  FROM t GROUP BY ALL),
+w AS (
+  SELECT s.cluster, s.block_size, sz.size_bytes,
+         max(CASE WHEN rw = 'write' THEN med END) AS write_bw_median_mbs,
+         max(CASE WHEN rw = 'write' THEN mn END) AS write_bw_min_mbs,
+         max(CASE WHEN rw = 'read' THEN med END) AS read_bw_median_mbs,
+         max(CASE WHEN rw = 'read' THEN mn END) AS read_bw_min_mbs
+  FROM s JOIN (VALUES {sizes}) AS sz(block_size, size_bytes) ON s.block_size = sz.block_size
+  GROUP BY s.cluster, s.block_size, sz.size_bytes)"""
+
+
+def _layout_sql() -> str:
+    from .. import dims
+    vals = ", ".join(f"({lo}, {hi if hi is not None else 'NULL'}, {C.sql_str(c)})" for lo, hi, c in dims.SIZE_CLASSES)
+    return f"(VALUES {vals}) AS lc(lo, hi, layout_class)"
+
+
+@query("sweep_summary", _sweep_sql_base() + f"""
+SELECT w.*, lc.layout_class FROM w LEFT JOIN {_layout_sql()}
+  ON w.size_bytes >= lc.lo AND (lc.hi IS NULL OR w.size_bytes < lc.hi)""")
+def sweep_summary_query(spark, sf):
+    """SURVEY 3.2: raw outputs -> S5 bandwidth -> F4 MB/s -> A1/A2 -> F5 -> A11,
+    with the storage layout class of each size (J4)."""
+    from ..plans import sweep as SW
+    return SW.with_layout_class(_sweep_summary_df(spark, sf), spark)
+
+
+@query("sweep_verdicts", _sweep_sql_base() + """,
+g AS (SELECT cluster, size_bytes, read_bw_median_mbs AS r,
+             read_bw_median_mbs / NULLIF(lag(read_bw_median_mbs) OVER (PARTITION BY cluster ORDER BY size_bytes), 0) AS gain
+      FROM w),
+l AS (SELECT *, max(gain) OVER (PARTITION BY cluster ORDER BY size_bytes
+                                ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM g)
+SELECT cluster,
+       min(CASE WHEN later < 1.1::DOUBLE THEN size_bytes END) IS NOT NULL AS plateau,
+       coalesce(min(CASE WHEN later < 1.1::DOUBLE THEN size_bytes END), max(size_bytes)) AS recommended_size,
+       max(CASE WHEN size_bytes < 1048576 THEN r END) AS best_small, max(r) AS best_all,
+       max(CASE WHEN size_bytes < 1048576 THEN r END) / NULLIF(max(r), 0) AS small_ratio,
+       max(CASE WHEN size_bytes < 1048576 THEN r END) / NULLIF(max(r), 0) < 0.5::DOUBLE AS small_file_penalty
+FROM l GROUP BY cluster""")
+def sweep_verdicts_query(spark, sf):
+    """SURVEY 3.2: W3/W4 plateau and recommended size, W5 small-file penalty, per cluster."""
+    from ..plans import sweep as SW
+    return SW.curve_verdicts(_sweep_summary_df(spark, sf), ["cluster"], eps=0.10)
