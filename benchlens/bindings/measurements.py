@@ -193,3 +193,112 @@ def o3_top_per_metric(spark, sf):
                               ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return windows.top_per_group(long, ["metric"],
                                  [F.col("value").desc(), "l_orderkey", "l_linenumber"], k=3)
+
+
+# --- SURVEY 3.3 end to end: events as per-rank step logs and checkpoint rounds ---
+# --- fixed values: run metadata given to the five event types (binding fixture)
+RUN_META = [("click", "NVIDIA B300 SXM6 AC", 8, 1e15), ("view", "NVIDIA H100 80GB HBM3", 16, 1e15),
+            ("signup", "NVIDIA H200 SXM 141GB", 8, 1e15), ("purchase", "NVIDIA A100-SXM4-40GB", 4, 1e15),
+            ("error", "NVIDIA B200", 16, None)]
+
+
+def step_log(spark, sf):
+    """run = event_type, rank = event_id % 8, step = event_id div 8; a step lasts value seconds."""
+    e = C.table(spark, sf, "events")
+    return e.select(F.col("event_type").alias("run"), (F.col("event_id") % 8).alias("rank"),
+                    F.floor(F.col("event_id") / 8).cast("bigint").alias("step"), F.col("ts").alias("start_ts"),
+                    F.expr("timestampadd(MICROSECOND, CAST(round(value * 1e6) AS BIGINT), ts)").alias("end_ts"))
+
+
+def run_meta(spark, sf):
+    e = C.table(spark, sf, "events")
+    meta = e.groupBy(F.col("event_type").alias("run")).agg(
+        F.max(F.round(F.col("value") * 1e9).cast("bigint")).alias("peak_mem_bytes"))
+    gpu, world, flops = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("double")
+    for run, g, w, f in reversed(RUN_META):
+        hit = F.col("run") == run
+        gpu, world = F.when(hit, F.lit(g)).otherwise(gpu), F.when(hit, F.lit(w)).otherwise(world)
+        flops = F.when(hit, F.lit(f).cast("double")).otherwise(flops)
+    return meta.select("run", gpu.alias("gpu"), world.alias("world_size"), F.lit(32).alias("batch_size_per_gpu"),
+                       flops.alias("flops_per_step"), "peak_mem_bytes")
+
+
+def _case(col: str, idx: int) -> str:
+    whens = " ".join(f"WHEN {col} = {C.sql_str(r[0])} THEN "
+                     f"{C.sql_str(r[idx]) if isinstance(r[idx], str) else ('NULL' if r[idx] is None else repr(r[idx]))}"
+                     for r in RUN_META)
+    return f"CASE {whens} END"
+
+
+def _peaks_sql() -> str:
+    from .. import dims
+    vals = ", ".join(f"({o}, {C.sql_str(p)}, {f}::DOUBLE)" for o, p, f in dims.PEAK_FLOPS)
+    return f"(VALUES {vals}) AS pk(ord, pattern, flops)"
+
+
+@query("run_summary", f"""
+WITH s AS (SELECT event_type AS run, event_id % 8 AS rank, event_id // 8 AS step, ts AS start_ts,
+                  ts + to_microseconds(CAST(round(value * 1e6) AS BIGINT)) AS end_ts FROM events),
+ids AS (SELECT DISTINCT run, step FROM s),
+k AS (SELECT run, step FROM (SELECT run, step, row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM ids)
+      WHERE rn > 20 AND rn <= 100),
+m AS (SELECT s.* FROM s SEMI JOIN k USING (run, step)),
+e AS (SELECT run, date_diff('microsecond', min(start_ts), max(end_ts)) / 1e6 AS elapsed_s FROM m GROUP BY run),
+n AS (SELECT run, count(*) AS measure_steps FROM k GROUP BY run),
+x AS (SELECT event_type AS run, {_case('event_type', 1)} AS gpu, CAST({_case('event_type', 2)} AS INTEGER) AS world_size,
+             32 AS batch_size_per_gpu, CAST({_case('event_type', 3)} AS DOUBLE) AS flops_per_step,
+             max(CAST(round(value * 1e9) AS BIGINT)) AS peak_mem_bytes
+      FROM events GROUP BY event_type),
+y AS (SELECT x.*, n.measure_steps, e.elapsed_s FROM x JOIN n USING (run) JOIN e USING (run)),
+p AS (SELECT y.run, coalesce(arg_min(pk.flops, pk.ord), 989e12) AS peak
+      FROM y LEFT JOIN {_peaks_sql()} ON regexp_matches(y.gpu, pk.pattern, 'i') GROUP BY y.run)
+SELECT y.run, CASE WHEN world_size <= 8 THEN '1node' ELSE '2node' END AS node_class, gpu, world_size,
+       batch_size_per_gpu, CAST(batch_size_per_gpu * world_size AS BIGINT) AS global_batch_size, 20 AS warmup_steps,
+       measure_steps, elapsed_s, measure_steps / elapsed_s AS steps_per_sec,
+       measure_steps / elapsed_s * batch_size_per_gpu * world_size AS samples_per_sec,
+       peak_mem_bytes / 1e9 AS peak_mem_gb,
+       flops_per_step * (measure_steps / elapsed_s) / (p.peak * world_size) * 100 AS mfu_pct
+FROM y JOIN p USING (run)""")
+def run_summary_query(spark, sf):
+    """SURVEY 3.3: W2 warm-up/measure window on each run's steps, A7 barrier span,
+    A10 throughput, A8 peak memory, J2 device peak, F6 MFU, F7 node class."""
+    from ..plans import runs
+    r = runs.run_summary(spark, step_log(spark, sf), run_meta(spark, sf))
+    return r.withColumn("node_class", F.col("schema")[1]).drop("schema")
+
+
+ROUNDS_SQL = """
+SELECT event_type AS run, user_id % 8 AS rank, 1 + event_id % 3 AS round,
+       CASE WHEN user_id % 2 = 0 THEN 'save' ELSE 'load' END AS phase,
+       CAST(event_id // 3 AS DOUBLE) AS start_s, CAST(event_id // 3 AS DOUBLE) + value / 100 AS end_s,
+       CAST(round(value * 1e6) AS BIGINT) AS bytes
+FROM events"""
+
+
+@query("checkpoint_summary", f"""
+WITH r AS ({ROUNDS_SQL}),
+g AS (SELECT run, round, phase, max(end_s) - min(start_s) AS elapsed_s, sum(bytes) AS bytes FROM r GROUP BY ALL),
+q AS (SELECT *, CASE WHEN elapsed_s > 0 THEN bytes / 1e9 / elapsed_s ELSE 0.0 END AS gb_s FROM g)
+SELECT run,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'save'), 9) AS save_gb_s,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'save' AND round = 1), 9) AS save_cold_gb_s,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'save' AND round > 1), 9) AS save_warm_gb_s,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'load'), 9) AS load_gb_s,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'load' AND round = 1), 9) AS load_cold_gb_s,
+       round_even(avg(gb_s) FILTER (WHERE phase = 'load' AND round > 1), 9) AS load_warm_gb_s,
+       max(bytes) FILTER (WHERE phase = 'save') / 1e9 AS checkpoint_size_gb
+FROM q GROUP BY run""")
+def checkpoint_summary_query(spark, sf):
+    """SURVEY 3.3: per round and phase the barrier span over ranks, bytes summed once,
+    GB/s (0 for an empty span); per run the mean of rounds and the cold/warm split."""
+    from ..plans import runs
+    e = C.table(spark, sf, "events")
+    start = F.floor(F.col("event_id") / 3).cast("double")
+    rounds = e.select(F.col("event_type").alias("run"), (F.col("user_id") % 8).alias("rank"),
+                      (1 + F.col("event_id") % 3).alias("round"),
+                      F.when(F.col("user_id") % 2 == 0, "save").otherwise("load").alias("phase"),
+                      start.alias("start_s"), (start + F.col("value") / 100).alias("end_s"),
+                      F.round(F.col("value") * 1e6).cast("bigint").alias("bytes"))
+    s = runs.checkpoint_summary(rounds)
+    cols = ["save_gb_s", "save_cold_gb_s", "save_warm_gb_s", "load_gb_s", "load_cold_gb_s", "load_warm_gb_s"]
+    return s.select("run", *[F.bround(c, 9).alias(c) for c in cols], "checkpoint_size_gb")
