@@ -126,8 +126,8 @@ def _sizes_list() -> list[str]:
     return [lbl for lbl, _ in dims.SWEEP_SIZES]
 
 
-def tester_outputs(spark, sf):
-    e = C.table(spark, sf, "events")
+def tester_outputs(spark, sf, balanced: bool = False):
+    e = C.table(spark, sf, "events", balanced=balanced)
     sizes = F.array(*[F.lit(x) for x in _sizes_list()])
     job = F.struct(F.struct(F.round(F.col("value") * 1e6).cast("bigint").alias("bw_bytes")).alias("read"),
                    F.struct(F.round(F.col("value") * 5e5).cast("bigint").alias("bw_bytes")).alias("write"))
