@@ -81,6 +81,18 @@ def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col
     return res.withColumn(out, val).drop("_val")
 
 
+def lookup_peak(df: DataFrame, name_col: str, table: DataFrame | None = None, default: float | None = None,
+                override: float | None = None, out: str = "peak_flops") -> DataFrame:
+    """J2 as the trainer uses it: peak FLOPS of a device name from the (ord,
+    pattern, flops) table, first case-insensitive match, default when none
+    matches, and an override (FLOPS, not TFLOPS) that wins over both."""
+    from .. import dims
+    spark = df.sparkSession
+    return lookup_first_match(df, name_col, table if table is not None else dims.peak_flops(spark), "flops",
+                              default=dims.DEFAULT_PEAK_FLOPS if default is None else default,
+                              override=override, out=out)
+
+
 def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFrame) -> DataFrame:
     """Measured / device peak x 100, and measured / other device's peak.
 
@@ -190,6 +202,15 @@ def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
     return res.withColumnRenamed("_ck", curve_key)
 
 
+def expected_read_time(files: DataFrame, size_col: str, curve: DataFrame, curve_size: str = "curve_bytes",
+                       rate_col: str = "read_mbs", out: str = "expected_s") -> DataFrame:
+    """J5 + F16: expected seconds to read each file at the rate of the largest
+    swept size not above it (MB/s, decimal); NULL below the first size."""
+    x = asof_lookup(files, size_col, curve, curve_size, [rate_col])
+    return x.withColumn(out, F.col(size_col).cast("double") / F.lit(1e6)
+                        / F.nullif(F.col(rate_col).cast("double"), F.lit(0.0)))
+
+
 def scaling(df: DataFrame, keys: Sequence[str], nodes_col: str, value_col: str,
             base: int = 1) -> DataFrame:
     """N-node vs base-node throughput: ratio and efficiency = ratio / node factor.

@@ -119,3 +119,14 @@ def test_published_efficiencies(spark):
     assert round(got["allreduce_busbw"].pct_of_peak) == 46
     assert round(got["train_mem_per_gpu"].pct_of_peak) == 24
     assert round(got["stream_triad"].vs_other, 1) == 2.1
+
+
+def test_lookup_peak_and_expected_read_time(spark):
+    df = spark.createDataFrame([("NVIDIA B300 SXM6 AC",), ("RTX",)], "gpu string")
+    got = {r.gpu: r.peak_flops for r in joins.lookup_peak(df, "gpu").collect()}
+    assert got == {"NVIDIA B300 SXM6 AC": 9000e12, "RTX": 989e12}
+    files = spark.createDataFrame([(1, 1024 ** 3), (2, 1000), (3, 3 * 1024 ** 2)], "id int, size long")
+    t = {r.id: r for r in joins.expected_read_time(files, "size", dims.published_curve(spark)).collect()}
+    assert t[1].expected_s == pytest.approx(1024 ** 3 / 1e6 / 7064.1)
+    assert t[2].expected_s is None
+    assert t[3].read_mbs == 306.4  # 1 MB <= 3 MiB < 4 MB
