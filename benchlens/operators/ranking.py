@@ -31,6 +31,18 @@ ACCURACY = 10_000
 BROADCAST_GROUPS = 200_000  # stats rows (keys, n, two doubles) broadcast below this count
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   hint_broadcast: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (as ``groupBy`` treats it),
+    keeping one copy of the keys."""
+    keys = list(keys)
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    if hint_broadcast:
+        r = F.broadcast(r)
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared checkpoint folder
     and read it back.  Unlike ``checkpoint()``, whose write recomputes the plan
@@ -79,16 +91,15 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
         # for one group, so they are written once too.
         big = counts.where(F.col("n") > small_group).select(*keys)
         few = sizes["large"] <= BROADCAST_GROUPS
-        sk = (base.join(F.broadcast(big) if few else big, keys).groupBy(*keys)
+        sk = (join_null_safe(base, big, keys, "left_semi", few).groupBy(*keys)
                   .agg(F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"))
                   .select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
         sk = materialize(sk, "kth-brackets")
-        stats = counts.join(F.broadcast(sk) if few else sk, keys, "left")
+        stats = join_null_safe(counts, sk, keys, "left", few)
     # the counted number of groups proves the broadcast bound
-    stats_side = F.broadcast(stats) if sizes["groups"] <= BROADCAST_GROUPS else stats
-
     # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
-    j = base.join(stats_side, keys)
+    # (the counted number of groups proves the broadcast bound)
+    j = join_null_safe(base, stats, keys, "inner", sizes["groups"] <= BROADCAST_GROUPS)
     inside = F.col("_lo").isNull() | F.col("_v").between(F.col("_lo"), F.col("_hi"))
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     cand = (j.where(inside | below)
@@ -203,6 +214,7 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.sum("_c").over(wo)).where(F.col("_off") > 0).drop("_c")
     # at most one row per bucket (len(cuts) + 1 rows): proven small
-    res = x.join(F.broadcast(offs), ["_bk", *keys], "left")
+    # null-safe on the group keys: a NULL group is a group like any other
+    res = join_null_safe(x, offs, ["_bk", *keys], "left", hint_broadcast=True)
     res = res.withColumn(name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
     return res.drop("_bk", "_local", "_off")

@@ -81,3 +81,19 @@ def test_asof_large_path_matches_broadcast_path(spark):
     a = joins.size_class(left, "x", classes)
     b = joins.size_class(left, "x", classes, broadcast_limit=1)
     assert sorted((r.id, r["class"]) for r in a.collect()) == sorted((r.id, r["class"]) for r in b.collect())
+
+
+def test_row_positions_null_group_spanning_buckets(spark):
+    rows = [(None, i) for i in range(3000)] + [("a", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o long").repartition(4)
+    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=8).collect()
+    assert sorted(r.pos for r in got if r.k is None) == list(range(1, 3001))
+    assert sorted(r.pos for r in got if r.k == "a") == list(range(1, 501))
+
+
+@pytest.mark.parametrize("small_group", [0, 10 ** 9])
+def test_median_null_group(spark, small_group):
+    rows = [(None, float(x)) for x in (4, 1, 3, 2)] + [("a", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m", small_group=small_group).collect()}
+    assert got == {None: 3.0, "a": 5.0}
