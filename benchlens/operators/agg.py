@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mb_per_s, round_half_even
-from .ranking import ordinal_median, percentile_cont  # noqa: F401  (A1 re-export)
+from .ranking import join_null_safe, ordinal_median, percentile_cont  # noqa: F401  (A1 re-export)
 
 
 def min_passes(df: DataFrame, keys: Sequence[str], value: str, name: str = "min") -> DataFrame:
@@ -100,7 +100,7 @@ def latency_summary(df: DataFrame, keys: Sequence[str], latency: str, p: float =
         pq = df.groupBy(*keys).agg(F.percentile_approx(latency, p, 10000).alias("p99_latency_ms"))
     else:
         pq = percentile_cont(df, keys, latency, p, "p99_latency_ms").drop("n")
-    return avg.join(pq, keys)
+    return join_null_safe(avg, pq, keys)
 
 
 def throughput(df: DataFrame, steps: str, elapsed: str, batch: str, world: str) -> DataFrame:
@@ -129,13 +129,13 @@ def sweep_stats(trials: DataFrame, keys: Sequence[str], bw_bytes: str, digits: i
 def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
     """The group's row count on every row (aggregate, then equi-join back)."""
     c = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return df.join(c, list(keys))
+    return join_null_safe(df, c, keys)
 
 
 def comparison(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only the rows of groups that have more than one row (HAVING count > 1)."""
     rep = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
-    return df.join(rep, list(keys), "left_semi")
+    return join_null_safe(df, rep, keys, "left_semi")
 
 
 def first_params(df: DataFrame, keys: Sequence[str], order: str, params: Sequence[str]) -> DataFrame:

@@ -97,3 +97,13 @@ def test_median_null_group(spark, small_group):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m", small_group=small_group).collect()}
     assert got == {None: 3.0, "a": 5.0}
+
+
+def test_group_joins_keep_null_groups(spark):
+    from benchlens.operators import agg, windows
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 3.0)], "g string, v double")
+    assert sorted((r.g or "", r.group_size) for r in windows.with_group_size(df, ["g"]).collect()) == \
+        [("", 2), ("", 2), ("a", 1)]
+    assert sorted(r.v for r in agg.comparison(df, ["g"]).collect()) == [1.0, 2.0]
+    lat = {r.g: (r.avg_latency_ms, r.p99_latency_ms) for r in agg.latency_summary(df, ["g"], "v").collect()}
+    assert lat[None][0] == 1.5 and lat["a"] == (3.0, 3.0)
