@@ -1,6 +1,6 @@
 """Cluster and grid bindings: supplier x nation x region as nodes/clusters
-(P9, F7-F10, F12, F15, F17), orders dates (F13), nation trial grids (J9, F11),
-synthetic observations per order (S9)."""
+(P9, F7-F10, F12, F15, F17, J9, F11), orders dates (F13), synthetic
+observations per order (S9)."""
 
 from __future__ import annotations
 
@@ -133,12 +133,12 @@ def _sizes_sql() -> str:
 
 
 @query("j9_trial_grid", f"""
-SELECT n_nationkey, block_size, rw, pass
-FROM nation, (SELECT unnest({_sizes_sql()}) AS block_size), (SELECT unnest(['write', 'read']) AS rw),
+SELECT s_suppkey, block_size, rw, pass
+FROM supplier, (SELECT unnest({_sizes_sql()}) AS block_size), (SELECT unnest(['write', 'read']) AS rw),
      (SELECT unnest([1, 2, 3]) AS pass)""")
 def j9_trial_grid(spark, sf):
-    """Per cluster (nation) every sweep size x direction x pass: 48 trials each."""
-    n = C.table(spark, sf, "nation").select("n_nationkey")
+    """Per cluster (supplier) every sweep size x direction x pass: 48 trials each."""
+    n = C.table(spark, sf, "supplier").select("s_suppkey")
     g = joins.trial_grid(n, {"block_size": [lbl for lbl, _ in dims.SWEEP_SIZES], "rw": ["write", "read"],
                              "pass": [1, 2, 3]})
     return g.withColumn("pass", F.col("pass").cast("int"))
