@@ -27,13 +27,16 @@ def _fs_path(uri: str):
 
 
 def _read_one(uri: str):
+    """Read a whole file once, streaming (memory stays at one batch or chunk)."""
     import pyarrow.parquet as pq
     fs, p = _fs_path(uri)
     t0 = time.time()
     if p.endswith(".parquet"):
+        rows = 0
         with fs.open_input_file(p) as f:
-            table = pq.read_table(f)
-        rows, nbytes = table.num_rows, fs.get_file_info(p).size
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=65536):
+                rows += batch.num_rows
+        nbytes = fs.get_file_info(p).size
     else:
         with fs.open_input_stream(p) as f:
             nbytes, rows = 0, 0
