@@ -139,11 +139,12 @@ def asof_join_large(df: DataFrame, key_col: str, right: DataFrame, right_key: st
     """As-of join for two large sides: each row of ``df`` gets the ``right`` row
     with the largest ``right_key`` <= ``key_col`` (same ``by`` values), or NULLs.
 
-    Both sides are unioned and range-partitioned on (by, key), so no group is
-    gathered into one task.  Within a task a running ``last(ignorenulls)``
-    carries the latest right row forward; rows at the start of a task take the
-    carry from earlier tasks, found on a small per-task table.  For equal keys
-    the right row sorts first (as-of uses <=).
+    Both sides are unioned and cut into buckets of (by, key) at sampled cut
+    points (as in ``ranking.row_positions``), so no group is gathered into one
+    task.  Within a bucket a running ``last(ignorenulls)`` carries the latest
+    right row forward; rows at the start of a bucket take the carry from
+    earlier buckets, found on a small per-bucket table.  For equal keys the
+    right row sorts first (as-of uses <=).
     """
     by = list(by)
     left_cols = df.columns
@@ -153,9 +154,13 @@ def asof_join_large(df: DataFrame, key_col: str, right: DataFrame, right_key: st
     r = right.select(*[F.col(b) for b in by], F.col(right_key).alias("_k"), F.lit(0).alias("_side"),
                      F.lit(None).cast(l.schema["_row"].dataType).alias("_row"),
                      F.struct(right_key, *right_cols).alias("_cur"))
-    order = [*by, "_k", "_side"]
-    u = l.unionByName(r).repartitionByRange(*order).sortWithinPartitions(*order) \
-         .withColumn("_pid", F.spark_partition_id())
+    # Buckets of (by, key) from sampled cut points: a pure function of the row,
+    # so every branch below sees the same bucket whatever the shuffle order.
+    from .ranking import _bucket_bounds, _bucket_of
+    u = l.unionByName(r)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _bucket_bounds(u, [*by, "_k"], buckets, 23)
+    u = _bucket_of(u, [*by, "_k"], cuts, "_pid").repartitionByRange(2 * (len(cuts) + 1), "_pid")
     w = (Window.partitionBy("_pid", *by).orderBy("_k", "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumn("_run", F.last("_cur", ignorenulls=True).over(w))

@@ -138,16 +138,22 @@ def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int)
     """Up to ``buckets - 1`` sorted cut points of the composite key (driver side,
     bounded by ``buckets``).
 
-    A uniform sample of about 100 keys per bucket (at most a million) is the
-    M rows with the smallest random tag: ``orderBy(rand).limit(M)`` runs as a
-    per-task top-M, one pass with bounded memory and no count.  The cut points
-    split the sorted sample evenly, so bucket sizes vary by about 10 %.
+    A Bernoulli sample of about 100 keys per bucket (at most a million) is
+    taken at a fraction set from the row count, sorted in one task (it is
+    bounded) and cut evenly, so bucket sizes vary by about 10 %.  A top-M by a
+    random tag would save the count but funnels M rows per task into a single
+    merge task, which does not hold on thousands of tasks.
     """
     if buckets <= 1:
         return []
-    m = int(min(100 * buckets, 1_000_000))
-    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k"), F.rand(seed).alias("_r"))
-                .orderBy("_r").limit(m).orderBy("k").collect())
+    n = df.count()
+    if n < 2:
+        return []
+    frac = min(1.0, min(100.0 * buckets, 1_000_000.0) / n)
+    # repartition(1), not coalesce(1): the scan and the sampling stay parallel,
+    # only the bounded sample moves to the one task that sorts it
+    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k")).sample(False, frac, seed)
+                .repartition(1).sortWithinPartitions("k").collect())
     keys = [r["k"] for r in sample]
     if len(keys) < 2:
         return []
