@@ -64,10 +64,21 @@ def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col
 
     ``table`` has (ord, pattern, <value_col>).  No match -> ``default``;
     ``override`` (a literal) wins over everything when given.
-    Only the distinct names meet the regex table (nested loop against a
-    broadcast of a few rows); the answer is joined back by name.
+    A literal table becomes one CASE chain (no shuffle).  Any other table is
+    checked to be small; only the distinct names meet it (nested loop against
+    its broadcast), and the answer is joined back by name.
     """
     out = out or value_col
+    local = getattr(table, "_local_rows", None)
+    if local is not None and len(local) <= 1000:
+        # A literal table: one CASE chain in table order, regexes compiled once,
+        # evaluated row by row with no shuffle at all.
+        i_ord, i_pat, i_val = (table.columns.index(c) for c in ("ord", "pattern", value_col))
+        val_type = dict(table.dtypes)[value_col]
+        val = F.lit(default).cast(val_type) if default is not None else F.lit(None).cast(val_type)
+        for row in sorted(local, key=lambda r: r[i_ord], reverse=True):
+            val = F.when(F.col(name_col).rlike("(?i)" + row[i_pat]), F.lit(row[i_val]).cast(val_type)).otherwise(val)
+        return df.withColumn(out, F.lit(override).cast(val_type) if override is not None else val)
     names = df.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
     hit = names.join(_bounded(table, "pattern table"),
                      F.expr("_name rlike concat('(?i)', pattern)"), "left")

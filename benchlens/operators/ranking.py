@@ -46,7 +46,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared checkpoint folder
     and read it back.  Unlike ``checkpoint()``, whose write recomputes the plan
-    unless it is cached, the rows are computed once."""
+    unless it is cached, the rows are computed once.  The tables are small
+    (one row per group) and are left for the cluster's checkpoint-folder
+    retention to remove, like checkpoint files."""
     path = shared_subdir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -96,7 +98,6 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
                   .select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
         sk = materialize(sk, "kth-brackets")
         stats = join_null_safe(counts, sk, keys, "left", few)
-    # the counted number of groups proves the broadcast bound
     # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
     # (the counted number of groups proves the broadcast bound)
     j = join_null_safe(base, stats, keys, "inner", sizes["groups"] <= BROADCAST_GROUPS)

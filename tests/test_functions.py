@@ -130,3 +130,15 @@ def test_lookup_peak_and_expected_read_time(spark):
     assert t[1].expected_s == pytest.approx(1024 ** 3 / 1e6 / 7064.1)
     assert t[2].expected_s is None
     assert t[3].read_mbs == 306.4  # 1 MB <= 3 MiB < 4 MB
+
+
+def test_first_match_case_chain_equals_join_path(spark):
+    names = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(
+        F.concat_ws(" ", "p_type", "p_brand", F.col("p_size").cast("string")).alias("device"))
+    lit_table = dims.literal(spark, [(1, "standard.*brand#1[0-9]", 1.5e15), (2, "standard", 1.0e15),
+                                     (3, "brand#2", 8.0e14)], "ord INT, pattern STRING, flops DOUBLE")
+    plain = lit_table.select("*")  # loses the literal marker: join path
+    a = joins.lookup_first_match(names, "device", lit_table, "flops", default=1.0)
+    b = joins.lookup_first_match(names, "device", plain, "flops", default=1.0)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert "BroadcastNestedLoopJoin" not in a._jdf.queryExecution().executedPlan().toString()
