@@ -125,8 +125,19 @@ def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "cla
     matches).  A large one is handled as an as-of join on ``lo`` (the range
     with the largest lo <= size), then the row is kept only if size < hi.
     """
-    c = classes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("class").alias(out))
     s = F.col(size_col)
+    local = getattr(classes, "_local_rows", None)
+    if local is not None and len(local) <= min(broadcast_limit, 1000):
+        # literal ranges: one CASE chain, no join
+        i_lo, i_hi, i_c = (classes.columns.index(c) for c in ("lo", "hi", "class"))
+        val = F.lit(None).cast("string")
+        for row in reversed(local):
+            inside = s >= F.lit(row[i_lo])
+            if row[i_hi] is not None:
+                inside = inside & (s < F.lit(row[i_hi]))
+            val = F.when(inside, F.lit(row[i_c])).otherwise(val)
+        return df.withColumn(out, val)
+    c = classes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("class").alias(out))
     if _is_small(classes, broadcast_limit):
         cond = (s >= F.col("_lo")) & (F.col("_hi").isNull() | (s < F.col("_hi")))
         return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
@@ -203,6 +214,19 @@ def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
     Rows below the first point get NULLs.
     """
     by = list(by)
+    local = getattr(curve, "_local_rows", None)
+    if not by and local is not None and len(local) <= min(broadcast_limit, 1000):
+        # literal curve: one CASE chain from the largest key down, no join
+        idx = [curve.columns.index(c) for c in [curve_key, *curve_cols]]
+        types = dict(curve.dtypes)
+        k = F.col(key_col)
+        out = df
+        for j, c in enumerate([curve_key, *curve_cols]):
+            val = F.lit(None).cast(types[c])
+            for row in sorted(local, key=lambda r: r[idx[0]]):
+                val = F.when(k >= F.lit(row[idx[0]]), F.lit(row[idx[j]]).cast(types[c])).otherwise(val)
+            out = out.withColumn(c, val)
+        return out
     if not _is_small(curve, broadcast_limit):
         return asof_join_large(df, key_col, curve, curve_key, curve_cols, by)
     w = Window.partitionBy(*by).orderBy(curve_key)

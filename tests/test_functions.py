@@ -142,3 +142,17 @@ def test_first_match_case_chain_equals_join_path(spark):
     b = joins.lookup_first_match(names, "device", plain, "flops", default=1.0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert "BroadcastNestedLoopJoin" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_literal_range_and_asof_chains_equal_join_paths(spark):
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", (F.col("n_chars") * 1024).alias("bytes"))
+    lit_c, plain_c = dims.size_classes(spark), dims.size_classes(spark).select("*")
+    a = joins.size_class(files, "bytes", lit_c).collect()
+    b = joins.size_class(files, "bytes", plain_c).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    lit_curve = dims.published_curve(spark)
+    x = joins.asof_lookup(files, "bytes", lit_curve, "curve_bytes", ["read_mbs"]).collect()
+    y = joins.asof_lookup(files, "bytes", lit_curve.select("*"), "curve_bytes", ["read_mbs"]).collect()
+    key = lambda r: (r.doc_id, r.bytes, r.curve_bytes, r.read_mbs)
+    assert sorted(map(key, x)) == sorted(map(key, y))
