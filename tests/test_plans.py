@@ -136,3 +136,19 @@ def test_report_materialized_matches(spark, results):
     for t in ("scalars", "params", "comparison", "lines", "tasks"):
         da, db = getattr(a, t), getattr(b, t)
         assert sorted(map(tuple, da.collect())) == sorted(map(tuple, db.select(*da.columns).collect())), t
+
+
+def test_streaming_is_incremental(spark, tmp_path):
+    from benchlens.streaming import start_points_sink, stream_points
+    src, out, chk = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "chk")
+    src.mkdir()
+    (src / "hpl_1.json").write_text(json.dumps({"tflops": 1.0}))
+    (src / "hpl_2.json").write_text(json.dumps({"tflops": 2.0}))
+    start_points_sink(stream_points(spark, str(src)), out, chk).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 2
+    (src / "hpl_3.json").write_text(json.dumps({"tflops": 3.0}))
+    (src / "nccl_1.json").write_text(json.dumps({"busbw_gb_s": 5.0, "algbw_gb_s": None}))
+    start_points_sink(stream_points(spark, str(src)), out, chk).awaitTermination(120)
+    got = sorted((r.file, r.key, r.value) for r in spark.read.parquet(out).collect())
+    assert got == [("hpl_1.json", "tflops", 1.0), ("hpl_2.json", "tflops", 2.0), ("hpl_3.json", "tflops", 3.0),
+                   ("nccl_1.json", "busbw_gb_s", 5.0)]
