@@ -51,7 +51,7 @@ def f8_global_batch(spark, sf):
 
 @query("f9_model_sizing", f"""
 WITH c AS (SELECT s_suppkey, world,
-                  CASE WHEN s_acctbal < 0 THEN 6000000000
+                  CASE WHEN s_acctbal <= 0 THEN 6000000000
                        ELSE CAST(floor(s_acctbal / 1000 * 1e9 / 2.0::DOUBLE) AS BIGINT) END AS params
            FROM ({CLUSTERS_SQL}))
 SELECT s_suppkey, params, params // world AS params_per_rank, (params // world) // 100000000 AS blocks FROM c""")

@@ -47,11 +47,12 @@ def global_batch(per_rank_batch, world) -> Column:
 def model_sizing(model_gb, world, default_params: float = 6e9, block: float = 1e8):
     """(params, params per rank, blocks) for a bf16 model of ``model_gb``.
 
-    params = int(gb * 1e9 / 2) (2 bytes each), default 6e9 when gb is NULL;
-    per rank = params div world; blocks = per rank div 1e8.
+    params = int(gb * 1e9 / 2) (2 bytes each), default 6e9 when gb is NULL or 0
+    (the producer tests the size for truthiness); per rank = params div world;
+    blocks = per rank div 1e8.
     """
     gb = col(model_gb).cast("double")
-    params = F.when(gb.isNull(), F.lit(int(default_params))).otherwise(
+    params = F.when(gb.isNull() | (gb == 0), F.lit(int(default_params))).otherwise(
         F.floor(gb * F.lit(1e9) / F.lit(2.0))).cast("bigint")
     per_rank = F.floor(params / col(world)).cast("bigint")
     blocks = F.floor(per_rank / F.lit(block)).cast("bigint")

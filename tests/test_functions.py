@@ -56,6 +56,11 @@ def test_model_sizing(spark):
     p, r, b = model_sizing(F.lit(None).cast("double"), F.lit(8))
     row = spark.range(1).select(p.alias("p"), r.alias("r"), b.alias("b")).first()
     assert (row.p, row.r, row.b) == (6_000_000_000, 750_000_000, 7)
+    p0, _, _ = model_sizing(F.lit(0.0), F.lit(8))  # zero is falsy in the producer: default too
+    assert one(spark, p0) == 6_000_000_000
+    p1, r1, b1 = model_sizing(F.lit(1.4), F.lit(1))
+    row = spark.range(1).select(p1.alias("p"), r1.alias("r"), b1.alias("b")).first()
+    assert (row.p, row.r, row.b) == (700_000_000, 700_000_000, 7)
 
 
 def test_mfu_null_for_missing_or_zero(spark):
