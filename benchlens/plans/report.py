@@ -64,15 +64,28 @@ class Report:
         for _, bench, metrics, _ in self._reg_rows:
             pts = []
             for i, (k, label, aliases) in enumerate(metrics):
-                vals = [D.extract_path("doc", f"$.{x}", "double") for x in [k, *aliases]]
+                names = [k, *aliases]
+                vals = [D.extract_path("doc", f"$.{x}", "double") for x in names]
+                # display text as the producer prints the value: a JSON integer as its
+                # digits ('8'), any other number as a double ('18.0', '6.55'); very small
+                # or very large doubles use Java's exponent format, not Python's
+                texts = []
+                for x, v_ in zip(names, vals):
+                    raw_v = F.variant_get("doc", f"$.{x}", "variant")
+                    is_int = F.schema_of_variant(raw_v).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+                    texts.append(F.when(is_int, F.to_json(raw_v)).otherwise(v_.cast("string")))
+                text = texts[0]
+                for v_, t_ in reversed(list(zip(vals, texts))):
+                    text = F.when(v_.isNotNull(), t_).otherwise(text)
                 pts.append(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"),
-                                    (vals[0] if len(vals) == 1 else F.coalesce(*vals)).alias("value")))
+                                    (vals[0] if len(vals) == 1 else F.coalesce(*vals)).alias("value"),
+                                    text.alias("text")))
             per_bench.append((bench, F.array(*pts)))
         pick = F.lit(None)
         for bench, arr in reversed(per_bench):
             pick = F.when(F.col("bench") == bench, arr).otherwise(pick)
         x = self.documents.select("bench", "file", F.explode(pick).alias("p"))
-        return x.select("bench", "file", "p.ord", "p.label", "p.value").where(F.col("value").isNotNull())
+        return x.select("bench", "file", "p.ord", "p.label", "p.value", "p.text").where(F.col("value").isNotNull())
 
     @cached_property
     def scalars(self) -> DataFrame:
@@ -116,8 +129,7 @@ class Report:
     @cached_property
     def lines(self) -> DataFrame:
         """one line of text per file, metrics in declared order."""
-        pieces = self._points.select("bench", "file", "ord",
-                                     F.concat("label", F.lit(": "), F.col("value").cast("string")).alias("t"))
+        pieces = self._points.select("bench", "file", "ord", F.concat("label", F.lit(": "), "text").alias("t"))
         return (pieces.groupBy("bench", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("a"))
                       .select("bench", "file", F.array_join(F.transform("a", lambda x: x["t"]), "  ").alias("text")))
 
