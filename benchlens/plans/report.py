@@ -122,9 +122,7 @@ class Report:
             F.struct(F.lit(k).alias("key"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in mkeys]))
             .alias("e")).select("bench", "file", "e.key", "e._v")
         return cells.join(present, ["bench", "file", "key"], "left").select(
-            "bench", "file", "ord", "key",
-            F.when(F.col("_v").isNull(), F.lit("—")).when(F.is_variant_null("_v"), F.lit("None"))
-             .otherwise(F.to_json("_v")).alias("display"))
+            "bench", "file", "ord", "key", display_text(F.col("_v")).alias("display"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -141,6 +139,20 @@ class Report:
             "task_name", task_label("bench", F.lit(self._cluster), ts))
 
 
+def display_text(v):
+    """A VARIANT value shown as the producer prints it: SQL NULL (key absent)
+    -> '—', JSON null -> 'None', integer -> digits, other number -> double
+    text, string -> the string, anything else -> its JSON text."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull(), F.lit("—"))
+             .when(F.is_variant_null(v), F.lit("None"))
+             .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.to_json(v))
+             .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
+                   F.try_variant_get(v, "$", "double").cast("string"))
+             .when(t == "STRING", F.try_variant_get(v, "$", "string"))
+             .otherwise(F.to_json(v)))
+
+
 def _keys(reg: DataFrame, field: str) -> DataFrame:
     """(bench, ord, key, label?, aliases) from the registry arrays."""
     x = reg.select("bench", F.posexplode(field).alias("ord", "m"))

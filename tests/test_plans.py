@@ -153,3 +153,11 @@ def test_streaming_is_incremental(spark, tmp_path):
     got = sorted((r.file, r.key, r.value) for r in spark.read.parquet(out).collect())
     assert got == [("hpl_1.json", "tflops", 1.0), ("hpl_2.json", "tflops", 2.0), ("hpl_3.json", "tflops", 3.0),
                    ("nccl_1.json", "busbw_gb_s", 5.0)]
+
+
+def test_display_text(spark):
+    df = spark.createDataFrame([('{"a": 18.0, "b": 8, "c": "x", "d": null, "e": [1]}',)], "raw string")
+    d = df.select(F.parse_json("raw").alias("v"))
+    cols = {k: R.display_text(F.variant_get("v", f"$.{k}", "variant")) for k in "abcdez"}
+    row = d.select(*[c.alias(k) for k, c in cols.items()]).first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.z) == ("18.0", "8", "x", "None", "[1]", "—")
