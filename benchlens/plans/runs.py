@@ -62,4 +62,10 @@ def checkpoint_summary(rounds: DataFrame) -> DataFrame:
         out = part if out is None else out.join(part, "run")
     size = r.where(F.col("phase") == "save").groupBy("run").agg(
         (F.max("bytes") / F.lit(1e9)).alias("checkpoint_size_gb"))
-    return out.join(size, "run")
+    # per-round rates in round order (one element per round: bounded)
+    per_round = r.groupBy("run").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("phase") == ph, F.struct("round", "gb_s")))).alias(f"_{ph}")
+        for ph in ("save", "load")])
+    per_round = per_round.select("run", *[F.transform(f"_{ph}", lambda x: x["gb_s"]).alias(f"{ph}_rounds")
+                                          for ph in ("save", "load")])
+    return out.join(size, "run").join(per_round, "run")

@@ -61,13 +61,19 @@ def with_layout_class(summary: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def to_records(summary: DataFrame, header: dict, keys: Sequence[str] = ()) -> DataFrame:
-    """K1 shape: one document per sweep (header + ``sweep`` array ordered by size).
+    """K1 shape: one document per sweep (header + ``sweep`` array ordered by size),
+    elements as the sweep job writes them (display label, size, workers, passes,
+    write/read median and min MB/s).
 
     The array holds one element per swept size (a handful), never raw trials.
     """
     keys = list(keys)
-    el = F.struct(F.col("size_bytes").alias("_o"), "block_size", "write_bw_median_mbs", "write_bw_min_mbs",
-                  "read_bw_median_mbs", "read_bw_min_mbs")
+    label = F.lit(None).cast("string")
+    for lbl, disp in reversed(dims.SWEEP_SIZES):
+        label = F.when(F.col("block_size") == lbl, F.lit(disp)).otherwise(label)
+    el = F.struct(F.col("size_bytes").alias("_o"), label.alias("block_size_label"), "block_size",
+                  F.lit(header.get("workers")).alias("workers"), F.lit(header.get("passes")).alias("passes"),
+                  "write_bw_median_mbs", "write_bw_min_mbs", "read_bw_median_mbs", "read_bw_min_mbs")
     g = summary.groupBy(*keys).agg(F.array_sort(F.collect_list(el)).alias("_s")) if keys else \
         summary.agg(F.array_sort(F.collect_list(el)).alias("_s"))
     sweep = F.transform("_s", lambda x: x.dropFields("_o"))

@@ -86,6 +86,7 @@ def test_sweep_plan(spark):
     assert (r.read_bw_median_mbs, r.read_bw_min_mbs, r.write_bw_median_mbs) == (4.0, 2.0, 1.0)
     rec = sweep.to_records(summ, {"workers": 1, "passes": 3}, ["cluster"]).first()
     assert [e.block_size for e in rec.sweep][:2] == ["64k", "256k"] and rec.workers == 1
+    assert rec.sweep[0].block_size_label == "64 KB" and rec.sweep[0].passes == 3
     v = sweep.curve_verdicts(summ, ["cluster"], eps=0.10).first()
     assert v.plateau is True  # flat curve: plateau from the first size
     cls = {x.block_size: x.layout_class for x in sweep.with_layout_class(summ, spark).collect()}
@@ -117,6 +118,7 @@ def test_run_and_checkpoint_summary(spark):
     assert round(ck.save_gb_s, 2) == 7.43 and ck.save_cold_gb_s == pytest.approx(1.28)
     assert ck.save_warm_gb_s == pytest.approx(10.5) and ck.load_gb_s == pytest.approx(8.4)
     assert ck.checkpoint_size_gb == pytest.approx(1.0)
+    assert [round(x, 2) for x in ck.save_rounds] == [1.28, 10.5, 10.5]
 
 
 def test_streaming_points(spark, results, tmp_path):
