@@ -163,3 +163,12 @@ def test_display_text(spark):
     cols = {k: R.display_text(F.variant_get("v", f"$.{k}", "variant")) for k in "abcdez"}
     row = d.select(*[c.alias(k) for k, c in cols.items()]).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.z) == ("18.0", "8", "x", "None", "[1]", "—")
+
+
+def test_cli_report(spark, results, tmp_path, capsys):
+    from benchlens.__main__ import main
+    assert main(["report", "--results-dir", results, "--dry-run"]) == 0
+    out = capsys.readouterr().out
+    assert "[π₀.₅ Checkpoint]  pi05_ckpt_1n_7.json" in out and "Load GB/s: 8" in out
+    assert main(["report", "--results-dir", results, "--out", str(tmp_path / "rep")]) == 0
+    assert spark.read.parquet(str(tmp_path / "rep" / "scalars")).count() > 0
