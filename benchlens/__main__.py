@@ -32,7 +32,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("benchlens-report").getOrCreate()
     ensure_checkpoint_dir(spark)
     try:
-        rep = report(spark, args.results_dir, cluster=args.cluster_name, recursive=args.recursive)
+        # writing every table: parse the documents once (written to the shared folder)
+        rep = report(spark, args.results_dir, cluster=args.cluster_name, recursive=args.recursive,
+                     materialize=not args.dry_run)
     except ValueError as e:
         print(str(e), file=sys.stderr)
         return 1
