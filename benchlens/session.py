@@ -40,7 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a private folder is created.
+    as is; without it the library refuses to run rather than write to each
+    machine's own disk.  Only in local mode (tests) an unset folder is
+    replaced by a private temporary one.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -48,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("benchlens needs spark.checkpoint.dir set to a folder shared by all "
+                             "executors (for example on HDFS or an object store)")
         d = tempfile.mkdtemp(prefix="benchlens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
