@@ -254,5 +254,6 @@ def report_scalars(spark, sf):
     validated, projected (alias fills the canonical key), unpivoted with NULL
     metrics dropped, and numbered per benchmark by file name."""
     from ..plans.report import report_documents
-    rep = report_documents(spark, event_documents(spark, sf), cluster="driver")
+    rep = report_documents(spark, event_documents(spark, sf), cluster="driver", cache=True)
+    # several passes (positions count and sample, then points): parse once
     return rep.scalars

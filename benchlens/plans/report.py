@@ -36,7 +36,7 @@ class Report:
     """
 
     def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at,
-                 materialize: bool = False):
+                 materialize: bool = False, cache: bool = False):
         self._spark, self._cluster, self._at = spark, cluster, at
         self._reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
         self._reg = dims.registry(spark, extensions)
@@ -49,6 +49,15 @@ class Report:
             # parse once: every table below reads the parsed documents
             from ..operators.ranking import materialize as write_once
             self.documents = write_once(self.documents, "report-documents")
+        elif cache:
+            # parse once per session: the tables (and the positions' sampling jobs) reuse the
+            # parsed documents; a lost block is simply parsed again
+            from pyspark import StorageLevel
+            self.documents = self.documents.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        """Drop the cached documents (when built with ``cache=True``)."""
+        self.documents.unpersist()
         self.rejected = rejected.select("file", "bench")
 
     @cached_property
@@ -182,15 +191,17 @@ def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
 
 def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "cluster",
                      extensions: bool = True, at=None, require_results: bool = True,
-                     materialize: bool = False) -> Report:
+                     materialize: bool = False, cache: bool = False) -> Report:
     """The report on documents already in a DataFrame of (file, stem, raw).
 
     ``require_results`` refuses an empty result set up front (A16) with a
     one-row probe rather than a count.  ``materialize=True`` writes the parsed,
     valid documents once to the shared checkpoint folder, so several tables do
-    not parse every document again (worth it when most tables are built).
+    not parse every document again (worth it when most tables are built);
+    ``cache=True`` keeps them in executor memory/disk instead (``release()``
+    drops them).
     """
-    rep = Report(spark, files, cluster, extensions, at, materialize)
+    rep = Report(spark, files, cluster, extensions, at, materialize, cache)
     if require_results and rep.documents.isEmpty():
         raise ValueError("No recognised JSON result files found.")
     return rep
