@@ -135,7 +135,7 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, p: float,
     return out.select(*keys, "n", (F.col("_x0") + frac * (F.col("_x1") - F.col("_x0"))).alias(name))
 
 
-def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int) -> list:
+def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int, n: int | None = None) -> list:
     """Up to ``buckets - 1`` sorted cut points of the composite key (driver side,
     bounded by ``buckets``).
 
@@ -147,7 +147,7 @@ def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int)
     """
     if buckets <= 1:
         return []
-    n = df.count()
+    n = df.count() if n is None else n
     if n < 2:
         return []
     frac = min(1.0, min(100.0 * buckets, 1_000_000.0) / n)
@@ -186,7 +186,8 @@ def _bucket_of(x: DataFrame, cols: Sequence[str], cuts: list, name: str) -> Data
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  name: str = "pos", num_partitions: int | None = None, seed: int = 17) -> DataFrame:
+                  name: str = "pos", num_partitions: int | None = None, seed: int = 17,
+                  small_rows: int = SMALL_GROUP) -> DataFrame:
     """1-based position of each row within its group by a *unique* order.
 
     Same result as ``row_number().over(partitionBy(keys).orderBy(order))`` but
@@ -200,12 +201,20 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     * only the first group of a bucket can have rows in earlier buckets, so the
       non-zero offsets are at most one row per bucket: a broadcast whose bound
       is known before any job runs.
+
+    Inputs of at most ``small_rows`` rows (counted first) take a plain window:
+    no group can then exceed that bound.
     """
     keys, order = list(keys), list(order)
     cols = keys + order
     spark = df.sparkSession
+    n = df.count()
+    if n <= small_rows:
+        # the whole input is small, so is every group: a plain window is bounded
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     buckets = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _bucket_bounds(df, cols, buckets, seed)
+    cuts = _bucket_bounds(df, cols, buckets, seed, n)
     b = _bucket_of(df, cols, cuts, "_bk")
     # range on the bucket id puts about one bucket per task (hashing the ids
     # would stack several on one task); each bucket lands whole in one task,

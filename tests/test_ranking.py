@@ -45,7 +45,7 @@ def test_row_positions_matches_row_number(spark):
     rows = [("hot", i) for i in range(5000)] + [(f"k{i % 13}", i) for i in range(3000)]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, o long").repartition(5)
-    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=9).collect()
+    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=9, small_rows=0).collect()
     by = {}
     for k, o in rows:
         by.setdefault(k, []).append(o)
@@ -55,8 +55,9 @@ def test_row_positions_matches_row_number(spark):
 
 def test_global_positions_invariant_to_partitioning(spark):
     base = spark.range(0, 3000).select((F.col("id") * 7919 % 3001).alias("o"))
-    a = {r.o: r.pos for r in ranking.row_positions(base.coalesce(1), [], ["o"], "pos").collect()}
-    b = {r.o: r.pos for r in ranking.row_positions(base.repartition(8), [], ["o"], "pos", num_partitions=5).collect()}
+    a = {r.o: r.pos for r in ranking.row_positions(base.coalesce(1), [], ["o"], "pos", small_rows=0).collect()}
+    b = {r.o: r.pos for r in ranking.row_positions(base.repartition(8), [], ["o"], "pos", num_partitions=5,
+                                                         small_rows=0).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 3001))
 
 
@@ -86,7 +87,7 @@ def test_asof_large_path_matches_broadcast_path(spark):
 def test_row_positions_null_group_spanning_buckets(spark):
     rows = [(None, i) for i in range(3000)] + [("a", i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o long").repartition(4)
-    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=8).collect()
+    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=8, small_rows=0).collect()
     assert sorted(r.pos for r in got if r.k is None) == list(range(1, 3001))
     assert sorted(r.pos for r in got if r.k == "a") == list(range(1, 501))
 
@@ -107,3 +108,11 @@ def test_group_joins_keep_null_groups(spark):
     assert sorted(r.v for r in agg.comparison(df, ["g"]).collect()) == [1.0, 2.0]
     lat = {r.g: (r.avg_latency_ms, r.p99_latency_ms) for r in agg.latency_summary(df, ["g"], "v").collect()}
     assert lat[None][0] == 1.5 and lat["a"] == (3.0, 3.0)
+
+
+def test_row_positions_small_path_equals_bucketed(spark):
+    rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(700)] + [(f"k{i % 7}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, o long").repartition(3)
+    a = {(r.k, r.o): r.pos for r in ranking.row_positions(df, ["k"], ["o"], "pos").collect()}
+    b = {(r.k, r.o): r.pos for r in ranking.row_positions(df, ["k"], ["o"], "pos", small_rows=0).collect()}
+    assert a == b
