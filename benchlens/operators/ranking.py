@@ -10,7 +10,8 @@ keep every task bounded:
   n/accuracy).  Rows below the bracket are only counted, rows inside it are
   collapsed to (value, count) pairs, rows above it are dropped.  The exact
   answer is then read from a running count over the few candidates left.
-  Groups with at most ``small_group`` rows skip the bracket.
+  Groups with at most ``small_group`` rows skip the bracket, and an input of
+  at most ``small_group`` rows in total is ranked with a plain window.
 * ``row_positions`` numbers rows within a group by a unique order, like
   ``row_number()``, but buckets rows by sampled cut points of (group, order)
   so a hot group is split over many tasks; each bucket's first group takes
@@ -74,6 +75,16 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
     base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     spark = df.sparkSession
+    if base.count() <= small_group:
+        # The whole input is small, so is every group: rank within each group
+        # with a plain window (bounded by small_group rows per task).
+        w = Window.partitionBy(*keys).orderBy("_v")
+        x = (base.withColumn("_rn", F.row_number().over(w))
+                 .withColumn("n", F.count("*").over(Window.partitionBy(*keys))))
+        return x.groupBy(*keys, "n").agg(
+            *[fn(F.col("_v")).alias(name) for name, fn in extra.items()],
+            *[F.min(F.when(F.col("_rn") == fn(F.col("n")), F.col("_v"))).alias(name)
+              for name, fn in ranks.items()])
     ensure_checkpoint_dir(spark)
     # Pass 1: group sizes (and the extra aggregates), written once to the
     # shared checkpoint folder so the checks below read one row per group.

@@ -45,7 +45,10 @@ def test_no_python_in_plan(spark, name):
 def test_median_never_windows_raw_rows(spark):
     """A1's window runs over candidate (value, count) pairs, after an aggregation,
     and the group table is read from the shared folder (lineage cut)."""
-    p = QUERIES["a1_ordinal_median"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    from benchlens.operators import ranking
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    big = ranking.ordinal_median(ev, ["event_type", "user_id"], "value", "m", small_group=0)  # the large-input path
+    p = big._jdf.queryExecution().optimizedPlan().toString()
     w = p.index("Window")
     assert "Aggregate" in p[w:] and p.index("Aggregate", w) < p.index("Relation", w)
     # the (keys, n) table is a parquet relation of its own, not an aggregate over events
