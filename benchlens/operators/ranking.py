@@ -75,7 +75,8 @@ def kth_values(df: DataFrame, keys: Sequence[str], value: str,
     base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     spark = df.sparkSession
-    if base.count() <= small_group:
+    # limit + 1 stops reading as soon as the input is known to be large
+    if base.limit(small_group + 1).count() <= small_group:
         # The whole input is small, so is every group: rank within each group
         # with a plain window (bounded by small_group rows per task).
         w = Window.partitionBy(*keys).orderBy("_v")
@@ -219,13 +220,13 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     cols = keys + order
     spark = df.sparkSession
-    n = df.count()
-    if n <= small_rows:
+    # limit + 1 stops reading as soon as the input is known to be large
+    if df.limit(small_rows + 1).count() <= small_rows:
         # the whole input is small, so is every group: a plain window is bounded
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     buckets = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _bucket_bounds(df, cols, buckets, seed, n)
+    cuts = _bucket_bounds(df, cols, buckets, seed)
     b = _bucket_of(df, cols, cuts, "_bk")
     # range on the bucket id puts about one bucket per task (hashing the ids
     # would stack several on one task); each bucket lands whole in one task,
