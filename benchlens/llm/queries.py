@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_orc, warc
+from . import language_id, token_orc, url_filter, warc
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -38,3 +39,15 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Stages(spark, "orc").path("tokens")
     token_orc.write(token_orc.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
     return token_orc.offsets(token_orc.read(spark, path))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", F.col("rejected"))
