@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, token_orc, url_filter, warc
+from . import decontaminate, fingerprint, language_id, token_orc, url_filter, warc
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -51,3 +51,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", F.col("rejected"))
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingles_sql(table_: str, key: str) -> str:
+    return f"""
+SELECT {key}, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table_})"""
+
+
+SQL["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({_shingles_sql("documents", "doc_id")})),
+     i AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM ({_shingles_sql("benchmark", "item_id")}))
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(DISTINCT g) AS n_matched,
+       count(DISTINCT g) / n::DOUBLE AS containment
+FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n HAVING 5 * count(DISTINCT g) >= 4 * n"""
+
+
+@query
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
