@@ -32,7 +32,14 @@ from pyspark.sql import functions as F
 from ._common import gather, id_text, slices
 
 SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
-WORD = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<p>[.,!?;:]*)$"
+WORD = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<p>[-.,!?;:%$&*#\"()\[\]{}/+=@^~_]*)$"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level pre-tokenizing: printable Latin-1 stands for itself, the other bytes for U+0100 and on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = sorted(set(range(256)) - set(own))
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
 class WordEncoder:
@@ -51,6 +58,13 @@ class WordEncoder:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for one in ids for x in one), np.int32, int(n.sum())), n
 
+    def words(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``library``, of single lower-case words: the library's merges without its text handling."""
+        merge, table = self.tok.model.tokenize, byte_alphabet()
+        ids = [[t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(table))] for w in items.to_pylist()]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for one in ids for x in one), np.int32, int(n.sum())), n
+
     def pieces(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct white-space-free pieces: flat, and offsets."""
         m = pc.extract_regex(items, WORD)
@@ -58,7 +72,7 @@ class WordEncoder:
         word = pc.utf8_lower(m.field("w").filter(pa.array(plain))).dictionary_encode()
         mark = m.field("p").filter(pa.array(plain)).dictionary_encode()
         rest = items.filter(pa.array(~plain))
-        parts = [self.library(x) for x in (word.dictionary, mark.dictionary, rest)]
+        parts = [self.words(word.dictionary), self.library(mark.dictionary), self.library(rest)]
         flat = np.concatenate([p[0] for p in parts])
         n = np.concatenate([p[1] for p in parts])
         start = np.cumsum(n) - n
@@ -89,7 +103,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 1, partitions:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, pos = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, max_bytes=12 << 20):
                 ids, off = enc.encode(b.column("text"))
                 if end_id is not None:
                     ends = off[1:] + np.arange(b.num_rows)
