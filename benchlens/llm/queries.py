@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, token_orc, url_filter, warc
+from . import decontaminate, fingerprint, language_id, piece_sampling, token_counts, token_orc, url_filter, warc
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -76,3 +76,14 @@ FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n HAVING 5 * count(DISTINCT g)
 @query
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
