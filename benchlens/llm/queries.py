@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, piece_sampling, token_counts, token_orc, url_filter, warc
+from . import decontaminate, fingerprint, language_id, piece_sampling, suffix_dedup, token_counts, token_orc, url_filter, warc
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -87,3 +87,27 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+# bytes are pairs of hex digits, so that strings of 50 bytes are substrings of 100 characters
+SQL["op1_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+     s AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 49)) AS b, x FROM d),
+     w AS (SELECT doc_id, b, substr(x, 2 * b + 1, 100) AS span FROM s),
+     f AS (SELECT span, min(doc_id) AS first FROM w GROUP BY span HAVING min(doc_id) <> max(doc_id)),
+     r AS (SELECT w.doc_id, b FROM w JOIN f ON w.span = f.span AND w.doc_id > f.first),
+     g AS (SELECT doc_id, b, b - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY b), -1000) > 50 AS new FROM r),
+     n AS (SELECT doc_id, b, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b) AS run FROM g),
+     m AS (SELECT doc_id, run, min(b) AS a, max(b) + 50 AS z FROM n GROUP BY doc_id, run),
+     k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM m),
+     p AS (SELECT k.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+                  max(z) AS z, sum(z - a) AS gone, count(*) AS spans FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || substr(x, 2 * z + 1), x))) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id)"""
