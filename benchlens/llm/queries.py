@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, piece_sampling, suffix_dedup, token_counts, token_orc, url_filter, warc
+from . import decontaminate, fingerprint, language_id, near_dups, piece_sampling, suffix_dedup, token_counts, token_orc, url_filter, warc
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -111,3 +111,22 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
        CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(head || substr(x, 2 * z + 1), x))) AS kept_sha256
 FROM d LEFT JOIN p USING (doc_id)"""
+
+
+@query
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+SQL["op6_near_dups"] = r"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+     g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+     r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.to_id = p.a),
+     c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
