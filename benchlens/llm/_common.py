@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ class Stages:
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20):
     """Cut an Arrow batch into runs of rows whose texts take at most ``max_bytes`` (or one row)."""
     col = batch.column(column)
-    size = np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64)
+    size = np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64)
     block = np.cumsum(size) // max_bytes
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import flat_bytes, id_text, slices
+from ._common import Stages, flat_bytes, id_text, slices
 
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
@@ -158,15 +158,22 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001
 
 
 def fit(docs: DataFrame, per_class: int = 600, lang_col: str = "lang", holdout: bool = True) -> Model:
-    """Train on at most ``per_class`` documents of each language, the smallest by a hash of the id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    """Train on at most ``per_class`` documents of each language, the smallest by a hash of the id.
+
+    The sample is picked on narrow rows (key and language); only its texts are
+    read into the driver.  Documents without an id are not sampled.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     if holdout:
         rows = rows.where(~held_out())
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    pick = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    got = pick.where(F.col("at") <= per_class).orderBy("at", "lang").select("text", "lang").collect()
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    pick = rows.select("doc_id", "lang", "hash").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class)
+    pick = Stages(docs.sparkSession, "language").write(pick.drop("lang"), "sample")
+    small = F.broadcast(pick) if pick.count() <= 1_000_000 else pick
+    got = rows.join(small, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "lang"]).orderBy("at", "lang", "doc_id").select("text", "lang").collect()
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 

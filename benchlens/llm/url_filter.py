@@ -56,14 +56,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def grams(text: Column) -> Column:
-    """Each character with the three before it, as one base-41 number."""
-    low = F.translate(text, UPPER, LOWER)
-    classes = F.transform(F.split(low, ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(CLASSES - 1))
-    codes = F.concat(F.array(*[F.lit(0)] * (SPAN - 1)), classes)
-    code = lambda i: sum(F.get(codes, i + k).cast("long") * CLASSES ** (SPAN - 1 - k) for k in range(SPAN))
-    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(classes) - 1), code))
+def codes(text: Column) -> Column:
+    """The classes of a text's characters after ``SPAN`` - 1 pads; null for an empty text."""
+    at = lambda c: F.instr(F.lit(ALPHABET), c)
+    classes = F.transform(F.split(F.translate(text, UPPER, LOWER), ""), lambda c: F.when(at(c) > 0, at(c)).otherwise(CLASSES - 1))
+    return F.when(text != "", F.concat(F.array(*[F.lit(0)] * (SPAN - 1)), classes))
+
+
+def grams(code: str) -> Column:
+    """Each character with the three before it, as one base-41 number; ``code`` names a column of ``codes``."""
+    one = lambda i: sum(F.get(F.col(code), i + k).cast("long") * CLASSES ** (SPAN - 1 - k) for k in range(SPAN))
+    return F.transform(F.sequence(F.lit(0), F.size(code) - SPAN), one)
 
 
 def fit(labelled: DataFrame, weight: float = 4.0) -> DataFrame:
@@ -118,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = rows.groupBy("host", "path").agg(F.first("label").alias("label"), F.count("*").alias("n"))
     held = F.crc32(F.concat("host", "path").cast("binary")) % 5 == 0
     urls = st.write(urls.withColumn("held", held), "urls")
-    pieces = urls.select("host", "path", "label", "held", F.explode_outer(grams(F.concat("host", "path"))).alias("gram"))
+    pieces = urls.withColumn("codes", codes(F.concat("host", "path"))).select("host", "path", "label", "held", F.explode_outer(grams("codes")).alias("gram"))
     model = fit(pieces.where("gram IS NOT NULL").select("gram", F.when(~F.col("held"), F.col("label")).alias("label")))
     scored = (pieces.join(F.broadcast(model), "gram", "left").groupBy("host", "path")
               .agg(F.first("label").alias("label"), F.first("held").alias("held"),
