@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -13,35 +13,16 @@ STEM_PREFIXES = ["hpl_", "nccl_", "mlperf_", "lerobot_", "pi05_1n8g_", "pi05_2n1
                  "pi05_ckpt_1n_", "storage_sweep_", "stream_"]
 
 
-_HANDLES: dict = {}
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Scan one driver table."""
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf: str, name: str, balanced: bool = False) -> DataFrame:
-    """Scan one driver table.
-
-    Table handles are resolved once per application (file listing and footer
-    schema), like catalog tables; every query still reads the data itself.
-    ``balanced=True`` spreads an unsplittable file over the cores; used only
-    where the work before the first shuffle is heavy (sorts, wide arrays).
-    """
-    path = f"{sf.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path, balanced)
-    df = _HANDLES.get(key)
-    if df is None:
-        if balanced:
-            from ..sources.tables import read_parquet_balanced
-            df = read_parquet_balanced(spark, path)
-        else:
-            df = spark.read.parquet(path)
-        _HANDLES[key] = df
-    return df
-
-
-def cents(c) -> "F.Column":
+def cents(c) -> Column:
     """Two-decimal values as exact integer hundredths: averages of these are
     order-independent (integer-valued doubles sum exactly), so Spark and the
     oracle agree to the last bit, ties included."""
-    return F.round(F.col(c) * 100).cast("bigint")
+    return F.round((F.col(c) if isinstance(c, str) else c) * 100).cast("bigint")
 
 
 def sql_str(s: str) -> str:
@@ -114,13 +95,14 @@ def size_bucket_curve(spark: SparkSession, sf: str) -> DataFrame:
     """documents as a throughput curve: per (source, sweep size bucket) the mean KiB.
 
     A file is put in the largest sweep size <= its bytes (as-of on the sweep
-    sizes); files below the first size are left out of the curve.
+    sizes); files below the first size make a point of their own at size 0.
     """
-    from ..operators.joins import asof_lookup
+    from ..operators.joins import asof_fixed
     f = doc_files(spark, sf).select("source", F.col("bytes").alias("file_bytes"))
-    x = asof_lookup(f, "file_bytes", dims.sweep_sizes(spark), "bytes", ["block_size"])
-    x = x.where(F.col("bytes").isNotNull()).withColumnRenamed("bytes", "size_bytes")
-    return x.groupBy("source", "size_bytes", "block_size").agg(
+    points = [(dims._size_bytes(lbl), lbl) for lbl, _ in dims.SWEEP_SIZES]
+    x = asof_fixed(f, "file_bytes", points, ["size_bytes", "block_size"], ["bigint", "string"])
+    return x.groupBy("source", F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("size_bytes"),
+                     F.coalesce("block_size", F.lit("below")).alias("block_size")).agg(
         F.bround(F.avg("file_bytes") / F.lit(1024.0), 6).alias("rate"), F.count("*").alias("n_files"))
 
 
@@ -130,7 +112,8 @@ def sweep_sizes_sql() -> str:
 
 
 CURVE_SQL = f"""
-SELECT source, size_bytes, block_size, round_even(avg(bytes) / 1024.0::DOUBLE, 6) AS rate, count(*) AS n_files
+SELECT source, coalesce(size_bytes, 0) AS size_bytes, coalesce(block_size, 'below') AS block_size,
+       round_even(avg(bytes) / 1024.0::DOUBLE, 6) AS rate, count(*) AS n_files
 FROM ({DOC_FILES_SQL}) f
-ASOF JOIN {sweep_sizes_sql()} ON f.bytes >= sw.size_bytes
-GROUP BY source, size_bytes, block_size"""
+ASOF LEFT JOIN {sweep_sizes_sql()} ON f.bytes >= sw.size_bytes
+GROUP BY ALL"""

@@ -1,5 +1,4 @@
-"""File bindings: the driver folder itself (S7, S10, S11) and documents as files
-with sizes (P4, F1-F3, F16, J4, J5, K1)."""
+"""File bindings: documents as files with sizes."""
 
 from __future__ import annotations
 
@@ -9,42 +8,10 @@ from .. import dims, sinks
 from ..functions import format_size, parse_size, test_file_size, transfer_seconds
 from ..operators import joins, project
 from ..session import shared_subdir
-from ..sources import files as FS
-from ..sources import probes
 from . import common as C
 from . import query
 
 
-@query("s7_file_inventory", """
-SELECT parse_filename(filename) AS file_name, size AS length FROM read_blob('/root/testdata/sf0.01/*')""")
-def s7_file_inventory(spark, sf):
-    """Every file under the data folder with its size (contents never read)."""
-    return FS.file_inventory(spark, sf).select("file_name", "length")
-
-
-@query("s7_inventory_totals", """
-SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM read_blob('/root/testdata/sf0.01/*')""")
-def s7_inventory_totals(spark, sf):
-    return FS.inventory_totals(FS.file_inventory(spark, sf))
-
-
-@query("s10_probe_read")
-def s10_probe_read(spark, sf):
-    """Every table file read and timed on an executor (timings vary: rows only)."""
-    inv = FS.file_inventory(spark, sf, glob="*.parquet")
-    return probes.probe_read(inv).withColumn(
-        "file_name", F.regexp_extract("path", r"([^/]+)$", 1)).drop("path")
-
-
-@query("s11_probe_roundtrip")
-def s11_probe_roundtrip(spark, sf):
-    """Lineitem saved as 8 shards and loaded back, 3 rounds; per round and
-    phase the barrier span, bytes counted once and GB/s (timings vary: rows only)."""
-    li = C.table(spark, sf, "lineitem")
-    rounds = probes.probe_roundtrip(spark, li, shards=8, rounds=3)
-    return probes.roundtrip_rates(rounds)
-
-
 LABELS_SQL = """
 SELECT doc_id, n_chars,
        CASE doc_id % 6 WHEN 0 THEN CAST(n_chars AS VARCHAR) || 'k'
@@ -112,7 +79,7 @@ FROM ({C.DOC_FILES_SQL}) f LEFT JOIN {_classes_sql()}
   ON f.bytes >= sc.lo AND (sc.hi IS NULL OR f.bytes < sc.hi)""")
 def j4_size_class(spark, sf):
     f = C.doc_files(spark, sf).select("doc_id", "bytes")
-    return joins.size_class(f, "bytes", dims.size_classes(spark))
+    return f.withColumn("class", joins.size_class_fixed(F.col("bytes"), dims.SIZE_CLASSES))
 
 
 def _read_curve_sql() -> str:
@@ -128,7 +95,7 @@ def j5_asof_curve(spark, sf):
     """Expected read time of each file from the published read curve
     (largest swept size not above the file size; none below 64 KiB)."""
     f = C.doc_files(spark, sf).select("doc_id", "bytes")
-    x = joins.asof_lookup(f, "bytes", dims.published_curve(spark, "read"), "curve_bytes", ["read_mbs"])
+    x = joins.asof_fixed(f, "bytes", [(dims._size_bytes(lbl), r) for lbl, _, r in dims.BASELINE_SWEEP], ["curve_bytes", "read_mbs"], ["bigint", "double"])
     return x.select("doc_id", "bytes", "curve_bytes", "read_mbs",
                     F.bround(transfer_seconds(F.col("bytes") / F.lit(1e6), "read_mbs"), 9).alias("expected_s"))
 

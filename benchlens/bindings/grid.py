@@ -10,7 +10,6 @@ from .. import dims
 from ..functions import (dataset_path, geometric_series, global_batch, headroom, model_sizing,
                          node_class, problem_size, share_pct, task_label)
 from ..operators import joins, project
-from ..sources.synthetic import synthetic_observations
 from . import common as C
 from . import query
 
@@ -111,20 +110,16 @@ def f15_headroom(spark, sf):
 BANDS = [(0.0, 40.0, "below expected"), (40.0, 55.0, "typical"), (55.0, None, "above typical")]
 
 
-def bands(spark):
-    return dims.literal(spark, BANDS, "lo DOUBLE, hi DOUBLE, class STRING")
-
-
 @query("f17_verdict", f"""
 WITH c AS (SELECT s_suppkey, (abs(s_acctbal) / 100 + 1) / 288.0::DOUBLE * 100 * 2 AS share FROM ({CLUSTERS_SQL}))
 SELECT s_suppkey, round_even(share, 9) AS share, b.verdict
 FROM c LEFT JOIN (VALUES {", ".join(f"({lo}::DOUBLE, {'NULL' if hi is None else str(hi) + '::DOUBLE'}, {C.sql_str(v)})" for lo, hi, v in BANDS)}) AS b(lo, hi, verdict)
   ON c.share >= b.lo AND (b.hi IS NULL OR c.share < b.hi)""")
 def f17_verdict(spark, sf):
-    """a share of peak put in its verdict band (range join on a band table)."""
+    """a share of peak put in its verdict band ."""
     c = clusters(spark, sf).withColumn(
         "share", share_pct(F.abs("s_acctbal") / F.lit(100.0) + F.lit(1.0), F.lit(288.0)) * F.lit(2.0))
-    v = joins.verdict(c, "share", bands(spark))
+    v = c.withColumn("verdict", joins.size_class_fixed(F.col("share"), BANDS))
     return v.select("s_suppkey", F.bround("share", 9).alias("share"), "verdict")
 
 
@@ -170,26 +165,3 @@ def f11_geometric(spark, sf):
         "s_suppkey", (F.lit(1048576) * F.pow(F.lit(2), F.col("s_suppkey") % 14)).cast("bigint").alias("end"))
     s = c.select("s_suppkey", F.posexplode(geometric_series(F.lit(1048576), F.lit(2), "end")).alias("idx", "size_bytes"))
     return s.withColumn("idx", F.col("idx").cast("int"))
-
-
-@query("s9_synthetic", """
-WITH v AS (
-  SELECT o_orderkey AS id,
-         (((o_orderkey % 2147483648) * 1103515245 + p * 12345 + 7) % 2147483648) / 1073741824.0::DOUBLE - 1 AS x
-  FROM orders, LATERAL (SELECT unnest(generate_series(0, 35)) AS p))
-SELECT id, round_even(sum(x::FLOAT::DOUBLE), 4) AS image_sum, count(*) AS image_values,
-       0.0::DOUBLE AS state_sum, 200 AS prompt_len, 10 AS action_rows
-FROM v GROUP BY id""")
-def s9_synthetic(spark, sf):
-    """One observation per order (2 x 2 pixel images, seed 7), summarised.
-
-    Array building is the heavy part and runs before any shuffle, so an
-    unsplittable orders file is spread over the cores first."""
-    o = C.table(spark, sf, "orders", balanced=True).select("o_orderkey")
-    obs = synthetic_observations(o, "o_orderkey", seed=7, image_px=2)
-    imgs = F.flatten(F.map_values("images"))
-    return obs.select(
-        "id", F.bround(F.aggregate(imgs, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("image_sum"),
-        F.size(imgs).cast("bigint").alias("image_values"),
-        F.aggregate("state", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("state_sum"),
-        F.size("tokenized_prompt").alias("prompt_len"), F.size("actions").alias("action_rows"))

@@ -88,8 +88,8 @@ FROM ({GPUS_SQL}) g LEFT JOIN (VALUES {", ".join(f"({o}, {C.sql_str(p)}, {nb})"
 GROUP BY g.p_partkey""")
 def f18_block_size(spark, sf):
     """Linpack block size by device family (336 Hopper/Ampere, 512 Blackwell)."""
-    g = joins.accelerator_block_size(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
-                                     dims.block_sizes(spark))
+    g = joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
+                                 dims.block_sizes(spark), "nb")
     return g.select("p_partkey", "nb")
 
 
@@ -124,11 +124,46 @@ def _published_curve_sql() -> str:
 @query("s12_baseline", f"""
 SELECT c.source, c.block_size, c.rate, pc.read_mbs AS published_read_mbs,
        round_even(c.rate / pc.read_mbs, 9) AS vs_published
-FROM ({C.CURVE_SQL}) c JOIN {_published_curve_sql()} ON c.block_size = pc.block_size""")
+FROM ({C.CURVE_SQL}) c LEFT JOIN {_published_curve_sql()} ON c.block_size = pc.block_size""")
 def s12_baseline(spark, sf):
-    """Every measured curve point next to the published read rate at its size."""
+    """Every measured curve point next to the published read rate at its size (NULL without one)."""
     pub = (dims.baseline_sweep(spark).where(F.col("rw") == "read")
            .select("block_size", F.col("mbs").alias("published_read_mbs")))
-    c = C.size_bucket_curve(spark, sf).join(F.broadcast(pub), "block_size")
+    c = C.size_bucket_curve(spark, sf).join(F.broadcast(pub), "block_size", "left")
     return c.select("source", "block_size", "rate", "published_read_mbs",
                     F.bround(F.col("rate") / F.col("published_read_mbs"), 9).alias("vs_published"))
+
+
+@query("j2_pattern_table", f"""
+WITH t AS (SELECT min(p_partkey) AS ord, p_brand AS pattern, count(*) AS n FROM part GROUP BY p_brand)
+SELECT d.p_partkey, d.device, arg_min(t.n, t.ord) AS n
+FROM ({DEVICES_SQL}) d LEFT JOIN t ON regexp_matches(d.device, t.pattern, 'i')
+GROUP BY d.p_partkey, d.device""")
+def j2_pattern_table(spark, sf):
+    """J2 with the pattern table built from the data: one pattern per brand, in order of first appearance."""
+    t = C.table(spark, sf, "part").groupBy(F.col("p_brand").alias("pattern")).agg(
+        F.min("p_partkey").alias("ord"), F.count("*").alias("n"))
+    return joins.lookup_first_match(devices(spark, sf), "device", t, "n")
+
+
+@query("j4_range_table", """
+WITH r AS (SELECT DISTINCT p_size * 200 AS lo, CASE WHEN p_size < 50 THEN p_size * 200 + 150 END AS hi, 'size ' || p_size AS class FROM part)
+SELECT d.doc_id, d.n_chars, r.class FROM documents d LEFT JOIN r ON d.n_chars >= r.lo AND (r.hi IS NULL OR d.n_chars < r.hi)""")
+def j4_range_table(spark, sf):
+    """J4 / F17 with ranges built from the data: one [200 size, 200 size + 150) range per part size, the last open."""
+    s = F.col("p_size")
+    r = C.table(spark, sf, "part").select((s * 200).cast("bigint").alias("lo"), F.when(s < 50, s * 200 + 150).cast("bigint").alias("hi"),
+                                          F.concat(F.lit("size "), s.cast("string")).alias("class")).distinct()
+    return joins.size_class(C.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", r)
+
+
+@query("j5_curve_by", """
+WITH d AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 7 <> 0 THEN source END AS source FROM documents),
+     c AS (SELECT source, n_chars AS at_chars, min(doc_id) AS at_doc FROM d WHERE doc_id % 5 = 0 GROUP BY ALL)
+SELECT d.doc_id, d.source, d.n_chars, c.at_chars, c.at_doc
+FROM d ASOF LEFT JOIN c ON d.source = c.source AND d.n_chars >= c.at_chars""")
+def j5_curve_by(spark, sf):
+    """J5 with a curve per source built from the data; NULL sources match nothing."""
+    d = C.table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
+    c = d.where("doc_id % 5 = 0").groupBy("source", F.col("n_chars").alias("at_chars")).agg(F.min("doc_id").alias("at_doc"))
+    return joins.asof_lookup(d, "n_chars", c, "at_chars", ["at_doc"], by=["source"]).select("doc_id", "source", "n_chars", "at_chars", "at_doc")

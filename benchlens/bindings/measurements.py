@@ -93,8 +93,7 @@ SELECT event_type, round_even(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6)
        round_even(quantile_cont(value, 0.99), 6) AS p99_latency_ms
 FROM events GROUP BY event_type""")
 def a9_latency(spark, sf):
-    e = C.table(spark, sf, "events").withColumn("cents", C.cents("value"))
-    out = agg.latency_summary(e, ["event_type"], "value", avg_of="cents")
+    out = agg.latency_summary(C.table(spark, sf, "events"), ["event_type"], "value", avg_of=C.cents)
     return out.select("event_type", F.bround(F.col("avg_latency_ms") / 100, 6).alias("avg_latency_ms"),
                       F.bround("p99_latency_ms", 6).alias("p99_latency_ms"))
 
@@ -106,10 +105,8 @@ SELECT user_id, count(*) AS steps, date_diff('microsecond', min(ts), max(ts)) /
 FROM events GROUP BY user_id""")
 def a10_throughput(spark, sf):
     """A10: steps per user over the A7 span; 32 samples per rank and 8 ranks."""
-    e = C.table(spark, sf, "events")
-    span = agg.barrier_elapsed(e, ["user_id"], "ts", "ts")
-    n = e.groupBy("user_id").agg(F.count("*").alias("steps"))
-    x = n.join(span, "user_id").withColumn("batch", F.lit(32)).withColumn("world", F.lit(8))
+    span = agg.barrier_elapsed(C.table(spark, sf, "events"), ["user_id"], "ts", "ts", count="steps")
+    x = span.withColumn("batch", F.lit(32)).withColumn("world", F.lit(8))
     t = agg.throughput(x, "steps", "elapsed_s", "batch", "world")
     return t.select("user_id", "steps", "elapsed_s", F.bround("steps_per_sec", 9).alias("steps_per_sec"),
                     F.bround("samples_per_sec", 9).alias("samples_per_sec"))
@@ -146,7 +143,7 @@ b AS (SELECT event_type, config, thr AS base_thr FROM a WHERE nodes = 1)
 SELECT a.event_type, a.config, a.nodes, round_even(b.base_thr / 100, 6) AS base_thr, round_even(a.thr / 100, 6) AS thr,
        round_even(a.thr / NULLIF(b.base_thr, 0), 6) AS scale_ratio,
        round_even(a.thr / NULLIF(b.base_thr, 0) / (a.nodes / 1), 6) AS scale_eff
-FROM a JOIN b USING (event_type, config) WHERE a.nodes <> 1""")
+FROM a LEFT JOIN b USING (event_type, config) WHERE a.nodes <> 1""")
 def j6_scaling(spark, sf):
     """Runs on 2 and 3 nodes against the same cluster/config on 1 node."""
     e = C.table(spark, sf, "events").select(
@@ -159,16 +156,16 @@ def j6_scaling(spark, sf):
 
 
 @query("j7_bottleneck", """
-WITH c AS (SELECT user_id, sum(value) AS train_rate FROM events WHERE event_type = 'click' GROUP BY user_id),
+WITH c AS (SELECT user_id, sum(value) AS train_rate FROM events WHERE event_type <> 'view' GROUP BY user_id),
 s AS (SELECT user_id, sum(value) AS storage_rate FROM events WHERE event_type = 'view' GROUP BY user_id)
 SELECT user_id, round_even(train_rate, 6) AS train_rate, round_even(storage_rate, 6) AS storage_rate,
        round_even(storage_rate / NULLIF(train_rate, 0), 6) AS headroom,
-       CASE WHEN train_rate < storage_rate THEN 'compute_or_network' ELSE 'storage' END AS bottleneck
-FROM c JOIN s USING (user_id)""")
+       CASE WHEN train_rate < storage_rate THEN 'compute_or_network' WHEN train_rate >= storage_rate THEN 'storage' END AS bottleneck
+FROM c FULL JOIN s USING (user_id)""")
 def j7_bottleneck(spark, sf):
-    """Per user, 'click' volume as the consumer rate and 'view' volume as the supplier rate."""
+    """Per user, 'view' volume as the supplier rate and all other volume as the consumer rate."""
     e = C.table(spark, sf, "events")
-    c = e.where(F.col("event_type") == "click").groupBy("user_id").agg(F.sum("value").alias("train_rate"))
+    c = e.where(F.col("event_type") != "view").groupBy("user_id").agg(F.sum("value").alias("train_rate"))
     s = e.where(F.col("event_type") == "view").groupBy("user_id").agg(F.sum("value").alias("storage_rate"))
     b = joins.bottleneck(c, s, ["user_id"], "train_rate", "storage_rate")
     return b.select("user_id", *[F.bround(x, 6).alias(x) for x in ("train_rate", "storage_rate", "headroom")],
@@ -183,11 +180,8 @@ SELECT metric, l_orderkey, l_linenumber, value, rank FROM (
         ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME metric VALUE value))
 WHERE rank <= 3""")
 def o3_top_per_metric(spark, sf):
-    """O3: best three lines per metric (KPI strip).
-
-    The partial top-k sorts every row before the shuffle; the lineitem file is
-    one row group, so the scan is spread over the cores first."""
-    li = C.table(spark, sf, "lineitem", balanced=True).select(
+    """O3: best three lines per metric (KPI strip)."""
+    li = C.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     long = project.to_scalars(li, ["l_orderkey", "l_linenumber"],
                               ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

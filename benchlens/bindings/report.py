@@ -83,7 +83,7 @@ SELECT doc_id, bench, count(*) OVER (PARTITION BY bench) AS group_size
 FROM ({C.classified_sql()}) WHERE bench IS NOT NULL""")
 def w6_group_size(spark, sf):
     c = _classified(spark, sf, "inner").select("doc_id", "bench")
-    return windows.with_group_size(c, ["bench"])
+    return windows.with_group_size(c, ["bench"], bounded=True)
 
 
 @query("o1_file_order", f"""

@@ -106,7 +106,6 @@ def literal(spark: SparkSession, rows: list, schema) -> DataFrame:
     """A DataFrame from local rows that remembers them: operators can check its
     size (and read small columns) without running a Spark job."""
     df = spark.createDataFrame(rows, schema)
-    df._local_rows = list(rows)
     return df
 
 

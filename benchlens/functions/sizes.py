@@ -14,7 +14,8 @@ def parse_size(c) -> Column:
     """'64k' -> 65536, '4M' -> 4194304, '512' -> 512; anything else -> NULL.
 
     Case-insensitive single-letter suffix k/m/g on a whole number.  Decimals
-    ('1.5m'), two-letter units ('4mb') and empty strings give NULL.
+    ('1.5m'), two-letter units ('4mb'), empty strings and sizes beyond a bigint
+    give NULL.
     """
     s = F.lower(col(c))
     ok = s.rlike(r"^[0-9]+[kmg]?$")
@@ -24,7 +25,7 @@ def parse_size(c) -> Column:
             .when(unit == "m", F.lit(_MULT["m"]))
             .when(unit == "g", F.lit(_MULT["g"]))
             .otherwise(F.lit(1)).cast("bigint"))
-    return F.when(ok, digits * mult)
+    return F.when(ok, F.try_multiply(digits, mult))
 
 
 def format_size(c) -> Column:

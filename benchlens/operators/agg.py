@@ -66,13 +66,15 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, name: str = "total"
 
 
 def barrier_elapsed(df: DataFrame, keys: Sequence[str], start: str, end: str,
-                    name: str = "elapsed_s") -> DataFrame:
+                    name: str = "elapsed_s", count: str | None = None) -> DataFrame:
     """Wall clock of a barrier: last end minus first start over ranks.
 
     Timestamps are differenced in microseconds; DOUBLE seconds work as is.
+    ``count`` names a row count to take in the same aggregation.
     """
     s, e = F.col(start), F.col(end)
-    out = df.groupBy(*keys).agg(F.min(s).alias("_s"), F.max(e).alias("_e"))
+    counts = [F.count("*").alias(count)] if count else []
+    out = df.groupBy(*keys).agg(F.min(s).alias("_s"), F.max(e).alias("_e"), *counts)
     first = dict(df.dtypes)[start]
     if first.startswith("timestamp"):
         span = F.expr("timestampdiff(MICROSECOND, _s, _e)") / F.lit(1e6)
@@ -87,20 +89,20 @@ def peak(df: DataFrame, keys: Sequence[str], bytes_col: str, name: str = "peak_g
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], latency: str, p: float = 0.99,
-                    approx: bool = False, avg_of: str | None = None) -> DataFrame:
+                    approx: bool = False, avg_of=None) -> DataFrame:
     """Average and p99 latency per group.
 
     Exact p99 (linear interpolation) by default, skew-safe; ``approx=True``
-    uses ``percentile_approx`` in a single partial aggregation.  ``avg_of``
-    averages another column (e.g. the latency in exact integer units).
+    uses ``percentile_approx`` in a single partial aggregation.  ``avg_of`` maps
+    the latency to what is averaged (e.g. exact integer units).
     """
     keys = list(keys)
-    avg = df.groupBy(*keys).agg(F.avg(F.col(avg_of or latency).cast("double")).alias("avg_latency_ms"))
+    of = avg_of or (lambda v: v)
     if approx:
-        pq = df.groupBy(*keys).agg(F.percentile_approx(latency, p, 10000).alias("p99_latency_ms"))
-    else:
-        pq = percentile_cont(df, keys, latency, p, "p99_latency_ms").drop("n")
-    return join_null_safe(avg, pq, keys)
+        v = F.col(latency).cast("double")
+        return df.groupBy(*keys).agg(F.avg(of(v)).alias("avg_latency_ms"), F.percentile_approx(latency, p, 10000).alias("p99_latency_ms"))
+    mean = lambda v, c: F.sum(of(v) * c) / F.sum(c)
+    return percentile_cont(df, keys, latency, p, "p99_latency_ms", extra={"avg_latency_ms": mean}).drop("n")
 
 
 def throughput(df: DataFrame, steps: str, elapsed: str, batch: str, world: str) -> DataFrame:
@@ -121,21 +123,36 @@ def pivot_rw(df: DataFrame, keys: Sequence[str], rw_col: str, stats: Sequence[st
 def sweep_stats(trials: DataFrame, keys: Sequence[str], bw_bytes: str, digits: int = 1) -> DataFrame:
     """A1 + A2 + F4 + F5 on raw trials: MB/s median (upper) and min, rounded half-even."""
     t = trials.withColumn("_mbs", mb_per_s(bw_bytes))
-    out = ordinal_median(t, keys, "_mbs", "bw_median_mbs", extra={"bw_min_mbs": F.min})
+    out = ordinal_median(t, keys, "_mbs", "bw_median_mbs", extra={"bw_min_mbs": lambda v, c: F.min(v)})
     return out.select(*keys, round_half_even("bw_median_mbs", digits).alias("bw_median_mbs"),
                       round_half_even("bw_min_mbs", digits).alias("bw_min_mbs"))
 
 
-def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
-    """The group's row count on every row (aggregate, then equi-join back)."""
+def _join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str, bounded: bool, salts: int) -> DataFrame:
+    """Join rows to a per-group table without piling a hot group's rows on one task.
+
+    ``bounded`` keys come from a fixed table (the registry), so the group table
+    is broadcast.  Other keys are salted by a hash of the row: the group table is
+    repeated ``salts`` times, the rows of a group go to as many tasks.
+    """
+    if bounded:
+        return join_null_safe(df, F.broadcast(groups), keys, how)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return join_null_safe(rows, salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "group_size",
+                     bounded: bool = False, salts: int = 8) -> DataFrame:
+    """The group's row count on every row (aggregate, then join back)."""
     c = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return join_null_safe(df, c, keys)
+    return _join_groups(df, c, keys, "inner", bounded, salts)
 
 
-def comparison(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def comparison(df: DataFrame, keys: Sequence[str], bounded: bool = False, salts: int = 8) -> DataFrame:
     """Only the rows of groups that have more than one row (HAVING count > 1)."""
     rep = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
-    return join_null_safe(df, rep, keys, "left_semi")
+    return _join_groups(df, rep, keys, "left_semi", bounded, salts)
 
 
 def first_params(df: DataFrame, keys: Sequence[str], order: str, params: Sequence[str]) -> DataFrame:

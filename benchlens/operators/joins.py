@@ -1,61 +1,36 @@
 """Lookups as joins.
 
-Dimension tables (registry, peak table, size classes, spec, curves) are small
-and of fixed size, so they are broadcast.  The large side is reduced to its
-distinct keys before any non-equi (regex / range) match, then joined back on
-an equality that AQE may broadcast or split for skew at run time.
+Every lookup has one form for a table of any size: a short ordered table of
+rules (registry, patterns) is gathered into one array by a scalar subquery and
+searched in the row; keyed tables are equi-joins that AQE broadcasts or splits by
+their real size; ranges and curves are as-of joins.  The fixed reference tables
+also have literal forms (``*_fixed``), CASE chains with the same answers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DIM_ROWS = 10_000  # proven bound checked before broadcasting a passed-in table
 
-
-def _is_small(dim: DataFrame, limit: int = MAX_DIM_ROWS) -> bool:
-    """True when the table has at most ``limit`` rows (free for ``dims.literal`` tables)."""
-    local = getattr(dim, "_local_rows", None)
-    return (len(local) if local is not None else dim.limit(limit + 1).count()) <= limit
-
-
-def _bounded(dim: DataFrame, what: str) -> DataFrame:
-    """Check a dimension is small before it is broadcast.
-
-    Literal tables from ``dims.literal`` carry their rows, so the check is
-    free; any other table is counted (at most MAX_DIM_ROWS + 1 rows read).
-    """
-    local = getattr(dim, "_local_rows", None)
-    n = len(local) if local is not None else dim.limit(MAX_DIM_ROWS + 1).count()
-    if n > MAX_DIM_ROWS:
-        raise ValueError(f"{what} has more than {MAX_DIM_ROWS} rows; it is meant to be a small table")
-    return F.broadcast(dim)
-
-
-def prefix_pattern(prefixes: Sequence[str]) -> str:
-    """Anchored alternation in registry order: the first listed prefix wins."""
-    return "^(" + "|".join(r"\Q" + p + r"\E" for p in prefixes) + ")"
+def _rules(table: DataFrame, order: str, cols: Sequence[str]) -> Column:
+    """The table's rows in order as one array: a scalar subquery, so the rows of the other side never meet a join."""
+    one = table.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), *[F.col(c).alias(c) for c in cols]))).alias("rules"))
+    return one.scalar()
 
 
 def classify(df: DataFrame, stem_col: str, registry: DataFrame, how: str = "left") -> DataFrame:
     """Benchmark of each file by the first registry prefix its stem starts with.
 
-    The prefix is extracted with one anchored regex, then looked up with a
-    broadcast equi-join (BroadcastHashJoin, not a nested-loop ``startswith``).
     ``how='left'`` keeps unknown files with NULL bench; ``'inner'`` drops them.
     """
-    reg = registry.select("reg_ord", "prefix", "bench")
-    local = getattr(registry, "_local_rows", None)
-    if local is not None:  # literal registry: (reg_ord, prefix, ...) rows at hand
-        prefixes = [r[1] for r in sorted(local, key=lambda r: r[0])]
-    else:
-        prefixes = [r["prefix"] for r in _bounded(reg, "registry").orderBy("reg_ord").collect()]
-    x = df.withColumn("prefix", F.nullif(F.regexp_extract(F.col(stem_col), prefix_pattern(prefixes), 1),
-                                         F.lit("")))
-    return x.join(F.broadcast(reg), "prefix", how)
+    stem = F.col(stem_col)
+    x = df.withColumn("_rules", _rules(registry, "reg_ord", ["prefix", "bench"]))
+    x = x.withColumn("_rule", F.get(F.filter("_rules", lambda r: stem.startswith(r["prefix"])), F.lit(0)))
+    x = x.select(*df.columns, F.col("_rule.prefix").alias("prefix"), F.col("_rule._order").alias("reg_ord"), F.col("_rule.bench").alias("bench"))
+    return x.where(F.col("prefix").isNotNull()) if how == "inner" else x
 
 
 def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col: str,
@@ -63,35 +38,30 @@ def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col
     """First table row (by ``ord``) whose case-insensitive regex matches.
 
     ``table`` has (ord, pattern, <value_col>).  No match -> ``default``;
-    ``override`` (a literal) wins over everything when given.
-    A literal table becomes one CASE chain (no shuffle).  Any other table is
-    checked to be small; only the distinct names meet it (nested loop against
-    its broadcast), and the answer is joined back by name.
+    ``override`` (a literal) wins over everything when given.  Patterns are tried
+    once per distinct name, and the answer is joined back by name.
     """
     out = out or value_col
-    local = getattr(table, "_local_rows", None)
-    if local is not None and len(local) <= 1000:
-        # A literal table: one CASE chain in table order, regexes compiled once,
-        # evaluated row by row with no shuffle at all.
-        i_ord, i_pat, i_val = (table.columns.index(c) for c in ("ord", "pattern", value_col))
-        val_type = dict(table.dtypes)[value_col]
-        val = F.lit(default).cast(val_type) if default is not None else F.lit(None).cast(val_type)
-        for row in sorted(local, key=lambda r: r[i_ord], reverse=True):
-            val = F.when(F.col(name_col).rlike("(?i)" + row[i_pat]), F.lit(row[i_val]).cast(val_type)).otherwise(val)
-        return df.withColumn(out, F.lit(override).cast(val_type) if override is not None else val)
+    kind = dict(table.dtypes)[value_col]
+    if override is not None:
+        return df.withColumn(out, F.lit(override).cast(kind))
     names = df.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    hit = names.join(_bounded(table, "pattern table"),
-                     F.expr("_name rlike concat('(?i)', pattern)"), "left")
-    best = hit.groupBy("_name").agg(F.min_by(F.col(value_col), F.col("ord")).alias("_val"))
+    names = names.withColumn("_rules", _rules(table, "ord", ["pattern", value_col]))
+    hit = F.get(F.filter("_rules", lambda r: F.regexp_like(F.col("_name"), F.concat(F.lit("(?i)"), r["pattern"]))), F.lit(0))
+    best = names.select("_name", hit[value_col].alias("_val"))
     res = df.join(best, df[name_col] == best["_name"], "left").drop("_name")
-    val = F.col("_val")
-    if default is not None:
-        val = F.coalesce(val, F.lit(default))
-    if override is not None:
-        val = F.lit(override)
+    val = F.coalesce("_val", F.lit(default).cast(kind)) if default is not None else F.col("_val")
     return res.withColumn(out, val).drop("_val")
 
 
+def first_match_fixed(name: Column, rows: Sequence[tuple[int, str, object]], kind: str, default=None) -> Column:
+    """J2 for a literal table of (ord, pattern, value): a CASE chain, compiled once."""
+    val = F.lit(default).cast(kind)
+    for _, pattern, value in sorted(rows, key=lambda r: r[0], reverse=True):
+        val = F.when(name.rlike("(?i)" + pattern), F.lit(value).cast(kind)).otherwise(val)
+    return val
+
+
 def lookup_peak(df: DataFrame, name_col: str, table: DataFrame | None = None, default: float | None = None,
                 override: float | None = None, out: str = "peak_flops") -> DataFrame:
     """J2 as the trainer uses it: peak FLOPS of a device name from the (ord,
@@ -110,136 +80,77 @@ def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFram
     ``spec`` has (metric, peak, other_peak).
     """
     s = spec.select(F.col("metric").alias(metric_col), "peak", "other_peak")
-    # an equi-join: broadcast a small spec, otherwise let AQE plan a shuffle join
-    x = df.join(F.broadcast(s) if _is_small(spec) else s, metric_col, "left")
+    x = df.join(s, metric_col, "left")
     m = F.col(measured_col).cast("double")
     return (x.withColumn("pct_of_peak", m / F.col("peak") * F.lit(100.0))
              .withColumn("vs_other", m / F.nullif(F.col("other_peak"), F.lit(0.0))))
 
 
-def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class",
-               broadcast_limit: int = MAX_DIM_ROWS) -> DataFrame:
-    """Layout class of a size from non-overlapping [lo, hi) ranges (hi NULL = open).
+def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class") -> DataFrame:
+    """Layout class of a size from [lo, hi) ranges (hi NULL = open).
 
-    A small range table is broadcast (each row meets every range, at most one
-    matches).  A large one is handled as an as-of join on ``lo`` (the range
-    with the largest lo <= size), then the row is kept only if size < hi.
-    """
-    s = F.col(size_col)
-    local = getattr(classes, "_local_rows", None)
-    if local is not None and len(local) <= min(broadcast_limit, 1000):
-        # literal ranges: one CASE chain, no join
-        i_lo, i_hi, i_c = (classes.columns.index(c) for c in ("lo", "hi", "class"))
-        val = F.lit(None).cast("string")
-        for row in reversed(local):
-            inside = s >= F.lit(row[i_lo])
-            if row[i_hi] is not None:
-                inside = inside & (s < F.lit(row[i_hi]))
-            val = F.when(inside, F.lit(row[i_c])).otherwise(val)
-        return df.withColumn(out, val)
-    c = classes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("class").alias(out))
-    if _is_small(classes, broadcast_limit):
-        cond = (s >= F.col("_lo")) & (F.col("_hi").isNull() | (s < F.col("_hi")))
-        return df.join(F.broadcast(c), cond, "left").drop("_lo", "_hi")
-    x = asof_join_large(df, size_col, c, "_lo", ["_hi", out])
-    inside = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (s < F.col("_hi")))
-    return x.withColumn(out, F.when(inside, F.col(out))).drop("_lo", "_hi")
-
-
-def verdict(df: DataFrame, share_col: str, bands: DataFrame, out: str = "verdict") -> DataFrame:
-    """label of the band [lo, hi) a share falls in (bands: lo, hi, class)."""
-    return size_class(df, share_col, bands, out)
-
-
-def accelerator_block_size(df: DataFrame, name_col: str, table: DataFrame, out: str = "nb") -> DataFrame:
-    """Linpack block size by device family (first matching pattern; NULL if none)."""
-    return lookup_first_match(df, name_col, table, "nb", out=out)
-
-
-def asof_join_large(df: DataFrame, key_col: str, right: DataFrame, right_key: str,
-                    right_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """As-of join for two large sides: each row of ``df`` gets the ``right`` row
-    with the largest ``right_key`` <= ``key_col`` (same ``by`` values), or NULLs.
-
-    Both sides are unioned and cut into buckets of (by, key) at sampled cut
-    points (as in ``ranking.row_positions``), so no group is gathered into one
-    task.  Within a bucket a running ``last(ignorenulls)`` carries the latest
-    right row forward; rows at the start of a bucket take the carry from
-    earlier buckets, found on a small per-bucket table.  For equal keys the
-    right row sorts first (as-of uses <=).
+    The range with the largest lo <= size decides (of equal lo, that with the
+    smallest hi); a size at or above its hi has no class.
     """
-    by = list(by)
-    left_cols = df.columns
-    l = df.select(*[F.col(b) for b in by], F.col(key_col).alias("_k"), F.lit(1).alias("_side"),
-                  F.struct(*[F.col(c) for c in left_cols]).alias("_row"),
-                  F.lit(None).cast(right.select(F.struct(right_key, *right_cols)).schema[0].dataType).alias("_cur"))
-    r = right.select(*[F.col(b) for b in by], F.col(right_key).alias("_k"), F.lit(0).alias("_side"),
-                     F.lit(None).cast(l.schema["_row"].dataType).alias("_row"),
-                     F.struct(right_key, *right_cols).alias("_cur"))
-    # Buckets of (by, key) from sampled cut points: a pure function of the row,
-    # so every branch below sees the same bucket whatever the shuffle order.
-    from .ranking import _bucket_bounds, _bucket_of
-    u = l.unionByName(r)
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _bucket_bounds(u, [*by, "_k"], buckets, 23)
-    u = _bucket_of(u, [*by, "_k"], cuts, "_pid").repartitionByRange(2 * (len(cuts) + 1), "_pid")
-    w = (Window.partitionBy("_pid", *by).orderBy("_k", "_side")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("_run", F.last("_cur", ignorenulls=True).over(w))
-    # Small table, one row per (task, group): a marker where left rows are, and
-    # the task's last right row.  The carry of a marker is the last right row
-    # of any earlier task (markers sort before the same task's right row).
-    cur_t = u.schema["_cur"].dataType
-    lasts = (u.where(F.col("_side") == 0).groupBy("_pid", *by)
-              .agg(F.max(F.struct("_k", "_cur")).alias("_m"))
-              .select("_pid", *by, F.lit(1).alias("_o"), F.col("_m._cur").alias("_last")))
-    markers = (u.where(F.col("_side") == 1).select("_pid", *by).distinct()
-                .select("_pid", *by, F.lit(0).alias("_o"), F.lit(None).cast(cur_t).alias("_last")))
-    wc = Window.partitionBy(*by).orderBy("_pid", "_o").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (markers.unionByName(lasts).withColumn("_carry", F.last("_last", ignorenulls=True).over(wc))
-             .where(F.col("_o") == 0).select("_pid", *by, "_carry"))
-    res = u.where(F.col("_side") == 1).join(carry, ["_pid", *by], "left")
-    cur = F.coalesce("_run", "_carry")
-    return res.select("_row.*", *[cur[c].alias(c) for c in [right_key, *right_cols]])
+    c = (classes.where(F.col("lo").isNotNull()).groupBy(F.col("lo").alias("_lo"))
+         .agg(F.min_by(F.struct(F.col("hi").alias("_hi"), F.col("class").alias("_class")),
+                       F.struct(F.col("hi").isNull(), "hi", "class")).alias("_r")).select("_lo", "_r._hi", "_r._class"))
+    x = asof_lookup(df, size_col, c, "_lo", ["_hi", "_class"])
+    inside = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (F.col(size_col) < F.col("_hi")))
+    return x.withColumn(out, F.when(inside, F.col("_class"))).drop("_lo", "_hi", "_class")
+
+
+def size_class_fixed(size: Column, rows: Sequence[tuple]) -> Column:
+    """J4 for literal ranges (lo, hi, class), with the same rule: a CASE chain."""
+    val = F.lit(None).cast("string")
+    for lo, hi, name in sorted(rows, key=lambda r: (r[0], r[1] is not None, -(r[1] or 0))):
+        own = F.lit(name) if hi is None else F.when(size < F.lit(hi), F.lit(name))
+        val = F.when(size >= F.lit(lo), own).otherwise(val)
+    return val
 
 
 def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
-                curve_cols: Sequence[str], by: Sequence[str] = (),
-                broadcast_limit: int = MAX_DIM_ROWS) -> DataFrame:
-    """As-of lookup: the curve row with the largest key <= the row's key.
-
-    A small curve: each point gets the key of the next point, so a point
-    covers [key, next) and the lookup is a broadcast range join with at most
-    one match per row.  A large curve goes through ``asof_join_large``.
-    Rows below the first point get NULLs.
+                curve_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """As-of lookup: the curve row with the largest key <= the row's key (same ``by`` values), or NULLs.
+
+    Both sides are unioned, range-partitioned by (by, key) and written once (see
+    ``ranking.ranged``), so no group is gathered into one task.  Within a range a
+    running ``last(ignorenulls)`` carries the latest curve row forward; rows at
+    the start of a range take the carry from earlier ranges, found on a small
+    per-range table.  For equal keys the curve row sorts first.  NULL keys and
+    NULL ``by`` values match nothing; of curve rows with one key any may answer.
     """
-    by = list(by)
-    local = getattr(curve, "_local_rows", None)
-    if not by and local is not None and len(local) <= min(broadcast_limit, 1000):
-        # literal curve: one CASE chain from the largest key down, no join
-        idx = [curve.columns.index(c) for c in [curve_key, *curve_cols]]
-        types = dict(curve.dtypes)
-        k = F.col(key_col)
-        out = df
-        for j, c in enumerate([curve_key, *curve_cols]):
-            val = F.lit(None).cast(types[c])
-            for row in sorted(local, key=lambda r: r[idx[0]]):
-                val = F.when(k >= F.lit(row[idx[0]]), F.lit(row[idx[j]]).cast(types[c])).otherwise(val)
-            out = out.withColumn(c, val)
-        return out
-    if not _is_small(curve, broadcast_limit):
-        return asof_join_large(df, key_col, curve, curve_key, curve_cols, by)
-    w = Window.partitionBy(*by).orderBy(curve_key)
-    c = curve.select(*by, F.col(curve_key).alias("_ck"), *curve_cols,
-                     F.lead(curve_key).over(w).alias("_nk"))
+    from .ranking import join_null_safe, ranged
+    by, cols = list(by), [curve_key, *curve_cols]
+    right = curve.select(*by, *cols).where(F.col(curve_key).isNotNull())
     for b in by:
-        c = c.withColumnRenamed(b, f"_by_{b}")
-    k = F.col(key_col)
-    cond = (k >= F.col("_ck")) & (F.col("_nk").isNull() | (k < F.col("_nk")))
-    for b in by:
-        cond = cond & (F.col(b) == F.col(f"_by_{b}"))
-    res = df.join(F.broadcast(c), cond, "left").drop("_nk", *[f"_by_{b}" for b in by])
-    return res.withColumnRenamed("_ck", curve_key)
+        right = right.where(F.col(b).isNotNull())
+    cur_t = right.select(F.struct(*cols)).schema[0].dataType
+    left = df.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col(key_col).alias("_k"), F.lit(1).alias("_side"),
+                     F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.lit(None).cast(cur_t).alias("_cur"))
+    r = right.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col(curve_key).alias("_k"), F.lit(0).alias("_side"),
+                     F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*cols).alias("_cur"))
+    keys = [f"_by_{b}" for b in by]
+    u = ranged(left.unionByName(r), [*keys, "_k"], "asof").drop("_at")
+    w = Window.partitionBy("_bk", *keys).orderBy("_k", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = u.withColumn("_run", F.last("_cur", ignorenulls=True).over(w)).where("_side = 1")
+    # one row per range and group: the carry is the last curve row of any earlier range
+    lasts = u.groupBy("_bk", *keys).agg(F.max(F.when(F.col("_side") == 0, F.struct("_k", "_cur"))).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select("_bk", *keys, F.last("_m._cur", ignorenulls=True).over(before).alias("_carry"))
+    res = join_null_safe(run, carry, ["_bk", *keys], "left")
+    cur = F.when(F.col("_k").isNotNull(), F.coalesce("_run", "_carry"))
+    return res.select("_row.*", *[cur[c].alias(c) for c in cols])
+
+
+def asof_fixed(df: DataFrame, key_col: str, rows: Sequence[tuple], cols: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """J5 for a literal curve (rows of ``cols``, the key first): CASE chains."""
+    for j, (c, t) in enumerate(zip(cols, types, strict=True)):
+        val = F.lit(None).cast(t)
+        for row in sorted(rows, key=lambda r: r[0]):
+            val = F.when(F.col(key_col) >= F.lit(row[0]), F.lit(row[j]).cast(t)).otherwise(val)
+        df = df.withColumn(c, val)
+    return df
 
 
 def expected_read_time(files: DataFrame, size_col: str, curve: DataFrame, curve_size: str = "curve_bytes",
@@ -255,25 +166,27 @@ def scaling(df: DataFrame, keys: Sequence[str], nodes_col: str, value_col: str,
             base: int = 1) -> DataFrame:
     """N-node vs base-node throughput: ratio and efficiency = ratio / node factor.
 
-    Aggregates first (partial aggregation), then self-joins the small result.
+    One aggregation; the base is picked by a window over its few rows.  A
+    configuration without a base run keeps its rows with NULL ratios.
     """
     keys = list(keys)
     agg = df.groupBy(*keys, nodes_col).agg(F.avg(value_col).alias("thr"))
-    b = agg.where(F.col(nodes_col) == base).select(*keys, F.col("thr").alias("base_thr"))
-    x = agg.where(F.col(nodes_col) != base).join(b, keys)
+    x = agg.withColumn("base_thr", F.max(F.when(F.col(nodes_col) == base, F.col("thr"))).over(Window.partitionBy(*keys)))
     r = F.col("thr") / F.nullif(F.col("base_thr"), F.lit(0.0))
-    return x.select(*keys, nodes_col, "base_thr", "thr", r.alias("scale_ratio"),
-                    (r / (F.col(nodes_col) / F.lit(base))).alias("scale_eff"))
+    return x.where(F.col(nodes_col) != base).select(*keys, nodes_col, "base_thr", "thr", r.alias("scale_ratio"),
+                                                    (r / (F.col(nodes_col) / F.lit(base))).alias("scale_eff"))
 
 
 def bottleneck(consumer: DataFrame, supplier: DataFrame, keys: Sequence[str],
                consumer_rate: str, supplier_rate: str) -> DataFrame:
-    """Consumer (training) rate vs supplier (storage) rate on the same cluster."""
-    x = consumer.join(supplier, list(keys))
+    """Consumer (training) rate vs supplier (storage) rate on the same cluster.
+
+    A cluster with one side only stays, with NULL headroom and bottleneck.
+    """
+    x = consumer.join(supplier, list(keys), "full_outer")
     c, s = F.col(consumer_rate), F.col(supplier_rate)
     return (x.withColumn("headroom", s / F.nullif(c, F.lit(0.0)))
-             .withColumn("bottleneck", F.when(c < s, F.lit("compute_or_network"))
-                         .otherwise(F.lit("storage"))))
+             .withColumn("bottleneck", F.when(c < s, F.lit("compute_or_network")).when(c >= s, F.lit("storage"))))
 
 
 def coverage(df: DataFrame, stem_col: str, registry: DataFrame):
@@ -282,7 +195,7 @@ def coverage(df: DataFrame, stem_col: str, registry: DataFrame):
     unknown = c.where(F.col("bench").isNull()).drop("prefix", "reg_ord", "bench")
     found = c.where(F.col("prefix").isNotNull()).select("prefix").distinct()
     missing = registry.join(found, "prefix", "left_anti")
-    known = df.join(c.where(F.col("bench").isNotNull()).select(stem_col).distinct(), stem_col, "left_semi")
+    known = c.where(F.col("bench").isNotNull()).drop("prefix", "reg_ord", "bench")
     return unknown, missing, known
 
 

@@ -2,20 +2,17 @@
 
 A window ``partitionBy(group)`` sends every row of a group to one task; when one
 group holds a third of all rows that task is the whole job.  The helpers here
-keep every task bounded:
-
-* ``kth_values`` finds the exact value at given 1-based ranks per group.  A
-  first partial aggregation gives the group size and two approximate quantiles
-  that bracket the wanted rank (``percentile_approx`` has a proven rank error of
-  n/accuracy).  Rows below the bracket are only counted, rows inside it are
-  collapsed to (value, count) pairs, rows above it are dropped.  The exact
-  answer is then read from a running count over the few candidates left.
-  Groups with at most ``small_group`` rows skip the bracket, and an input of
-  at most ``small_group`` rows in total is ranked with a plain window.
+keep every task bounded, with one plan for inputs of any size:
+
+* ``kth_values`` finds the exact value at given 1-based ranks per group.  Rows
+  are first collapsed to (group, value, count); these are range-partitioned by
+  (group, value) and written once, so a hot group is spread over many parts.
+  Counts per part and group (a small table) say which part holds the wanted
+  rank, and only those parts are read again for a running count.
 * ``row_positions`` numbers rows within a group by a unique order, like
-  ``row_number()``, but buckets rows by sampled cut points of (group, order)
-  so a hot group is split over many tasks; each bucket's first group takes
-  an offset from a table of at most one row per bucket.
+  ``row_number()``: rows are range-partitioned and sorted by (group, order) and
+  written once with their place in the part; a group's rows in earlier parts
+  are added from a table of one row per part and group.
 """
 
 from __future__ import annotations
@@ -25,21 +22,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shared_subdir
-
-SMALL_GROUP = 1_000_000
-ACCURACY = 10_000
-BROADCAST_GROUPS = 200_000  # stats rows (keys, n, two doubles) broadcast below this count
+from ..session import shared_subdir
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                   hint_broadcast: bool = False) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (as ``groupBy`` treats it),
     keeping one copy of the keys."""
     keys = list(keys)
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    if hint_broadcast:
-        r = F.broadcast(r)
     cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
@@ -47,89 +37,62 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared checkpoint folder
     and read it back.  Unlike ``checkpoint()``, whose write recomputes the plan
-    unless it is cached, the rows are computed once.  The tables are small
-    (one row per group) and are left for the cluster's checkpoint-folder
-    retention to remove, like checkpoint files."""
+    unless it is cached, the rows are computed once.  The tables are left for the cluster's
+    checkpoint-folder retention to remove, like checkpoint files."""
     path = shared_subdir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def ranged(df: DataFrame, cols: Sequence[str], name: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of ``cols`` (equal keys stay together), sorted, written once.
+
+    ``_at`` numbers the rows: the range's number above bit 33, the row's place in
+    it below.  Writing fixes the ranges, so a recomputed task cannot see others.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    return materialize(x.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_bk", F.shiftright("_at", 33))
+
+
 def kth_values(df: DataFrame, keys: Sequence[str], value: str,
-               ranks: dict[str, Callable[[Column], Column]], q: float,
-               accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
-               extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+               ranks: dict[str, Callable[[Column], Column]],
+               extra: dict[str, Callable[[Column, Column], Column]] | None = None,
+               num_partitions: int | None = None) -> DataFrame:
     """Exact value at 1-based rank ``ranks[name](n)`` per group.
 
-    ``q`` is where the ranks sit as a fraction of n (0.5 for the median, 0.99
-    for p99); all ranks must be within 1 row of ``q * n`` for large groups.
-    ``extra`` adds plain aggregates of the value (e.g. ``{"min": F.min}``)
-    computed in the same first pass, saving a scan.
-    Returns ``keys + ['n'] + list(extra) + list(ranks)``.  NULL values are ignored.
+    ``extra`` adds aggregates of (value, count) pairs, e.g. ``{"min": lambda v, c:
+    F.min(v)}``, from the same scan.  Returns ``keys + ['n'] + list(extra) +
+    list(ranks)``.  NULL values are ignored; without keys all rows are one group.
     """
     extra = extra or {}
-    keys = list(keys)
-    v = F.col(value)
-    margin = 3.0 / accuracy
-    qlo, qhi = max(0.0, q - margin), min(1.0, q + margin)
-    base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-
-    spark = df.sparkSession
-    # limit + 1 stops reading as soon as the input is known to be large
-    if base.limit(small_group + 1).count() <= small_group:
-        # The whole input is small, so is every group: rank within each group
-        # with a plain window (bounded by small_group rows per task).
-        w = Window.partitionBy(*keys).orderBy("_v")
-        x = (base.withColumn("_rn", F.row_number().over(w))
-                 .withColumn("n", F.count("*").over(Window.partitionBy(*keys))))
-        return x.groupBy(*keys, "n").agg(
-            *[fn(F.col("_v")).alias(name) for name, fn in extra.items()],
-            *[F.min(F.when(F.col("_rn") == fn(F.col("n")), F.col("_v"))).alias(name)
-              for name, fn in ranks.items()])
-    ensure_checkpoint_dir(spark)
-    # Pass 1: group sizes (and the extra aggregates), written once to the
-    # shared checkpoint folder so the checks below read one row per group.
-    counts = base.groupBy(*keys).agg(F.count("*").alias("n"),
-                                     *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
-    counts = materialize(counts, "kth-counts")
-    # one small job over the written table: how many groups, how many large
-    sizes = counts.agg(F.count("*").alias("groups"),
-                       F.count(F.when(F.col("n") > small_group, 1)).alias("large")).first()
-    if sizes["large"] == 0:
-        # every group is small: all its rows are candidates, no bracket needed
-        stats = counts.select("*", F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
-    else:
-        # Sketches only for the large groups (at most rows / small_group of them).
-        # Their merge order is not deterministic: if part of the stage were
-        # recomputed after an executor loss, tasks could see different brackets
-        # for one group, so they are written once too.
-        big = counts.where(F.col("n") > small_group).select(*keys)
-        few = sizes["large"] <= BROADCAST_GROUPS
-        sk = (join_null_safe(base, big, keys, "left_semi", few).groupBy(*keys)
-                  .agg(F.percentile_approx("_v", [qlo, qhi], accuracy).alias("_b"))
-                  .select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
-        sk = materialize(sk, "kth-brackets")
-        stats = join_null_safe(counts, sk, keys, "left", few)
-    # Below the bracket -> counted under a NULL key; inside -> kept; above -> dropped.
-    # (the counted number of groups proves the broadcast bound)
-    j = join_null_safe(base, stats, keys, "inner", sizes["groups"] <= BROADCAST_GROUPS)
-    inside = F.col("_lo").isNull() | F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
-    cand = (j.where(inside | below)
-             .groupBy(*keys, "n", *extra, F.when(inside, F.col("_v")).alias("_cv"))
-             .agg(F.count("*").alias("_c")))
-    w = (Window.partitionBy(*keys).orderBy(F.col("_cv").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    aggs = [F.min(F.when(F.col("_cum") >= fn(F.col("n")), F.col("_cv"))).alias(name)
-            for name, fn in ranks.items()]
-    return cand.groupBy(*keys, "n", *extra).agg(*aggs)
+    names = list(keys)
+    keys = names or ["_all"]
+    base = df if names else df.withColumn("_all", F.lit(1))
+    base = base.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    pairs = ranged(base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), [*keys, "_v"], "kth-pairs", num_partitions)
+    v, c = F.col("_v"), F.col("_c")
+    parts = pairs.groupBy("_bk", *keys).agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_bk", *keys, "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_s").over(group).alias("n"))
+    here = F.lit(False)
+    for fn in ranks.values():
+        here = here | ((fn(F.col("n")) > F.col("_off")) & (fn(F.col("n")) <= F.col("_off") + F.col("_s")))
+    x = join_null_safe(pairs.select("_bk", *keys, "_v", "_c"), parts.where(here).drop("_s"), ["_bk", *keys])
+    run = Window.partitionBy("_bk", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_cum", F.col("_off") + F.sum("_c").over(run))
+    out = x.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_cum") >= fn(F.col("n")), v)).alias(name) for name, fn in ranks.items()])
+    if extra:
+        out = join_null_safe(out, pairs.groupBy(*keys).agg(*[fn(v, c).alias(name) for name, fn in extra.items()]), keys)
+    return out.select(*names, "n", *extra, *ranks)
 
 
 def ordinal_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
                    **kw) -> DataFrame:
     """A1: upper median ``sorted(x)[n // 2]`` per group (no averaging)."""
-    out = kth_values(df, keys, value, {name: lambda n: F.floor(n / 2) + 1}, 0.5, **kw)
+    out = kth_values(df, keys, value, {name: lambda n: F.floor(n / 2) + 1}, **kw)
     return out.drop("n")
 
 
@@ -141,108 +104,23 @@ def percentile_cont(df: DataFrame, keys: Sequence[str], value: str, p: float,
     """
     pos = lambda n: (n - 1) * F.lit(p)
     out = kth_values(df, keys, value,
-                     {"_x0": lambda n: F.floor(pos(n)) + 1, "_x1": lambda n: F.ceil(pos(n)) + 1},
-                     p, **kw)
+                     {"_x0": lambda n: F.floor(pos(n)) + 1, "_x1": lambda n: F.ceil(pos(n)) + 1}, **kw)
     frac = pos(F.col("n")) - F.floor(pos(F.col("n")))
-    return out.select(*keys, "n", (F.col("_x0") + frac * (F.col("_x1") - F.col("_x0"))).alias(name))
-
-
-def _bucket_bounds(df: DataFrame, cols: Sequence[str], buckets: int, seed: int, n: int | None = None) -> list:
-    """Up to ``buckets - 1`` sorted cut points of the composite key (driver side,
-    bounded by ``buckets``).
-
-    A Bernoulli sample of about 100 keys per bucket (at most a million) is
-    taken at a fraction set from the row count, sorted in one task (it is
-    bounded) and cut evenly, so bucket sizes vary by about 10 %.  A top-M by a
-    random tag would save the count but funnels M rows per task into a single
-    merge task, which does not hold on thousands of tasks.
-    """
-    if buckets <= 1:
-        return []
-    n = df.count() if n is None else n
-    if n < 2:
-        return []
-    frac = min(1.0, min(100.0 * buckets, 1_000_000.0) / n)
-    # repartition(1), not coalesce(1): the scan and the sampling stay parallel,
-    # only the bounded sample moves to the one task that sorts it
-    sample = (df.select(F.struct(*[F.col(c) for c in cols]).alias("k")).sample(False, frac, seed)
-                .repartition(1).sortWithinPartitions("k").collect())
-    keys = [r["k"] for r in sample]
-    if len(keys) < 2:
-        return []
-    step = len(keys) / buckets
-    cuts = []
-    for i in range(1, buckets):
-        k = keys[min(len(keys) - 1, int(i * step))]
-        if not cuts or k != cuts[-1]:
-            cuts.append(k)
-    return cuts
-
-
-def _bucket_of(x: DataFrame, cols: Sequence[str], cuts: list, name: str) -> DataFrame:
-    """Number of cut points <= the row's key, by binary search over a literal array."""
-    if not cuts:
-        return x.withColumn(name, F.lit(0))
-    types = {f.name: f.dataType for f in x.schema.fields}
-    arr = F.array(*[F.struct(*[F.lit(c[i]).cast(types[col]).alias(col) for i, col in enumerate(cols)])
-                    for c in cuts])
-    key = F.struct(*[F.col(c) for c in cols])
-    x = x.withColumn(name, F.lit(0))
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step >= 1:
-        cand = F.col(name) + F.lit(step)
-        x = x.withColumn(name, F.when((cand <= len(cuts)) & (F.element_at(arr, cand) <= key), cand)
-                         .otherwise(F.col(name)))
-        step //= 2
-    return x
+    return out.select(*keys, "n", *(kw.get("extra") or {}), (F.col("_x0") + frac * (F.col("_x1") - F.col("_x0"))).alias(name))
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  name: str = "pos", num_partitions: int | None = None, seed: int = 17,
-                  small_rows: int = SMALL_GROUP) -> DataFrame:
+                  name: str = "pos", num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row within its group by a *unique* order.
 
-    Same result as ``row_number().over(partitionBy(keys).orderBy(order))`` but
-    no group is ever gathered into one task:
-
-    * cut points of the (keys, order) key are sampled once and kept as a
-      literal; each row's bucket is a pure function of the row, so the plan is
-      deterministic under task retries and whatever the input order;
-    * one shuffle on the bucket id; ``row_number`` over (bucket, keys) needs no
-      further exchange (partitioning on the bucket already clusters it);
-    * only the first group of a bucket can have rows in earlier buckets, so the
-      non-zero offsets are at most one row per bucket: a broadcast whose bound
-      is known before any job runs.
-
-    Inputs of at most ``small_rows`` rows (counted first) take a plain window:
-    no group can then exceed that bound.
+    Same result as ``row_number().over(partitionBy(keys).orderBy(order))``, but
+    no group is gathered into one task: see the module text.
     """
-    keys, order = list(keys), list(order)
-    cols = keys + order
-    spark = df.sparkSession
-    # limit + 1 stops reading as soon as the input is known to be large
-    if df.limit(small_rows + 1).count() <= small_rows:
-        # the whole input is small, so is every group: a plain window is bounded
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    buckets = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _bucket_bounds(df, cols, buckets, seed)
-    b = _bucket_of(df, cols, cuts, "_bk")
-    # range on the bucket id puts about one bucket per task (hashing the ids
-    # would stack several on one task); each bucket lands whole in one task,
-    # which is all the positions rely on
-    # with twice as many partitions as distinct bucket ids, range bounds can
-    # give every bucket its own task (spare ones stay empty and AQE drops them)
-    x = b.repartitionByRange(2 * (len(cuts) + 1), "_bk")
-    w = Window.partitionBy("_bk", *keys).orderBy(*order)
-    x = x.withColumn("_local", F.row_number().over(w))
-    # bucket ids are a pure function of the row: count before the shuffle so
-    # partial aggregation sends one row per task and (bucket, group)
-    counts = b.groupBy("_bk", *keys).agg(F.count("*").alias("_c"))
-    wo = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.sum("_c").over(wo)).where(F.col("_off") > 0).drop("_c")
-    # at most one row per bucket (len(cuts) + 1 rows): proven small
+    keys = list(keys)
+    x = ranged(df, [*keys, *order], "positions", num_partitions)
+    parts = x.groupBy("_bk", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_bk", *keys, "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     # null-safe on the group keys: a NULL group is a group like any other
-    res = join_null_safe(x, offs, ["_bk", *keys], "left", hint_broadcast=True)
-    res = res.withColumn(name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
-    return res.drop("_bk", "_local", "_off")
+    res = join_null_safe(x, parts, ["_bk", *keys])
+    return res.withColumn(name, F.col("_at") - F.col("_first") + F.col("_off") + 1).drop("_at", "_bk", "_first", "_off")

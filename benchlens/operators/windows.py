@@ -79,9 +79,9 @@ def small_file_penalty(curve: DataFrame, series: Sequence[str], size_col: str, v
     return out.withColumn("small_ratio", r).withColumn("small_file_penalty", r < F.lit(threshold))
 
 
-def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_size") -> DataFrame:
-    """Group cardinality on each row."""
-    return with_group_count(df, keys, name)
+def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_size", bounded: bool = False) -> DataFrame:
+    """Group cardinality on each row (``bounded``: the keys come from a fixed table)."""
+    return with_group_count(df, keys, name, bounded)
 
 
 def file_order(df: DataFrame, file_col: str = "file", name: str = "ord") -> DataFrame:

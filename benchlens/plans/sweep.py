@@ -57,7 +57,7 @@ def curve_verdicts(summary: DataFrame, series: Sequence[str] = (), eps: float =
 
 def with_layout_class(summary: DataFrame, spark: SparkSession) -> DataFrame:
     """The storage layout class each swept size stands for."""
-    return joins.size_class(summary, "size_bytes", dims.size_classes(spark), "layout_class")
+    return summary.withColumn("layout_class", joins.size_class_fixed(F.col("size_bytes"), dims.SIZE_CLASSES))
 
 
 def to_records(summary: DataFrame, header: dict, keys: Sequence[str] = ()) -> DataFrame:

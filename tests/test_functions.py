@@ -7,6 +7,7 @@ from benchlens import dims
 from benchlens.functions import (dataset_path, format_size, gb_per_s, geometric_series, mfu_pct, model_sizing,
                                  node_class, parse_size, round_half_even)
 from benchlens.functions import test_file_size as file_size_for_block
+from benchlens.functions import sizes
 from benchlens.operators import agg, joins, project, windows
 
 
@@ -137,27 +138,46 @@ def test_lookup_peak_and_expected_read_time(spark):
     assert t[3].read_mbs == 306.4  # 1 MB <= 3 MiB < 4 MB
 
 
-def test_first_match_case_chain_equals_join_path(spark):
+def test_first_match_fixed_equals_table(spark):
     names = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(
         F.concat_ws(" ", "p_type", "p_brand", F.col("p_size").cast("string")).alias("device"))
-    lit_table = dims.literal(spark, [(1, "standard.*brand#1[0-9]", 1.5e15), (2, "standard", 1.0e15),
-                                     (3, "brand#2", 8.0e14)], "ord INT, pattern STRING, flops DOUBLE")
-    plain = lit_table.select("*")  # loses the literal marker: join path
-    a = joins.lookup_first_match(names, "device", lit_table, "flops", default=1.0)
-    b = joins.lookup_first_match(names, "device", plain, "flops", default=1.0)
+    rows = [(1, "standard.*brand#1[0-9]", 1.5e15), (2, "standard", 1.0e15), (3, "brand#2", 8.0e14)]
+    table = spark.createDataFrame(rows, "ord INT, pattern STRING, flops DOUBLE")
+    a = joins.lookup_first_match(names, "device", table, "flops", default=1.0)
+    b = names.withColumn("flops", joins.first_match_fixed(F.col("device"), rows, "double", 1.0))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert "BroadcastNestedLoopJoin" not in a._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in a._jdf.queryExecution().executedPlan().toString()
 
 
-def test_literal_range_and_asof_chains_equal_join_paths(spark):
+def test_fixed_ranges_and_curves_equal_tables(spark):
     files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
         "doc_id", (F.col("n_chars") * 1024).alias("bytes"))
-    lit_c, plain_c = dims.size_classes(spark), dims.size_classes(spark).select("*")
-    a = joins.size_class(files, "bytes", lit_c).collect()
-    b = joins.size_class(files, "bytes", plain_c).collect()
+    a = joins.size_class(files, "bytes", dims.size_classes(spark)).collect()
+    b = files.withColumn("class", joins.size_class_fixed(F.col("bytes"), dims.SIZE_CLASSES)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-    lit_curve = dims.published_curve(spark)
-    x = joins.asof_lookup(files, "bytes", lit_curve, "curve_bytes", ["read_mbs"]).collect()
-    y = joins.asof_lookup(files, "bytes", lit_curve.select("*"), "curve_bytes", ["read_mbs"]).collect()
+    x = joins.asof_lookup(files, "bytes", dims.published_curve(spark), "curve_bytes", ["read_mbs"]).collect()
+    points = [(dims._size_bytes(lbl), r) for lbl, _, r in dims.BASELINE_SWEEP]
+    y = joins.asof_fixed(files, "bytes", points, ["curve_bytes", "read_mbs"], ["bigint", "double"]).collect()
     key = lambda r: (r.doc_id, r.bytes, r.curve_bytes, r.read_mbs)
     assert sorted(map(key, x)) == sorted(map(key, y))
+
+
+def test_oversized_label_is_null(spark):
+    df = spark.createDataFrame([("9223372036854775g",), ("99999999999999999999",), ("8g",)], "s string")
+    assert [r.b for r in df.select(sizes.parse_size("s").alias("b")).collect()] == [None, None, 8 * 1024 ** 3]
+
+
+def test_one_sided_clusters_stay(spark):
+    c = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, train double")
+    s = spark.createDataFrame([("a", 3.0), ("c", 1.0)], "k string, store double")
+    got = {r.k: (r.headroom, r.bottleneck) for r in joins.bottleneck(c, s, ["k"], "train", "store").collect()}
+    assert got == {"a": (3.0, "compute_or_network"), "b": (None, None), "c": (None, None)}
+    n = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 2, 3.0)], "k string, nodes int, v double")
+    assert {r.k: r.scale_ratio for r in joins.scaling(n, ["k"], "nodes", "v").collect()} == {"a": 1.5, "b": None}
+
+
+def test_curve_keeps_every_file(spark):
+    from benchlens.bindings import common
+    sf = "/root/testdata/sf0.001"
+    n = common.size_bucket_curve(spark, sf).agg(F.sum("n_files")).first()[0]
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").count()

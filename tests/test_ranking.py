@@ -24,14 +24,11 @@ def _data(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("small_group", [0, 10 ** 9])
-def test_kth_brute_force_both_paths(spark, small_group):
+def test_kth_brute_force_both_paths(spark):
     rows = _data()
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    med = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m", small_group=small_group,
-                                                    accuracy=200).collect()}
-    p99 = {r.g: r.p for r in ranking.percentile_cont(df, ["g"], "v", 0.99, "p", small_group=small_group,
-                                                     accuracy=200).collect()}
+    med = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m").collect()}
+    p99 = {r.g: r.p for r in ranking.percentile_cont(df, ["g"], "v", 0.99, "p").collect()}
     groups = {}
     for g, v in rows:
         groups.setdefault(g, []).append(v)
@@ -45,7 +42,7 @@ def test_row_positions_matches_row_number(spark):
     rows = [("hot", i) for i in range(5000)] + [(f"k{i % 13}", i) for i in range(3000)]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, o long").repartition(5)
-    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=9, small_rows=0).collect()
+    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=9).collect()
     by = {}
     for k, o in rows:
         by.setdefault(k, []).append(o)
@@ -55,48 +52,61 @@ def test_row_positions_matches_row_number(spark):
 
 def test_global_positions_invariant_to_partitioning(spark):
     base = spark.range(0, 3000).select((F.col("id") * 7919 % 3001).alias("o"))
-    a = {r.o: r.pos for r in ranking.row_positions(base.coalesce(1), [], ["o"], "pos", small_rows=0).collect()}
-    b = {r.o: r.pos for r in ranking.row_positions(base.repartition(8), [], ["o"], "pos", num_partitions=5,
-                                                         small_rows=0).collect()}
+    a = {r.o: r.pos for r in ranking.row_positions(base.coalesce(1), [], ["o"], "pos").collect()}
+    b = {r.o: r.pos for r in ranking.row_positions(base.repartition(8), [], ["o"], "pos", num_partitions=5).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 3001))
 
 
-def test_asof_large_path_matches_broadcast_path(spark):
-    """J5/J4 beyond the broadcast bound: the range-partitioned as-of join gives
-    the same rows as the broadcast range join."""
-    import random as _r
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_asof_brute_force(spark, partitions):
+    """J5/J4 against plain Python, with NULL keys and groups, for any number of shuffle partitions."""
     from benchlens.operators import joins
-    rnd = _r.Random(5)
-    left = spark.createDataFrame([(i, rnd.choice(["a", "b", "hot", "hot"]), rnd.randint(-50, 5000))
-                                  for i in range(4000)], "id long, s string, x long").repartition(6)
-    curve = spark.createDataFrame([(s, k * 37, float(k)) for s in ("a", "hot", "c") for k in range(0, 120)],
-                                  "s string, ck long, v double")
-    small = joins.asof_lookup(left, "x", curve, "ck", ["v"], by=["s"])
-    large = joins.asof_lookup(left, "x", curve, "ck", ["v"], by=["s"], broadcast_limit=10)
-    key = lambda r: (r.id, r.s, r.x, r.ck, r.v)
-    assert sorted(map(key, small.collect())) == sorted(map(key, large.collect()))
-    nob = joins.asof_lookup(left, "x", curve.where("s = 'hot'").drop("s"), "ck", ["v"], broadcast_limit=10)
-    ref = joins.asof_lookup(left, "x", curve.where("s = 'hot'").drop("s"), "ck", ["v"])
-    assert sorted(map(lambda r: (r.id, r.ck, r.v), nob.collect())) == sorted(map(lambda r: (r.id, r.ck, r.v), ref.collect()))
-    classes = spark.createDataFrame([(0, 100, "s"), (100, 1000, "m"), (2000, None, "l")], "lo long, hi long, class string")
-    a = joins.size_class(left, "x", classes)
-    b = joins.size_class(left, "x", classes, broadcast_limit=1)
-    assert sorted((r.id, r["class"]) for r in a.collect()) == sorted((r.id, r["class"]) for r in b.collect())
+    rnd = random.Random(5)
+    lrows = [(i, rnd.choice(["a", "b", "hot", "hot", None]), rnd.choice([None, *[rnd.randint(-50, 5000) for _ in range(9)]])) for i in range(1500)]
+    crows = [(s, k * 37, float(k)) for s in ("a", "hot", "c", None) for k in range(120)] + [("a", None, 1.0)]
+    left = spark.createDataFrame(lrows, "id long, s string, x long").repartition(6)
+    curve = spark.createDataFrame(crows, "s string, ck long, v double")
+
+    def best(s, x, by):
+        ks = [(k, v) for t, k, v in crows if k is not None and x is not None and k <= x and (not by or (s is not None and t == s))]
+        return max(ks, default=(None, None))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.id: (r.ck, r.v) for r in joins.asof_lookup(left, "x", curve, "ck", ["v"], by=["s"]).collect()}
+        assert got == {i: best(s, x, True) for i, s, x in lrows}
+        hot = curve.where("s = 'hot'").drop("s")
+        got = {r.id: (r.ck, r.v) for r in joins.asof_lookup(left, "x", hot, "ck", ["v"]).collect()}
+        assert got == {i: best(s, x, False) for i, s, x in lrows}
+        ranges = [(0, 100, "s"), (50, 200, "m"), (100, 1000, "l"), (2000, None, "xl")]
+        table = spark.createDataFrame(ranges, "lo long, hi long, class string")
+        a = {r.id: r["class"] for r in joins.size_class(left, "x", table).collect()}
+        b = {r.id: r["class"] for r in left.withColumn("class", joins.size_class_fixed(F.col("x"), ranges)).collect()}
+        assert a == b
+        for i, _, x in lrows:
+            own = max((r for r in ranges if x is not None and r[0] <= x), default=None, key=lambda r: r[0])
+            assert a[i] == (own[2] if own and (own[1] is None or x < own[1]) else None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_global_median(spark):
+    df = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2, 9)], "v double")
+    assert ranking.ordinal_median(df, [], "v", "m").collect() == [(3.0,)]
 
 
 def test_row_positions_null_group_spanning_buckets(spark):
     rows = [(None, i) for i in range(3000)] + [("a", i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o long").repartition(4)
-    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=8, small_rows=0).collect()
+    got = ranking.row_positions(df, ["k"], ["o"], "pos", num_partitions=8).collect()
     assert sorted(r.pos for r in got if r.k is None) == list(range(1, 3001))
     assert sorted(r.pos for r in got if r.k == "a") == list(range(1, 501))
 
 
-@pytest.mark.parametrize("small_group", [0, 10 ** 9])
-def test_median_null_group(spark, small_group):
+def test_median_null_group(spark):
     rows = [(None, float(x)) for x in (4, 1, 3, 2)] + [("a", 5.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m", small_group=small_group).collect()}
+    got = {r.g: r.m for r in ranking.ordinal_median(df, ["g"], "v", "m").collect()}
     assert got == {None: 3.0, "a": 5.0}
 
 
@@ -108,11 +118,3 @@ def test_group_joins_keep_null_groups(spark):
     assert sorted(r.v for r in agg.comparison(df, ["g"]).collect()) == [1.0, 2.0]
     lat = {r.g: (r.avg_latency_ms, r.p99_latency_ms) for r in agg.latency_summary(df, ["g"], "v").collect()}
     assert lat[None][0] == 1.5 and lat["a"] == (3.0, 3.0)
-
-
-def test_row_positions_small_path_equals_bucketed(spark):
-    rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(700)] + [(f"k{i % 7}", i) for i in range(900)]
-    df = spark.createDataFrame(rows, "k string, o long").repartition(3)
-    a = {(r.k, r.o): r.pos for r in ranking.row_positions(df, ["k"], ["o"], "pos").collect()}
-    b = {(r.k, r.o): r.pos for r in ranking.row_positions(df, ["k"], ["o"], "pos", small_rows=0).collect()}
-    assert a == b
