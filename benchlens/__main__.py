@@ -1,28 +1,28 @@
-"""Command line: ``python -m benchlens report --results-dir DIR --out PATH``.
+"""Command line: ``python -m benchlens report FOLDER --write TARGET | --show``.
 
-Builds the report over every result file in DIR (S1-S3, P1-P3, W1, A12/A13,
-F13/F14) and writes its tables under PATH (K1-K3).  ``--dry-run`` prints the
-per-file metric lines instead of writing.  The Spark session is the one the
-environment provides (``spark-submit`` settings); none is tuned here beyond
-the shared checkpoint folder.
+``--write`` builds the report over every result file in FOLDER (S1-S3, P1-P3,
+W1, A12/A13, F13/F14) and writes its tables under TARGET (K1-K3); ``--show N``
+prints the first N rows of the lines table.  The Spark session is the one the
+environment provides (``spark-submit`` settings); none is tuned here beyond the
+shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import argparse
-import socket
+import platform
 import sys
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="benchlens")
-    sub = ap.add_subparsers(dest="cmd", required=True)
-    r = sub.add_parser("report", help="report benchmark result files")
-    r.add_argument("--results-dir", default="results")
-    r.add_argument("--out", help="folder for the report tables (required unless --dry-run)")
-    r.add_argument("--cluster-name", default=socket.gethostname())
-    r.add_argument("--recursive", action="store_true", help="also read result files in sub-folders")
-    r.add_argument("--dry-run", action="store_true", help="print the per-file lines, write nothing")
+    report_args = ap.add_subparsers(dest="command", required=True).add_parser("report", help="tables over benchmark result files")
+    report_args.add_argument("folder", help="where the result files lie (any store that Spark reads)")
+    todo = report_args.add_mutually_exclusive_group(required=True)
+    todo.add_argument("--write", metavar="TARGET", help="write all tables below this folder")
+    todo.add_argument("--show", metavar="N", type=int, help="print N rows of the lines table")
+    report_args.add_argument("--cluster", default=platform.node(), help="name of the measured cluster in task labels")
+    report_args.add_argument("--subfolders", action="store_true", help="read files in folders below as well")
     args = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -33,20 +33,15 @@ def main(argv: list[str] | None = None) -> int:
     ensure_checkpoint_dir(spark)
     try:
         # writing every table: parse the documents once (written to the shared folder)
-        rep = report(spark, args.results_dir, cluster=args.cluster_name, recursive=args.recursive,
-                     materialize=not args.dry_run)
+        rep = report(spark, args.folder, cluster=args.cluster, recursive=args.subfolders,
+                     materialize=bool(args.write), host=platform.node())
     except ValueError as e:
-        print(str(e), file=sys.stderr)
+        print(f"benchlens: {e}", file=sys.stderr)
         return 1
-    if args.dry_run:
-        # the lines are one per result file: a bounded, human-sized listing
-        for row in rep.lines.orderBy("file").toLocalIterator():
-            print(f"  [{row['bench']}]  {row['file']}\n    {row['text']}")
-        return 0
-    if not args.out:
-        ap.error("--out is required unless --dry-run")
-    write_report(rep, args.out)
-    print(f"report written to {args.out}")
+    if args.write:
+        write_report(rep, args.write)
+    else:
+        rep.lines.orderBy("file").show(args.show, truncate=False)
     return 0
 
 

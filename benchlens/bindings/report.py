@@ -254,6 +254,69 @@ def report_scalars(spark, sf):
     validated, projected (alias fills the canonical key), unpivoted with NULL
     metrics dropped, and numbered per benchmark by file name."""
     from ..plans.report import report_documents
-    rep = report_documents(spark, event_documents(spark, sf), cluster="driver", cache=True)
-    # several passes (positions count and sample, then points): parse once
-    return rep.scalars
+    return report_documents(spark, event_documents(spark, sf), cluster="driver").scalars
+
+
+def _cells_sql() -> str:
+    offsets = dict(DOC_KEYS)
+    rows = []
+    for _, b, ms, _ in dims.REGISTRY + dims.REGISTRY_EXTENSIONS:
+        for i, (k, _, _) in enumerate(ms):
+            kind = "'absent'" if k not in offsets else "'null'" if offsets[k] is None else "'value'"
+            rows.append(f"({C.sql_str(b)}, {i}, {C.sql_str(k)}, {kind}, {float(offsets.get(k) or 0)}::DOUBLE)")
+    return f"(VALUES {', '.join(rows)}) AS m(bench, ord, key, kind, off)"
+
+
+@query("report_comparison", f"""
+WITH c AS ({_classified_events_sql()}), n AS (SELECT bench FROM c GROUP BY bench HAVING count(*) > 1)
+SELECT c.bench, c.file, m.ord, m.key,
+       CASE m.kind WHEN 'absent' THEN '—' WHEN 'null' THEN 'None' ELSE CAST(c.value + m.off AS VARCHAR) END AS display
+FROM c JOIN n USING (bench) JOIN {_cells_sql()} ON c.bench = m.bench""")
+def report_comparison(spark, sf):
+    """A12 + P6: every declared cell of the benchmarks with more than one file."""
+    from ..plans.report import report_documents
+    return report_documents(spark, event_documents(spark, sf), cluster="driver").comparison
+
+
+@query("report_tasks", f"""
+WITH c AS ({_classified_events_sql()})
+SELECT bench, count(*) AS n_files, min(file) AS first_file, row_number() OVER (ORDER BY min(file)) AS ord,
+       'driver' AS cluster_name, 'node-1' AS host
+FROM c GROUP BY bench""")
+def report_tasks(spark, sf):
+    """A5 + F13: one task per benchmark with its cluster and host (the label carries the time, so it is left out here)."""
+    from ..plans.report import report_documents
+    return report_documents(spark, event_documents(spark, sf), cluster="driver", host="node-1").tasks.drop("task_name")
+
+
+@query("report_unknown", f"""
+SELECT stem || '.json' AS file, stem FROM (
+  SELECT {C.sql_list(C.STEM_PREFIXES)}[event_id % {len(C.STEM_PREFIXES)} + 1] || CAST(event_id AS VARCHAR) AS stem FROM events)
+WHERE NULLIF(regexp_extract(stem, '{C.prefix_regex()}', 1), '') IS NULL""")
+def report_unknown(spark, sf):
+    """Files that no registry prefix names."""
+    from ..plans.report import report_documents
+    return report_documents(spark, event_documents(spark, sf), cluster="driver").unknown
+
+
+@query("report_rejected", f"""
+WITH f AS (SELECT event_id, {C.sql_list(C.STEM_PREFIXES)}[event_id % {len(C.STEM_PREFIXES)} + 1] || CAST(event_id AS VARCHAR) AS stem FROM events)
+SELECT stem || '.json' AS file, reg.bench
+FROM f JOIN {C.registry_sql()} ON reg.prefix = NULLIF(regexp_extract(stem, '{C.prefix_regex()}', 1), '') WHERE event_id % 4 = 0""")
+def report_rejected(spark, sf):
+    """S3: every fourth document cut off in the middle is known but rejected."""
+    from ..plans.report import report_documents
+    docs = event_documents(spark, sf)
+    cut = F.regexp_extract("file", r"([0-9]+)\.json$", 1).cast("bigint") % 4 == 0
+    docs = docs.withColumn("raw", F.when(cut, F.substring("raw", 1, 40)).otherwise(F.col("raw")))
+    return report_documents(spark, docs, cluster="driver").rejected
+
+
+@query("trial_plan", f"""
+SELECT s_suppkey, block_size, rw, pass
+FROM supplier, {C.sweep_sizes_sql()}, (SELECT unnest(['write', 'read']) AS rw), (SELECT unnest([1, 2]) AS pass)
+WHERE size_bytes <= 16777216""")
+def trial_plan(spark, sf):
+    """SURVEY 3.2: per cluster (supplier) two passes of every sweep size up to 16 MiB in both directions."""
+    from ..plans.sweep import plan_trials
+    return plan_trials(C.table(spark, sf, "supplier").select("s_suppkey"), passes=2, max_bytes=16 * 1024 ** 2)

@@ -16,6 +16,9 @@ from ..functions import mb_per_s, round_half_even
 from .ranking import join_null_safe, ordinal_median, percentile_cont  # noqa: F401  (A1 re-export)
 
 
+NO_RESULTS = "No recognised result documents found."
+
+
 def min_passes(df: DataFrame, keys: Sequence[str], value: str, name: str = "min") -> DataFrame:
     """A2: minimum over passes."""
     return df.groupBy(*keys).agg(F.min(value).alias(name))
@@ -66,14 +69,16 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, name: str = "total"
 
 
 def barrier_elapsed(df: DataFrame, keys: Sequence[str], start: str, end: str,
-                    name: str = "elapsed_s", count: str | None = None) -> DataFrame:
+                    name: str = "elapsed_s", count: str | None = None, last: dict[str, str] | None = None) -> DataFrame:
     """Wall clock of a barrier: last end minus first start over ranks.
 
     Timestamps are differenced in microseconds; DOUBLE seconds work as is.
-    ``count`` names a row count to take in the same aggregation.
+    ``count`` names a row count and ``last`` maximums (name to column) to take in
+    the same aggregation.
     """
     s, e = F.col(start), F.col(end)
     counts = [F.count("*").alias(count)] if count else []
+    counts += [F.max(c).alias(n) for n, c in (last or {}).items()]
     out = df.groupBy(*keys).agg(F.min(s).alias("_s"), F.max(e).alias("_e"), *counts)
     first = dict(df.dtypes)[start]
     if first.startswith("timestamp"):
@@ -188,7 +193,7 @@ def count_results(df: DataFrame, name: str = "n_results") -> DataFrame:
     """
     c = df.agg(F.count("*").alias(name))
     return c.select(F.when(F.col(name) > 0, F.col(name))
-                    .otherwise(F.raise_error(F.lit("No recognised result documents found."))).alias(name))
+                    .otherwise(F.raise_error(F.lit(NO_RESULTS))).alias(name))
 
 
 def per_device(df: DataFrame, keys: Sequence[str], value: str, devices: str) -> DataFrame:

@@ -21,14 +21,18 @@ def _rules(table: DataFrame, order: str, cols: Sequence[str]) -> Column:
     return one.scalar()
 
 
-def classify(df: DataFrame, stem_col: str, registry: DataFrame, how: str = "left") -> DataFrame:
+def classify(df: DataFrame, stem_col: str | Sequence[str], registry: DataFrame, how: str = "left") -> DataFrame:
     """Benchmark of each file by the first registry prefix its stem starts with.
 
+    Of several columns (the stem, then its folder) the first that matches decides.
     ``how='left'`` keeps unknown files with NULL bench; ``'inner'`` drops them.
     """
-    stem = F.col(stem_col)
+    stems = [stem_col] if isinstance(stem_col, str) else list(stem_col)
     x = df.withColumn("_rules", _rules(registry, "reg_ord", ["prefix", "bench"]))
-    x = x.withColumn("_rule", F.get(F.filter("_rules", lambda r: stem.startswith(r["prefix"])), F.lit(0)))
+
+    def first_rule(stem: str) -> Column:
+        return F.get(F.filter("_rules", lambda r: F.col(stem).startswith(r["prefix"])), F.lit(0))
+    x = x.withColumn("_rule", F.coalesce(*[first_rule(c) for c in stems]))
     x = x.select(*df.columns, F.col("_rule.prefix").alias("prefix"), F.col("_rule._order").alias("reg_ord"), F.col("_rule.bench").alias("bench"))
     return x.where(F.col("prefix").isNotNull()) if how == "inner" else x
 

@@ -3,9 +3,8 @@ long metric points, first-row parameters, comparison tables, one-line text.
 
 S1 -> S2/J1 -> S3 -> P1 -> P2/P3 -> W1 -> (K2), A13 + P5, A12 + P6 -> (K3),
 F13, F14, A16.  The registry's metric and parameter keys are a small fixed
-set, so each becomes one typed column extracted from the VARIANT document;
-keeping only the keys a benchmark declares is then an equi-join with the
-exploded registry.
+set, so each is extracted from the VARIANT document once, and a CASE on the
+benchmark keeps the keys it declares, all within the row.
 """
 
 from __future__ import annotations
@@ -27,20 +26,24 @@ class Report:
 
     documents   file, stem, prefix, bench, doc (valid, known files)
     rejected    known files whose JSON did not parse to an object
-    unknown     files whose name matches no registry prefix
+    unknown     files whose name and folder match no registry prefix
     scalars     bench, title, series (file), value, iteration
     params      bench, param, value (JSON text), is_null (first file only)
     comparison  bench, file, ord, key, display (benchmarks with > 1 file)
     lines       bench, file, text
-    tasks       bench, n_files, first_file, ord, task_name
+    tasks       bench, n_files, first_file, ord, cluster_name, host, task_name
+
+    Declared keys are read from a document once, in the row; no table joins
+    points back to documents.
     """
 
     def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at,
-                 materialize: bool = False, cache: bool = False):
-        self._spark, self._cluster, self._at = spark, cluster, at
+                 materialize: bool = False, host: str | None = None):
+        self._spark, self._cluster, self._at, self._host = spark, cluster, at, host
         self._reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
         self._reg = dims.registry(spark, extensions)
-        c = joins.classify(files, "stem", self._reg, "left")
+        stems = ["stem", "folder"] if "folder" in files.columns else ["stem"]
+        c = joins.classify(files, stems, self._reg, "left")
         self.unknown = c.where(F.col("bench").isNull()).select("file", "stem")
         parsed = D.parse_documents(c.where(F.col("bench").isNotNull()))
         valid, rejected = D.split_valid(parsed)
@@ -50,102 +53,96 @@ class Report:
             # parse once: every table below reads the parsed documents
             from ..operators.ranking import materialize as write_once
             self.documents = write_once(self.documents, "report-documents")
-        elif cache:
-            # parse once per session: the tables (and the positions' sampling jobs) reuse the
-            # parsed documents; a lost block is simply parsed again
-            from pyspark import StorageLevel
-            self.documents = self.documents.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def release(self) -> None:
-        """Drop the cached documents (when built with ``cache=True``)."""
-        self.documents.unpersist()
+    def _of_bench(self, per_bench: dict):
+        """The benchmark's own expression: a CASE over the registry's benchmarks."""
+        pick = F.lit(None)
+        for bench, expr in reversed(per_bench.items()):
+            pick = F.when(F.col("bench") == bench, expr).otherwise(pick)
+        return pick
 
     @cached_property
-    def _points(self) -> DataFrame:
-        """P1 + P2 + P3: declared, non-NULL metric points (alias fills a missing canonical key).
+    def _keyed(self) -> DataFrame:
+        """(bench, file, m): every declared metric key of a document, as VARIANT, in one struct."""
+        keys = _registry_keys(self._reg_rows, 2)
+        return self.documents.select("bench", "file", F.struct(*[
+            F.variant_get("doc", f"$.{k}", "variant").alias(k) for k in keys]).alias("m"))
 
-        The registry is a small fixed table, so each benchmark's declared
-        metrics become one row-local expression: a CASE on the benchmark picks
-        the (ord, label, value) points of that benchmark only.  No unpivot of
-        every key and no shuffle.
-        """
-        per_bench = []
-        for _, bench, metrics, _ in self._reg_rows:
-            pts = []
-            for i, (k, label, aliases) in enumerate(metrics):
-                names = [k, *aliases]
-                vals = [D.extract_path("doc", f"$.{x}", "double") for x in names]
+    @cached_property
+    def _points(self) -> DataFrame:
+        """P1 + P2 + P3: (bench, file, points): the declared, non-NULL metric points of each
+        document (an alias fills a missing canonical key), in declared order."""
+        def point(i, key, label, aliases):
+            vals, texts = [], []
+            for k in [key, *aliases]:
+                v = F.try_variant_get(F.col("m")[k], "$", "double")
                 # display text as the producer prints the value: a JSON integer as its
                 # digits ('8'), any other number as a double ('18.0', '6.55'); very small
                 # or very large doubles use Java's exponent format, not Python's
-                texts = []
-                for x, v_ in zip(names, vals):
-                    raw_v = F.variant_get("doc", f"$.{x}", "variant")
-                    is_int = F.schema_of_variant(raw_v).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-                    texts.append(F.when(is_int, F.to_json(raw_v)).otherwise(v_.cast("string")))
-                text = texts[0]
-                for v_, t_ in reversed(list(zip(vals, texts))):
-                    text = F.when(v_.isNotNull(), t_).otherwise(text)
-                pts.append(F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"),
-                                    (vals[0] if len(vals) == 1 else F.coalesce(*vals)).alias("value"),
-                                    text.alias("text")))
-            per_bench.append((bench, F.array(*pts)))
-        pick = F.lit(None)
-        for bench, arr in reversed(per_bench):
-            pick = F.when(F.col("bench") == bench, arr).otherwise(pick)
-        x = self.documents.select("bench", "file", F.explode(pick).alias("p"))
-        return x.select("bench", "file", "p.ord", "p.label", "p.value", "p.text").where(F.col("value").isNotNull())
+                is_int = F.schema_of_variant(F.col("m")[k]).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+                vals.append(v)
+                texts.append(F.when(is_int, F.to_json(F.col("m")[k])).otherwise(v.cast("string")))
+            text = texts[0]
+            for v, t in reversed(list(zip(vals, texts, strict=True))):
+                text = F.when(v.isNotNull(), t).otherwise(text)
+            return F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.coalesce(*vals).alias("value") if len(vals) > 1
+                            else vals[0].alias("value"), text.alias("text"))
+        pick = self._of_bench({bench: F.array(*[point(i, *m) for i, m in enumerate(metrics)]) for _, bench, metrics, _ in self._reg_rows})
+        return self._keyed.select("bench", "file", F.filter(pick, lambda p: p["value"].isNotNull()).alias("points"))
 
     @cached_property
     def scalars(self) -> DataFrame:
-        """Points numbered per benchmark by file name (0-based iteration)."""
-        it = windows.with_iteration(self.documents.select("bench", "file"), ["bench"], "file")
-        return self._points.join(it, ["bench", "file"]).select(
-            "bench", F.col("label").alias("title"), F.col("file").alias("series"), "value", "iteration")
+        """Points numbered per benchmark by file name (0-based iteration).
+
+        Documents are numbered while they carry their points; no join back.
+        """
+        x = windows.with_iteration(self._points, ["bench"], "file")
+        return x.select("bench", F.col("file").alias("series"), "iteration", F.explode("points").alias("p")).select(
+            "bench", F.col("p.label").alias("title"), "series", "p.value", "iteration")
 
     @cached_property
     def params(self) -> DataFrame:
         """A13 + P5: parameters of the first file of each benchmark, by key presence."""
-        valid = self.documents
-        first = valid.groupBy("bench").agg(F.min("file").alias("file"))
-        first_docs = valid.join(first, ["bench", "file"], "left_semi")
-        pkeys = _registry_keys(self._reg_rows, 3)
-        pw = first_docs.select("bench", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("_k"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in pkeys]))
-            .alias("e")).select("bench", "e._k", "e._v").where(F.col("_v").isNotNull())
-        pdecl = _keys(self._reg, "params").select(
-            "bench", F.col("key").alias("param"), F.posexplode(F.concat(F.array("key"), "aliases")).alias("_pref", "_k"))
-        return pw.join(F.broadcast(pdecl), ["bench", "_k"]).groupBy("bench", "param").agg(
-            F.min_by(F.struct(F.when(~F.is_variant_null("_v"), F.to_json("_v")).alias("value"),
-                              F.is_variant_null("_v").alias("is_null")), "_pref").alias("p")
-        ).select("bench", "param", "p.value", "p.is_null")
+        first = self.documents.groupBy("bench").agg(F.min_by("doc", "file").alias("doc"))
+
+        def param(key, aliases):
+            vals = [F.variant_get("doc", f"$.{k}", "variant") for k in [key, *aliases]]
+            v = F.coalesce(*vals) if len(vals) > 1 else vals[0]
+            return F.struct(F.lit(key).alias("param"), F.when(~F.is_variant_null(v), F.to_json(v)).alias("value"),
+                            F.is_variant_null(v).alias("is_null"), v.isNotNull().alias("has"))
+        pick = self._of_bench({bench: F.array(*[param(*p) for p in ps]) for _, bench, _, ps in self._reg_rows})
+        x = first.select("bench", F.explode(pick).alias("p")).where("p.has")
+        return x.select("bench", "p.param", "p.value", "p.is_null")
 
     @cached_property
     def comparison(self) -> DataFrame:
         """A12 + P6: comparison cells for benchmarks with more than one file ('—' when absent)."""
-        valid = self.documents
-        mkeys = _registry_keys(self._reg_rows, 2)
-        multi = agg.comparison(valid.select("bench", "file"), ["bench"])
-        cells = multi.join(F.broadcast(_keys(self._reg, "metrics").select("bench", "ord", "key")), "bench")
-        present = valid.select("bench", "file", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("key"), F.variant_get("doc", f"$.{k}", "variant").alias("_v")) for k in mkeys]))
-            .alias("e")).select("bench", "file", "e.key", "e._v")
-        return cells.join(present, ["bench", "file", "key"], "left").select(
-            "bench", "file", "ord", "key", display_text(F.col("_v")).alias("display"))
+        def cell(i, key):
+            return F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), display_text(F.col("m")[key]).alias("display"))
+        pick = self._of_bench({bench: F.array(*[cell(i, k) for i, (k, _, _) in enumerate(ms)]) for _, bench, ms, _ in self._reg_rows})
+        x = self._keyed.select("bench", "file", pick.alias("cells"))
+        x = agg.comparison(x, ["bench"], bounded=True)
+        return x.select("bench", "file", F.explode("cells").alias("c")).select("bench", "file", "c.ord", "c.key", "c.display")
+
+    def comparison_of(self, bench: str) -> DataFrame:
+        """A12 + P6 as one wide table: file, then a column for each declared metric key of the benchmark."""
+        keys = next([k for k, _, _ in ms] for _, b, ms, _ in self._reg_rows if b == bench)
+        x = agg.comparison(self._keyed.where(F.col("bench") == bench), ["bench"], bounded=True)
+        return x.select("file", *[display_text(F.col("m")[k]).alias(k) for k in keys])
 
     @cached_property
     def lines(self) -> DataFrame:
-        """one line of text per file, metrics in declared order."""
-        pieces = self._points.select("bench", "file", "ord", F.concat("label", F.lit(": "), "text").alias("t"))
-        return (pieces.groupBy("bench", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("a"))
-                      .select("bench", "file", F.array_join(F.transform("a", lambda x: x["t"]), "  ").alias("text")))
+        """one line of text per file, metrics in declared order; put together in the row."""
+        text = F.array_join(F.transform("points", lambda p: F.concat(p["label"], F.lit(": "), p["text"])), "  ")
+        return self._points.where(F.size("points") > 0).select("bench", "file", text.alias("text"))
 
     @cached_property
     def tasks(self) -> DataFrame:
         """A5 + F13: one task per benchmark, ordered by first file."""
         ts = F.lit(self._at).cast("timestamp") if self._at is not None else F.current_timestamp()
-        return agg.group_results(self.documents.select("bench", "file"), "bench", "file").withColumn(
-            "task_name", task_label("bench", F.lit(self._cluster), ts))
+        return agg.group_results(self.documents.select("bench", "file"), "bench", "file").select(
+            "*", F.lit(self._cluster).alias("cluster_name"), F.lit(self._host).cast("string").alias("host"),
+            task_label("bench", F.lit(self._cluster), ts).alias("task_name"))
 
 
 def display_text(v):
@@ -162,15 +159,6 @@ def display_text(v):
              .otherwise(F.to_json(v)))
 
 
-def _keys(reg: DataFrame, field: str) -> DataFrame:
-    """(bench, ord, key, label?, aliases) from the registry arrays."""
-    x = reg.select("bench", F.posexplode(field).alias("ord", "m"))
-    cols = ["bench", "ord", F.col("m.key").alias("key"), F.col("m.aliases").alias("aliases")]
-    if field == "metrics":
-        cols.insert(3, F.col("m.label").alias("label"))
-    return x.select(*cols)
-
-
 def _registry_keys(registry_rows, field: int) -> list[str]:
     out = []
     for row in registry_rows:
@@ -183,27 +171,25 @@ def _registry_keys(registry_rows, field: int) -> list[str]:
 
 def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
            recursive: bool = False, extensions: bool = True, at=None,
-           require_results: bool = True, materialize: bool = False) -> Report:
+           require_results: bool = True, materialize: bool = False, host: str | None = None) -> Report:
     """The report over every ``*.json`` file under ``results_dir``."""
     files = D.read_results(spark, results_dir, recursive)
-    return report_documents(spark, files, cluster, extensions, at, require_results, materialize)
+    return report_documents(spark, files, cluster, extensions, at, require_results, materialize, host)
 
 
 def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "cluster",
                      extensions: bool = True, at=None, require_results: bool = True,
-                     materialize: bool = False, cache: bool = False) -> Report:
+                     materialize: bool = False, host: str | None = None) -> Report:
     """The report on documents already in a DataFrame of (file, stem, raw).
 
     ``require_results`` refuses an empty result set up front (A16) with a
     one-row probe rather than a count.  ``materialize=True`` writes the parsed,
     valid documents once to the shared checkpoint folder, so several tables do
-    not parse every document again (worth it when most tables are built);
-    ``cache=True`` keeps them in executor memory/disk instead (``release()``
-    drops them).
+    not parse every document again (worth it when most tables are built).
     """
-    rep = Report(spark, files, cluster, extensions, at, materialize, cache)
+    rep = Report(spark, files, cluster, extensions, at, materialize, host)
     if require_results and rep.documents.isEmpty():
-        raise ValueError("No recognised JSON result files found.")
+        raise ValueError(agg.NO_RESULTS)
     return rep
 
 

@@ -8,12 +8,12 @@ A7 per round -> A6 bytes -> F4 GB/s -> A3 mean and A4 cold/warm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import gb_per_s, global_batch, mfu_pct, node_class
-from ..operators import agg, joins, windows
+from ..operators import agg, joins
 
 
 def run_summary(spark: SparkSession, steps: DataFrame, runs: DataFrame, warmup: int = 20,
@@ -24,13 +24,12 @@ def run_summary(spark: SparkSession, steps: DataFrame, runs: DataFrame, warmup:
     ``runs``: run, gpu, world_size, batch_size_per_gpu, flops_per_step (nullable),
     peak_mem_bytes (max allocated over ranks may also come from ``steps``).
     """
-    # W2 on distinct steps of a run (steps are in lockstep across ranks)
-    step_ids = steps.select("run", "step").distinct()
-    kept = windows.measure_window(step_ids, ["run"], "step", warmup, measure, "_n").drop("_n")
-    measured = steps.join(kept, ["run", "step"], "left_semi")
-    span = agg.barrier_elapsed(measured, ["run"], "start_ts", "end_ts", "elapsed_s")
-    n = kept.groupBy("run").agg(F.count("*").alias("measure_steps"))
-    r = runs.join(n, "run").join(span, "run")
+    # W2 by dense_rank: steps are in lockstep across ranks, so a step's rows share a number;
+    # the top-k filter reaches the tasks as a WindowGroupLimit
+    numbered = steps.withColumn("_n", F.dense_rank().over(Window.partitionBy("run").orderBy("step")))
+    measured = numbered.where(F.col("_n") <= warmup + measure).where(F.col("_n") > warmup)
+    span = agg.barrier_elapsed(measured, ["run"], "start_ts", "end_ts", "elapsed_s", last={"measure_steps": "_n"})
+    r = runs.join(span, "run").withColumn("measure_steps", (F.col("measure_steps") - warmup).cast("bigint"))
     r = agg.throughput(r, "measure_steps", "elapsed_s", "batch_size_per_gpu", "world_size")
     r = joins.lookup_first_match(r, "gpu", dims.peak_flops(spark), "flops",
                                  default=dims.DEFAULT_PEAK_FLOPS, override=peak_override, out="peak_flops")
@@ -52,20 +51,15 @@ def checkpoint_rounds(rounds: DataFrame) -> DataFrame:
 def checkpoint_summary(rounds: DataFrame) -> DataFrame:
     """Per run: save/load GB/s as the mean of all rounds (A3) and split cold/warm (A4)."""
     r = checkpoint_rounds(rounds)
-    out = None
+    r = r.withColumn("_cold", F.col("round") == F.min("round").over(Window.partitionBy("run", "phase")))
+    aggs, rate = [], F.col("gb_s")
     for phase in ("save", "load"):
-        p = r.where(F.col("phase") == phase)
-        m = agg.mean_rounds(p, ["run"], "gb_s", f"{phase}_gb_s")
-        cw = agg.cold_warm(p, ["run"], "round", "gb_s").select(
-            "run", F.col("cold").alias(f"{phase}_cold_gb_s"), F.col("warm").alias(f"{phase}_warm_gb_s"))
-        part = m.join(cw, "run")
-        out = part if out is None else out.join(part, "run")
-    size = r.where(F.col("phase") == "save").groupBy("run").agg(
-        (F.max("bytes") / F.lit(1e9)).alias("checkpoint_size_gb"))
-    # per-round rates in round order (one element per round: bounded)
-    per_round = r.groupBy("run").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("phase") == ph, F.struct("round", "gb_s")))).alias(f"_{ph}")
-        for ph in ("save", "load")])
-    per_round = per_round.select("run", *[F.transform(f"_{ph}", lambda x: x["gb_s"]).alias(f"{ph}_rounds")
-                                          for ph in ("save", "load")])
-    return out.join(size, "run").join(per_round, "run")
+        mine = F.col("phase") == phase
+        aggs += [F.avg(F.when(mine, rate)).alias(f"{phase}_gb_s"),
+                 F.avg(F.when(mine & F.col("_cold"), rate)).alias(f"{phase}_cold_gb_s"),
+                 F.avg(F.when(mine & ~F.col("_cold"), rate)).alias(f"{phase}_warm_gb_s"),
+                 # per-round rates in round order (one element per round: bounded)
+                 F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("round", "gb_s")))),
+                             lambda x: x["gb_s"]).alias(f"{phase}_rounds")]
+    size = (F.max(F.when(F.col("phase") == "save", F.col("bytes"))) / F.lit(1e9)).alias("checkpoint_size_gb")
+    return r.groupBy("run").agg(*aggs, size)

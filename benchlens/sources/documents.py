@@ -13,16 +13,27 @@ LEADING_NUMBERS = r"^\s*((?:[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)
 def read_results(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Every ``*.json`` file under ``path`` as one document.
 
-    One row per file: (file, stem, raw).  Files are read whole on executors;
-    the glob filter prunes at listing, so other files are never opened.
+    One row per file: (file, stem, folder, raw).  ``file`` is the path below
+    ``path`` (files of one name in several folders stay apart), ``folder`` its
+    first folder, as a run that keeps its results in a folder of its own is named
+    by it.  Files are read whole on executors; the glob filter prunes at listing,
+    so other files are never opened.
     """
     r = spark.read.option("pathGlobFilter", "*.json")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     df = r.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_name").alias("file"),
-                     F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("stem"),
-                     F.col("value").alias("raw"))
+    full = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rel = _below(full, path)
+    return df.select(rel.alias("file"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("stem"),
+                     F.when(F.instr(rel, "/") > 0, F.substring_index(rel, "/", 1)).alias("folder"), F.col("value").alias("raw"))
+
+
+def _below(full: Column, path: str) -> Column:
+    """The part of a full file path after the folder ``path`` (scheme and host left out)."""
+    root = "/" + path.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
+    at = F.locate(root, full)
+    return F.when(at > 0, full.substr(at + len(root), F.length(full))).otherwise(full)
 
 
 def parse_documents(df: DataFrame, raw_col: str = "raw", out: str = "doc") -> DataFrame:

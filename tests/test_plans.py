@@ -167,8 +167,25 @@ def test_display_text(spark):
 
 def test_cli_report(spark, results, tmp_path, capsys):
     from benchlens.__main__ import main
-    assert main(["report", "--results-dir", results, "--dry-run"]) == 0
+    assert main(["report", results, "--show", "20"]) == 0
     out = capsys.readouterr().out
-    assert "[π₀.₅ Checkpoint]  pi05_ckpt_1n_7.json" in out and "Load GB/s: 8" in out
-    assert main(["report", "--results-dir", results, "--out", str(tmp_path / "rep")]) == 0
+    assert "pi05_ckpt_1n_7.json" in out and "Load GB/s: 8" in out
+    assert main(["report", results, "--write", str(tmp_path / "rep")]) == 0
     assert spark.read.parquet(str(tmp_path / "rep" / "scalars")).count() > 0
+
+
+def test_same_names_in_folders(spark, tmp_path):
+    """Files of one name stay apart, and a run's folder names the benchmark of files that do not."""
+    for folder, value in (("a", 1.0), ("b", 2.0), ("mlperf_unet_77", 3.0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "hpl_1.json").write_text(json.dumps({"tflops": value}))
+    (tmp_path / "mlperf_unet_77" / "summary.json").write_text(json.dumps({"samples_per_sec": 5}))
+    (tmp_path / "a" / "notes.json").write_text("{}")
+    rep = R.report(spark, str(tmp_path), recursive=True)
+    assert sorted((r.series, r.value, r.iteration) for r in rep.scalars.where("title = 'TFLOPS'").collect()) == [
+        ("a/hpl_1.json", 1.0, 0), ("b/hpl_1.json", 2.0, 1), ("mlperf_unet_77/hpl_1.json", 3.0, 2)]
+    assert {(r.bench, r.file): r.text for r in rep.lines.collect()}["MLPerf Storage", "mlperf_unet_77/summary.json"] == "Samples/s: 5"
+    assert len(rep.lines.collect()) == 4 and [r.file for r in rep.unknown.collect()] == ["a/notes.json"]
+    wide = rep.comparison_of("HPL (Linpack)")
+    assert wide.columns == ["file", "tflops"] and sorted(map(tuple, wide.collect())) == [
+        ("a/hpl_1.json", "1.0"), ("b/hpl_1.json", "2.0"), ("mlperf_unet_77/hpl_1.json", "3.0")]

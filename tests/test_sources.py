@@ -31,7 +31,7 @@ def test_read_results_and_quarantine(spark, results_dir):
     assert sorted(r.file for r in valid.collect()) == ["hpl_1.json"]
     assert sorted(r.file for r in rejected.collect()) == ["arr_1.json", "bad_1.json", "nan_1.json"]
     rec = read_results(spark, results_dir, recursive=True)
-    assert "mlperf_x_1.json" in {r.file for r in rec.collect()}
+    assert "sub/mlperf_x_1.json" in {r.file for r in rec.collect()}
     assert {r.stem for r in rec.collect()} >= {"hpl_1", "mlperf_x_1"}
 
 
