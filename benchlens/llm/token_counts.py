@@ -1,17 +1,18 @@
 """Token counts without ids (operator 8).
 
 Texts are cut into pre-tokens.  Each slice of documents becomes one row per
-distinct pre-token with its postings (document in the slice, frequency); rows are
-dealt by pre-token and sorted, so every distinct pre-token reaches one run of
-rows, its pieces are counted there once by the tokenizer's merges, and the count
-is multiplied into the postings.  The sums go back to the documents by a partial
-aggregation.  No ids are made.
+distinct pre-token with its postings (document in the slice, frequency).  Slices
+fall into groups; a group's rows are dealt by pre-token to ``SPREAD`` tasks and
+sorted, so every distinct pre-token of a group is one run of rows, its pieces are
+counted there once by the tokenizer's merges, and the count is multiplied into the
+postings.  The sums go back to the documents by a partial aggregation, at most
+``SPREAD`` rows for a document.  No ids are made.
 
 Hot pre-tokens never travel: those that are vocabulary entries (at most 50,257,
 a proven bound) are counted once per worker into a table and summed where they
-are read.  What is dealt is pre-aggregated to one row per slice, and
-``salts`` spreads a pre-token over as many tasks (it is then counted at most that
-often).
+are read.  What is dealt is pre-aggregated to one row per slice, and a pre-token of
+a third of all documents is spread over all groups (there are as many as shuffle
+partitions, divided by ``SPREAD``).
 
 Pre-tokens come from the tokenizer's own pattern.  Texts with characters outside
 Latin, digits and common punctuation, whose classes could differ between Unicode
@@ -43,7 +44,8 @@ from .token_orc import byte_alphabet
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-¬®-ɏ‐-‧‰-›]")
 ROWS = 1 << 16
-DEALT = "deal long, pretoken string, block long, posts binary, idx int, doc_id long, n_bytes long, base long"
+SPREAD = 16
+DEALT = "pretoken string, block long, posts binary, idx int, doc_id long, n_bytes long, base long"
 BYTES = {b: c for b, c in byte_alphabet().items()}
 
 
@@ -120,7 +122,7 @@ def postings(texts: list[str], counter: PieceCounter) -> tuple[np.ndarray, pa.Ar
     return base, d.dictionary.take(pa.array(left)), posts.ravel(), np.concatenate([[0], np.cumsum(3 * n)])
 
 
-def deal(docs: DataFrame, tokenizer: str, salts: int, slice_bytes: int) -> DataFrame:
+def deal(docs: DataFrame, tokenizer: str, slice_bytes: int) -> DataFrame:
     """Rows of pre-tokens with postings, and one row per document with what is known already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, block = PieceCounter(tokenizer), TaskContext.get().partitionId() << 32
@@ -133,11 +135,11 @@ def deal(docs: DataFrame, tokenizer: str, salts: int, slice_bytes: int) -> DataF
                     blocks = lambda k: pa.array(np.full(k, block))  # noqa: B023, E731
                     none = lambda k, t: pa.nulls(k, t)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(w, block % salts)), words, blocks(w),
+                        words, blocks(w),
                         pa.Array.from_buffers(pa.binary(), w, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(posts)]),
                         none(w, pa.int32()), none(w, pa.int64()), none(w, pa.int64()), none(w, pa.int64())], names=NAMES)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(block + salts + np.arange(n)), none(n, pa.string()), blocks(n), none(n, pa.binary()),
+                        none(n, pa.string()), blocks(n), none(n, pa.binary()),
                         pa.array(np.arange(n, dtype=np.int32)), b.column("doc_id"),
                         pc.binary_length(b.column("text")).cast(pa.int64()), pa.array(base)], names=NAMES)
                     block += 1
@@ -178,9 +180,14 @@ def multiply(dealt: DataFrame, tokenizer: str) -> DataFrame:
     return dealt.mapInArrow(run, SUMS)
 
 
-def count(docs: DataFrame, tokenizer: str, limit: int = 512, salts: int = 4, slice_bytes: int = 12 << 20) -> DataFrame:
+def count(docs: DataFrame, tokenizer: str, limit: int = 512, groups: int | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every whole text."""
-    dealt = deal(docs, tokenizer, salts, slice_bytes).repartition("deal", "pretoken").sortWithinPartitions("pretoken")
+    groups = groups or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SPREAD)
+    n = groups * SPREAD
+    group = F.pmod(F.xxhash64("block"), F.lit(groups))
+    to = F.when(F.col("pretoken").isNotNull(), group * SPREAD + F.pmod(F.xxhash64("pretoken"), F.lit(SPREAD))).otherwise(
+        F.pmod(F.xxhash64("block", "idx"), F.lit(n)))
+    dealt = deal(docs, tokenizer, slice_bytes).repartitionById(n, to.cast("int")).sortWithinPartitions("pretoken")
     sums = multiply(dealt, tokenizer).groupBy("block", "idx").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -51,7 +51,7 @@ def test_counts_equal_the_library(spark, clash_docs, empty_docs):
     want = sorted(((i, len((t or "").encode()), n, n > 512) for i, t in docs for n in [len(tok.encode(t or "", add_special_tokens=False).ids)]), key=repr)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(token_counts.count(df, BYTE)) == want
-    assert rows(token_counts.count(df.repartition(3), BYTE, salts=1, slice_bytes=500)) == want
+    assert rows(token_counts.count(df.repartition(3), BYTE, groups=3, slice_bytes=500)) == want
     assert token_counts.count(empty_docs, BYTE).count() == 0
     assert token_counts.count(clash_docs, BYTE).count() == len(ODD)
 
