@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_subdir
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While an intermediate table is written: its shuffle files go when it is done, and Arrow batches of texts stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +42,14 @@ class Stages:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path, conf = self.path(name), self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
+        before = {k: conf.get(k) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
             df.write.option("compression", codec).parquet(path)
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -128,7 +128,7 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(a[:len(a) - (width - span)], a[width - span:]) if span < width else a
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20):
+def _ranked(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 19):
     for batch in batches:
         for b in slices(batch, max_bytes=max_bytes):
             yield b, Ranked(b.column("text"))
