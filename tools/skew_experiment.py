@@ -83,14 +83,14 @@ def main() -> None:
                 print(f"    stage {st:3d}: tasks {len(v):3d}  max {max(v):5.2f}s  median {statistics.median(v):5.2f}s")
         return rows
 
-    a = run("median: bracket + candidates", lambda: ranking.ordinal_median(big, ["k"], "v", "m", small_group=100_000))
+    a = run("median: counted pairs in ranges", lambda: ranking.ordinal_median(big, ["k"], "v", "m"))
     w = Window.partitionBy("k").orderBy("v")
     naive = (big.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("k")))
                 .where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("k", F.col("v").alias("m")))
     b = run("median: window over raw rows", lambda: naive)
     assert {r.k: r.m for r in a} == {r.k: r.m for r in b}
 
-    c = run("positions: sampled buckets", lambda: ranking.row_positions(big, ["k"], ["oid"], "pos")
+    c = run("positions: written ranges", lambda: ranking.row_positions(big, ["k"], ["oid"], "pos")
             .groupBy("k").agg(F.max("pos").alias("mx"), F.sum("pos").alias("s")))
     naive_pos = big.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("oid")))
     d = run("positions: row_number window", lambda: naive_pos.groupBy("k").agg(F.max("pos").alias("mx"),
