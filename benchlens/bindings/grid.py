@@ -87,6 +87,20 @@ def f12_dataset_path(spark, sf):
                                               F.lit("/mnt/scratch/fallback-dataset")).alias("dataset_path"))
 
 
+@query("f12_existing_folder", f"""
+WITH c AS (SELECT s_suppkey, '/mnt/' || lower(r_name) || '--' || lower(replace(n_name, ' ', '-')) AS path FROM ({CLUSTERS_SQL})),
+     h AS (SELECT DISTINCT '/mnt/' || lower(r_name) || '--' || lower(replace(n_name, ' ', '-')) AS path
+           FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0)
+SELECT s_suppkey, coalesce(h.path, '/mnt/fallback') AS dataset_path FROM c LEFT JOIN h USING (path)""")
+def f12_existing_folder(spark, sf):
+    """the folder of two thirds of the nations exists; clusters of the others take the fallback."""
+    name = F.concat(F.lower("r_name"), F.lit("/"), F.lower(F.regexp_replace("n_name", " ", "-")))
+    c = clusters(spark, sf).select("s_suppkey", dataset_path(name, F.lit("/mnt")).alias("path"), F.lit("/mnt/fallback").alias("other"))
+    n = C.table(spark, sf, "nation").join(C.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    folders = n.where("n_nationkey % 3 <> 0").select(dataset_path(name, F.lit("/mnt")).alias("path"))
+    return joins.existing_folder(c, "path", folders, "other").select("s_suppkey", "dataset_path")
+
+
 @query("f13_task_label", """
 SELECT o_orderkey, o_orderpriority || ' — ' || o_orderstatus || ' — ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' UTC' AS task_name
 FROM orders""")

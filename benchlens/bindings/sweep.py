@@ -201,3 +201,21 @@ def sweep_verdicts_query(spark, sf):
     """SURVEY 3.2: W3/W4 plateau and recommended size, W5 small-file penalty, per cluster."""
     from ..plans import sweep as SW
     return SW.curve_verdicts(_sweep_summary_df(spark, sf), ["cluster"], eps=0.10)
+
+
+def _labels_sql() -> str:
+    from .. import dims
+    return f"(VALUES {', '.join(f'({C.sql_str(l)}, {C.sql_str(d)})' for l, d in dims.SWEEP_SIZES)}) AS lb(block_size, block_size_label)"
+
+
+@query("sweep_records", _sweep_sql_base() + f"""
+SELECT cluster, 1 AS workers, 3 AS passes, row_number() OVER (PARTITION BY cluster ORDER BY size_bytes) - 1 AS "at",
+       block_size_label, w.block_size, write_bw_median_mbs, write_bw_min_mbs, read_bw_median_mbs, read_bw_min_mbs
+FROM w JOIN {_labels_sql()} ON lb.block_size = w.block_size""")
+def sweep_records_query(spark, sf):
+    """K1 shape of SURVEY 3.2: one record per cluster with its ordered sweep array, unfolded to compare."""
+    from ..plans import sweep as SW
+    rec = SW.to_records(_sweep_summary_df(spark, sf), {"workers": 1, "passes": 3}, ["cluster"])
+    x = rec.select("cluster", "workers", "passes", F.posexplode("sweep").alias("at", "e"))
+    return x.select("cluster", "workers", "passes", F.col("at").cast("bigint").alias("at"), "e.block_size_label", "e.block_size",
+                    "e.write_bw_median_mbs", "e.write_bw_min_mbs", "e.read_bw_median_mbs", "e.read_bw_min_mbs")

@@ -78,6 +78,13 @@ def lookup_peak(df: DataFrame, name_col: str, table: DataFrame | None = None, de
                               override=override, out=out)
 
 
+def existing_folder(df: DataFrame, path_col: str, folders: DataFrame, fallback: str, out: str = "dataset_path") -> DataFrame:
+    """the path where its folder exists (``folders`` has a column ``path``), else the fallback column."""
+    have = folders.select(F.col("path").alias("_have")).distinct()
+    x = df.join(have, F.col(path_col) == F.col("_have"), "left")
+    return x.withColumn(out, F.coalesce("_have", fallback)).drop("_have")
+
+
 def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFrame) -> DataFrame:
     """Measured / device peak x 100, and measured / other device's peak.
 
