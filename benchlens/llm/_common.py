@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 from ..session import shared_subdir
 
-#: While an intermediate table is written: its shuffle files go when it is done, and Arrow batches of texts stay small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of 4 MB, unless the session sets a size of its own."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, "4m")
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): null texts are empty; every other column is left behind."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -42,14 +49,12 @@ class Stages:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path, conf = self.path(name), self.spark.conf
-        before = {k: conf.get(k) for k in WRITING}
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
         try:
-            for k, v in WRITING.items():
-                conf.set(k, v)
             df.write.option("compression", codec).parquet(path)
         finally:
-            for k, v in before.items():
-                conf.set(k, v)
+            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

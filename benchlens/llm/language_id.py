@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Stages, flat_bytes, id_text, slices
+from ._common import Stages, flat_bytes, id_text, slices, small_batches
 
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is not rejected, all columns as they were."""
     schema = docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -39,6 +39,7 @@ from ._common import flat_bytes, gather, id_text, slices
 UNIT = 64
 CHAR_BITS, SLOT_BITS = 21, 19
 SCALE = 50.0
+ALONE = (1 << 16) - 1  # no vocabulary that this reads has so many pieces
 units_of = re.compile(rf" *[^ ]{{1,{UNIT}}}| +$").findall
 
 
@@ -80,9 +81,15 @@ def _model(path: str, alpha: float):
     slot_to = np.array(list(child.values()), np.int64)[np.maximum(slots, 0)]
     weight = (2.0 - np.minimum(np.array([sp.get_score(i) for i in range(n)]), 0.0)) ** -alpha
     least = (2.0 + n) ** -alpha  # of a character that has no piece
+    if n >= ALONE:
+        raise ValueError("the vocabulary has too many pieces")
+    longest = max(len(t) for t, ok in zip(text, plain, strict=True) if ok)
+    weight = np.concatenate([np.where(np.arange(n) > 0, weight, 0.0), np.zeros(ALONE + 1 - n)])
+    weight[ALONE] = least
+    scaled = [(weight * SCALE ** size).astype(np.float32) for size in range(1, longest + 1)]
     size = np.array([len(b) for b in out], np.int64)
     return {"slot_key": slot_key, "slot_to": slot_to, "probes": probes, "piece": np.array(piece),
-            "longest": max(map(len, text)), "weight": weight, "byte_ids": byte_ids, "byte": least, "size": size,
+            "longest": longest, "scaled": scaled, "byte_ids": byte_ids, "size": size,
             "flat": np.frombuffer(b"".join(out), np.uint8), "start": np.cumsum(size) - size, "n": n}
 
 
@@ -105,67 +112,76 @@ def step_down(m: dict, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Lattices of distinct units (long ones first) and, at each position, the odds of the piece that ends there.
+    """Lattices of distinct units, long ones first, and at each position the odds of the piece that ends there.
 
-    Weights carry a factor ``SCALE`` per character, which leaves all odds as they
-    are and keeps sums over up to ``UNIT`` characters within a double.
+    Positions are laid out one after the other over all units: character t of
+    unit u is ``chars[t] + u``, the node before it ``nodes[t] + u``, so a step of
+    the forward pass reads and writes whole slices.  Weights carry a factor
+    ``SCALE`` per character, which leaves all odds as they are and keeps sums over
+    up to ``UNIT`` characters within a double.
     """
 
     def __init__(self, units: list[str], m: dict):
-        length = np.fromiter(map(len, units), np.int64, len(units))
-        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.length = length = np.fromiter(map(len, units), np.int64, len(units))
+        flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         first = np.cumsum(length) - length
-        longest = m["longest"]
-        weight = np.zeros((longest, len(code)), np.float32)
-        self.piece = np.zeros((longest, len(code)), np.int32)
-        at = np.arange(len(code))
-        node, left, size = np.zeros(len(code), np.int64), np.repeat(first + length, length) - at, 1
-        while len(at) and size <= longest:
-            found, node = step_down(m, node << CHAR_BITS | code[at + size - 1])
-            at, left = at[found], left[found]
+        count = [int(np.searchsorted(-length, -t, side="right")) for t in range(int(length[0]) + 1)]
+        self.nodes = np.concatenate([[0], np.cumsum(count)])
+        self.chars = chars = np.concatenate([[0], np.cumsum(count[1:])])
+        code = np.concatenate([flat[first[:k] + t] for t, k in enumerate(count[1:])])
+        # the pieces that start at each character, by their number of characters; 0 is none
+        unit = np.concatenate([np.arange(k) for k in count[1:]])
+        place = np.repeat(np.arange(len(count) - 1), count[1:])
+        self.piece = []
+        at, node, left, size = np.arange(len(code)), np.zeros(len(code), np.int64), length[unit] - place, 1
+        while len(at) and size <= m["longest"]:
+            found, node = step_down(m, node << CHAR_BITS | code[chars[place + size - 1] + unit])
+            at, left, unit, place = at[found], left[found], unit[found], place[found]
             p = m["piece"][node]
-            hit = p >= 0
-            weight[size - 1, at[hit]] = m["weight"][p[hit]] * SCALE ** size
-            self.piece[size - 1, at[hit]] = p[hit]
+            self.piece.append(np.zeros(len(code), np.uint16))
+            self.piece[-1][at] = np.maximum(p, 0)
             go = left > size
-            at, node, left, size = at[go], node[go], left[go], size + 1
-        lone = np.flatnonzero(weight[0] == 0)  # characters without a piece: their bytes
-        weight[0, lone], self.piece[0, lone] = m["byte"] * SCALE, m["n"] + code[lone]
+            at, node, left, unit, place, size = at[go], node[go], left[go], unit[go], place[go], size + 1
+        self.piece[0][self.piece[0] == 0] = ALONE
+        self.code = code
         # forward filtering: all units of at least t characters at once
-        self.first, self.node = first, first + np.arange(len(units))
-        self.length = length
-        paths = np.ones(len(code) + len(units))
-        self.odds = np.ones((len(paths), longest), np.float32)
-        for t in range(1, int(length[0]) + 1 if len(units) else 0):
-            k = np.searchsorted(-length, -t, side="right")
-            pos, here = first[:k] + t, self.node[:k] + t
-            run = np.empty((k, longest))
-            total = 0.0
-            for n in range(1, longest + 1):
+        paths = np.ones(self.nodes[-1])
+        self.odds = np.ones((len(paths), len(self.piece)), np.float32)
+        for t, k in enumerate(count[1:], 1):
+            run, total = np.empty((k, len(self.piece))), 0.0
+            for n in range(1, len(self.piece) + 1):
                 if n <= t:
-                    total = total + paths[here - n] * weight[n - 1][pos - n]
+                    c, prev = chars[t - n], self.nodes[t - n]
+                    total = total + paths[prev:prev + k] * m["scaled"][n - 1][self.piece[n - 1][c:c + k]]
                 run[:, n - 1] = total
-            paths[here] = total
-            self.odds[here] = run / run[:, -1:]
+            here = self.nodes[t]
+            paths[here:here + k] = total
+            np.divide(run, run[:, -1:], out=self.odds[here:here + k], casting="same_kind")
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A path for each occurrence (its unit and random key): occurrence, step from the end, piece."""
+        """A path for each occurrence (its unit and random key): occurrence, step from the end, piece.
+
+        A character that has no piece comes out as ``ALONE`` and its code point.
+        """
+        pieces = np.concatenate(self.piece)
         live = np.argsort(unit, kind="stable")
         of = unit[live]
-        key, node, pos, left = key[live], self.node[of], self.first[of], self.length[of]
+        key, left = key[live], self.length[of]
         occ, step, ids, k = [], [], [], 0
         while len(live):
             u = (mix(key + np.uint64(k)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
-            n = (self.odds[node + left] <= u[:, None]).sum(axis=1) + 1
+            n = (self.odds[self.nodes[left] + of] <= u[:, None]).sum(axis=1) + 1
             left = left - n
-            occ.append(live)
-            step.append(np.full(len(live), k))
-            ids.append(self.piece[n - 1, pos + left])
+            char = self.chars[left] + of
+            p = pieces[(n - 1) * len(self.code) + char].astype(np.int32)
+            lone = p == ALONE
+            p[lone] += self.code[char[lone]].astype(np.int32)
+            occ.append(live.astype(np.int32))
+            step.append(np.full(len(live), k, np.int8))
+            ids.append(p)
             go = left > 0
-            live, key, node, pos, left, k = live[go], key[go], node[go], pos[go], left[go], k + 1
-        if not occ:
-            return (np.zeros(0, np.int64),) * 3
-        return np.concatenate(occ), np.concatenate(step), np.concatenate(ids).astype(np.int64)
+            live, key, of, left, k = live[go], key[go], of[go], left[go], k + 1
+        return np.concatenate(occ), np.concatenate(step), np.concatenate(ids)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -200,11 +216,10 @@ def encode_batch(texts: list[str], keys: np.ndarray, path: str, seed: int, alpha
     ends = np.cumsum(pieces)
     out = np.empty(len(ids), np.int64)
     out[ends[occ] - 1 - step] = ids
-    off = np.concatenate([[0], ends[np.cumsum(n) - 1] * (n > 0)]) if len(n) else np.zeros(1, np.int64)
-    off = np.maximum.accumulate(off)
-    lone = np.flatnonzero(out >= m["n"])
+    off = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+    lone = np.flatnonzero(out >= ALONE)
     if len(lone):  # characters to bytes
-        byts = [chr(c).encode() for c in (out[lone] - m["n"]).tolist()]
+        byts = [chr(c).encode() for c in (out[lone] - ALONE).tolist()]
         size = np.ones(len(out), np.int64)
         size[lone] = [len(b) for b in byts]
         at = np.cumsum(size) - size
@@ -235,7 +250,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = 1.0, id_co
     """(doc_id, ids, n_bytes, n_pieces, ids_crc32, lossless): each row's sampled ids, and whether they decode to its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, max_bytes=6 << 20):
+            for b in slices(batch, max_bytes=2 << 20):
                 keys = np.asarray(b.column("doc_id").fill_null(0))
                 ids, off = encode_batch(b.column("text").to_pylist(), keys, model, seed, alpha)
                 back, back_off = decode_batch(ids, off, model, alpha)

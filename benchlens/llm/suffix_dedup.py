@@ -10,11 +10,11 @@ smaller id is removed.  Suffixes are ranked by prefix doubling, with Spark sorti
    one byte in 14 is one.
 2. 76 bytes: the anchor's context, all windows that hold it.  Rows are sorted by
    (24-byte rank, context rank, document).  A context that a smaller document has
-   too is past the threshold: all its windows are repeats.  An anchor with one
+   too is past the threshold: it is a repeat as a whole.  An anchor with one
    context in the corpus needs no more.  Only the first document of a context,
    where its 24 bytes have several contexts, goes on.
-3. 50 bytes: the windows of those anchors, sorted by (window rank, document); all
-   but the first document's are repeats.
+3. 50 bytes: the windows of those anchors that lie in no repeated context, sorted by
+   (window rank, document); all but the first document's are repeats.
 
 Equal windows meet under the same anchor, so nothing is lost by sampling.  Rank
 keys are hashes of 96 bits in all.  Hot strings give at most one row per document and
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Stages, flat_bytes, slices
+from ._common import Stages, flat_bytes, slices, small_batches
 
 SPAN, ANCHOR = 50, 24
 WIDTH = SPAN - ANCHOR + 1  # anchors to choose from in a window
@@ -102,12 +102,10 @@ class Ranked:
         c += np.minimum(self.end[doc] - at, SPAN).astype(np.uint64) * MUL[9]
         return _mix(c)
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``at``, start) of every window that has this anchor."""
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """Starts of the windows that have one of these anchors."""
         s = at[:, None] - np.arange(BEFORE, -1, -1)
-        hit = self.low[s] == self.h[at][:, None]
-        which, _ = np.nonzero(hit)
-        return which, s[hit]
+        return s[self.low[s] == self.h[at][:, None]]
 
     def spans(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes (64 and 32 bits) of the 50 bytes from each start."""
@@ -214,14 +212,14 @@ def settle(docs: DataFrame, contexts: DataFrame) -> DataFrame:
             c = r.contexts(r.at, r.doc) >> np.uint64(16)
             tag = np.asarray(b.column("tag")) << POS_BITS
             rid = np.asarray(b.column("rid"))
-            # repeated contexts: the runs of all their windows, joined
-            which, s = r.windows(r.at[member(r, c, b.column("repeats"))])
-            a, z = join_runs(s, s + SPAN)
+            # a repeated context is a repeat as a whole: every window in it is
+            old = member(r, c, b.column("repeats"))
+            a, z = join_runs(np.maximum(r.at[old] - BEFORE, r.start[r.doc[old]]), np.minimum(r.at[old] + SPAN, r.end[r.doc[old]]))
             d = np.searchsorted(r.start, a, side="right") - 1
             yield pa.record_batch({"w": pa.nulls(len(a), pa.int64()), "v": pa.nulls(len(a), pa.int32()), "rid": pa.array(rid[d]),
                                    "place": pa.array(a - r.start[d] | tag[d]), "length": pa.array((z - a).astype(np.int32))})
-            which, s = r.windows(r.at[member(r, c, b.column("firsts"))])
-            s = np.unique(s)
+            s = np.unique(r.windows(r.at[member(r, c, b.column("firsts"))]))
+            s = s[np.searchsorted(r.at[old], s + BEFORE, side="right") == np.searchsorted(r.at[old], s)]
             d = np.searchsorted(r.start, s, side="right") - 1
             w, v = r.spans(s)
             yield pa.record_batch({"w": pa.array(w.astype(np.int64)), "v": pa.array(v.astype(np.uint32).view(np.int32)), "rid": pa.array(rid[d]),
@@ -241,7 +239,7 @@ def join_runs(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(rid, place, length) of the windows that a smaller document has too, from rows sorted by (w, v, rid)."""
+    """(rid, place) of the windows that a smaller document has too, from rows sorted by (w, v, rid)."""
     def run(batches):
         w0 = v0 = first0 = None
         for b in batches:
@@ -252,14 +250,15 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
             first = np.concatenate([[first0 if first0 is not None else 0], rid[new]])[np.cumsum(new)]
             w0, v0, first0 = w[-1], v[-1], first[-1]
             out = pa.array(rid != first)
-            yield pa.record_batch([b.column(x).filter(out) for x in ("rid", "place", "length")], names=["rid", "place", "length"])
+            yield pa.record_batch([b.column(x).filter(out) for x in ("rid", "place")], names=["rid", "place"])
 
     return (windows.repartition("w").sortWithinPartitions("w", "v", "rid")
-            .mapInArrow(run, "rid long, place long, length int"))
+            .mapInArrow(run, "rid long, place long"))
 
 
 def prepare(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, rid, tag): rid ranks nulls last, tag tells rows with the same id apart."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rid"),
@@ -272,8 +271,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     contexts = st.write(rerank_contexts(rank_anchors(docs)), "contexts")
     settled = st.write(settle(docs, contexts), "settled")
     st.drop(contexts)
-    found = st.write(repeated_windows(settled.where("w IS NOT NULL")), "windows")
-    return settled.where("w IS NULL").select("rid", "place", "length").union(found)
+    found = st.write(repeated_windows(settled.where("w IS NOT NULL").select("w", "v", "rid", "place")), "windows")
+    return settled.where("w IS NULL").select("rid", "place", "length").union(found.select("rid", "place", F.lit(SPAN).alias("length")))
 
 
 def _with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
