@@ -98,18 +98,33 @@ class Model:
         return p.argmax(axis=1), p.max(axis=1), letters > 0
 
 
+def chunks(texts: list[str], chars: int = 1 << 19):
+    """The texts in runs of about so many characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield texts[at:i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2, seed: int = 1) -> Model:
     """SGD over single texts; the last third (by the caller's order) calibrates."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     y = np.array([names.index(x) for x in langs])
-    found, offs, letters = subwords(pa.array(texts, pa.string()))
-    feats = []
-    for i in range(len(texts)):
-        h = np.concatenate([f[o[i]:o[i + 1]] for f, o in zip(found, offs, strict=True)])
-        u, c = np.unique(h, return_counts=True)
-        feats.append((u, c / max(c.sum(), 1)))
+    feats, letters = [], []
+    for part in chunks(texts):
+        found, offs, n = subwords(pa.array(part, pa.string()))
+        letters.append(n)
+        for i in range(len(part)):
+            h = np.concatenate([f[o[i]:o[i + 1]] for f, o in zip(found, offs, strict=True)])
+            u, c = np.unique(h, return_counts=True)
+            feats.append((u, (c / max(c.sum(), 1)).astype(np.float32)))
+    letters = np.concatenate(letters)
     cal = np.arange(len(texts)) % 3 == 2
     if len(texts) < 3 * len(names):
         cal[:] = False
@@ -138,11 +153,12 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001) -> Model:
     """Temperature by log loss; the rejection score below which at most ``lost`` of right predictions fall, halved as a margin."""
-    ok = None
-    if len(texts):
-        total, n, letters = sums(model.table, pa.array(texts, pa.string()))
-        ok = letters > 0
-    if ok is None or not ok.any():
+    parts = [sums(model.table, pa.array(part, pa.string())) for part in chunks(texts)]
+    if not parts:
+        return model
+    total, n, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ok = letters > 0
+    if not ok.any():
         return model
     z, y = (total / np.maximum(n, 1)[:, None] + model.bias)[ok], y[ok]
     grid = 2.0 ** np.arange(-3, 4, 0.25)
