@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,7 +69,21 @@ class Stages:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20):
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on for the next stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20):
     """Cut an Arrow batch into runs of rows whose texts take at most ``max_bytes`` (or one row)."""
     col = batch.column(column)
     size = np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64)
@@ -75,6 +92,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    release()
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, idx: np.ndarray):

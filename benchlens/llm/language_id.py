@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
     """(doc_id, lang_pred, score, rejected) for every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, max_bytes=1 << 20):
+            for b in slices(batch, max_bytes=1 << 19):
                 best, score, ok = model.predict(b.column("text"))
                 names = np.array([*model.langs, UND], dtype=object)
                 yield pa.record_batch({
@@ -215,7 +215,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                for part in slices(b, max_bytes=1 << 20):
+                for part in slices(b, max_bytes=1 << 19):
                     texts = part.column("text").cast(pa.string()).fill_null("")
                     _, score, ok = model.predict(texts)
                     yield part.filter(pa.array(ok & (score >= model.reject_below)))
