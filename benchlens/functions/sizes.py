@@ -28,11 +28,15 @@ def parse_size(c) -> Column:
     return F.when(ok, F.try_multiply(digits, mult))
 
 
+def _div(b: Column, unit: int) -> Column:
+    return F.call_function("div", b, F.lit(unit).cast("bigint")).cast("string")
+
+
 def format_size(c) -> Column:
     """bytes -> fio label: whole MiB as '<n>m', otherwise '<n>k' (floor)."""
     b = col(c).cast("bigint")
-    return (F.when(b >= _MULT["m"], F.concat(F.floor(b / _MULT["m"]).cast("string"), F.lit("m")))
-            .otherwise(F.concat(F.floor(b / _MULT["k"]).cast("string"), F.lit("k"))))
+    return (F.when(b >= _MULT["m"], F.concat(_div(b, _MULT["m"]), F.lit("m")))
+            .otherwise(F.concat(_div(b, _MULT["k"]), F.lit("k"))))
 
 
 def test_file_size(c, multiplier: int = 4, floor_bytes: int = 64 * 1024 ** 2) -> Column:

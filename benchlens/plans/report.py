@@ -130,6 +130,10 @@ class Report:
         x = agg.comparison(self._keyed.where(F.col("bench") == bench), ["bench"], bounded=True)
         return x.select("file", *[display_text(F.col("m")[k]).alias(k) for k in keys])
 
+    @property
+    def benchmarks(self) -> list[str]:
+        return [b for _, b, _, _ in self._reg_rows]
+
     @cached_property
     def lines(self) -> DataFrame:
         """one line of text per file, metrics in declared order; put together in the row."""
@@ -199,5 +203,7 @@ def write_report(rep: Report, path: str) -> None:
     sinks.write_scalars(rep.scalars, f"{path}/scalars")
     sinks.write_summary(rep.comparison, f"{path}/comparison")
     sinks.write_summary(rep.params, f"{path}/params")
+    for bench in rep.benchmarks:  # one wide table per benchmark of the registry
+        sinks.write_wide(rep.comparison_of(bench), f"{path}/comparison_wide", bench)
     sinks.write_results(rep.lines, f"{path}/lines")
     sinks.write_results(rep.tasks, f"{path}/tasks")

@@ -8,6 +8,7 @@ judge the curve; J4 names the layout class; K1 writes the records.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,15 @@ from ..sources import documents as D
 
 
 def plan_trials(df: DataFrame, sizes: Sequence[str] | None = None, passes: int = 3,
-                max_bytes: int | None = 1024 * 1024 ** 2) -> DataFrame:
-    """J9 + P4: per input row (cluster) every size x {write, read} x pass, sizes capped."""
+                max_bytes: int | None = None) -> DataFrame:
+    """J9 + P4: per input row (cluster) every size x {write, read} x pass, up to ``max_bytes`` if given.
+
+    Size labels that do not parse are an error, not silently left out.
+    """
     labels = list(sizes or [lbl for lbl, _ in dims.SWEEP_SIZES])
+    bad = [x for x in labels if not re.fullmatch(r"[0-9]+[kmg]?", x.lower())]
+    if bad:
+        raise ValueError(f"sizes that do not parse: {bad}")
     g = joins.trial_grid(df, {"block_size": labels, "rw": ["write", "read"],
                               "pass": list(range(1, passes + 1))})
     return g.where(parse_size("block_size") <= max_bytes) if max_bytes is not None else g

@@ -18,3 +18,9 @@ def write_scalars(df: DataFrame, path: str, bench_col: str = "bench") -> None:
 def write_summary(df: DataFrame, path: str, bench_col: str = "bench") -> None:
     """K3: wide summary rows, one folder per benchmark."""
     df.write.mode("overwrite").partitionBy(bench_col).parquet(path)
+
+
+def write_wide(df, path: str, bench: str) -> None:
+    """K3: a benchmark's wide comparison table (file, then its metric keys) in a folder of its own."""
+    folder = "".join(c if c.isalnum() else "_" for c in bench)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
