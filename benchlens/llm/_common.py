@@ -83,6 +83,19 @@ def release() -> None:
     _trim()(0)
 
 
+def gathered(batches, max_bytes: int):
+    """Arrow batches put together until they hold about ``max_bytes``, for work that is paid per distinct word."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20):
     """Cut an Arrow batch into runs of rows whose texts take at most ``max_bytes`` (or one row)."""
     col = batch.column(column)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, slices
+from ._common import gathered, id_text, slices
 from .token_orc import byte_alphabet
 
 # fixed value: the byte-level pre-tokenizer's pattern
@@ -126,8 +126,8 @@ def deal(docs: DataFrame, tokenizer: str, slice_bytes: int) -> DataFrame:
     """Rows of pre-tokens with postings, and one row per document with what is known already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, block = PieceCounter(tokenizer), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for whole in slices(batch, max_bytes=slice_bytes):
+        for batch in gathered(batches, slice_bytes):
+            for whole in slices(batch, max_bytes=slice_bytes + (4 << 20)):
                 for at in range(0, whole.num_rows, ROWS):
                     b = whole.slice(at, ROWS)
                     base, words, posts, off = postings(b.column("text").to_pylist(), counter)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import gather, id_text, slices
+from ._common import gather, gathered, id_text, slices
 
 SCHEMA = "doc_id long, part int, pos long, n_tokens long, ids array<int>"
 WORD = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<p>[-.,!?;:%$&*#\"()\[\]{}/+=@^~_]*)$"
@@ -102,8 +102,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 1, partitions:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, pos = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for b in slices(batch, max_bytes=12 << 20):
+        for batch in gathered(batches, 12 << 20):
+            for b in slices(batch, max_bytes=16 << 20):
                 ids, off = enc.encode(b.column("text"))
                 if end_id is not None:
                     ends = off[1:] + np.arange(b.num_rows)
