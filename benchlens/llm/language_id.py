@@ -34,6 +34,7 @@ from ._common import Stages, flat_bytes, id_text, slices, small_batches
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
 UND = "und"
+NEVER_REJECTED = 0.35  # so that a text in two languages, about one half each, stays
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -152,7 +153,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001) -> Model:
-    """Temperature by log loss; the rejection score below which at most ``lost`` of right predictions fall, halved as a margin."""
+    """Temperature by log loss; the rejection score: half way from chance to the score below which ``lost`` of the
+    right predictions fall, and never above ``NEVER_REJECTED``."""
     parts = [sums(model.table, pa.array(part, pa.string())) for part in chunks(texts)]
     if not parts:
         return model
@@ -169,7 +171,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001
     right = np.sort(soft[k].max(axis=1)[soft[k].argmax(axis=1) == y])
     if len(right):
         chance = 1 / len(model.langs)
-        model.reject_below = float(min(right[int(lost * len(right))], 0.99) - chance) / 2 + chance if len(model.langs) > 1 else 0.0
+        model.reject_below = min(float(right[int(lost * len(right))] - chance) / 2 + chance, NEVER_REJECTED) if len(model.langs) > 1 else 0.0
     return model
 
 
