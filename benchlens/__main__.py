@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .plans.report import report, write_report
-    from .session import ensure_checkpoint_dir
+    from .session import cleanup, ensure_checkpoint_dir
     spark = SparkSession.builder.appName("benchlens-report").getOrCreate()
     ensure_checkpoint_dir(spark)
     try:
@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         write_report(rep, args.write)
     else:
         rep.lines.orderBy("file").show(args.show, truncate=False)
+    cleanup(spark)
     return 0
 
 

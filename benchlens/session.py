@@ -58,7 +58,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_WORK: dict[str, list[str]] = {}  # folders written by each application
+
+
 def shared_subdir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _WORK.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote so far; returns how many folders were there.
+
+    Results that were not yet written or collected read those tables, so call it
+    when they are done.
+    """
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for path in _WORK.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n

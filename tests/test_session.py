@@ -41,3 +41,12 @@ def test_cluster_folder_is_used_as_is():
 
 def test_local_mode_gets_a_private_folder():
     assert ensure_checkpoint_dir(_Spark("local[4]"))
+
+
+def test_cleanup_removes_written_tables(spark):
+    from benchlens.operators import ranking
+    from benchlens.session import cleanup
+    cleanup(spark)
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    assert ranking.ordinal_median(df, ["k"], "v", "m").collect() == [("a", 2.0)]
+    assert cleanup(spark) == 1 and cleanup(spark) == 0
