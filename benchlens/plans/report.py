@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import dims, sinks
 from ..functions import task_label
 from ..operators import agg, joins, windows
+from ..operators.ranking import materialize
 from ..sources import documents as D
 
 
@@ -51,8 +52,7 @@ class Report:
         self.rejected = rejected.select("file", "bench")
         if materialize:
             # parse once: every table below reads the parsed documents
-            from ..operators.ranking import materialize as write_once
-            self.documents = write_once(self.documents, "report-documents")
+            self.documents = materialize(self.documents, "report-documents")
 
     def _of_bench(self, per_bench: dict):
         """The benchmark's own expression: a CASE over the registry's benchmarks."""
@@ -63,10 +63,19 @@ class Report:
 
     @cached_property
     def _keyed(self) -> DataFrame:
-        """(bench, file, m): every declared metric key of a document, as VARIANT, in one struct."""
+        """(bench, file, m): every declared metric key of a document, as VARIANT, in one struct.
+
+        The struct comes out of a generator of one element: a projection would be
+        merged with those above it, which then extract a key at each use.
+        """
         keys = _registry_keys(self._reg_rows, 2)
-        return self.documents.select("bench", "file", F.struct(*[
-            F.variant_get("doc", f"$.{k}", "variant").alias(k) for k in keys]).alias("m"))
+        m = F.struct(*[F.variant_get("doc", f"$.{k}", "variant").alias(k) for k in keys])
+        return self.documents.select("bench", "file", F.explode(F.array(m)).alias("m"))
+
+    @cached_property
+    def _compared(self) -> DataFrame:
+        """The benchmarks with more than one file (at most the registry's)."""
+        return F.broadcast(self.documents.groupBy("bench").agg(F.count("*").alias("n")).where("n > 1").select("bench"))
 
     @cached_property
     def _points(self) -> DataFrame:
@@ -96,7 +105,8 @@ class Report:
 
         Documents are numbered while they carry their points; no join back.
         """
-        x = windows.with_iteration(self._points, ["bench"], "file")
+        # written first: range partitioning reads its input twice, to sample and to deal
+        x = windows.with_iteration(materialize(self._points, "report-points"), ["bench"], "file")
         return x.select("bench", F.col("file").alias("series"), "iteration", F.explode("points").alias("p")).select(
             "bench", F.col("p.label").alias("title"), "series", "p.value", "iteration")
 
@@ -120,14 +130,13 @@ class Report:
         def cell(i, key):
             return F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), display_text(F.col("m")[key]).alias("display"))
         pick = self._of_bench({bench: F.array(*[cell(i, k) for i, (k, _, _) in enumerate(ms)]) for _, bench, ms, _ in self._reg_rows})
-        x = self._keyed.select("bench", "file", pick.alias("cells"))
-        x = agg.comparison(x, ["bench"], bounded=True)
-        return x.select("bench", "file", F.explode("cells").alias("c")).select("bench", "file", "c.ord", "c.key", "c.display")
+        x = self._keyed.join(self._compared, "bench", "left_semi")
+        return x.select("bench", "file", F.explode(pick).alias("c")).select("bench", "file", "c.ord", "c.key", "c.display")
 
     def comparison_of(self, bench: str) -> DataFrame:
         """A12 + P6 as one wide table: file, then a column for each declared metric key of the benchmark."""
         keys = next([k for k, _, _ in ms] for _, b, ms, _ in self._reg_rows if b == bench)
-        x = agg.comparison(self._keyed.where(F.col("bench") == bench), ["bench"], bounded=True)
+        x = self._keyed.where(F.col("bench") == bench).join(self._compared, "bench", "left_semi")
         return x.select("file", *[display_text(F.col("m")[k]).alias(k) for k in keys])
 
     @property
@@ -138,7 +147,7 @@ class Report:
     def lines(self) -> DataFrame:
         """one line of text per file, metrics in declared order; put together in the row."""
         text = F.array_join(F.transform("points", lambda p: F.concat(p["label"], F.lit(": "), p["text"])), "  ")
-        return self._points.where(F.size("points") > 0).select("bench", "file", text.alias("text"))
+        return self._points.select("bench", "file", F.explode(F.filter(F.array(text), lambda t: t != "")).alias("text"))
 
     @cached_property
     def tasks(self) -> DataFrame:
