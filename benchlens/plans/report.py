@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import dims, sinks
 from ..functions import task_label
 from ..operators import agg, joins, windows
-from ..operators.ranking import materialize
+from ..operators.ranking import materialize as write_once
 from ..sources import documents as D
 
 
@@ -52,7 +52,7 @@ class Report:
         self.rejected = rejected.select("file", "bench")
         if materialize:
             # parse once: every table below reads the parsed documents
-            self.documents = materialize(self.documents, "report-documents")
+            self.documents = write_once(self.documents, "report-documents")
 
     def _of_bench(self, per_bench: dict):
         """The benchmark's own expression: a CASE over the registry's benchmarks."""
@@ -106,7 +106,7 @@ class Report:
         Documents are numbered while they carry their points; no join back.
         """
         # written first: range partitioning reads its input twice, to sample and to deal
-        x = windows.with_iteration(materialize(self._points, "report-points"), ["bench"], "file")
+        x = windows.with_iteration(write_once(self._points, "report-points"), ["bench"], "file")
         return x.select("bench", F.col("file").alias("series"), "iteration", F.explode("points").alias("p")).select(
             "bench", F.col("p.label").alias("title"), "series", "p.value", "iteration")
 
