@@ -5,9 +5,9 @@ words; every 2-, 3- and 4-byte window that touches a letter is hashed into one
 of ``BUCKETS`` embeddings.  The text's embedding is their mean, and a linear
 softmax over it gives the languages.  Embeddings and softmax are trained together
 by stochastic gradient descent in numpy on a bounded sample: ``per_class``
-documents of each language, the smallest by a hash of their id.  A third of the
-sample is left out of training and calibrates a temperature and the score below
-which a prediction is rejected.
+documents of each language, the smallest by a hash of their id.  Every third
+text of each language is left out of training and calibrates a temperature and
+the score below which a prediction is rejected.
 
 Prediction needs one table, embeddings times softmax (BUCKETS x languages), so a
 batch is hashing, a table lookup and a sum per text, over whole texts.
@@ -111,8 +111,16 @@ def chunks(texts: list[str], chars: int = 1 << 19):
         yield texts[at:]
 
 
+def held_third(y: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Every third usable text of each class, so that a class of three and more is in both parts."""
+    cal = np.zeros(len(y), bool)
+    for c in np.unique(y):
+        cal[np.flatnonzero((y == c) & usable)[2::3]] = True
+    return cal
+
+
 def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2, seed: int = 1) -> Model:
-    """SGD over single texts; the last third (by the caller's order) calibrates."""
+    """SGD over single texts; every third text of each language (by the caller's order) calibrates."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -126,9 +134,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2
             u, c = np.unique(h, return_counts=True)
             feats.append((u, (c / max(c.sum(), 1)).astype(np.float32)))
     letters = np.concatenate(letters)
-    cal = np.arange(len(texts)) % 3 == 2
-    if len(texts) < 3 * len(names):
-        cal[:] = False
+    cal = held_third(y, letters > 0)
     use = np.flatnonzero(~cal & (letters > 0))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -56,3 +57,30 @@ def test_nothing_to_learn_from(spark, odd_docs, empty_docs):
     assert {r.lang_pred for r in language_id.identify(odd_docs, m).collect()} == {"und"}
     one = language_id.fit(odd_docs.where("lang = 'fr'"), holdout=False)
     assert one.langs == ["fr"]
+
+
+SYLLABLES = ["ba be bi bo", "ka ke ki ko", "ma me mi mo", "ta te ti to", "za ze zi zo", "la le li lo", "ра ре ри ро", "να νε νι νο", "さ せ し そ"]
+
+
+def sample_in(n, each=30):
+    """Texts of ``n`` made languages in the order of ``fit``: one of each language by turns."""
+    rng = np.random.default_rng(n)
+    word = lambda s: "".join(rng.choice(s, 3))
+    rows = [(" ".join(word(SYLLABLES[k].split()) for _ in range(25)), f"l{k}") for _ in range(each) for k in range(n)]
+    return [t for t, _ in rows], [x for _, x in rows]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 9])
+def test_every_language_is_trained_and_calibrated(n):
+    texts, langs = sample_in(n)
+    y = np.array([int(x[1:]) for x in langs])
+    cal = language_id.held_third(y, np.ones(len(y), bool))
+    assert np.bincount(y[cal], minlength=n).tolist() == [10] * n and np.bincount(y[~cal], minlength=n).tolist() == [20] * n
+    m = language_id.train(texts, langs)
+    best, _, ok = m.predict(pa.array(texts))
+    assert ok.all() and (best == y).mean() > 0.95 and set(best) == set(range(n))
+
+
+def test_small_classes_and_texts_without_letters_are_not_held():
+    y, usable = np.array([0, 0, 1, 1, 1, 1, 2]), np.array([True, True, False, True, True, True, True])
+    assert np.flatnonzero(language_id.held_third(y, usable)).tolist() == [5]
