@@ -13,7 +13,7 @@ The model file is a merge list, so a piece's weight is Zipf's law on its merge
 rank, 1 / (rank + 2), to the power ``alpha``.  Pieces hold a space only at their
 start (or are all spaces): the lattice falls apart into units, a run of spaces and
 the characters up to the next space, and the forward pass runs once per distinct
-unit of a batch.  Units above ``UNIT`` characters are cut there.
+unit of a batch.  Units are never cut, however long they are.
 
 Decoding puts the pieces' bytes together and takes off the space that encoding
 put before the text; the ids always give the text back, byte for byte, whatever
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 
 from ._common import flat_bytes, gather, id_text, slices
 
-UNIT = 64
 CHAR_BITS, SLOT_BITS = 21, 19
 SCALE = 50.0
 ALONE = (1 << 16) - 1  # no vocabulary that this reads has so many pieces
-units_of = re.compile(rf" *[^ ]{{1,{UNIT}}}| +$").findall
+FAR = 300  # binary digits that forward sums may be away from 1
+units_of = re.compile(r" *[^ ]+| +$").findall
 
 
 @functools.cache
@@ -117,8 +117,11 @@ class Lattice:
     Positions are laid out one after the other over all units: character t of
     unit u is ``chars[t] + u``, the node before it ``nodes[t] + u``, so a step of
     the forward pass reads and writes whole slices.  Weights carry a factor
-    ``SCALE`` per character, which leaves all odds as they are and keeps sums over
-    up to ``UNIT`` characters within a double.
+    ``SCALE`` per character, which leaves all odds as they are.  A unit whose sum
+    gets ``FAR`` from 1 has the sums that later pieces start from multiplied by a
+    power of two: odds stay as they are to the last bit, whatever else is in the
+    batch, and sums stay within a double for units of any length.  Every eighth
+    character is looked at.
     """
 
     def __init__(self, units: list[str], m: dict):
@@ -157,6 +160,12 @@ class Lattice:
             here = self.nodes[t]
             paths[here:here + k] = total
             np.divide(run, run[:, -1:], out=self.odds[here:here + k], casting="same_kind")
+            if t % 8 == 0:
+                away = np.frexp(total)[1]
+                far = np.flatnonzero(np.abs(away) > FAR)
+                for back in range(max(t - len(self.piece) + 1, 0), t + 1) if len(far) else ():
+                    at = self.nodes[back] + far
+                    paths[at] = np.ldexp(paths[at], -away[far])
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path for each occurrence (its unit and random key): occurrence, step from the end, piece.
@@ -168,6 +177,7 @@ class Lattice:
         of = unit[live]
         key, left = key[live], self.length[of]
         occ, step, ids, k = [], [], [], 0
+        wide = np.min_scalar_type(int(self.length[0]))
         while len(live):
             u = (mix(key + np.uint64(k)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
             n = (self.odds[self.nodes[left] + of] <= u[:, None]).sum(axis=1) + 1
@@ -177,7 +187,7 @@ class Lattice:
             lone = p == ALONE
             p[lone] += self.code[char[lone]].astype(np.int32)
             occ.append(live.astype(np.int32))
-            step.append(np.full(len(live), k, np.int8))
+            step.append(np.full(len(live), k, wide))
             ids.append(p)
             go = left > 0
             live, key, of, left, k = live[go], key[go], of[go], left[go], k + 1
@@ -206,10 +216,12 @@ def encode_batch(texts: list[str], keys: np.ndarray, path: str, seed: int, alpha
     lattice = Lattice([units[i] for i in order.tolist()], m)
     unit = np.argsort(order)[np.asarray(d.indices)]
     first = np.cumsum(n) - n
-    place = (np.arange(len(unit)) - np.repeat(first, n)).astype(np.uint64)
+    # a unit's place is that of its first character: no two steps of a row have the same random key
+    before = np.concatenate([[0], np.cumsum(lattice.length[unit])])
+    place = (before[:-1] - np.repeat(before[first], n)).astype(np.uint64)
     with np.errstate(over="ignore"):
         row = mix(mix(keys.astype(np.uint64)) + np.uint64(seed))
-        key = np.repeat(row, n) + place * np.uint64(2 * UNIT)
+        key = np.repeat(row, n) + place
     occ, step, ids = lattice.sample(unit, key)
     # pieces come from the end of each unit: put them in order of occurrence, last step first
     pieces = np.bincount(occ, minlength=len(unit))

@@ -91,6 +91,45 @@ def test_seed_and_key_decide():
     assert other.tolist() != a
 
 
+LONG_UNITS = [" " * 300 + "word", " " * 400 + "word", " " * 5000 + "word", "x" * 5000, "ab" + " " * 5000, "a" + " " * 400 + "b" + " " * 300 + "the" * 200]
+
+
+def test_long_units(spark):
+    texts = spark.createDataFrame(list(enumerate(LONG_UNITS)), "doc_id long, text string")
+    got = piece_sampling.encode(texts, PIECE)
+    assert all(r.lossless for r in got.collect())
+    assert rows(piece_sampling.decode(got, PIECE)) == sorted(enumerate(LONG_UNITS), key=repr)
+    # the same ids alone as beside others
+    both, off = piece_sampling.encode_batch(LONG_UNITS, np.zeros(len(LONG_UNITS), np.int64), PIECE, 0, 1.0)
+    for t, (a, z) in zip(LONG_UNITS, itertools.pairwise(off), strict=True):
+        assert piece_sampling.encode_batch([t], np.zeros(1, np.int64), PIECE, 0, 1.0)[0].tolist() == both[a:z].tolist()
+
+
+@pytest.mark.parametrize("unit", [" " * 400 + "word", "x" * 700, "the" * 300])
+def test_odds_of_a_long_unit_against_fractions(unit):
+    from fractions import Fraction
+    m = piece_sampling._model(PIECE, 1.0)
+    lattice = piece_sampling.Lattice([unit], m)
+    assert np.isfinite(lattice.odds).all()
+    paths = [Fraction(1)]
+    for t in range(1, len(unit) + 1):
+        sums, total = [], Fraction(0)
+        for n in range(1, len(lattice.piece) + 1):
+            if n <= t:
+                total += paths[t - n] * Fraction(float(m["scaled"][n - 1][lattice.piece[n - 1][t - n]]))
+            sums.append(total)
+        paths.append(total)
+        assert lattice.odds[t] == pytest.approx([float(s / total) for s in sums], rel=1e-6, abs=1e-12)
+
+
+def test_no_two_steps_of_a_row_have_the_same_key(monkeypatch):
+    seen, mix = [], piece_sampling.mix
+    monkeypatch.setattr(piece_sampling, "mix", lambda x: (seen.append(np.array(x)), mix(x))[1])
+    piece_sampling.encode_batch(["日" * 300 + " " + "本" * 300 + " c"], np.array([7]), PIECE, 0, 1.0)
+    steps = np.concatenate(seen[2:])  # the first two make the row's own key
+    assert len(steps) > 600 and len(np.unique(steps)) == len(steps)
+
+
 @pytest.mark.parametrize("word", ["ther", "日x"])
 def test_samples_follow_the_lattice(word):
     """Frequencies of whole segmentations against all paths and their weights."""
