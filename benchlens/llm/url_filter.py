@@ -2,20 +2,23 @@
 
 Rules judge a url first: a rule fits its host and all subdomains if the url's
 path starts with the rule's path; the longest fitting rule wins.  The urls that
-rules accept and reject train two character models over host + path: Markov
-models of order 0 to 3 whose counts are interpolated down the orders (each order
-adds ``weight`` pseudo-counts spread as the next shorter context predicts).  A
-url's score is the mean log-likelihood difference per character, less a
-threshold calibrated on a fifth of the labelled urls that training leaves out.
-
-Characters are folded to 41 classes, so the model has at most 41**4 (2.8
+rules accept and reject train two character models over the whole url, from its
+scheme to its fragment: Markov models of order 0 to 3 whose counts are
+interpolated down the orders (each order adds ``weight`` pseudo-counts spread as
+the next shorter context predicts).  A url's score is the mean log-likelihood
+difference per character, less a threshold calibrated on a fifth of the labelled
+urls that training leaves out (by host + path, so that urls which differ in their
+tail alone are on one side).
+
+Characters are folded to 48 classes, so the model has at most 48**4 (5.3
 million) rows whatever the corpus: that is the proven bound under which it is
 broadcast to the scorer.  Counting, smoothing and scoring are DataFrame
 expressions and aggregations; only the totals of the model and the calibration
 histogram (at most 2 x 401 rows) reach the driver.
 
-Nulls: a url that is null or has no ``://`` has an empty host and path and gets
-the model's verdict for the empty string.  Without accepted or without rejected
+Nulls: a url that is null or has no ``://`` has an empty host and path, so that
+no rule fits; a null url is judged as the empty string, any other by all its
+characters.  Without accepted or without rejected
 urls every score is 0 and the verdict is allow.  Repeated rows are judged alike;
 an empty table gives no rows.
 """
@@ -31,8 +34,8 @@ from ._common import Stages
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ALPHABET = LOWER + "0123456789./-"  # 39 classes; class 0 pads the start, class 40 is any other character
-CLASSES = 41
+ALPHABET = LOWER + "0123456789./-?=&%_#:"  # 46 classes; class 0 pads the start, class 47 is any other character
+CLASSES = 48
 SPAN = 4
 
 
@@ -64,7 +67,7 @@ def codes(text: Column) -> Column:
 
 
 def grams(code: str) -> Column:
-    """Each character with the three before it, as one base-41 number; ``code`` names a column of ``codes``."""
+    """Each character with the three before it, as one base-48 number; ``code`` names a column of ``codes``."""
     one = lambda i: sum(F.get(F.col(code), i + k).cast("long") * CLASSES ** (SPAN - 1 - k) for k in range(SPAN))
     return F.transform(F.sequence(F.lit(0), F.size(code) - SPAN), one)
 
@@ -114,21 +117,22 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): score is the calibrated ratio, allow from 0 on."""
     st = Stages(pages.sparkSession, "urls")
     host, path = split_url()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("label", by_rule)
-    # repeated host + path pairs are scored once
-    urls = rows.groupBy("host", "path").agg(F.first("label").alias("label"), F.count("*").alias("n"))
+    # repeated urls are scored once
+    urls = rows.groupBy("url").agg(F.first("label").alias("label"), F.first("host").alias("host"), F.first("path").alias("path"))
     held = F.crc32(F.concat("host", "path").cast("binary")) % 5 == 0
-    urls = st.write(urls.withColumn("held", held), "urls")
-    pieces = urls.withColumn("codes", codes(F.concat("host", "path"))).select("host", "path", "label", "held", F.explode_outer(grams("codes")).alias("gram"))
+    urls = st.write(urls.select("url", "label", held.alias("held")), "urls")
+    pieces = urls.withColumn("codes", codes(F.col("url"))).select("url", "label", "held", F.explode_outer(grams("codes")).alias("gram"))
     model = fit(pieces.where("gram IS NOT NULL").select("gram", F.when(~F.col("held"), F.col("label")).alias("label")))
-    scored = (pieces.join(F.broadcast(model), "gram", "left").groupBy("host", "path")
+    scored = (pieces.join(F.broadcast(model), "gram", "left").groupBy("url")
               .agg(F.first("label").alias("label"), F.first("held").alias("held"),
                    F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score")))
     scored = st.write(scored, "scored")
     cut = threshold(scored.where("held AND label IS NOT NULL"))
-    scored = scored.select(F.col("host").alias("h"), F.col("path").alias("p"), (F.col("score") - cut).alias("score"))
-    out = rows.join(scored, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    scored = scored.select(F.col("url").alias("u"), (F.col("score") - cut).alias("score"))
+    out = rows.join(scored, F.col("url") == F.col("u"), "left")
     verdict = F.coalesce("label", F.when(F.col("score") >= 0, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -131,3 +131,19 @@ def test_model_separates_held_out_urls(spark):
     got = url_filter.judge(pages).where("rule IS NOT NULL").collect()
     agree = sum((r.score >= 0) == (r.verdict == "allow") for r in got) / len(got)
     assert agree > 0.9
+
+
+def test_the_whole_url_is_judged(spark):
+    """Tails and urls without a scheme are told apart, by a model that saw them in the urls that rules judge."""
+    good = [f"https://shop.com/p?ref=garden-{i}#top" for i in range(60)]
+    bad = [f"https://a.net/es/?to=casino-win-{i}#spin" for i in range(60)]
+    asked = ["http://x.org/p?ref=garden-7", "http://x.org/p?to=casino-win-7", "http://x.org/p#top", "http://x.org/p#spin",
+             "x.org/garden-7", "x.org/casino-win-7", "http://x.org/p", None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*good, *bad, *asked])], "page_id long, url string")
+    got = {r.page_id - 120: r for r in url_filter.judge(df).collect() if r.page_id >= 120}
+    score = [got[i].score for i in range(len(asked))]
+    assert score[0] > score[1] and score[2] > score[3] and score[4] > score[5]
+    assert [got[i].verdict for i in (0, 1, 4, 5)] == ["allow", "block"] * 2
+    assert len(set(score[:7])) == 7 and score[7] == score[8]
+    assert all((got[i].host, got[i].path, got[i].rule) == ("x.org", "/p", None) for i in (0, 1, 2, 3, 6))
+    assert all((got[i].host, got[i].path, got[i].rule) == ("", "", None) for i in (4, 5, 7, 8))
