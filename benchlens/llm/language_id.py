@@ -34,7 +34,6 @@ from ._common import Stages, flat_bytes, id_text, slices, small_batches
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
 UND = "und"
-NEVER_REJECTED = 0.35  # so that a text in two languages, about one half each, stays
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -158,9 +157,25 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.2
     return calibrate(model, [t for t, c in zip(texts, cal, strict=True) if c], y[cal])
 
 
+def mixtures(z: np.ndarray, y: np.ndarray, each: int = 32, seed: int = 1) -> np.ndarray:
+    """Scores of texts that are one half each of two texts in different languages: their logits are the mean of the two.
+
+    Every text is put together with ``each`` others drawn at random; pairs in one language are left out.
+    """
+    a = np.repeat(np.arange(len(z)), each)
+    b = np.random.default_rng(seed).integers(0, len(z), len(a))
+    a, b = a[y[a] != y[b]], b[y[a] != y[b]]
+    best = np.empty(len(a))
+    for i in range(0, len(a), 1 << 14):
+        both = (z[a[i:i + (1 << 14)]] + z[b[i:i + (1 << 14)]]) / 2
+        best[i:i + len(both)] = 1 / np.exp(both - both.max(axis=1, keepdims=True)).sum(axis=1)
+    return best
+
+
 def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001) -> Model:
-    """Temperature by log loss; the rejection score: half way from chance to the score below which ``lost`` of the
-    right predictions fall, and never above ``NEVER_REJECTED``."""
+    """Temperature by log loss; the rejection score: half way from chance (1 / languages) to the score below which
+    ``lost`` of the accepted examples fall.  Those are the right predictions and, on their own, even mixtures of two
+    of them in different languages; the lower of the two scores counts."""
     parts = [sums(model.table, pa.array(part, pa.string())) for part in chunks(texts)]
     if not parts:
         return model
@@ -174,10 +189,12 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001
     loss = [-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean() for p in soft]
     k = int(np.argmin(loss))
     model.temperature = float(grid[k])
-    right = np.sort(soft[k].max(axis=1)[soft[k].argmax(axis=1) == y])
-    if len(right):
+    right = soft[k].argmax(axis=1) == y
+    if right.any() and len(model.langs) > 1:
         chance = 1 / len(model.langs)
-        model.reject_below = min(float(right[int(lost * len(right))] - chance) / 2 + chance, NEVER_REJECTED) if len(model.langs) > 1 else 0.0
+        accepted = [soft[k][right].max(axis=1), mixtures(z[right] / model.temperature, y[right])]
+        low = min(np.sort(x)[int(lost * len(x))] for x in accepted if len(x))
+        model.reject_below = float(low - chance) / 2 + chance
     return model
 
 

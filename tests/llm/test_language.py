@@ -84,3 +84,28 @@ def test_every_language_is_trained_and_calibrated(n):
 def test_small_classes_and_texts_without_letters_are_not_held():
     y, usable = np.array([0, 0, 1, 1, 1, 1, 2]), np.array([True, True, False, True, True, True, True])
     assert np.flatnonzero(language_id.held_third(y, usable)).tolist() == [5]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 9])
+def test_rejection_comes_from_the_held_third(n):
+    """Half way from chance to the worst accepted example, whatever that is, and mixtures of two languages stay."""
+    texts, langs = sample_in(n)
+    m = language_id.train(texts, langs)
+    y = np.array([int(x[1:]) for x in langs])
+    held = np.flatnonzero(language_id.held_third(y, np.ones(len(y), bool)))
+    best, score, _ = m.predict(pa.array([texts[i] for i in held]))
+    pairs = [f"{texts[i]} {texts[j]}" for i in held[:20] for j in held if y[i] != y[j]]
+    _, mixed, _ = m.predict(pa.array(pairs))
+    chance = 1 / n
+    assert m.reject_below > chance
+    assert (score >= m.reject_below).all() and (mixed >= m.reject_below).mean() > 0.99
+    low = min(score[best == y[held]].min(), mixed.min())
+    assert m.reject_below - chance == pytest.approx((low - chance) / 2, abs=0.03)
+
+
+def test_a_language_that_was_not_learned_is_rejected_more_often_than_by_a_constant():
+    texts, langs = sample_in(4, each=60)
+    known = [(t, x) for t, x in zip(texts, langs, strict=True) if x != "l3"]
+    m = language_id.train([t for t, _ in known], [x for _, x in known])
+    _, score, _ = m.predict(pa.array([t for t, x in zip(texts, langs, strict=True) if x == "l3"]))
+    assert m.reject_below > 0.35 and (score < m.reject_below).sum() > (score < 0.35).sum()
