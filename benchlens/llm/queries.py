@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_id, near_dups, piece_sampling, suffix_dedup, token_counts, token_orc, url_filter, warc
+from . import (bit_planes, decontaminate, fill_middle, fingerprint, language_id, near_dups, passages, piece_sampling, suffix_dedup, token_counts,
+               token_orc, url_filter, warc)
 from ._common import Stages, table
 
 QUERIES: dict = {}
@@ -130,3 +131,67 @@ WITH RECURSIVE
      r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.to_id = p.a),
      c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
+
+
+@query
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.cluster(table(spark, sf_dir, "embeddings"))[1]
+
+
+def _centroids_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignment and new means, one pair of tables a round."""
+    nearest = """SELECT r, id, v, c AS cluster, d AS distance FROM (
+        SELECT x.r, x.id, x.v, g.c, CAST(list_sum(list_transform(list_zip(x.v, g.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM x, g{0} g) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1"""
+    parts = [f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, embedding FROM embeddings),
+     x AS (SELECT r, id, list_transform(embedding, lambda t: CAST(floor(64 * CAST(t AS DOUBLE)) AS BIGINT)) AS v FROM e
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda t: t IS NOT NULL AND isfinite(t) AND abs(t) < 2097152)) = 64),
+     f AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || CAST(id AS VARCHAR)), v) - 1 AS c FROM x WHERE id IS NOT NULL),
+     g0 AS (SELECT c, v AS m FROM f WHERE c < {k})"""]
+    for n in range(rounds):
+        parts.append(f"""
+     a{n} AS ({nearest.format(n)}),
+     p{n} AS (SELECT cluster, unnest(range(1, 65)) AS i, unnest(v) AS t FROM a{n}),
+     s{n} AS (SELECT cluster, i, CAST((CAST(sum(t) AS BIGINT) - ((CAST(sum(t) AS BIGINT) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+              FROM p{n} GROUP BY cluster, i),
+     n{n} AS (SELECT cluster, list(q ORDER BY i) AS m FROM s{n} GROUP BY cluster),
+     g{n + 1} AS (SELECT g.c, coalesce(n.m, g.m) AS m FROM g{n} g LEFT JOIN n{n} n ON n.cluster = g.c)""")
+    parts.append(f"""
+     z AS ({nearest.format(rounds)})
+SELECT id AS vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(g.m, ',')) AS centroid_sha256
+FROM z JOIN g{rounds} g ON g.c = z.cluster""")
+    return ",".join(parts[:-1]) + "," + parts[-1]
+
+
+SQL["op11_bit_planes"] = _centroids_sql()
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     u AS (SELECT *, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS t FROM d),
+     k AS (SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+     c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                       WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+     p AS (SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:z], '') AS middle, array_to_string(t[z + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = passages.scores(docs, passages.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
