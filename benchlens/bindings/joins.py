@@ -167,3 +167,62 @@ def j5_curve_by(spark, sf):
     d = C.table(spark, sf, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"))
     c = d.where("doc_id % 5 = 0").groupBy("source", F.col("n_chars").alias("at_chars")).agg(F.min("doc_id").alias("at_doc"))
     return joins.asof_lookup(d, "n_chars", c, "at_chars", ["at_doc"], by=["source"]).select("doc_id", "source", "n_chars", "at_chars", "at_doc")
+
+
+@query("j4_nested_ranges", """
+WITH r AS (SELECT p_partkey AS ord, p_size * 60 AS lo,
+                  CASE WHEN p_partkey % 97 <> 0 THEN p_size * 60 + (p_partkey % 41) * 150 END AS hi, p_brand AS class FROM part)
+SELECT d.doc_id, d.n_chars, arg_min(r.class, r.ord) AS class
+FROM documents d LEFT JOIN r ON d.n_chars >= r.lo AND (r.hi IS NULL OR d.n_chars < r.hi)
+GROUP BY d.doc_id, d.n_chars""")
+def j4_nested_ranges(spark, sf):
+    """J4 / F17 with a range per part that nest, overlap, repeat, may be empty or open: the first part's decides."""
+    k, lo = F.col("p_partkey"), F.col("p_size") * 60
+    r = C.table(spark, sf, "part").select(k.alias("ord"), lo.cast("bigint").alias("lo"),
+                                          F.when(k % 97 != 0, lo + (k % 41) * 150).cast("bigint").alias("hi"), F.col("p_brand").alias("class"))
+    return joins.size_class(C.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", r, order="ord")
+
+
+# every fourth part the head of its type, its brand's digit, a size, or nearly the whole name
+PREFIX_ROWS_SQL = """
+SELECT p_partkey, p_type || ' ' || p_brand AS device, substr(p_type || ' ' || p_brand, 1, 3 + p_partkey * 7 % 23) AS prefix FROM part"""
+
+
+@query("j1_prefix_table", f"""
+WITH d AS ({PREFIX_ROWS_SQL}), n AS (SELECT DISTINCT device FROM d),
+     t AS (SELECT prefix, min(p_partkey) AS reg_ord, count(*) AS n FROM d WHERE p_partkey % 3 = 0 GROUP BY prefix),
+     m AS (SELECT n.device, arg_min(t.prefix, t.reg_ord) AS prefix, arg_min(t.n, t.reg_ord) AS bench FROM n JOIN t ON starts_with(n.device, t.prefix) GROUP BY n.device)
+SELECT d.p_partkey, d.device, m.prefix, CAST(m.bench AS VARCHAR) AS bench FROM d LEFT JOIN m USING (device)""")
+def j1_prefix_table(spark, sf):
+    """S2 / J1 with a registry built from the data: the heads, of many lengths, of a third of the part names."""
+    p = C.table(spark, sf, "part")
+    d = p.select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("device"))
+    d = d.withColumn("head", F.substring("device", F.lit(1), (F.lit(3) + F.col("p_partkey") * 7 % 23).cast("int")))
+    reg = d.where("p_partkey % 3 = 0").groupBy(F.col("head").alias("prefix")).agg(
+        F.min("p_partkey").alias("reg_ord"), F.count("*").cast("string").alias("bench"))
+    return joins.classify(d.drop("head"), "device", reg).drop("reg_ord")
+
+
+PART_ROW_PATTERNS_SQL = """
+SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN '^' || p_type || ' ' || p_brand || '$'
+         WHEN 1 THEN replace(lower(p_type), ' ', '.+') || '.*[' || right(p_brand, 1) || ']$'
+         WHEN 2 THEN p_brand || 'x?$|zz+top' WHEN 3 THEN 'no such ' || p_type ELSE substr(p_type, 1, 6) || '\\w* .*#' || right(p_brand, 2) END AS pattern
+FROM part"""
+
+
+@query("j2_pattern_rows", f"""
+WITH t AS ({PART_ROW_PATTERNS_SQL}), u AS (SELECT pattern, min(ord) AS ord FROM t GROUP BY pattern),
+     d AS (SELECT p_partkey, p_type || ' ' || p_brand AS device FROM part), n AS (SELECT DISTINCT device FROM d),
+     m AS (SELECT n.device, min(u.ord) AS first_part FROM n JOIN u ON regexp_matches(n.device, u.pattern, 'i') GROUP BY n.device)
+SELECT d.p_partkey, d.device, m.first_part FROM d LEFT JOIN m USING (device)""")
+def j2_pattern_rows(spark, sf):
+    """J2 / F18 with a pattern for each part, of several forms, in the order of the parts."""
+    p = C.table(spark, sf, "part")
+    k, brand, kind = F.col("p_partkey") % 5, F.col("p_brand"), F.col("p_type")
+    pattern = (F.when(k == 0, F.concat(F.lit("^"), kind, F.lit(" "), brand, F.lit("$")))
+               .when(k == 1, F.concat(F.replace(F.lower(kind), F.lit(" "), F.lit(".+")), F.lit(".*["), F.right(brand, F.lit(1)), F.lit("]$")))
+               .when(k == 2, F.concat(brand, F.lit("x?$|zz+top"))).when(k == 3, F.concat(F.lit("no such "), kind))
+               .otherwise(F.concat(F.substring(kind, 1, 6), F.lit("\\w* .*#"), F.right(brand, F.lit(2)))))
+    t = p.select(F.col("p_partkey").alias("ord"), pattern.alias("pattern"), F.col("p_partkey").alias("first_part"))
+    d = p.select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("device"))
+    return joins.lookup_first_match(d, "device", t, "first_part")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agg, joins, project, windows
+from ..operators.ranking import materialize
 from . import common as C
 from . import query
 
@@ -98,6 +99,26 @@ def a9_latency(spark, sf):
                       F.bround("p99_latency_ms", 6).alias("p99_latency_ms"))
 
 
+@query("a9_sketch_ranks", """
+SELECT event_type, n, name, p, true AS within
+FROM (SELECT event_type, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type),
+     (VALUES ('p50', 0.5::DOUBLE), ('p99', 0.99::DOUBLE)) AS q(name, p)""")
+def a9_sketch_ranks(spark, sf):
+    """A9 from stored sketches: one for each event type and user is written as a run's table, the runs are merged
+    by event type, and the exact rank of every estimate must lie within the sketch's bound."""
+    e = C.table(spark, sf, "events").select("event_type", "user_id", "value")
+    stored = materialize(agg.latency_sketches(e, ["event_type", "user_id"], "value"), "latency-sketches")
+    q = {"p50": 0.5, "p99": 0.99}
+    est = agg.sketch_quantiles(agg.merge_sketches(stored, ["event_type"]), ["event_type"], q)
+    est = est.select("event_type", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p"), F.col(k).alias("at"))
+                                                            for k, p in q.items()])).alias("e")).select("event_type", "n", "e.*")
+    low = F.sum(F.when(F.col("value") < F.col("at"), 1).otherwise(0))
+    high = F.sum(F.when(F.col("value") <= F.col("at"), 1).otherwise(0))
+    rank = e.join(F.broadcast(est), "event_type").groupBy("event_type", "n", "name", "p").agg(low.alias("low"), high.alias("high"))
+    slack = agg.KLL_RANK_ERROR * F.col("n") + 1
+    return rank.select("event_type", "n", "name", "p", ((F.col("low") <= F.col("p") * F.col("n") + slack) & (F.col("high") >= F.col("p") * F.col("n") - slack)).alias("within"))
+
+
 @query("a10_throughput", """
 SELECT user_id, count(*) AS steps, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS elapsed_s,
        round_even(count(*) / NULLIF(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0), 9) AS steps_per_sec,

@@ -164,6 +164,20 @@ def k2_scalars_roundtrip(spark, sf):
     return spark.read.parquet(path).select("bench", "l_orderkey", "l_linenumber", "metric", "value")
 
 
+@query("k2_rerun", f"""
+SELECT l_returnflag AS bench, l_orderkey, l_linenumber, metric, CASE WHEN l_returnflag = 'A' THEN value * 2 ELSE value END AS value
+FROM (UNPIVOT ({PROJECTED_SQL}) ON qty, price, disc, tax INTO NAME metric VALUE value) WHERE l_returnflag <> 'N'""")
+def k2_rerun(spark, sf):
+    """K2: all benchmarks written, then a run about two of them, with other values for the one and none for the other:
+    the first is replaced, the second empties, the third stays."""
+    p = projected(spark, sf).withColumnRenamed("l_returnflag", "bench")
+    pts = project.to_scalars(p, ["bench", "l_orderkey", "l_linenumber"], LABELS)
+    path = shared_subdir(spark, "scalars")
+    sinks.write_scalars(pts, path)
+    sinks.write_scalars(pts.where("bench = 'A'").withColumn("value", F.col("value") * 2), path, covered=["A", "N"])
+    return sinks.read_committed(spark, path).select("bench", "l_orderkey", "l_linenumber", "metric", "value")
+
+
 @query("k3_summary_roundtrip", """
 SELECT l_returnflag AS bench, l_linestatus, round_even(sum(l_quantity), 4) AS qty, round_even(avg(CAST(round(l_discount * 100) AS BIGINT)) / 100, 6) AS disc,
        count(*) AS n

@@ -11,7 +11,7 @@ from . import query
 
 
 def _classified(spark, sf, how="left"):
-    return joins.classify(C.doc_files(spark, sf), "stem", dims.registry(spark), how)
+    return joins.classify(C.doc_files(spark, sf), "stem", dims.registry_rules(), how)
 
 
 @query("s2_prefix_classify", f"""
@@ -32,7 +32,7 @@ UNION ALL
 SELECT 'missing_result' AS kind, reg.prefix AS name FROM {C.registry_sql()}
 WHERE reg.prefix NOT IN (SELECT prefix FROM ({C.classified_sql()}) WHERE prefix IS NOT NULL)""")
 def j8_coverage_anti(spark, sf):
-    unknown, missing, _ = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark))
+    unknown, missing, _ = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark), dims.registry_rules())
     return (unknown.select(F.lit("unknown_file").alias("kind"), F.col("stem").alias("name"))
             .unionByName(missing.select(F.lit("missing_result").alias("kind"), F.col("prefix").alias("name"))))
 
@@ -41,7 +41,7 @@ def j8_coverage_anti(spark, sf):
 SELECT doc_id, stem FROM ({C.DOC_FILES_SQL}) f
 WHERE EXISTS (SELECT 1 FROM ({C.classified_sql()}) c WHERE c.stem = f.stem AND c.bench IS NOT NULL)""")
 def j8_known_semi(spark, sf):
-    _, _, known = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark))
+    _, _, known = joins.coverage(C.doc_files(spark, sf), "stem", dims.registry(spark), dims.registry_rules())
     return known.select("doc_id", "stem")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gb_per_s, mb_per_s, round_half_even
 from ..operators import agg, windows
+from ..session import shared_subdir
 from . import common as C
 from . import query
 
@@ -219,3 +220,26 @@ def sweep_records_query(spark, sf):
     x = rec.select("cluster", "workers", "passes", F.posexplode("sweep").alias("at", "e"))
     return x.select("cluster", "workers", "passes", F.col("at").cast("bigint").alias("at"), "e.block_size_label", "e.block_size",
                     "e.write_bw_median_mbs", "e.write_bw_min_mbs", "e.read_bw_median_mbs", "e.read_bw_min_mbs")
+
+
+@query("k1_named_documents", _sweep_sql_base() + """
+SELECT 'storage_sweep_' || cluster || '.json' AS file, 'Storage Sweep' AS bench, cluster,
+       CAST(row_number() OVER (PARTITION BY cluster ORDER BY size_bytes) - 1 AS BIGINT) AS "at", w.block_size, read_bw_median_mbs
+FROM w""")
+def k1_named_documents(spark, sf):
+    """K1 -> S1 -> S2 -> S3 -> S6: every sweep record as a named file, read back with the registry's prefixes,
+    recognised by its name and unfolded; files under other names are not opened."""
+    from .. import dims
+    from ..operators import joins
+    from ..plans import sweep as SW
+    from ..sources import documents as D
+    rec = SW.to_records(_sweep_summary_df(spark, sf), {"workers": 1, "passes": 3}, ["cluster"])
+    path = shared_subdir(spark, "sweep-documents")
+    SW.write_records(rec, path, ["cluster"])
+    SW.write_records(rec, path, ["cluster"], prefix="not_in_the_registry_")
+    rules = dims.registry_rules()
+    files = D.read_results(spark, path, prefixes=[p for _, p, _ in rules])
+    docs, _ = D.split_valid(D.parse_documents(joins.classify(files, "stem", rules, "inner")))
+    x = docs.select("file", "bench", D.extract_path("doc", "$.cluster", "string").alias("cluster"),
+                    F.posexplode(D.extract_path("doc", "$.sweep", "array<struct<block_size string, read_bw_median_mbs double>>")).alias("at", "e"))
+    return x.select("file", "bench", "cluster", F.col("at").cast("bigint").alias("at"), "e.block_size", "e.read_bw_median_mbs")

@@ -103,10 +103,8 @@ BASELINE_SWEEP = [
 
 
 def literal(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A DataFrame from local rows that remembers them: operators can check its
-    size (and read small columns) without running a Spark job."""
-    df = spark.createDataFrame(rows, schema)
-    return df
+    """A fixed table as a DataFrame."""
+    return spark.createDataFrame(rows, schema)
 
 
 def _size_bytes(label: str) -> int:
@@ -114,6 +112,11 @@ def _size_bytes(label: str) -> int:
     return int(label[:-1]) * mult[label[-1]] if label[-1] in mult else int(label)
 
 
+def registry_rules(extensions: bool = True) -> list[tuple[int, str, str]]:
+    """(reg_ord, prefix, bench) of the registry as literal rows, for lookups in the row."""
+    return [(i + 1, p, b) for i, (p, b, _, _) in enumerate(REGISTRY + (REGISTRY_EXTENSIONS if extensions else []))]
+
+
 def registry(spark: SparkSession, extensions: bool = True) -> DataFrame:
     """The benchmark registry, one row per benchmark (arrays of structs)."""
     rows = REGISTRY + (REGISTRY_EXTENSIONS if extensions else [])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mb_per_s, round_half_even
-from .ranking import join_null_safe, ordinal_median, percentile_cont  # noqa: F401  (A1 re-export)
+from .ranking import join_null_safe, materialize, ordinal_median, percentile_cont  # noqa: F401  (A1 re-export)
 
 
 NO_RESULTS = "No recognised result documents found."
@@ -97,19 +97,44 @@ def latency_summary(df: DataFrame, keys: Sequence[str], latency: str, p: float =
                     approx: bool = False, avg_of=None) -> DataFrame:
     """Average and p99 latency per group.
 
-    Exact p99 (linear interpolation) by default, skew-safe; ``approx=True``
-    uses ``percentile_approx`` in a single partial aggregation.  ``avg_of`` maps
-    the latency to what is averaged (e.g. exact integer units).
+    Exact p99 (linear interpolation) by default, skew-safe; ``approx=True`` takes
+    it from a KLL sketch (``latency_sketches``) in a single partial aggregation.
+    ``avg_of`` maps the latency to what is averaged (e.g. exact integer units).
     """
     keys = list(keys)
     of = avg_of or (lambda v: v)
     if approx:
-        v = F.col(latency).cast("double")
-        return df.groupBy(*keys).agg(F.avg(of(v)).alias("avg_latency_ms"), F.percentile_approx(latency, p, 10000).alias("p99_latency_ms"))
+        return sketch_quantiles(latency_sketches(df, keys, latency, avg_of=of), keys, {"p99_latency_ms": p}).drop("n")
     mean = lambda v, c: F.sum(of(v) * c) / F.sum(c)
     return percentile_cont(df, keys, latency, p, "p99_latency_ms", extra={"avg_latency_ms": mean}).drop("n")
 
 
+#: Items a KLL sketch keeps on its largest level, and the rank error that holds for a quantile with 99 % confidence.
+KLL_K, KLL_RANK_ERROR = 1000, 0.0034
+
+
+def latency_sketches(df: DataFrame, keys: Sequence[str], latency: str, avg_of=None, k: int = KLL_K) -> DataFrame:
+    """(keys, n, total, sketch) of a run, to be stored and merged with those of other runs.
+
+    A sketch takes a few kilobytes whatever the number of rows, and partial
+    sketches are merged on the map side, so a hot group is one row a task.
+    """
+    v = F.col(latency).cast("double")
+    return df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum((avg_of or (lambda x: x))(v)).alias("total"),
+                                                      F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = KLL_K) -> DataFrame:
+    """Stored sketches of several runs as one for each group, without the rows."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+    """Average and named quantiles from sketches."""
+    return sketches.select(*keys, "n", (F.col("total") / F.col("n")).alias("avg_latency_ms"),
+                           *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in quantiles.items()])
+
+
 def throughput(df: DataFrame, steps: str, elapsed: str, batch: str, world: str) -> DataFrame:
     """A10: steps/s = steps / elapsed; samples/s = steps/s x per-rank batch x world."""
     sps = F.col(steps).cast("double") / F.nullif(F.col(elapsed).cast("double"), F.lit(0.0))
@@ -133,31 +158,39 @@ def sweep_stats(trials: DataFrame, keys: Sequence[str], bw_bytes: str, digits: i
                       round_half_even("bw_min_mbs", digits).alias("bw_min_mbs"))
 
 
-def _join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str, bounded: bool, salts: int) -> DataFrame:
-    """Join rows to a per-group table without piling a hot group's rows on one task.
+def _join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str, bounded: bool, n: str) -> DataFrame:
+    """Join rows to a per-group table (with row counts ``n``) without piling a hot group's rows on one task.
 
     ``bounded`` keys come from a fixed table (the registry), so the group table
-    is broadcast.  Other keys are salted by a hash of the row: the group table is
-    repeated ``salts`` times, the rows of a group go to as many tasks.
+    is broadcast.  Of other keys, the heavy ones are those that hold more than
+    1 / P of all rows, P the shuffle partitions: fewer than P of them, known from the
+    counts themselves and broadcast.  A heavy key's rows are dealt over as many
+    salts as it has Pths of the rows, by a hash of the row and its input
+    partition (equal rows are spread too), and its group row is repeated for each.
     """
     if bounded:
-        return join_null_safe(df, F.broadcast(groups), keys, how)
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+        return join_null_safe(df, F.broadcast(groups.drop(n)), keys, how)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = materialize(groups, "groups")
+    share = F.col(n) * parts / groups.agg(F.sum(n)).scalar()
+    heavy = groups.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_salts"))
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(share).cast("int"), F.lit(1)) - 1))).drop(n)
+    rows = join_null_safe(df, F.broadcast(heavy), keys, "left")
+    spread = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.col("_salts")).cast("int")
+    rows = rows.withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
     return join_null_safe(rows, salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "group_size",
-                     bounded: bool = False, salts: int = 8) -> DataFrame:
+def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "group_size", bounded: bool = False) -> DataFrame:
     """The group's row count on every row (aggregate, then join back)."""
-    c = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return _join_groups(df, c, keys, "inner", bounded, salts)
+    c = df.groupBy(*keys).agg(F.count("*").alias(name), F.count("*").alias("_n"))
+    return _join_groups(df, c, keys, "inner", bounded, "_n")
 
 
-def comparison(df: DataFrame, keys: Sequence[str], bounded: bool = False, salts: int = 8) -> DataFrame:
+def comparison(df: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
     """Only the rows of groups that have more than one row (HAVING count > 1)."""
-    rep = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
-    return _join_groups(df, rep, keys, "left_semi", bounded, salts)
+    rep = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    return _join_groups(df, rep, keys, "left_semi", bounded, "_n")
 
 
 def first_params(df: DataFrame, keys: Sequence[str], order: str, params: Sequence[str]) -> DataFrame:

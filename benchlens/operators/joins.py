@@ -1,10 +1,10 @@
 """Lookups as joins.
 
-Every lookup has one form for a table of any size: a short ordered table of
-rules (registry, patterns) is gathered into one array by a scalar subquery and
-searched in the row; keyed tables are equi-joins that AQE broadcasts or splits by
-their real size; ranges and curves are as-of joins.  The fixed reference tables
-also have literal forms (``*_fixed``), CASE chains with the same answers.
+A lookup table in a DataFrame may have any size, and rows meet it by equal keys
+only: a name its prefixes (J1), a name the trigrams of patterns (J2), a size the
+dyadic nodes above it (J4), a key its place on a curve (J5).  Keyed tables are
+equi-joins that AQE broadcasts or splits by their real size.  The fixed reference
+tables also have literal forms (``*_fixed``), CASE chains with the same answers.
 """
 
 from __future__ import annotations
@@ -14,46 +14,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import asof_lookup, stab
+from .patterns import first_matches
 
-def _rules(table: DataFrame, order: str, cols: Sequence[str]) -> Column:
-    """The table's rows in order as one array: a scalar subquery, so the rows of the other side never meet a join."""
-    one = table.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), *[F.col(c).alias(c) for c in cols]))).alias("rules"))
-    return one.scalar()
 
-
-def classify(df: DataFrame, stem_col: str | Sequence[str], registry: DataFrame, how: str = "left") -> DataFrame:
+def classify(df: DataFrame, stem_col: str | Sequence[str], registry: DataFrame | Sequence[tuple], how: str = "left") -> DataFrame:
     """Benchmark of each file by the first registry prefix its stem starts with.
 
     Of several columns (the stem, then its folder) the first that matches decides.
     ``how='left'`` keeps unknown files with NULL bench; ``'inner'`` drops them.
+    ``registry`` is a table with (reg_ord, prefix, bench) or the literal rows of one,
+    which are tried in the row.  A table meets each distinct stem by an equi-join
+    on the stem's prefixes of the lengths that the table has.
     """
     stems = [stem_col] if isinstance(stem_col, str) else list(stem_col)
-    x = df.withColumn("_rules", _rules(registry, "reg_ord", ["prefix", "bench"]))
-
-    def first_rule(stem: str) -> Column:
-        return F.get(F.filter("_rules", lambda r: F.col(stem).startswith(r["prefix"])), F.lit(0))
-    x = x.withColumn("_rule", F.coalesce(*[first_rule(c) for c in stems]))
-    x = x.select(*df.columns, F.col("_rule.prefix").alias("prefix"), F.col("_rule._order").alias("reg_ord"), F.col("_rule.bench").alias("bench"))
+    rule = "struct<reg_ord:int,prefix:string,bench:string>"
+    if isinstance(registry, DataFrame):
+        rule = registry.select(F.struct("reg_ord", "prefix", "bench")).schema[0].dataType
+        best, x, hits = _prefix_rules(df, stems, registry), df, []
+        for i, stem in enumerate(stems):
+            x = x.join(best.select(F.col("_name").alias(f"_name{i}"), F.col("_rule").alias(f"_rule{i}")), F.col(stem) == F.col(f"_name{i}"), "left")
+            hits.append(F.col(f"_rule{i}"))
+    else:
+        x, hits = df, [_prefix_fixed(F.col(stem), registry, rule) for stem in stems]
+    # out of a generator of one element, so that the chain is evaluated once a row
+    hit = F.coalesce(*hits)
+    x = x.select(*[df[c] for c in df.columns], F.explode(F.array(hit)).alias("_rule"))
+    x = x.select(*df.columns, F.col("_rule.prefix").alias("prefix"), F.col("_rule.reg_ord").alias("reg_ord"), F.col("_rule.bench").alias("bench"))
     return x.where(F.col("prefix").isNotNull()) if how == "inner" else x
 
 
+def _prefix_rules(df: DataFrame, stems: Sequence[str], registry: DataFrame) -> DataFrame:
+    """(_name, _rule): the first rule of every distinct stem that has one."""
+    rules = registry.where(F.col("prefix").isNotNull()).groupBy(F.col("prefix").alias("_prefix")).agg(
+        F.min(F.struct("reg_ord", "prefix", "bench")).alias("_rule"))
+    lengths = registry.agg(F.collect_set(F.length("prefix")).alias("lengths")).scalar()  # distinct lengths, not rows
+    names = df.select(F.explode(F.array(*[F.col(s) for s in stems])).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_name")), lambda n: F.substring(F.col("_name"), F.lit(1), n))
+    cand = names.withColumn("_lengths", lengths).select("_name", F.explode(heads).alias("_prefix")).join(rules, "_prefix")
+    return cand.groupBy("_name").agg(F.min("_rule").alias("_rule"))
+
+
+def _prefix_fixed(stem: Column, rows: Sequence[tuple], kind: str) -> Column:
+    val = F.lit(None).cast(kind)
+    for reg_ord, prefix, bench in sorted(rows, reverse=True):
+        val = F.when(stem.startswith(prefix), F.struct(F.lit(reg_ord), F.lit(prefix), F.lit(bench)).cast(kind)).otherwise(val)
+    return val
+
+
 def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col: str,
                        default=None, override=None, out: str | None = None) -> DataFrame:
     """First table row (by ``ord``) whose case-insensitive regex matches.
 
     ``table`` has (ord, pattern, <value_col>).  No match -> ``default``;
     ``override`` (a literal) wins over everything when given.  Patterns are tried
-    once per distinct name, and the answer is joined back by name.
+    on the distinct names that hold their rarest trigram (see ``patterns``), and the
+    answer is joined back by name.
     """
     out = out or value_col
     kind = dict(table.dtypes)[value_col]
     if override is not None:
         return df.withColumn(out, F.lit(override).cast(kind))
-    names = df.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    names = names.withColumn("_rules", _rules(table, "ord", ["pattern", value_col]))
-    hit = F.get(F.filter("_rules", lambda r: F.regexp_like(F.col("_name"), F.concat(F.lit("(?i)"), r["pattern"]))), F.lit(0))
-    best = names.select("_name", hit[value_col].alias("_val"))
-    res = df.join(best, df[name_col] == best["_name"], "left").drop("_name")
+    best = first_matches(df.select(F.col(name_col).alias("_name")), table, value_col).withColumnRenamed("value", "_val")
+    res = df.join(best, F.col(name_col) == F.col("_name"), "left").select(*[df[c] for c in df.columns], "_val")
     val = F.coalesce("_val", F.lit(default).cast(kind)) if default is not None else F.col("_val")
     return res.withColumn(out, val).drop("_val")
 
@@ -97,63 +120,27 @@ def efficiency(df: DataFrame, metric_col: str, measured_col: str, spec: DataFram
              .withColumn("vs_other", m / F.nullif(F.col("other_peak"), F.lit(0.0))))
 
 
-def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class") -> DataFrame:
-    """Layout class of a size from [lo, hi) ranges (hi NULL = open).
+def size_class(df: DataFrame, size_col: str, classes: DataFrame, out: str = "class", order: str | None = None) -> DataFrame:
+    """Class of a size from [lo, hi) ranges (hi NULL = open) that may nest and overlap.
 
-    The range with the largest lo <= size decides (of equal lo, that with the
-    smallest hi); a size at or above its hi has no class.
+    The first range in the table's order that holds the size decides; ``order``
+    names the column of that order, without it ranges are ordered by (lo, hi).
     """
-    c = (classes.where(F.col("lo").isNotNull()).groupBy(F.col("lo").alias("_lo"))
-         .agg(F.min_by(F.struct(F.col("hi").alias("_hi"), F.col("class").alias("_class")),
-                       F.struct(F.col("hi").isNull(), "hi", "class")).alias("_r")).select("_lo", "_r._hi", "_r._class"))
-    x = asof_lookup(df, size_col, c, "_lo", ["_hi", "_class"])
-    inside = F.col("_lo").isNotNull() & (F.col("_hi").isNull() | (F.col(size_col) < F.col("_hi")))
-    return x.withColumn(out, F.when(inside, F.col("_class"))).drop("_lo", "_hi", "_class")
+    c = classes.withColumns({"_hi_open": F.col("hi").isNull(), "_lo": F.col("lo"), "_hi": F.col("hi")})
+    cuts = stab(c, "lo", "hi", [order] if order else ["_lo", "_hi_open", "_hi"], "class")
+    x = asof_lookup(df, size_col, cuts.select(F.col("cut").alias("_cut"), F.col("class").alias("_class")), "_cut", ["_class"])
+    return x.withColumn(out, F.col("_class")).drop("_cut", "_class")
 
 
 def size_class_fixed(size: Column, rows: Sequence[tuple]) -> Column:
-    """J4 for literal ranges (lo, hi, class), with the same rule: a CASE chain."""
+    """J4 for literal ranges (lo, hi, class) in the table's order, with the same rule: a CASE chain."""
     val = F.lit(None).cast("string")
-    for lo, hi, name in sorted(rows, key=lambda r: (r[0], r[1] is not None, -(r[1] or 0))):
-        own = F.lit(name) if hi is None else F.when(size < F.lit(hi), F.lit(name))
-        val = F.when(size >= F.lit(lo), own).otherwise(val)
+    for lo, hi, name in reversed(rows):
+        held = size >= F.lit(lo)
+        val = F.when(held if hi is None else held & (size < F.lit(hi)), F.lit(name)).otherwise(val)
     return val
 
 
-def asof_lookup(df: DataFrame, key_col: str, curve: DataFrame, curve_key: str,
-                curve_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """As-of lookup: the curve row with the largest key <= the row's key (same ``by`` values), or NULLs.
-
-    Both sides are unioned, range-partitioned by (by, key) and written once (see
-    ``ranking.ranged``), so no group is gathered into one task.  Within a range a
-    running ``last(ignorenulls)`` carries the latest curve row forward; rows at
-    the start of a range take the carry from earlier ranges, found on a small
-    per-range table.  For equal keys the curve row sorts first.  NULL keys and
-    NULL ``by`` values match nothing; of curve rows with one key any may answer.
-    """
-    from .ranking import join_null_safe, ranged
-    by, cols = list(by), [curve_key, *curve_cols]
-    right = curve.select(*by, *cols).where(F.col(curve_key).isNotNull())
-    for b in by:
-        right = right.where(F.col(b).isNotNull())
-    cur_t = right.select(F.struct(*cols)).schema[0].dataType
-    left = df.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col(key_col).alias("_k"), F.lit(1).alias("_side"),
-                     F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.lit(None).cast(cur_t).alias("_cur"))
-    r = right.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col(curve_key).alias("_k"), F.lit(0).alias("_side"),
-                     F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*cols).alias("_cur"))
-    keys = [f"_by_{b}" for b in by]
-    u = ranged(left.unionByName(r), [*keys, "_k"], "asof").drop("_at")
-    w = Window.partitionBy("_bk", *keys).orderBy("_k", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = u.withColumn("_run", F.last("_cur", ignorenulls=True).over(w)).where("_side = 1")
-    # one row per range and group: the carry is the last curve row of any earlier range
-    lasts = u.groupBy("_bk", *keys).agg(F.max(F.when(F.col("_side") == 0, F.struct("_k", "_cur"))).alias("_m"))
-    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select("_bk", *keys, F.last("_m._cur", ignorenulls=True).over(before).alias("_carry"))
-    res = join_null_safe(run, carry, ["_bk", *keys], "left")
-    cur = F.when(F.col("_k").isNotNull(), F.coalesce("_run", "_carry"))
-    return res.select("_row.*", *[cur[c].alias(c) for c in cols])
-
-
 def asof_fixed(df: DataFrame, key_col: str, rows: Sequence[tuple], cols: Sequence[str], types: Sequence[str]) -> DataFrame:
     """J5 for a literal curve (rows of ``cols``, the key first): CASE chains."""
     for j, (c, t) in enumerate(zip(cols, types, strict=True)):
@@ -200,9 +187,12 @@ def bottleneck(consumer: DataFrame, supplier: DataFrame, keys: Sequence[str],
              .withColumn("bottleneck", F.when(c < s, F.lit("compute_or_network")).when(c >= s, F.lit("storage"))))
 
 
-def coverage(df: DataFrame, stem_col: str, registry: DataFrame):
-    """(unknown files, registry entries without any file, known files)."""
-    c = classify(df, stem_col, registry, "left")
+def coverage(df: DataFrame, stem_col: str, registry: DataFrame, rules: Sequence[tuple] | None = None):
+    """(unknown files, registry entries without any file, known files).
+
+    ``rules`` are the literal rows of a fixed registry (see ``classify``).
+    """
+    c = classify(df, stem_col, registry if rules is None else rules, "left")
     unknown = c.where(F.col("bench").isNull()).drop("prefix", "reg_ord", "bench")
     found = c.where(F.col("prefix").isNotNull()).select("prefix").distinct()
     missing = registry.join(found, "prefix", "left_anti")

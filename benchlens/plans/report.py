@@ -9,15 +9,17 @@ benchmark keeps the keys it declares, all within the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims, sinks
 from ..functions import task_label
 from ..operators import agg, joins, windows
 from ..operators.ranking import materialize as write_once
+from ..session import shared_subdir
 from ..sources import documents as D
 
 
@@ -35,24 +37,47 @@ class Report:
     tasks       bench, n_files, first_file, ord, cluster_name, host, task_name
 
     Declared keys are read from a document once, in the row; no table joins
-    points back to documents.
+    points back to documents.  ``listing`` names the files without their text, for
+    ``unknown``; without it the documents' own rows do.
     """
 
     def __init__(self, spark: SparkSession, files: DataFrame, cluster: str, extensions: bool, at,
-                 materialize: bool = False, host: str | None = None):
+                 materialize: bool = False, host: str | None = None, listing: DataFrame | None = None):
         self._spark, self._cluster, self._at, self._host = spark, cluster, at, host
         self._reg_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
-        self._reg = dims.registry(spark, extensions)
-        stems = ["stem", "folder"] if "folder" in files.columns else ["stem"]
-        c = joins.classify(files, stems, self._reg, "left")
-        self.unknown = c.where(F.col("bench").isNull()).select("file", "stem")
+        rules = dims.registry_rules(extensions)
+
+        def classified(x: DataFrame) -> DataFrame:
+            return joins.classify(x, ["stem", "folder"] if "folder" in x.columns else "stem", rules, "left")
+        c = classified(files)
+        names = c if listing is None else classified(listing)
+        self.unknown = names.where(F.col("bench").isNull()).select("file", "stem")
         parsed = D.parse_documents(c.where(F.col("bench").isNotNull()))
         valid, rejected = D.split_valid(parsed)
         self.documents = valid.select("file", "stem", "prefix", "bench", "doc")
         self.rejected = rejected.select("file", "bench")
+        self._written, self._shown = False, None
         if materialize:
-            # parse once: every table below reads the parsed documents
-            self.documents = write_once(self.documents, "report-documents")
+            self.materialize()
+
+    def materialize(self) -> None:
+        """Parse once: every table reads the parsed documents from a written table afterwards."""
+        if not self._written:
+            self.documents, self._written = write_once(self.documents, "report-documents"), True
+
+    def show_once(self) -> list[str]:
+        """Write the display text of every declared key once, a folder for each benchmark; returns the benchmarks.
+
+        The comparison tables, one for each benchmark, then read their own folder.
+        """
+        self.materialize()
+        keys = _registry_keys(self._reg_rows, 2)
+        x = self._keyed.select("bench", "file", *[display_text(F.col("m")[k]).alias(k) for k in keys])
+        path = shared_subdir(self._spark, "report-display")
+        x.write.partitionBy("bench").parquet(path)
+        text = ", ".join(f"`{k}` STRING" for k in ["file", *keys, "bench"])
+        self._shown = self._spark.read.schema(text).parquet(path)
+        return sorted(r["bench"] for r in self._shown.select("bench").distinct().collect())  # at most the registry's
 
     def _of_bench(self, per_bench: dict):
         """The benchmark's own expression: a CASE over the registry's benchmarks."""
@@ -75,7 +100,14 @@ class Report:
     @cached_property
     def _compared(self) -> DataFrame:
         """The benchmarks with more than one file (at most the registry's)."""
-        return F.broadcast(self.documents.groupBy("bench").agg(F.count("*").alias("n")).where("n > 1").select("bench"))
+        rows = self.documents if self._shown is None else self._shown
+        return F.broadcast(rows.groupBy("bench").agg(F.count("*").alias("n")).where("n > 1").select("bench"))
+
+    def _display(self) -> tuple[DataFrame, Callable[[str], Column]]:
+        """Rows of (bench, file, ...) and the display text of a key in them."""
+        if self._shown is not None:
+            return self._shown, F.col
+        return self._keyed, lambda k: display_text(F.col("m")[k])
 
     @cached_property
     def _points(self) -> DataFrame:
@@ -124,20 +156,27 @@ class Report:
         x = first.select("bench", F.explode(pick).alias("p")).where("p.has")
         return x.select("bench", "p.param", "p.value", "p.is_null")
 
-    @cached_property
+    @property
     def comparison(self) -> DataFrame:
         """A12 + P6: comparison cells for benchmarks with more than one file ('—' when absent)."""
+        rows, text = self._display()
+
         def cell(i, key):
-            return F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), display_text(F.col("m")[key]).alias("display"))
+            return F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), text(key).alias("display"))
         pick = self._of_bench({bench: F.array(*[cell(i, k) for i, (k, _, _) in enumerate(ms)]) for _, bench, ms, _ in self._reg_rows})
-        x = self._keyed.join(self._compared, "bench", "left_semi")
+        x = rows.join(self._compared, "bench", "left_semi")
         return x.select("bench", "file", F.explode(pick).alias("c")).select("bench", "file", "c.ord", "c.key", "c.display")
 
     def comparison_of(self, bench: str) -> DataFrame:
         """A12 + P6 as one wide table: file, then a column for each declared metric key of the benchmark."""
         keys = next([k for k, _, _ in ms] for _, b, ms, _ in self._reg_rows if b == bench)
-        x = self._keyed.where(F.col("bench") == bench).join(self._compared, "bench", "left_semi")
-        return x.select("file", *[display_text(F.col("m")[k]).alias(k) for k in keys])
+        rows, text = self._display()
+        x = rows.where(F.col("bench") == bench).join(self._compared, "bench", "left_semi")
+        return x.select("file", *[text(k).alias(k) for k in keys])
+
+    @property
+    def compared(self) -> DataFrame:
+        return self._compared
 
     @property
     def benchmarks(self) -> list[str]:
@@ -186,13 +225,14 @@ def report(spark: SparkSession, results_dir: str, cluster: str = "cluster",
            recursive: bool = False, extensions: bool = True, at=None,
            require_results: bool = True, materialize: bool = False, host: str | None = None) -> Report:
     """The report over every ``*.json`` file under ``results_dir``."""
-    files = D.read_results(spark, results_dir, recursive)
-    return report_documents(spark, files, cluster, extensions, at, require_results, materialize, host)
+    files = D.read_results(spark, results_dir, recursive, [p for _, p, _ in dims.registry_rules(extensions)])
+    listing = D.list_results(spark, results_dir, recursive)
+    return report_documents(spark, files, cluster, extensions, at, require_results, materialize, host, listing)
 
 
 def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "cluster",
                      extensions: bool = True, at=None, require_results: bool = True,
-                     materialize: bool = False, host: str | None = None) -> Report:
+                     materialize: bool = False, host: str | None = None, listing: DataFrame | None = None) -> Report:
     """The report on documents already in a DataFrame of (file, stem, raw).
 
     ``require_results`` refuses an empty result set up front (A16) with a
@@ -200,19 +240,30 @@ def report_documents(spark: SparkSession, files: DataFrame, cluster: str = "clus
     valid documents once to the shared checkpoint folder, so several tables do
     not parse every document again (worth it when most tables are built).
     """
-    rep = Report(spark, files, cluster, extensions, at, materialize, host)
+    rep = Report(spark, files, cluster, extensions, at, materialize, host, listing)
     if require_results and rep.documents.isEmpty():
         raise ValueError(agg.NO_RESULTS)
     return rep
 
 
 def write_report(rep: Report, path: str) -> None:
-    """K1-K3: points and comparison tables partitioned by benchmark, text lines
-    and tasks as JSON records, all written by executors under ``path``."""
-    sinks.write_scalars(rep.scalars, f"{path}/scalars")
-    sinks.write_summary(rep.comparison, f"{path}/comparison")
-    sinks.write_summary(rep.params, f"{path}/params")
-    for bench in rep.benchmarks:  # one wide table per benchmark of the registry
-        sinks.write_wide(rep.comparison_of(bench), f"{path}/comparison_wide", bench)
-    sinks.write_results(rep.lines, f"{path}/lines")
-    sinks.write_results(rep.tasks, f"{path}/tasks")
+    """K1-K3: points, parameters and comparison tables, text lines and tasks, all
+    partitioned by benchmark and written by executors under ``path``.
+
+    Only the benchmarks of this report are replaced; what an earlier report
+    wrote about others stays.  Documents are parsed once and their display
+    texts written once; the wide table of a benchmark reads its own folder of those.
+    """
+    spark = rep.documents.sparkSession
+    here = rep.show_once()
+    sinks.write_scalars(rep.scalars, f"{path}/scalars", covered=here)
+    sinks.write_summary(rep.comparison, f"{path}/comparison", covered=here)
+    sinks.write_summary(rep.params, f"{path}/params", covered=here)
+    compared = {r["bench"] for r in rep.compared.collect()}  # at most the registry's
+    for bench in here:
+        if bench in compared:
+            sinks.write_wide(rep.comparison_of(bench), f"{path}/comparison_wide", bench)
+        else:
+            sinks.drop_wide(spark, f"{path}/comparison_wide", bench)
+    sinks.replace_benchmarks(rep.lines, f"{path}/lines", covered=here, fmt="json")
+    sinks.replace_benchmarks(rep.tasks, f"{path}/tasks", covered=here, fmt="json")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
+from .. import dims, sinks
 from ..functions import parse_size
 from ..operators import agg, joins, windows
 from ..sources import documents as D
@@ -85,3 +85,10 @@ def to_records(summary: DataFrame, header: dict, keys: Sequence[str] = ()) -> Da
         summary.agg(F.array_sort(F.collect_list(el)).alias("_s"))
     sweep = F.transform("_s", lambda x: x.dropFields("_o"))
     return g.select(*keys, *[F.lit(v).alias(k) for k, v in header.items()], sweep.alias("sweep"))
+
+
+def write_records(records: DataFrame, path: str, keys: Sequence[str], prefix: str = "storage_sweep_") -> int:
+    """K1: every sweep record as a JSON document of its own, named by the registry's prefix and its keys,
+    so that a report over the folder recognises it."""
+    name = F.concat(F.lit(prefix), F.concat_ws("_", *keys))
+    return sinks.write_documents(records.select(name.alias("name"), F.to_json(F.struct(*records.columns)).alias("text")), path, "name", "text")

@@ -1,12 +1,8 @@
-"""Scans: result documents, config text, file inventory, synthetic rows, I/O probes."""
+"""Scans: result documents, config text, file inventory."""
 
-from .documents import (extract_path, flatten_sweep, parse_config_text, parse_documents,
+from .documents import (extract_path, flatten_sweep, list_results, parse_config_text, parse_documents,
                         read_param_configs, read_results, split_valid)
 from .files import file_inventory, inventory_totals
-from .probes import probe_read, probe_read_path, probe_roundtrip, roundtrip_rates
-from .synthetic import synthetic_batch, synthetic_observations
 
-__all__ = ["read_results", "parse_documents", "split_valid", "extract_path", "flatten_sweep",
-           "parse_config_text", "read_param_configs", "file_inventory", "inventory_totals",
-           "probe_read", "probe_read_path", "probe_roundtrip", "roundtrip_rates", "synthetic_observations",
-           "synthetic_batch"]
+__all__ = ["read_results", "list_results", "parse_documents", "split_valid", "extract_path", "flatten_sweep",
+           "parse_config_text", "read_param_configs", "file_inventory", "inventory_totals"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 LEADING_NUMBERS = r"^\s*((?:[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?(?:\s+|$))*)"
 
 
-def read_results(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_results(spark: SparkSession, path: str, recursive: bool = False, prefixes: Sequence[str] | None = None) -> DataFrame:
     """Every ``*.json`` file under ``path`` as one document.
 
     One row per file: (file, stem, folder, raw).  ``file`` is the path below
@@ -18,15 +20,43 @@ def read_results(spark: SparkSession, path: str, recursive: bool = False) -> Dat
     first folder, as a run that keeps its results in a folder of its own is named
     by it.  Files are read whole on executors; the glob filter prunes at listing,
     so other files are never opened.
+
+    With ``prefixes`` (those of a registry) only files whose stem or folder starts
+    with one are read.  That is a predicate on the files' names alone, so Spark
+    drops the others from its listing, unopened; ``list_results`` still names them.
     """
+    df = _json_files(spark, recursive).format("text").option("wholetext", "true").load(path)
+    out = _named(df, path, "_metadata.file_path")
+    if prefixes is not None:
+        out = out.where(_starts("stem", prefixes) | _starts("folder", prefixes))
+    return out.select("file", "stem", "folder", F.col("value").alias("raw"))
+
+
+def list_results(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, stem, folder, bytes) of every ``*.json`` file under ``path``, from the listing: none is opened."""
+    df = _json_files(spark, recursive).format("binaryFile").load(path)
+    return _named(df, path, "_metadata.file_path").select("file", "stem", "folder", F.col("_metadata.file_size").alias("bytes"))
+
+
+def _json_files(spark: SparkSession, recursive: bool):
     r = spark.read.option("pathGlobFilter", "*.json")
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    df = r.text(path, wholetext=True)
-    full = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    rel = _below(full, path)
-    return df.select(rel.alias("file"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("stem"),
-                     F.when(F.instr(rel, "/") > 0, F.substring_index(rel, "/", 1)).alias("folder"), F.col("value").alias("raw"))
+    return r.option("recursiveFileLookup", "true") if recursive else r
+
+
+def _named(df: DataFrame, root: str, path_col: str) -> DataFrame:
+    """The file's path below ``root``, its stem and its first folder."""
+    full = F.try_url_decode(F.replace(F.col(path_col), F.lit("+"), F.lit("%2B")))
+    rel = _below(full, root)
+    name = F.substring_index(full, "/", -1)
+    return df.select("*", "_metadata", rel.alias("file"), F.regexp_replace(name, r"\.json$", "").alias("stem"),
+                     F.when(F.instr(rel, "/") > 0, F.substring_index(rel, "/", 1)).alias("folder"))
+
+
+def _starts(col: str, prefixes: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for p in prefixes:
+        hit = hit | F.col(col).startswith(p)
+    return F.coalesce(hit, F.lit(False))
 
 
 def _below(full: Column, path: str) -> Column:

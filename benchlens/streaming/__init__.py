@@ -20,13 +20,12 @@ from ..sources import documents as D
 def stream_points(spark: SparkSession, results_dir: str, extensions: bool = True,
                   max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming DataFrame of (bench, file, key, label, value) metric points."""
-    reg = dims.registry(spark, extensions)
     raw = (spark.readStream.option("pathGlobFilter", "*.json")
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .text(results_dir, wholetext=True)
            .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw")))
     raw = raw.withColumn("stem", F.regexp_replace("file", r"\.json$", ""))
-    c = joins.classify(raw, "stem", reg, "inner")
+    c = joins.classify(raw, "stem", dims.registry_rules(extensions), "inner")
     valid, _ = D.split_valid(D.parse_documents(c))
     metric_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
     decl = []

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchlens.operators import agg, ranking, windows
-from benchlens.sources import synthetic_observations
 
 from .conftest import SF_SMALL
 
@@ -39,9 +38,3 @@ def test_w1_iteration(events):
     assert res[0] == res[1] == res[2]
     first = dict(res[0])
     assert sorted(first.values())[:5] == [0, 0, 0, 0, 0]
-
-
-def test_s9_synthetic(spark, events):
-    res = [as_set(synthetic_observations(d, "event_id", seed=1, image_px=2).select(
-        "id", F.col("images")["base_0_rgb"].alias("img")), ["id", "img"]) for d in layouts(events)]
-    assert res[0] == res[1] == res[2]

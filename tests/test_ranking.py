@@ -84,8 +84,7 @@ def test_asof_brute_force(spark, partitions):
         b = {r.id: r["class"] for r in left.withColumn("class", joins.size_class_fixed(F.col("x"), ranges)).collect()}
         assert a == b
         for i, _, x in lrows:
-            own = max((r for r in ranges if x is not None and r[0] <= x), default=None, key=lambda r: r[0])
-            assert a[i] == (own[2] if own and (own[1] is None or x < own[1]) else None)
+            assert a[i] == next((c for lo, hi, c in ranges if x is not None and lo <= x and (hi is None or x < hi)), None)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 

@@ -1,15 +1,12 @@
-"""Sources on real files written to a temp folder: documents, config text,
-inventory, probes, synthetic rows."""
+"""Sources on real files written to a temp folder: documents, config text, inventory."""
 
 import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
-from benchlens.sources import (file_inventory, inventory_totals, parse_documents, probe_read,
-                               probe_roundtrip, read_param_configs, read_results, roundtrip_rates,
-                               split_valid, synthetic_observations)
+from benchlens.sources import (file_inventory, inventory_totals, parse_documents, read_param_configs, read_results,
+                               split_valid)
 
 
 @pytest.fixture
@@ -74,31 +71,3 @@ def test_inventory_counts_each_file_once(spark, tmp_path):
     t = inventory_totals(inv).first()
     assert (t.n_files, t.total_bytes) == (3, sum(sizes.values()))
     assert "content" not in inv.columns
-
-
-def test_probes(spark, tmp_path):
-    src = spark.range(0, 5000).select("id", (F.col("id") * 2).alias("v"))
-    rounds = probe_roundtrip(spark, src, shards=3, rounds=2, out_dir=str(tmp_path / "rt"))
-    rows = rounds.collect()
-    assert len(rows) == 2 * 2 * 3
-    saves = {(r.round, r.shard): r.bytes for r in rows if r.phase == "save"}
-    loads = {(r.round, r.shard): r.bytes for r in rows if r.phase == "load"}
-    assert saves == loads and all(b > 0 for b in saves.values())
-    rates = roundtrip_rates(rounds).collect()
-    assert len(rates) == 4 and all(r.gb_s >= 0 for r in rates)
-    inv = file_inventory(spark, str(tmp_path / "rt" / "data"))
-    read = probe_read(inv).collect()
-    assert len(read) == 6 and sum(r.rows for r in read) == 2 * 5000
-
-
-def test_synthetic_observations_shape_and_determinism(spark):
-    ids = spark.range(0, 50)
-    a = synthetic_observations(ids, "id", seed=3, image_px=4)
-    r = a.where("id = 7").first()
-    assert set(r.images) == {"base_0_rgb", "left_wrist_0_rgb", "right_wrist_0_rgb"}
-    assert all(len(v) == 3 * 4 * 4 for v in r.images.values())
-    assert all(-1.0 <= x < 1.0 for v in r.images.values() for x in v)
-    assert all(r.image_masks.values())
-    assert len(r.state) == 32 and len(r.tokenized_prompt) == 200 and len(r.actions) == 10 and len(r.actions[0]) == 32
-    b = synthetic_observations(ids.repartition(7), "id", seed=3, image_px=4).where("id = 7").first()
-    assert b.images == r.images
