@@ -59,19 +59,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _shingles_sql(table_: str, key: str) -> str:
-    return f"""
-SELECT {key}, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
-                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
-FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table_})"""
+def _words_sql(table_: str, key: str) -> str:
+    return f"""SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table_}"""
 
 
+# an item of fewer than five words is one shingle, and documents have shingles of so many words for it
 SQL["op2_decontaminate"] = f"""
-WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({_shingles_sql("documents", "doc_id")})),
-     i AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM ({_shingles_sql("benchmark", "item_id")}))
-SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(DISTINCT g) AS n_matched,
-       count(DISTINCT g) / n::DOUBLE AS containment
-FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n HAVING 5 * count(DISTINCT g) >= 4 * n"""
+WITH iw AS ({_words_sql("benchmark", "item_id")}), dw AS ({_words_sql("documents", "doc_id")}),
+     l AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+     il AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+     ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM il),
+     i AS (SELECT item_id, g, count(*) OVER (PARTITION BY item_id) AS n FROM ig),
+     dl AS (SELECT doc_id, w, k FROM dw, l WHERE len(w) >= k),
+     d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM dl)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, count(*) AS n_matched, count(*) / n::DOUBLE AS containment
+FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n"""
 
 
 @query
@@ -175,7 +177,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op12_fill_middle"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-     u AS (SELECT *, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS t FROM d),
+     u AS (SELECT *, regexp_extract_all(text, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS t FROM d),
      k AS (SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
                   CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
      c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,

@@ -75,16 +75,21 @@ def near_groups(docs, n, num, den):
     return {i: top(i) for i in up}
 
 
-def five_words(text):
-    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def leaks(docs, items):
-    """{(doc id, item id)} with at least 4/5 of the item's shingles in the document."""
-    d, i = {}, {}
-    for k, t in docs:
-        d.setdefault(k, set()).update(five_words(t))
+def leaks(docs, items, words=5):
+    """{(doc id, item id)} with at least 4/5 of the item's shingles in the document; an item of fewer words is one shingle."""
+    def split(t):
+        return [x for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x]
+
+    def runs(w, n):
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    i = {}
     for k, t in items:
-        i.setdefault(k, set()).update(five_words(t))
+        w = split(t)
+        if w:
+            i.setdefault(k, set()).update(runs(w, min(len(w), words)))
+    lengths = {len(g) for x in i.values() for g in x}
+    d = {}
+    for k, t in docs:
+        w = split(t)
+        d.setdefault(k, set()).update(*[runs(w, n) for n in lengths])
     return {(a, b) for a, x in d.items() for b, y in i.items() if y and 5 * len(x & y) >= 4 * len(y)}

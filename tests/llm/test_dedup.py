@@ -53,6 +53,107 @@ def test_suffix_streams_across_batches(spark):
     assert got == sorted(brute.suffix_digest(docs), key=repr)
 
 
+P = "This passage stands in two documents, word for word, and it has more than fifty bytes. "
+Q = "Nobody else has written down this other sentence, which has more than fifty bytes as well. "
+
+
+def test_rows_with_one_id_are_told_apart(spark, monkeypatch):
+    docs = [(1, P), (7, P + "a186505"), (7, Q + "b84"), (7, Q + "b84"), (None, P + "x"), (None, Q), (None, Q + P), (9, Q)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_dedup.digest(df)) == sorted(brute.suffix_digest(docs), key=repr)
+    out = suffix_dedup.remove_repeats(df)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(brute.without_repeats(docs), key=repr)
+
+
+def test_many_rows_without_id(spark):
+    """None of them is smaller than another, and rows with ids are smaller than all."""
+    rng = random.Random(11)
+    shared = [words(rng, 14) for _ in range(30)]
+    docs = [(None if i % 10 else i, words(rng, 3) + rng.choice(shared) + words(rng, 3)) for i in range(5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert rows(suffix_dedup.digest(df)) == sorted(brute.suffix_digest(docs), key=repr)
+
+
+def test_an_id_whose_rows_share_a_context(spark):
+    """Both rows of id 7 are first in the context; a window of it stands in document 1 in other surroundings."""
+    core = "0123456789 abcdefghij ABCDEFGHIJ klmnopqrst KLMNOPQRST"
+    docs = [(1, "left of it " * 5 + core + " right of it" * 5), (7, "other " * 9 + core + " end" * 20 + "one"), (7, "other " * 9 + core + " end" * 20 + "two"),
+            (8, "other " * 9 + core + " end" * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_dedup.digest(df)) == sorted(brute.suffix_digest(docs), key=repr)
+
+
+def hot_corpus(rng, n=700):
+    line = "Licensed under the terms that are given in the file which comes with this work; all rights reserved. "
+    short = "A line that is common but short, in sixty bytes or nearly so."
+    docs = []
+    for i in range(n):
+        t = words(rng, rng.randrange(1, 12))
+        if i % 3 == 0:
+            t += line * rng.randrange(1, 3)
+        if i % 4 == 0:
+            t = t + words(rng, 2) + short + words(rng, 5)
+        docs.append((rng.choice([i, i, i, None, 5]), t))
+    return docs
+
+
+@pytest.mark.parametrize("sampled", [1, 3])
+def test_hot_strings(spark, monkeypatch, sampled):
+    """With every or every third document in the sample the frequent ranks, contexts and windows take their own ways."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", sampled)
+    docs = hot_corpus(random.Random(5 + sampled))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    st = suffix_dedup.Stages(spark, "test")
+    ranks, contexts = suffix_dedup.frequent(suffix_dedup.prepare(df, st, ["doc_id"]), st)
+    assert len(ranks.keys) and len(contexts.keys)
+    assert rows(suffix_dedup.digest(df)) == sorted(brute.suffix_digest(docs), key=repr)
+
+
+def test_no_task_sorts_a_hot_context(spark, monkeypatch):
+    """Of a frequent context the shuffle gets a row for each input partition, not for each document."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    df = spark.createDataFrame([(i, str(i) * 30 + P * 2 + str(-i) * 30) for i in range(600)], "doc_id long, text string").repartition(4)
+    st = suffix_dedup.Stages(spark, "test")
+    p = suffix_dedup.prepare(df, st, ["doc_id"])
+    per_context = suffix_dedup.rank_anchors(p, *suffix_dedup.frequent(p, st)).groupBy("h", "c").count()
+    assert per_context.agg(F.max("count")).first()[0] <= 4
+    assert suffix_dedup.rank_anchors(p).groupBy("h", "c").count().agg(F.max("count")).first()[0] == 600
+
+
+@pytest.mark.parametrize("piece", [200, 777])
+def test_long_texts_go_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(piece)
+    shared = words(rng, 60)
+    docs = [(i, words(rng, rng.randrange(200)) + shared[rng.randrange(100):] + "x" * rng.randrange(500) + words(rng, 30)) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(suffix_dedup.digest(df)) == sorted(brute.suffix_digest(docs), key=repr)
+
+
+def test_twenty_megabytes_of_one_character(spark):
+    n = 20_000_000
+    docs = [(1, "x" * 60), (2, "x" * n), (3, "y" + "x" * n + "z" * 49)]
+    got = {r.doc_id: r for r in suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed, got[3].n_spans) == (0, n, n, 1)
+    assert got[3].kept_sha256 == hashlib.sha256(b"y" + b"z" * 49).hexdigest()
+
+
+def test_a_piece_takes_bounded_memory():
+    """The peak of numpy memory for a text of one character and for prose, as the module states it."""
+    import tracemalloc
+
+    import numpy as np
+    for data, bound in ((np.full(suffix_dedup.PIECE, 120, np.uint8), 300), (np.frombuffer((P * 6000).encode(), np.uint8)[:suffix_dedup.PIECE], 100),
+                        (np.random.default_rng(1).integers(97, 122, suffix_dedup.PIECE).astype(np.uint8), 100)):
+        tracemalloc.start()
+        r = suffix_dedup.Ranked(data, np.array([0, len(data)]))
+        r.contexts()
+        r.spans(r.windows(r.at))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak <= bound * len(data)
+
+
 def test_suffix_remove(spark, odd_docs, clash_docs, empty_docs):
     out = suffix_dedup.remove_repeats(odd_docs)
     assert out.schema == odd_docs.schema
@@ -160,10 +261,53 @@ def test_contaminated(spark, odd_docs, clash_docs, empty_docs):
     want = brute.leaks(docs, items)
     assert len(want) > 10
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i, broadcast_rows=0).collect()} == want
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert decontaminate.contaminated(empty_docs, i).count() == 0
     assert decontaminate.contaminated(d, i.limit(0)).count() == 0
     out = decontaminate.remove_contaminated(clash_docs, i.select("*", *[F.lit(1).alias(c) for c in CLASH if c != "text"]))
     assert out.columns == clash_docs.columns
     bad = {a for a, _ in brute.leaks(PAIRS, items)}
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted((a for a, _ in PAIRS if a not in bad), key=repr)
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "alpha beta gamma delta"), (2, "omega"), (3, "two words"), (4, "three short words"), (5, "Alpha, BETA"), (6, "one item"), (6, "of two texts, one of them longer")]
+    filler = " ".join(f"w{i}" for i in range(400))
+    docs = [(10, f"{filler} alpha beta gamma delta {filler}"), (11, "alpha beta gamma delta"), (12, f"{filler} omega"), (13, "two"), (14, f"two {filler} words"),
+            (15, f"{filler} two words three short words"), (16, f"one item {filler} of two texts, one of them longer"), (17, "one item"), (18, None), (19, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    assert {(10, 1), (11, 1), (10, 5), (12, 2), (15, 3), (15, 4), (16, 6)} <= want and not {a for a, _ in want} & {13, 14, 17}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i).collect()} == want
+
+
+def test_every_containing_document_is_a_candidate(spark):
+    """Recall 1 of the sketches at the threshold, and few candidates beside the true pairs."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(5, 70)))) for k in range(60)]
+    docs = []
+    for n in range(400):
+        w = items[n % 60][1].split()
+        a = rng.randrange(max(1, int(len(w) * 0.3)))
+        docs.append((n, " ".join([*rng.choices(vocabulary, k=rng.randrange(200)), *w[a:], *rng.choices(vocabulary, k=rng.randrange(200))])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    sets = decontaminate.item_sets(i)
+    assert sets.where("in_sketch").count() < 0.5 * sets.count()
+    pairs = {tuple(r) for r in decontaminate.candidates(d, sets.where("in_sketch").select("h", "item_id"), [5]).collect()}
+    assert want <= pairs and 100 < len(want) < len(pairs) <= 400
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i).collect()} == want
+
+
+def test_decontamination_plan_probes_the_sketches(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    plan = decontaminate.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
