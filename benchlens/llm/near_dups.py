@@ -6,22 +6,27 @@ similarity reaches ``num / den``.
 1. Features, map-side: the set's size and key (two 64-bit sums), and a MinHash
    signature of ``COORDS`` coordinates.  Documents with equal sets are one class.
 2. Inverted join: every class is posted under each (coordinate, value) pair.
-   Linked classes agree on at least ``matches`` coordinates (6.5 standard errors
-   below the threshold: a link is missed once in 10**10).  Classes with fewer
-   shared pairs than that are done (skip).  The others keep their rarest pairs
+   Linked classes agree on ``matches`` coordinates and more, but for one link in
+   10**10 by the exact binomial tail; ``matches=1`` asks for a single one and
+   loses a link with probability (1 - num / den) ** COORDS, below 10**-44.  Classes
+   with fewer shared pairs are done (skip).  The others keep their rarest pairs
    only: with a common order by rarity, two classes with ``matches`` collisions
    meet in the first COORDS - matches + 1 pairs of both (prefix).
 3. A posting list names one leader, the class with the most shared pairs, so a
    list of g classes gives g pairs, not g * g.  Classes that meet in a list meet
    in their leader's group.  A group is cut into blocks (at most ``members``
-   classes and about ``weight`` shingles each) and each pair of blocks is one
-   task: it links the members to the leader first, and then counts collisions
-   and confirms, on the full sets, only pairs that are still in different
-   components.  It gives out a spanning forest, never all pairs.
+   classes and about ``weight`` shingles each).  First every block is one task with
+   the leader beside it: members are linked to the leader, and what is not is
+   compared within the block.  Members that are still not connected to the leader
+   then meet the group's other blocks, those members only.  A task counts
+   collisions and confirms, on the full sets, pairs that are still in
+   different components; it gives out a spanning forest, never all pairs.
 4. Components by alternating large-star and small-star joins over those links.
 
-Work is quadratic only in the classes of one group that are not linked to its
-leader; memory is bounded by two blocks.
+A group whose members are near their leader costs as many rows as it has members.
+Work is quadratic only in the classes of one group that are not connected to its
+leader; memory is bounded by two blocks, and for one document by its shingles, at
+about 40 bytes a word.
 
 Nulls: documents without words have an empty set and link with nothing; with
 fewer words than a shingle the whole sequence is one shingle; a row without id is
@@ -119,10 +124,14 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, FEATURES)
 
 
-def least_matches(num: int, den: int) -> int:
-    """Collisions that linked documents have but for one pair in 10**10."""
-    j = num / den
-    return max(1, math.floor(COORDS * j - 6.5 * math.sqrt(COORDS * j * (1 - j))))
+def least_matches(num: int, den: int, lost: float = 1e-10) -> int:
+    """The most collisions that linked documents have with probability 1 - lost: the exact binomial tail at the threshold."""
+    j, below = num / den, 0.0
+    for m in range(COORDS + 1):
+        below += math.comb(COORDS, m) * j ** m * (1 - j) ** (COORDS - m)  # fewer than m + 1 collisions
+        if below > lost:
+            return max(1, m)
+    return COORDS
 
 
 def stars(classes: DataFrame, st: Stages, matches: int) -> DataFrame:
@@ -140,52 +149,91 @@ def stars(classes: DataFrame, st: Stages, matches: int) -> DataFrame:
     return kept.join(lists, F.col("key") == F.col("of")).select("lead", "rep").distinct()
 
 
-def _links(table: pa.Table, matches: int, num: int, den: int) -> pa.Table:
-    """A spanning forest of the links of one task: the rows of two blocks and the leader."""
-    lead = table.column("lead")[0].as_py()
-    reps = np.asarray(table.column("rep"))
-    block = np.asarray(table.column("block"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    cross = i != j
-    sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(len(reps), COORDS)
-    lists = table.column("set").combine_chunks()
-    n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-    flat = np.asarray(lists.flatten())
-    owner = np.repeat(np.arange(len(reps)), n)
-    # only shingles of several members can be in an intersection: one bit for each
-    u, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    common = count > 1
-    bit = (np.cumsum(common) - 1)[inverse]
-    on = common[inverse]
-    wide = np.zeros((len(reps), -(-int(common.sum()) // 64) or 1), np.uint64)
-    np.bitwise_or.at(wide, (owner[on], bit[on] // 64), np.uint64(1) << (bit[on] % 64).astype(np.uint64))
-    group = np.arange(len(reps))
-    out: list[tuple[int, int]] = []
-
-    def visit(x: int) -> None:
-        mine = group != group[x]
-        if cross:
-            mine &= (block != block[x]) | (reps == lead) | (reps[x] == lead)
+class _Block:
+    """The classes of one task: signatures and sets, and which component each is in so far."""
+
+    def __init__(self, table: pa.Table):
+        self.reps = np.asarray(table.column("rep"))
+        self.sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(len(self.reps), COORDS)
+        lists = table.column("set").combine_chunks()
+        self.n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        flat = np.asarray(lists.flatten())
+        owner = np.repeat(np.arange(len(self.reps)), self.n)
+        # only shingles of several members can be in an intersection: one bit for each
+        _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        common = count > 1
+        bit = (np.cumsum(common) - 1)[inverse]
+        on = common[inverse]
+        self.wide = np.zeros((len(self.reps), -(-int(common.sum()) // 64) or 1), np.uint64)
+        np.bitwise_or.at(self.wide, (owner[on], bit[on] // 64), np.uint64(1) << (bit[on] % 64).astype(np.uint64))
+        self.group = np.arange(len(self.reps))
+        self.out: list[tuple[int, int]] = []
+
+    def visit(self, x: int, matches: int, num: int, den: int, among: np.ndarray | None = None) -> None:
+        """Link row x to the rows (of ``among``) that are like it and not yet connected to it."""
+        mine = self.group != self.group[x]
+        if among is not None:
+            mine &= among
         c = np.flatnonzero(mine)
-        small, large = np.minimum(n[c], n[x]), np.maximum(n[c], n[x])
+        small, large = np.minimum(self.n[c], self.n[x]), np.maximum(self.n[c], self.n[x])
         c = c[den * small >= num * large]
-        c = c[(sig[c] == sig[x]).sum(axis=1) >= matches]
+        c = c[(self.sig[c] == self.sig[x]).sum(axis=1) >= matches]
         if not len(c):
             return
-        both = np.bitwise_count(wide[c] & wide[x]).sum(axis=1, dtype=np.int64)
-        for y in c[den * both >= num * (n[c] + n[x] - both)]:
-            if group[y] != group[x]:
-                out.append((reps[x], reps[y]))
-                group[group == group[y]] = group[x]
-
-    first = np.flatnonzero(reps == lead)
-    for x in first:
-        visit(x)
-    rest = np.flatnonzero(group != group[first[0]]) if len(first) else np.arange(len(reps))
-    for x in rest:
-        visit(x)
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        both = np.bitwise_count(self.wide[c] & self.wide[x]).sum(axis=1, dtype=np.int64)
+        for y in c[den * both >= num * (self.n[c] + self.n[x] - both)]:
+            if self.group[y] != self.group[x]:
+                self.out.append((self.reps[x], self.reps[y]))
+                self.group[self.group == self.group[y]] = self.group[x]
+
+    def links(self, lone=()) -> pa.Table:
+        a, b = zip(*self.out, strict=True) if self.out else ((), ())
+        return pa.table({"a": pa.array([*a, *lone], pa.int64()), "b": pa.array([*b, *[None] * len(lone)], pa.int64())})
+
+
+def _with_leader(table: pa.Table, matches: int, num: int, den: int) -> pa.Table:
+    """Links of a block and its group's leader; members not connected to the leader come with an empty b."""
+    t = _Block(table)
+    lead = int(np.flatnonzero(t.reps == table.column("lead")[0].as_py())[0])
+    t.visit(lead, matches, num, den)
+    for x in np.flatnonzero(t.group != t.group[lead]):
+        t.visit(x, matches, num, den)
+    return t.links(t.reps[t.group != t.group[lead]].tolist())
+
+
+def _across(table: pa.Table, matches: int, num: int, den: int) -> pa.Table:
+    """Links of a part of the members that are not connected to the leader with another block; the latter's others are one component."""
+    t = _Block(table)
+    lone, joined = np.asarray(table.column("lone").combine_chunks()).astype(bool), np.asarray(table.column("joined").combine_chunks()).astype(bool)
+    if joined.any():
+        t.group[joined] = t.group[joined][0]
+    for x in np.flatnonzero(lone):
+        t.visit(x, matches, num, den, ~lone)
+    return t.links()
+
+
+def first_cells(star: DataFrame, sizes: DataFrame, st: Stages, members: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(lead, rep, i): every member's block, the leader beside each; and (of, blocks) of every leader."""
+    pairs = star.where("lead <> rep")
+    sized = pairs.join(sizes, F.col("rep") == F.col("id")).drop("id")
+    blocks = st.write(sized.groupBy(F.col("lead").alias("of")).agg(F.greatest(
+        F.ceil(F.count("*") / members), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks")), "blocks")
+    mine = pairs.join(blocks, F.col("lead") == F.col("of")).select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("i"))
+    heads = blocks.select(F.col("of").alias("lead"), F.col("of").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    return mine.union(heads.join(mine.select("lead", "i").distinct(), ["lead", "i"], "left_semi").select("lead", "rep", "i")), blocks
+
+
+def second_cells(first: DataFrame, lone: DataFrame, blocks: DataFrame, st: Stages, members: int) -> DataFrame:
+    """(lead, u, i, rep, lone, joined): parts u of the lone members beside every block i of their group, for groups of several blocks."""
+    big = blocks.where("blocks > 1")
+    mine = st.write(lone.join(big, F.col("lead") == F.col("of")).select("lead", "rep", "blocks"), "lone")
+    parts = st.write(mine.groupBy(F.col("lead").alias("of")).agg(F.ceil(F.count("*") / members).cast("int").alias("parts")), "parts")
+    mine = mine.join(parts, F.col("lead") == F.col("of")).select("lead", "rep", "blocks", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int").alias("u"))
+    a = mine.select("lead", "u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "rep", F.lit(True).alias("lone"), F.lit(False).alias("joined"))
+    other = first.where("lead <> rep").join(parts, F.col("lead") == F.col("of")).drop("of")
+    other = other.join(mine.select(F.col("lead").alias("l"), F.col("rep").alias("r")), (F.col("lead") == F.col("l")) & (F.col("rep") == F.col("r")), "left")
+    b = other.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u"), "i", "rep", F.lit(False).alias("lone"), F.col("r").isNull().alias("joined"))
+    return a.union(b)
 
 
 def links(docs: DataFrame, star: DataFrame, classes: DataFrame, st: Stages, words: int, matches: int, num: int, den: int,
@@ -203,21 +251,19 @@ def links(docs: DataFrame, star: DataFrame, classes: DataFrame, st: Stages, word
 
     texts = id_text(docs).join(need, F.col("doc_id") == F.col("id")).select("doc_id", "text", "sig")
     sets = st.write(texts.mapInArrow(run, "id long, sig array<int>, n long, set array<long>"), "sets")
-    whole = star.where("lead <> rep").union(star.select("lead", F.col("lead").alias("rep")).distinct())
-    sized = whole.join(sets.select("id", "n"), F.col("rep") == F.col("id")).drop("id")
-    blocks = st.write(sized.groupBy(F.col("lead").alias("of")).agg(F.greatest(
-        F.ceil(F.count("*") / members), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks")), "blocks")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    place = whole.join(blocks, F.col("lead") == F.col("of")).select("lead", "rep", "blocks", mine.alias("block"))
-    # block k meets every block: cells (min, max); the leader is in all cells
-    row = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                      lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.transform(
-        F.sequence(x, F.col("blocks") - 1), lambda y: F.struct(x.alias("i"), y.alias("j")))))
-    cells = place.withColumn("cell", F.explode(F.when(F.col("lead") == F.col("rep"), every).otherwise(row)))
-    cells = cells.select("lead", "rep", "block", "cell.i", "cell.j").join(sets.select("id", "sig", "set"), F.col("rep") == F.col("id")).drop("id")
-    found = cells.groupBy("lead", "i", "j").applyInArrow(lambda t: _links(t, matches, num, den), "a long, b long")
-    return st.write(found, "links")
+
+    def with_sets(cells: DataFrame) -> DataFrame:
+        return cells.join(sets.select("id", "sig", "set"), F.col("rep") == F.col("id")).drop("id")
+    first, blocks = first_cells(star, sets.select("id", "n"), st, members, weight)
+    # a lone member's row has the leader in front
+    found = with_sets(first).groupBy("lead", "i").applyInArrow(
+        lambda t: (lambda o: o.append_column("lead", pa.array([t.column("lead")[0].as_py()] * len(o), pa.int64())))(_with_leader(t, matches, num, den)),
+        "a long, b long, lead long")
+    found = st.write(found, "links")
+    lone = found.where("b IS NULL").select("lead", F.col("a").alias("rep"))
+    cells = second_cells(first, lone, blocks, st, members)
+    more = with_sets(cells).groupBy("lead", "u", "i").applyInArrow(lambda t: _across(t, matches, num, den), "a long, b long")
+    return found.where("b IS NOT NULL").select("a", "b").union(st.write(more, "links"))
 
 
 def components(edges: DataFrame, st: Stages) -> DataFrame:
@@ -233,18 +279,20 @@ def components(edges: DataFrame, st: Stages) -> DataFrame:
         low = big.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
         small = big.join(low, F.col("u") == F.col("at")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
                                                                                  F.struct("u", F.col("low").alias("v")))).alias("x"))
-        e = st.write(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        before, e = e, st.write(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        st.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
 
 
-def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, members: int = 2000, weight: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, members: int = 2000, weight: int = 1_000_000,
+           matches: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; ``matches`` coordinates in common make a candidate."""
     st = Stages(docs.sparkSession, "near")
     f = st.write(features(docs, words), "features")
-    matches = least_matches(num, den)
+    matches = matches or least_matches(num, den)
     named = f.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = st.write(classes, "classes")
