@@ -1,16 +1,20 @@
 """Language identification by averaged hashed subword embeddings (operator 10).
 
 A text is lower-cased and reduced to its letters with single spaces between
-words; every 2-, 3- and 4-byte window that touches a letter is hashed into one
-of ``BUCKETS`` embeddings.  The text's embedding is their mean, and a linear
+words; every window of 2, 3 and 4 characters that touches a letter is hashed into
+one of ``BUCKETS`` embeddings.  The text's embedding is their mean, and a linear
 softmax over it gives the languages.  Embeddings and softmax are trained together
 by stochastic gradient descent in numpy on a bounded sample: ``per_class``
-documents of each language, the smallest by a hash of their id.  Every third
-text of each language is left out of training and calibrates a temperature and
-the score below which a prediction is rejected.
+documents of each of the ``max_langs`` languages with the most documents (fewer
+where that is over ``total``), the smallest by a hash of their id among those of
+at most ``max_chars`` characters.
+Every third text of each language is left out of training and calibrates a
+temperature and the score below which a prediction is rejected.
 
 Prediction needs one table, embeddings times softmax (BUCKETS x languages), so a
-batch is hashing, a table lookup and a sum per text, over whole texts.
+batch is hashing, a table lookup and a sum per text, over whole texts, at about
+30 + 12 * languages bytes of memory for each character of a slice of 512 KB, or of
+one longer text (by runs of ``RUN`` windows).
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; null
 languages are not learned from.  Without any labelled text everything is
@@ -40,19 +44,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of a string array without nulls as numbers, and the offsets of its rows."""
+    data, off = flat_bytes(texts)
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), starts[off]
+
+
 def subwords(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Per window size: the bucket of every window and the offsets of the texts; and the letters per text."""
     clean = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")
     clean = pc.binary_join_element_wise(" ", pc.utf8_trim(clean, " "), " ", "")
-    data, off = flat_bytes(clean)
+    x, off = code_points(clean)
     letters = np.diff(off) - 2
-    x = data.astype(np.uint32)
     found, offs = [], []
     for n in SIZES:
         m = max(len(x) - n + 1, 0)
         h = np.full(m, n, np.uint32)
         for k in range(n):
             h = (h ^ x[k:k + m]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(13)
         h ^= h >> np.uint32(15)
         found.append(h & np.uint32(BUCKETS - 1))
         # a window belongs to the text that it starts in; those that reach over the text's end are left out
@@ -67,14 +78,20 @@ def subwords(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.nd
     return found, offs, letters
 
 
+RUN = 1 << 18
+
+
 def sums(table: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of the windows' rows of ``table`` per text, number of windows, letters."""
     found, offs, letters = subwords(texts)
     total = np.zeros((len(texts), table.shape[1]))
     count = np.zeros(len(texts))
     for h, off in zip(found, offs, strict=True):
-        run = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[h], axis=0, dtype=np.float64)])
-        total += run[off[1:]] - run[off[:-1]]
+        for a in range(0, len(h), RUN):
+            z = min(a + RUN, len(h))
+            run = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[h[a:z]], axis=0, dtype=np.float64)])
+            cut = np.clip(off, a, z) - a
+            total += run[cut[1:]] - run[cut[:-1]]
         count += np.diff(off)
     return total, count, letters
 
@@ -198,23 +215,40 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, lost: float = 0.001
     return model
 
 
-def fit(docs: DataFrame, per_class: int = 600, lang_col: str = "lang", holdout: bool = True) -> Model:
-    """Train on at most ``per_class`` documents of each language, the smallest by a hash of the id.
+def pick(rows: DataFrame, per_class: int, max_langs: int, total: int) -> DataFrame:
+    """(doc_id, hash, lang, at): the rows with the smallest hashes of each of the most frequent languages.
+
+    A cut-off of the hash for each language, from its number of rows, leaves about
+    twice as many rows as are wanted; only those are ordered.
+    """
+    key = F.xxhash64("doc_id")
+    place = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
+    n = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "of").limit(max_langs).collect()
+    per = min(per_class, total // max(len(n), 1))
+    cuts = rows.sparkSession.createDataFrame([(r["of"], (2 * per + 64) / r["rows"]) for r in n], "of string, cut double")
+    few = rows.select("doc_id", "lang", "hash").join(F.broadcast(cuts), F.col("lang") == F.col("of")).where(place < F.col("cut")).distinct()  # max_langs rows
+    order = Window.partitionBy("lang").orderBy(key, "doc_id", "hash")
+    return few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per).select("doc_id", "hash", "lang", "at")
+
+
+def fit(docs: DataFrame, per_class: int = 600, lang_col: str = "lang", holdout: bool = True, max_langs: int = 100, max_chars: int = 16_000,
+        total: int = 8000) -> Model:
+    """Train on at most ``per_class`` documents of each of ``max_langs`` languages, ``total`` in all, the smallest by a hash of the id.
 
     The sample is picked on narrow rows (key and language); only its texts are
-    read into the driver.  Documents without an id are not sampled.
+    read into the driver, at most total * max_chars characters.  Documents without
+    an id or with a longer text are not sampled.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= max_chars)
     if holdout:
         rows = rows.where(~held_out())
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
-    pick = rows.select("doc_id", "lang", "hash").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class)
-    pick = Stages(docs.sparkSession, "language").write(pick.drop("lang"), "sample")
-    small = F.broadcast(pick) if pick.count() <= 1_000_000 else pick
-    got = rows.join(small, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "lang"]).orderBy("at", "lang", "doc_id").select("text", "lang").collect()
+    chosen = Stages(docs.sparkSession, "language").write(pick(rows, per_class, max_langs, total), "sample")
+    keys = F.broadcast(chosen.withColumnRenamed("lang", "chosen"))  # at most per_class * max_langs rows
+    got = rows.join(keys, ["doc_id", "hash"]).where("lang = chosen").dropDuplicates(["doc_id", "hash", "lang"])
+    got = got.orderBy("at", "lang", "doc_id").select("text", "lang").collect()
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 

@@ -109,3 +109,60 @@ def test_a_language_that_was_not_learned_is_rejected_more_often_than_by_a_consta
     m = language_id.train([t for t, _ in known], [x for _, x in known])
     _, score, _ = m.predict(pa.array([t for t, x in zip(texts, langs, strict=True) if x == "l3"]))
     assert m.reject_below > 0.35 and (score < m.reject_below).sum() > (score < 0.35).sum()
+
+
+def test_the_sample_is_bounded_and_follows_the_hash(spark):
+    """Exactly the smallest hashes of each language, from few rows; rare languages and long texts stay out."""
+    import pyspark.sql.functions as F
+    rows = [(i, f"text {i}", "hot" if i % 3 else f"l{i % 5}") for i in range(6000)] + [(9000 + i, "x", f"rare{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9).withColumn("hash", F.xxhash64("doc_id", "text"))
+    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    got = language_id.pick(df, 50, 6, 1000).collect()
+    n = {}
+    for i, _, x in rows:
+        n.setdefault(x, []).append(i)
+    langs = sorted(n, key=lambda x: (-len(n[x]), x))[:6]
+    unsigned = lambda k: k & (1 << 64) - 1
+    for x in langs:
+        mine = [r for r in got if r.lang == x]
+        assert len(mine) == min(50, len(n[x]))
+        kept = {r.doc_id for r in mine}
+        few = [i for i in n[x] if (unsigned(key[i]) >> 11) / 2 ** 53 < (2 * 50 + 64) / len(n[x])]
+        assert kept == set(sorted(few, key=lambda i: key[i])[:50])
+    assert {r.lang for r in got} == set(langs)
+    assert max(sum(r.lang == x for r in language_id.pick(df, 50, 6, 60).collect()) for x in langs) == 10
+
+
+def test_windows_are_characters():
+    """A plain reading of the windows of every text, for scripts of one to four bytes a character."""
+    texts = ["ab", "日本語 テキスト", "éa", "", "12", "😀a𝒳𝒴 b", "x"]
+    found, offs, letters = language_id.subwords(pa.array(texts))
+    import regex
+    for i, t in enumerate(texts):
+        clean = " " + regex.sub(r"[^\p{L}]+", " ", t.lower()).strip(" ") + " "
+        assert letters[i] == len(clean) - 2
+        for n, h, off in zip(language_id.SIZES, found, offs, strict=True):
+            want = []
+            for a in range(len(clean) - n + 1):
+                v = n
+                for ch in clean[a:a + n]:
+                    v = (v ^ ord(ch)) * 0x01000193 & 0xFFFFFFFF
+                    v ^= v >> 13
+                want.append((v ^ v >> 15) & language_id.BUCKETS - 1)
+            assert h[off[i]:off[i + 1]].tolist() == want
+
+
+def test_prediction_by_brute_force(model):
+    for t in [r[1] or "" for r in ODD if len(r[1] or "") < 3000]:
+        found, _, letters = language_id.subwords(pa.array([t]))
+        rows = [model.table[b].astype(float) for h in found for b in h]
+        z = (np.sum(rows, axis=0) / max(len(rows), 1) + model.bias) / model.temperature if rows else model.bias / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best, score, ok = model.predict(pa.array([t]))
+        assert ok[0] == (letters[0] > 0) and best[0] == p.argmax() and score[0] == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_a_long_text_is_summed_in_runs(model):
+    text = "the house of the people and the river " * 150_000
+    best, score, ok = model.predict(pa.array([text, text[:len(text) // 150_000 * 1000]]))
+    assert ok.all() and best[0] == best[1] and score[0] == pytest.approx(score[1], abs=1e-3)
