@@ -200,6 +200,56 @@ def test_near_copies_of_copies(spark, blocks):
     assert near(df, words=3, num=85, **blocks) == brute.near_groups(docs, 3, 85, 100)
 
 
+def test_least_matches_is_the_exact_binomial_tail():
+    from fractions import Fraction
+    from math import comb
+    for num, den in ((80, 100), (85, 100), (1, 2), (99, 100)):
+        m, j = near_dups.least_matches(num, den), Fraction(num, den)
+        tail = lambda k: sum(comb(64, i) * j ** i * (1 - j) ** (64 - i) for i in range(k))  # noqa: B023, E731
+        assert tail(m) <= Fraction(1, 10 ** 10) < tail(m + 1)
+    assert near_dups.least_matches(80, 100) == 28 and near_dups.least_matches(85, 100) == 33
+
+
+def test_any_collision_makes_a_candidate(spark, odd_docs):
+    want = brute.near_groups(PAIRS, 3, 85, 100)
+    assert near(odd_docs, words=3, num=85, matches=1) == want
+
+
+def test_a_large_group_of_near_copies_costs_a_row_a_member(spark, monkeypatch):
+    """Members linked to the leader stand in one cell each, and none meets another block."""
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(20_000):
+        t = list(base)
+        t[0] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    seen = {}
+    for name in ("first_cells", "second_cells"):
+        def spy(*a, _real=getattr(near_dups, name), _name=name, **k):
+            got = _real(*a, **k)
+            seen[_name] = (got[0] if isinstance(got, tuple) else got).count()
+            return got
+        monkeypatch.setattr(near_dups, name, spy)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = near_dups.groups(df, words=3, num=85).select("component_id").distinct().collect()
+    assert [r.component_id for r in got] == [0]
+    assert seen["first_cells"] < 3 * len(docs) and seen["second_cells"] == 0
+
+
+def test_members_away_from_the_leader_meet_the_other_blocks(spark):
+    """Chains of edits: the ends are not like the leader, and blocks of five members part them."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(50)]
+    docs, t = [], rng.choices(vocabulary, k=90)
+    for _ in range(70):
+        docs.append((len(docs), " ".join(t)))
+        t = list(t)
+        t[rng.randrange(len(t))] = rng.choice(vocabulary)
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert near(df, words=3, num=85, members=5) == brute.near_groups(docs, 3, 85, 100)
+
+
 def test_keep_one(spark, odd_docs, clash_docs):
     out = near_dups.keep_one(clash_docs)
     assert out.columns == clash_docs.columns
@@ -248,6 +298,44 @@ def test_fingerprint_likeness(spark):
     assert all(0.4 < r.near_edited < 0.9 and r.near_next < 0.3 for r in got)
 
 
+def plain_fingerprint(text):
+    """Sums of one-bit lanes, three to a number, in plain Python."""
+    import re
+
+    import xxhash
+    parts = ["P" + x for x in re.split("[\r\n]+", text) if x] + ["S" + x for x in re.split("[\r\n.!?,;:|$%&#*]+ *", text) if x]
+    sums = [0] * (fingerprint.SEEDS * fingerprint.SHIFTS)
+    for x in parts:
+        for seed in range(fingerprint.SEEDS):
+            # an engine hash of two columns: the first one's hash is the second one's seed
+            h = xxhash.xxh64(x.encode(), seed=xxhash.xxh64(seed.to_bytes(4, "little"), seed=42).intdigest()).intdigest()
+            for s in range(fingerprint.SHIFTS):
+                sums[seed * fingerprint.SHIFTS + s] += h >> s & fingerprint.ONES
+    packed = [len(parts) & fingerprint.WRAP, *[x & fingerprint.WRAP for x in sums]]
+    lanes = [2 * (x >> k * fingerprint.BITS & fingerprint.LANE) - len(parts) for x in packed[1:] for k in range(3)]
+    return "".join(f"{x:015x}" for x in packed), lanes
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(12)
+    docs = [(i, "\n".join(". ".join(words(rng, rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
+    docs += [(50, ""), (51, "no end"), (52, "a, b; c!\r\n\r\na, b"), (53, None)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    d = sorted(((i, t or "") for i, t in docs), reverse=True)
+
+    def cosine(a, b):
+        x, y = sum(v * v for v in a) ** 0.5, sum(v * v for v in b) ** 0.5
+        if not x or not y:
+            return 1.0 if x == y else 0.0
+        return min(1.0, max(0.0, sum(p * q for p, q in zip(a, b, strict=True)) / (x * y)))
+    for k, (i, t) in enumerate(d):
+        nxt = d[(k + 1) % len(d)][1]
+        n = len(t) // 3
+        (fp, a), (efp, b), (_, c) = (plain_fingerprint(x) for x in (t, t[:len(t) - n] + nxt[:n], nxt))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (fp, efp)
+        assert got[i].near_edited == pytest.approx(cosine(a, b), abs=1e-9) and got[i].near_next == pytest.approx(cosine(a, c), abs=1e-9)
+
+
 def test_contaminated(spark, odd_docs, clash_docs, empty_docs):
     rng = random.Random(2)
     items = [(k, words(rng, rng.randrange(6, 60))) for k in range(20)] + [(90, None), (91, ""), (92, "a"), (93, PAIRS[0][1]), (93, "more of the same item here")]

@@ -62,6 +62,53 @@ def test_archives_are_whole(spark):
     assert (3, BIG) in payload and (6, "") in payload and (4, SMALL) in payload
 
 
+def test_records_by_offset_and_archives_by_bytes(spark):
+    """Every record is a gzip member that can be read alone, and a file holds so many bytes however many records there are."""
+    import os
+    import random
+    import zlib
+    rng = random.Random(1)
+    pages = [(i, f"http://a.com/{i}", rng.randbytes(rng.choice([10, 2000, 40_000])).hex()) for i in range(120)]
+    df = spark.createDataFrame(pages, SCHEMA).repartition(2)
+    st = warc.Stages(spark, "test")
+    path = st.path("archives")
+    warc.write(warc.records(df, warc.originals(warc.headers(df))), path, chunk=30_000, per_file=2)
+    where = pathlib.Path(path.removeprefix("file:"))
+    files = {f.name: f.read_bytes() for f in where.glob("part-*")}
+    assert len(files) > 10 and max(map(len, files.values())) <= 2 * (30_000 + 45_000)
+    got = warc.read(spark, path).collect()
+    assert {(r.page_id, r.payload) for r in got} == {(i, h) for i, _, h in pages}
+    for r in got:
+        one = zlib.decompress(files[r.file][r.offset:r.offset + r.length], 31)
+        (head, block), = warc.parse(one)
+        assert int(head["X-Page-Id"]) == r.page_id and block.endswith(r.payload.encode())
+    assert all(gzip.decompress(f).startswith(b"WARC/1.1") for f in files.values())
+    assert os.path.getsize(where / got[0].file) == len(files[got[0].file])
+
+
+def test_a_record_longer_than_a_member(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 5000)  # in this process: the writer's tasks cut at the real one
+    record = (f"WARC/1.1{warc.CRLF}Content-Length: 30000{warc.CRLF * 2}").encode() + b"x" * 30_000 + b"\r\n\r\n"
+    data = warc.members(record) + warc.members(record[:0] + record)
+    assert data[-1] == 0 and gzip.decompress(data) == record * 2
+    assert [r for *_, r in warc.unpack(data)] == [record] * 2
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.unpack(data[:-40]))
+
+
+def test_large_pages_in_bounded_memory(spark):
+    """Forty pages of 2 MB that do not shrink: archives stay below 80 MB, and a page of 20 MB comes back whole."""
+    from pyspark.sql.functions import expr
+    big = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://a.com/").alias("url"),
+                                 expr("array_join(transform(sequence(1, 62500), i -> md5(cast(id * 100000 + i as string))), '')").alias("html"))
+    long = spark.createDataFrame([(1000, "u", "0123456789" * 2_000_000)], SCHEMA)
+    path, out = warc.archive(big.union(long).repartition(2), with_payload=True)
+    got = out.select("page_id", F.length("payload").alias("n"), F.sha1(F.col("payload").cast("binary")).alias("again"), "payload_digest").collect()
+    assert len(got) == 41 and all(r.again == r.payload_digest for r in got)
+    assert {r.n for r in got} == {2_000_000, 20_000_000}
+    assert max(f.stat().st_size for f in pathlib.Path(path.removeprefix("file:")).glob("part-*")) < 80 << 20
+
+
 URLS = [None, "", "nothing", "http://", "https://Example.COM/en/1", "http://www.example.com/en/", "http://m.www.example.com/en/x?y#z", "http://example.com/de/",
         "http://example.com", "http://x.net/es/1", "http://net/fr/", "http://net/de/", "http://notexample.com/en/", "ftp://a.org?x://b.com/", "http://a.com#x/en/",
         "http://com/", "http://ÀB.com/É/", "http://q.org/" + "long/" * 2000, "http://x.net/es"]
@@ -147,3 +194,42 @@ def test_the_whole_url_is_judged(spark):
     assert len(set(score[:7])) == 7 and score[7] == score[8]
     assert all((got[i].host, got[i].path, got[i].rule) == ("x.org", "/p", None) for i in (0, 1, 2, 3, 6))
     assert all((got[i].host, got[i].path, got[i].rule) == ("", "", None) for i in (4, 5, 7, 8))
+
+
+def test_scores_and_threshold_by_brute_force(spark):
+    """The whole method in Python: counts of grams, mean ratio of a url, best cut on the held fifth, verdicts."""
+    import random
+    import zlib
+    rng = random.Random(6)
+    urls = [f"https://shop{rng.randrange(9)}.com/{rng.choice(['garden', 'news', 'tools'])}/{rng.randrange(99)}" for _ in range(150)]
+    urls += [f"http://a{rng.randrange(9)}.net/{rng.choice(['es', 'fr'])}/{rng.choice(['spin', 'win', 'news'])}{rng.randrange(99)}" for _ in range(120)]
+    urls += [f"http://x.org/{rng.choice(['spin', 'garden', 'tools', 'win'])}/{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    distinct = sorted(set(urls))
+    label = {u: expected(u)[3] for u in distinct}
+    held = {u: zlib.crc32("".join(expected(u)[:2]).encode()) % 5 == 0 for u in distinct}
+    count = {v: Counter(g[-k:] for u in distinct if label[u] == v and not held[u] for g in chars(u) for k in range(1, 5)) for v in ("allow", "block")}
+    seen = {v: Counter() for v in count}
+    for v in count:
+        for g, n in count[v].items():
+            seen[v][(len(g), g[:-1])] += n
+
+    def p(v, g):
+        out = 1 / url_filter.CLASSES
+        for k in range(1, 5):
+            out = (count[v][g[-k:]] + 4 * out) / (seen[v][(k, g[-k:-1])] + 4)
+        return out
+    ratio = {g: math.log(p("allow", g)) - math.log(p("block", g)) for g in {g for u in distinct for g in chars(u)}}
+    score = {u: sum(ratio[g] for g in chars(u)) / len(chars(u)) for u in distinct}
+    asked = [(math.floor(score[u] / 0.01), label[u]) for u in distinct if held[u] and label[u]]
+    n = Counter(v for _, v in asked)
+    assert n["allow"] > 5 and n["block"] > 5
+
+    def balanced(b):
+        return sum(x >= b for x, v in asked if v == "allow") / n["allow"] + sum(x < b for x, v in asked if v == "block") / n["block"]
+    # the lowest of the best cuts: below all rows, or above a bin that occurs
+    cut = max([(balanced(-200), 0, -2.0)] + [(balanced(b + 1), -b - 1000, (b + 1) * 0.01) for b in sorted({x for x, _ in asked})])[2]
+    for i, u in enumerate(urls):
+        assert got[i].score == pytest.approx(score[u] - cut, abs=1e-9)
+        assert got[i].verdict == (label[u] or ("allow" if score[u] >= cut else "block"))
