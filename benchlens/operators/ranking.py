@@ -4,11 +4,13 @@ A window ``partitionBy(group)`` sends every row of a group to one task; when one
 group holds a third of all rows that task is the whole job.  The helpers here
 keep every task bounded, with one plan for inputs of any size:
 
-* ``kth_values`` finds the exact value at given 1-based ranks per group.  Rows
-  are first collapsed to (group, value, count); these are range-partitioned by
-  (group, value) and written once, so a hot group is spread over many parts.
-  Counts per part and group (a small table) say which part holds the wanted
-  rank, and only those parts are read again for a running count.
+* ``kth_values`` finds the exact value at given 1-based ranks per group by
+  distributed selection.  Each pass cuts the interval of every (group, rank) that
+  is still open into ``BINS`` equal bins, counts the rows per bin (map-side
+  partial counts, at most groups x ranks x bins rows in the shuffle, never
+  the rows themselves) and goes on with the bin that holds the rank, between the
+  smallest and largest value in it.  A bin of one value is the answer; on
+  measurements two or three passes do.
 * ``row_positions`` numbers rows within a group by a unique order, like
   ``row_number()``: rows are range-partitioned and sorted by (group, order) and
   written once with their place in the part; a group's rows in earlier parts
@@ -55,38 +57,66 @@ def ranged(df: DataFrame, cols: Sequence[str], name: str, num_partitions: int |
     return materialize(x.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_bk", F.shiftright("_at", 33))
 
 
+#: Bins of a pass of the selection, beside those of infinities and NaN.
+BINS = 1 << 16
+
+
+def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of a value by its place between the finite bounds; -inf before all, inf and then NaN after them."""
+    half = lambda x: x / F.lit(2.0)  # noqa: E731  the width of an interval may be above the largest double
+    wide = (hi - lo) == F.lit(float("inf"))
+    width = F.when(wide, half(hi) - half(lo)).otherwise(hi - lo)
+    place = F.when(wide, half(v) - half(lo)).otherwise(v - lo)
+    inner = F.when(width > 0, F.least(F.floor(place / width * F.lit(float(bins))).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0))
+    return F.when(F.isnan(v), F.lit(bins + 1)).when(v == float("inf"), F.lit(bins)).when(v == float("-inf"), F.lit(-1)).otherwise(inner)
+
+
+def _bounds(v: Column) -> list[Column]:
+    """The smallest and largest value, and the same of finite ones."""
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return [F.min(v).alias("_a"), F.max(v).alias("_z"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")]
+
+
 def kth_values(df: DataFrame, keys: Sequence[str], value: str,
                ranks: dict[str, Callable[[Column], Column]],
-               extra: dict[str, Callable[[Column, Column], Column]] | None = None,
-               num_partitions: int | None = None) -> DataFrame:
+               extra: dict[str, Callable[[Column, Column], Column]] | None = None, bins: int | None = None) -> DataFrame:
     """Exact value at 1-based rank ``ranks[name](n)`` per group.
 
     ``extra`` adds aggregates of (value, count) pairs, e.g. ``{"min": lambda v, c:
-    F.min(v)}``, from the same scan.  Returns ``keys + ['n'] + list(extra) +
-    list(ranks)``.  NULL values are ignored; without keys all rows are one group.
+    F.min(v)}``, from the first scan.  Returns ``keys + ['n'] + list(extra) +
+    list(ranks)``.  NULL values are ignored; NaN is the largest value; without keys
+    all rows are one group.  The rows are scanned once and then once a pass; only
+    (group, rank) tables are written.
     """
-    extra = extra or {}
+    extra, bins = extra or {}, bins or BINS
     names = list(keys)
     keys = names or ["_all"]
     base = df if names else df.withColumn("_all", F.lit(1))
-    base = base.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    pairs = ranged(base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), [*keys, "_v"], "kth-pairs", num_partitions)
-    v, c = F.col("_v"), F.col("_c")
-    parts = pairs.groupBy("_bk", *keys).agg(F.sum("_c").alias("_s"))
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_bk", *keys, "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_s").over(group).alias("n"))
-    here = F.lit(False)
-    for fn in ranks.values():
-        here = here | ((fn(F.col("n")) > F.col("_off")) & (fn(F.col("n")) <= F.col("_off") + F.col("_s")))
-    x = join_null_safe(pairs.select("_bk", *keys, "_v", "_c"), parts.where(here).drop("_s"), ["_bk", *keys])
-    run = Window.partitionBy("_bk", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_cum", F.col("_off") + F.sum("_c").over(run))
-    out = x.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_cum") >= fn(F.col("n")), v)).alias(name) for name, fn in ranks.items()])
-    if extra:
-        out = join_null_safe(out, pairs.groupBy(*keys).agg(*[fn(v, c).alias(name) for name, fn in extra.items()]), keys)
-    return out.select(*names, "n", *extra, *ranks)
+    v = F.col("_v")
+    base = base.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
+    groups = materialize(base.groupBy(*keys).agg(F.count("*").alias("n"), *_bounds(v), *[
+        fn(v, F.lit(1)).alias(f"_x_{name}") for name, fn in extra.items()]), "kth-groups")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), fn(F.col("n")).cast("long").alias("_need")) for name, fn in ranks.items()]))
+    state = groups.select(*keys, "_a", "_z", "_lo", "_hi", wanted.alias("_w")).select(*keys, "_w.*", "_a", "_z", "_lo", "_hi")
+    state = state.where("_need IS NOT NULL")
+    found, open_ = [state.where("_a = _z")], state.where("_a <> _z")
+    by = [*keys, "_name"]
+    while not open_.isEmpty():
+        x = join_null_safe(base, open_, keys).where((v >= F.col("_a")) & (v <= F.col("_z")))
+        x = x.withColumn("_bin", _bin(v, F.col("_lo"), F.col("_hi"), bins))
+        h = x.groupBy(*by, "_need", "_bin").agg(F.count("*").alias("_c"), *_bounds(v))
+        w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        h = h.withColumn("_cum", F.sum("_c").over(w)).where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
+        h = h.withColumn("_need", F.col("_need") - F.col("_cum") + F.col("_c"))
+        state = materialize(h.select(*by, "_need", "_a", "_z", "_lo", "_hi"), "kth-state")
+        found.append(state.where("_a = _z"))
+        open_ = state.where("_a <> _z")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    values = out.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_a"))).alias(name) for name in ranks])
+    res = join_null_safe(groups.select(*keys, "n", *[F.col(f"_x_{name}").alias(name) for name in extra]), values, keys, "left")
+    return res.select(*names, "n", *extra, *ranks)
 
 
 def ordinal_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",

@@ -61,9 +61,15 @@ class Report:
             self.materialize()
 
     def materialize(self) -> None:
-        """Parse once: every table reads the parsed documents from a written table afterwards."""
+        """Parse once: every table reads the parsed documents from a written table afterwards.
+
+        The VARIANT is written in shreds, a column for each key that many documents
+        have, so that a table reads the columns of its own keys.
+        """
         if not self._written:
-            self.documents, self._written = write_once(self.documents, "report-documents"), True
+            with D.shredded(self._spark):
+                self.documents = write_once(self.documents, "report-documents")
+            self._written = True
 
     def show_once(self) -> list[str]:
         """Write the display text of every declared key once, a folder for each benchmark; returns the benchmarks.
@@ -94,8 +100,12 @@ class Report:
         merged with those above it, which then extract a key at each use.
         """
         keys = _registry_keys(self._reg_rows, 2)
-        m = F.struct(*[F.variant_get("doc", f"$.{k}", "variant").alias(k) for k in keys])
-        return self.documents.select("bench", "file", F.explode(F.array(m)).alias("m"))
+        m = F.struct(*[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)])
+        return self._read_keys(keys).select("bench", "file", F.explode(F.array(m)).alias("m"))
+
+    def _read_keys(self, keys: list[str]) -> DataFrame:
+        """(bench, file, _0, _1, ...): those keys of a document as VARIANT, right above the scan, which then reads their columns alone."""
+        return self.documents.select("bench", "file", *[F.variant_get("doc", f"$.{k}", "variant").alias(f"_{i}") for i, k in enumerate(keys)])
 
     @cached_property
     def _compared(self) -> DataFrame:
@@ -145,10 +155,12 @@ class Report:
     @cached_property
     def params(self) -> DataFrame:
         """A13 + P5: parameters of the first file of each benchmark, by key presence."""
-        first = self.documents.groupBy("bench").agg(F.min_by("doc", "file").alias("doc"))
+        keys = _registry_keys(self._reg_rows, 3)
+        row = F.struct(*[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)])
+        first = self._read_keys(keys).groupBy("bench").agg(F.min_by(row, F.col("file")).alias("m"))
 
         def param(key, aliases):
-            vals = [F.variant_get("doc", f"$.{k}", "variant") for k in [key, *aliases]]
+            vals = [F.col("m")[k] for k in [key, *aliases]]
             v = F.coalesce(*vals) if len(vals) > 1 else vals[0]
             return F.struct(F.lit(key).alias("param"), F.when(~F.is_variant_null(v), F.to_json(v)).alias("value"),
                             F.is_variant_null(v).alias("is_null"), v.isNotNull().alias("has"))

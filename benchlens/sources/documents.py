@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,20 @@ def parse_documents(df: DataFrame, raw_col: str = "raw", out: str = "doc") -> Da
     return df.withColumn(out, F.when(is_obj, F.try_parse_json(F.col(raw_col))))
 
 
+@contextmanager
+def shredded(spark: SparkSession):
+    """While it lasts, VARIANT columns are written in shreds: typed columns for the keys that the rows have in common."""
+    conf, keys = spark.conf, ["spark.sql.variant.writeShredding.enabled", "spark.sql.variant.inferShreddingSchema"]
+    before = {k: conf.get(k) for k in keys}
+    for k in keys:
+        conf.set(k, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def split_valid(df: DataFrame, doc_col: str = "doc"):
     """S3: (valid, rejected) from one parsed scan; the load goes on without the bad ones."""
     return df.where(F.col(doc_col).isNotNull()), df.where(F.col(doc_col).isNull())

@@ -38,6 +38,31 @@ def test_kth_brute_force_both_paths(spark):
         assert p99[g] == pytest.approx(float(np.percentile(s, 99)), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("bins", [2, 7, 1 << 16])
+def test_kth_values_of_any_doubles(spark, bins):
+    """Infinities, NaN, subnormal and largest numbers, ties, NULLs, a group of one value; few bins, so that many passes run."""
+    inf, nan = float("inf"), float("nan")
+    rnd = random.Random(bins)
+    odd = [inf, -inf, nan, 0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 1.0000000000000002, None]
+    rows = [("odd", x) for x in odd * 3] + [("huge", rnd.choice([-1, 1]) * 10.0 ** rnd.randrange(300, 308)) for _ in range(60)]
+    rows += [("tiny", 5e-324 * rnd.randrange(9)) for _ in range(50)] + [("one", 4.5)] * 7 + [("null", None)] * 3 + [("nan", nan)] * 4
+    rows += [(None, float(rnd.randrange(1000))) for _ in range(200)] + [("inf", x) for x in (inf, 5.0, inf, -inf)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    ranks = {"low": lambda n: F.lit(1), "mid": lambda n: F.floor(n / 2) + 1, "top": lambda n: n}
+    got = {r.g: r for r in ranking.kth_values(df, ["g"], "v", ranks, {"least": lambda v, c: F.min(v)}, bins=bins).collect()}
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        s = sorted(vs, key=lambda x: (x != x, x))
+        want = [s[0], s[len(s) // 2], s[-1], s[0]]
+        assert got[g].n == len(s) and repr([got[g].low + 0.0, got[g].mid + 0.0, got[g].top + 0.0, got[g].least + 0.0]) == repr([x + 0.0 for x in want])
+    none = ranking.kth_values(df.where("false"), ["g"], "v", ranks)
+    assert none.count() == 0 and none.columns == ["g", "n", "low", "mid", "top"]
+
+
 def test_row_positions_matches_row_number(spark):
     rows = [("hot", i) for i in range(5000)] + [(f"k{i % 13}", i) for i in range(3000)]
     random.Random(3).shuffle(rows)

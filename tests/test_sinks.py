@@ -115,3 +115,26 @@ def test_reports_one_after_the_other(spark, tmp_path):
     for table in ("lines", "tasks"):
         assert {r.bench for r in spark.read.json(f"{out}/{table}").collect()} == {names["hpl_"], names["nccl_"]}
     assert not os.path.exists(wide)
+
+
+def test_a_written_report_reads_the_columns_of_its_keys(spark, tmp_path):
+    """VARIANT in shreds: the scan asks for the declared keys, and the file has them as columns of their own."""
+    import glob
+
+    import pyarrow.parquet as pq
+    d = tmp_path / "res"
+    d.mkdir()
+    for i in range(40):
+        (d / f"hpl_{i}.json").write_text(json.dumps({"tflops": i + 0.5, "nodes": i, "log": ["long text"] * 50, "other": {"deep": i}}))
+    setting = spark.conf.get("spark.sql.variant.writeShredding.enabled")
+    plain = R.report(spark, str(d))
+    want = sorted(map(tuple, plain.lines.collect())), sorted(map(tuple, plain.params.collect()))
+    rep = R.report(spark, str(d), materialize=True)
+    assert spark.conf.get("spark.sql.variant.writeShredding.enabled") == setting
+    for table in (rep.lines, rep.params, rep.comparison):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "doc:variant" not in plan and "doc:struct<0:variant" in plan
+    assert (sorted(map(tuple, rep.lines.collect())), sorted(map(tuple, rep.params.collect()))) == want
+    files = [f for x in rep.documents.inputFiles() for f in glob.glob(x.removeprefix("file://"))]
+    columns = {c for f in files for c in str(pq.ParquetFile(f).schema).split()}
+    assert {"tflops", "typed_value"} <= columns
