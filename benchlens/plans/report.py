@@ -23,7 +23,61 @@ from ..session import shared_subdir
 from ..sources import documents as D
 
 
-class Report:
+class DocumentPoints:
+    """The part of a report that lies within a document: also what a stream of documents can have.
+
+    documents   bench, file, doc (VARIANT), of a batch or a stream
+    """
+
+    def __init__(self, documents: DataFrame, reg_rows: list):
+        self.documents, self._reg_rows = documents, reg_rows
+
+    def _of_bench(self, per_bench: dict):
+        """The benchmark's own expression: a CASE over the registry's benchmarks."""
+        pick = F.lit(None)
+        for bench, expr in reversed(per_bench.items()):
+            pick = F.when(F.col("bench") == bench, expr).otherwise(pick)
+        return pick
+
+    @cached_property
+    def _keyed(self) -> DataFrame:
+        """(bench, file, m): every declared metric key of a document, as VARIANT, in one struct.
+
+        The struct comes out of a generator of one element: a projection would be
+        merged with those above it, which then extract a key at each use.
+        """
+        keys = _registry_keys(self._reg_rows, 2)
+        m = F.struct(*[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)])
+        return self._read_keys(keys).select("bench", "file", F.explode(F.array(m)).alias("m"))
+
+    def _read_keys(self, keys: list[str]) -> DataFrame:
+        """(bench, file, _0, _1, ...): those keys of a document as VARIANT, right above the scan, which then reads their columns alone."""
+        return self.documents.select("bench", "file", *[F.variant_get("doc", f"$.{k}", "variant").alias(f"_{i}") for i, k in enumerate(keys)])
+
+    @cached_property
+    def points(self) -> DataFrame:
+        """P1 + P2 + P3: (bench, file, points): the declared, non-NULL metric points of each
+        document (an alias fills a missing canonical key), in declared order."""
+        def point(i, key, label, aliases):
+            vals, texts = [], []
+            for k in [key, *aliases]:
+                v = F.try_variant_get(F.col("m")[k], "$", "double")
+                # display text as the producer prints the value: a JSON integer as its
+                # digits ('8'), any other number as a double ('18.0', '6.55'); very small
+                # or very large doubles use Java's exponent format, not Python's
+                is_int = F.schema_of_variant(F.col("m")[k]).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+                vals.append(v)
+                texts.append(F.when(is_int, F.to_json(F.col("m")[k])).otherwise(v.cast("string")))
+            text = texts[0]
+            for v, t in reversed(list(zip(vals, texts, strict=True))):
+                text = F.when(v.isNotNull(), t).otherwise(text)
+            return F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(label).alias("label"), F.coalesce(*vals).alias("value") if len(vals) > 1
+                            else vals[0].alias("value"), text.alias("text"))
+        pick = self._of_bench({bench: F.array(*[point(i, *m) for i, m in enumerate(metrics)]) for _, bench, metrics, _ in self._reg_rows})
+        return self._keyed.select("bench", "file", F.filter(pick, lambda p: p["value"].isNotNull()).alias("points"))
+
+
+class Report(DocumentPoints):
     """The report's tables, each built on first use (so asking for one table
     does not run the jobs another one needs).
 
@@ -85,28 +139,6 @@ class Report:
         self._shown = self._spark.read.schema(text).parquet(path)
         return sorted(r["bench"] for r in self._shown.select("bench").distinct().collect())  # at most the registry's
 
-    def _of_bench(self, per_bench: dict):
-        """The benchmark's own expression: a CASE over the registry's benchmarks."""
-        pick = F.lit(None)
-        for bench, expr in reversed(per_bench.items()):
-            pick = F.when(F.col("bench") == bench, expr).otherwise(pick)
-        return pick
-
-    @cached_property
-    def _keyed(self) -> DataFrame:
-        """(bench, file, m): every declared metric key of a document, as VARIANT, in one struct.
-
-        The struct comes out of a generator of one element: a projection would be
-        merged with those above it, which then extract a key at each use.
-        """
-        keys = _registry_keys(self._reg_rows, 2)
-        m = F.struct(*[F.col(f"_{i}").alias(k) for i, k in enumerate(keys)])
-        return self._read_keys(keys).select("bench", "file", F.explode(F.array(m)).alias("m"))
-
-    def _read_keys(self, keys: list[str]) -> DataFrame:
-        """(bench, file, _0, _1, ...): those keys of a document as VARIANT, right above the scan, which then reads their columns alone."""
-        return self.documents.select("bench", "file", *[F.variant_get("doc", f"$.{k}", "variant").alias(f"_{i}") for i, k in enumerate(keys)])
-
     @cached_property
     def _compared(self) -> DataFrame:
         """The benchmarks with more than one file (at most the registry's)."""
@@ -119,28 +151,6 @@ class Report:
             return self._shown, F.col
         return self._keyed, lambda k: display_text(F.col("m")[k])
 
-    @cached_property
-    def _points(self) -> DataFrame:
-        """P1 + P2 + P3: (bench, file, points): the declared, non-NULL metric points of each
-        document (an alias fills a missing canonical key), in declared order."""
-        def point(i, key, label, aliases):
-            vals, texts = [], []
-            for k in [key, *aliases]:
-                v = F.try_variant_get(F.col("m")[k], "$", "double")
-                # display text as the producer prints the value: a JSON integer as its
-                # digits ('8'), any other number as a double ('18.0', '6.55'); very small
-                # or very large doubles use Java's exponent format, not Python's
-                is_int = F.schema_of_variant(F.col("m")[k]).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-                vals.append(v)
-                texts.append(F.when(is_int, F.to_json(F.col("m")[k])).otherwise(v.cast("string")))
-            text = texts[0]
-            for v, t in reversed(list(zip(vals, texts, strict=True))):
-                text = F.when(v.isNotNull(), t).otherwise(text)
-            return F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.coalesce(*vals).alias("value") if len(vals) > 1
-                            else vals[0].alias("value"), text.alias("text"))
-        pick = self._of_bench({bench: F.array(*[point(i, *m) for i, m in enumerate(metrics)]) for _, bench, metrics, _ in self._reg_rows})
-        return self._keyed.select("bench", "file", F.filter(pick, lambda p: p["value"].isNotNull()).alias("points"))
-
     @cached_property
     def scalars(self) -> DataFrame:
         """Points numbered per benchmark by file name (0-based iteration).
@@ -148,7 +158,7 @@ class Report:
         Documents are numbered while they carry their points; no join back.
         """
         # written first: range partitioning reads its input twice, to sample and to deal
-        x = windows.with_iteration(write_once(self._points, "report-points"), ["bench"], "file")
+        x = windows.with_iteration(write_once(self.points, "report-points"), ["bench"], "file")
         return x.select("bench", F.col("file").alias("series"), "iteration", F.explode("points").alias("p")).select(
             "bench", F.col("p.label").alias("title"), "series", "p.value", "iteration")
 
@@ -198,7 +208,7 @@ class Report:
     def lines(self) -> DataFrame:
         """one line of text per file, metrics in declared order; put together in the row."""
         text = F.array_join(F.transform("points", lambda p: F.concat(p["label"], F.lit(": "), p["text"])), "  ")
-        return self._points.select("bench", "file", F.explode(F.filter(F.array(text), lambda t: t != "")).alias("text"))
+        return self.points.select("bench", "file", F.explode(F.filter(F.array(text), lambda t: t != "")).alias("text"))
 
     @cached_property
     def tasks(self) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import joins
+from ..plans.report import DocumentPoints
 from ..sources import documents as D
 
 
@@ -27,21 +28,8 @@ def stream_points(spark: SparkSession, results_dir: str, extensions: bool = True
     raw = raw.withColumn("stem", F.regexp_replace("file", r"\.json$", ""))
     c = joins.classify(raw, "stem", dims.registry_rules(extensions), "inner")
     valid, _ = D.split_valid(D.parse_documents(c))
-    metric_rows = dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])
-    decl = []
-    for _, bench, metrics, _ in metric_rows:
-        for k, label, aliases in metrics:
-            decl.append((bench, k, label, [k, *aliases]))
-    keys = sorted({a for _, _, _, al in decl for a in al})
-    wide = valid.select("bench", "file", *[D.extract_path("doc", f"$.{k}", "double").alias(f"m__{k}") for k in keys])
-    # declared (bench, key) pairs: canonical key first, then aliases
-    pts = []
-    for bench, k, label, al in decl:
-        v = F.coalesce(*[F.col(f"m__{a}") for a in al]) if len(al) > 1 else F.col(f"m__{al[0]}")
-        pts.append(F.when(F.col("bench") == bench, F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"),
-                                                            v.alias("value"))))
-    x = wide.select("bench", "file", F.explode(F.filter(F.array(*pts), lambda s: s.isNotNull())).alias("p"))
-    return x.select("bench", "file", "p.key", "p.label", "p.value").where(F.col("value").isNotNull())
+    points = DocumentPoints(valid, dims.REGISTRY + (dims.REGISTRY_EXTENSIONS if extensions else [])).points
+    return points.select("bench", "file", F.explode("points").alias("p")).select("bench", "file", "p.key", "p.label", "p.value")
 
 
 def start_points_sink(points: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
