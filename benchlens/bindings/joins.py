@@ -39,9 +39,7 @@ SELECT d.p_partkey, d.device, coalesce(arg_min(t.flops, t.ord), 989e12) AS peak_
 FROM ({DEVICES_SQL}) d LEFT JOIN {_patterns_sql(PART_PATTERNS)} ON regexp_matches(d.device, t.pattern, 'i')
 GROUP BY d.p_partkey, d.device""")
 def j2_regex_first_match(spark, sf):
-    t = dims.literal(spark, PART_PATTERNS, "ord INT, pattern STRING, flops DOUBLE")
-    return joins.lookup_first_match(devices(spark, sf), "device", t, "flops",
-                                    default=dims.DEFAULT_PEAK_FLOPS, out="peak_flops").drop("flops")
+    return joins.lookup_first_match(devices(spark, sf), "device", PART_PATTERNS, "flops", default=dims.DEFAULT_PEAK_FLOPS, out="peak_flops")
 
 
 GPUS_SQL = f"""
@@ -62,8 +60,7 @@ GROUP BY g.p_partkey, g.gpu_name""")
 def j2_peak_lookup(spark, sf):
     """J2 with the shipped peak-FLOPS table on device names."""
     return joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
-                                    dims.peak_flops(spark), "flops", default=dims.DEFAULT_PEAK_FLOPS,
-                                    out="peak_flops").drop("flops")
+                                    dims.PEAK_FLOPS, "flops", default=dims.DEFAULT_PEAK_FLOPS, out="peak_flops")
 
 
 @query("f6_mfu", f"""
@@ -74,7 +71,7 @@ SELECT p_partkey, round_even(NULLIF((p_size % 10) * 1e15, 0) * (p_retailprice /
 FROM g""")
 def f6_mfu(spark, sf):
     """MFU with flops/step = (size mod 10) PFLOP (zero -> NULL), steps/s = price / 1000."""
-    g = joins.lookup_first_match(gpus(spark, sf), "gpu_name", dims.peak_flops(spark), "flops",
+    g = joins.lookup_first_match(gpus(spark, sf), "gpu_name", dims.PEAK_FLOPS, "flops",
                                  default=dims.DEFAULT_PEAK_FLOPS, out="peak")
     m = mfu_pct((F.col("p_size") % 10) * F.lit(1e15), F.col("p_retailprice") / F.lit(1000.0), "peak",
                 F.col("p_partkey") % 16 + 1)
@@ -89,7 +86,7 @@ GROUP BY g.p_partkey""")
 def f18_block_size(spark, sf):
     """Linpack block size by device family (336 Hopper/Ampere, 512 Blackwell)."""
     g = joins.lookup_first_match(gpus(spark, sf).select("p_partkey", "gpu_name"), "gpu_name",
-                                 dims.block_sizes(spark), "nb")
+                                 dims.BLOCK_SIZES, "nb")
     return g.select("p_partkey", "nb")
 
 

@@ -65,12 +65,13 @@ def stab(ranges: DataFrame, lo: str, hi: str, order: Sequence[str], value: str)
     at = r.join(cuts.select(F.col("cut").alias("lo"), F.col("pos").alias("a")), "lo")
     at = at.join(cuts.select(F.col("cut").alias("hi"), F.col("pos").alias("b")), "hi", "left").select("a", F.coalesce("b", F.lit(n)).alias("b"), "first")
     nodes = at.select(F.explode(_dyadic("a", "b")).alias("node"), "first").groupBy("node.l", "node.k").agg(F.min("first").alias("first"))
-    nodes = materialize(nodes, "nodes")
+    low = max(top - TOP, 0)
+    if low:  # read twice then
+        nodes = materialize(nodes, "nodes")
 
     def above(levels, found: DataFrame) -> DataFrame:
         x = cuts.select("cut", F.explode(F.sequence(*map(F.lit, levels))).alias("l"), "pos").withColumn("k", _right(F.col("pos"), F.col("l")))
         return x.join(found.where(F.col("l").between(*levels)), ["l", "k"], "left").select("cut", "first")
-    low = max(top - TOP, 0)
     both = above((low, top), F.broadcast(nodes.where(F.col("l") >= low)))
     if low:
         both = both.union(above((0, low - 1), nodes))

@@ -62,19 +62,22 @@ def _prefix_fixed(stem: Column, rows: Sequence[tuple], kind: str) -> Column:
     return val
 
 
-def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame, value_col: str,
+def lookup_first_match(df: DataFrame, name_col: str, table: DataFrame | Sequence[tuple], value_col: str,
                        default=None, override=None, out: str | None = None) -> DataFrame:
     """First table row (by ``ord``) whose case-insensitive regex matches.
 
-    ``table`` has (ord, pattern, <value_col>).  No match -> ``default``;
-    ``override`` (a literal) wins over everything when given.  Patterns are tried
-    on the distinct names that hold their rarest trigram (see ``patterns``), and the
-    answer is joined back by name.
+    ``table`` has (ord, pattern, <value_col>), or is the literal rows of one, which
+    are tried in the row.  No match -> ``default``; ``override`` (a literal) wins over
+    everything when given.  Patterns of a table are tried on the distinct names that
+    hold their rarest trigram (see ``patterns``), and the answer is joined back by name.
     """
     out = out or value_col
-    kind = dict(table.dtypes)[value_col]
+    fixed = not isinstance(table, DataFrame)
+    kind = ("double" if isinstance(table[0][2], float) else "int") if fixed else dict(table.dtypes)[value_col]
     if override is not None:
         return df.withColumn(out, F.lit(override).cast(kind))
+    if fixed:
+        return df.withColumn(out, first_match_fixed(F.col(name_col), table, kind, default))
     best = first_matches(df.select(F.col(name_col).alias("_name")), table, value_col).withColumnRenamed("value", "_val")
     res = df.join(best, F.col(name_col) == F.col("_name"), "left").select(*[df[c] for c in df.columns], "_val")
     val = F.coalesce("_val", F.lit(default).cast(kind)) if default is not None else F.col("_val")
@@ -95,8 +98,7 @@ def lookup_peak(df: DataFrame, name_col: str, table: DataFrame | None = None, de
     pattern, flops) table, first case-insensitive match, default when none
     matches, and an override (FLOPS, not TFLOPS) that wins over both."""
     from .. import dims
-    spark = df.sparkSession
-    return lookup_first_match(df, name_col, table if table is not None else dims.peak_flops(spark), "flops",
+    return lookup_first_match(df, name_col, dims.PEAK_FLOPS if table is None else table, "flops",
                               default=dims.DEFAULT_PEAK_FLOPS if default is None else default,
                               override=override, out=out)
 

@@ -31,7 +31,7 @@ def run_summary(spark: SparkSession, steps: DataFrame, runs: DataFrame, warmup:
     span = agg.barrier_elapsed(measured, ["run"], "start_ts", "end_ts", "elapsed_s", last={"measure_steps": "_n"})
     r = runs.join(span, "run").withColumn("measure_steps", (F.col("measure_steps") - warmup).cast("bigint"))
     r = agg.throughput(r, "measure_steps", "elapsed_s", "batch_size_per_gpu", "world_size")
-    r = joins.lookup_first_match(r, "gpu", dims.peak_flops(spark), "flops",
+    r = joins.lookup_first_match(r, "gpu", dims.PEAK_FLOPS, "flops",
                                  default=dims.DEFAULT_PEAK_FLOPS, override=peak_override, out="peak_flops")
     return r.select(
         "run", F.array(F.lit("pi05_train"), node_class("world_size")).alias("schema"), "gpu", "world_size",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import dims, sinks
 from ..functions import parse_size
 from ..operators import agg, joins, windows
+from ..operators.ranking import materialize
 from ..sources import documents as D
 
 
@@ -46,6 +47,8 @@ def trials_from_outputs(raw: DataFrame, raw_col: str = "raw", rw_col: str = "rw"
 def summarize(trials: DataFrame, keys: Sequence[str] = ("block_size",)) -> DataFrame:
     """Per (keys, size): write/read median and min MB/s (upper median, half-even to 0.1)."""
     keys = list(keys)
+    # the selection of the medians scans the trials a few times: keys and bandwidth only, parsed once
+    trials = materialize(trials.select(*keys, "rw", "bw_bytes"), "trials")
     stats = agg.sweep_stats(trials, [*keys, "rw"], "bw_bytes")
     wide = agg.pivot_rw(stats, keys, "rw", ["bw_median_mbs", "bw_min_mbs"])
     return wide.withColumn("size_bytes", parse_size("block_size"))
