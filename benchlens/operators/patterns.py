@@ -45,20 +45,32 @@ def trigrams(c: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def keys(c: Column) -> Column:
+    """What a text is posted under: numbers of the empty text and of its trigrams; equal numbers of two trigrams only add tries."""
+    return F.transform(F.concat(F.array(F.lit("")), trigrams(c)), lambda g: F.xxhash64(g))
+
+
 def first_matches(names: DataFrame, table: DataFrame, value_col: str) -> DataFrame:
-    """(_name, value): of each distinct name that a pattern matches, the value of the first one by ``ord``."""
+    """(_name, value): of each distinct name that a pattern matches, the value of the first one by ``ord``.
+
+    Equal patterns count once, by their first row.  Patterns are numbered in the order of
+    (ord, pattern), and the first match of a name is the least number, so that pairs are
+    aggregated by hash as they come and not sorted by name first.
+    """
     names = names.where(F.col("_name").isNotNull()).distinct()
-    grams = names.select("_name", F.explode(F.concat(F.array(F.lit("")), trigrams(fold(F.col("_name"))))).alias("gram"))
-    rules = table.select(F.struct(F.col("ord").alias("ord"), F.col("pattern").alias("pattern"), F.col(value_col).alias("value")).alias("rule"),
-                         literals(F.col("pattern")).alias("needs")).where(F.col("rule.pattern").isNotNull())
+    grams = names.select("_name", F.explode(keys(fold(F.col("_name")))).alias("gram"))
+    # rows without ord come before all others, and have no least ord
+    rows = table.select("ord", "pattern", F.col(value_col).alias("value"), F.col("ord").isNull().alias("unplaced")).where(F.col("pattern").isNotNull())
+    rules = rows.groupBy("pattern", "unplaced").agg(
+        F.min("ord").alias("ord"), F.when(F.col("unplaced"), F.any_value("value")).otherwise(F.min_by("value", "ord")).alias("value"))
+    rules = rules.orderBy("ord", "pattern").select(F.monotonically_increasing_id().alias("place"), "pattern", "value", literals(F.col("pattern")).alias("needs"))
     short = F.col("needs").isNull() | F.exists("needs", lambda s: F.length(s) < 3)
-    every = rules.where(short).select("rule", F.lit("").alias("gram"))
-    wanted = rules.where(~short).select("rule", F.posexplode("needs").alias("branch", "need")).select(
-        "rule", "branch", F.explode(trigrams(F.col("need"))).alias("gram"))
+    wanted = rules.select("place", "pattern", "value", F.posexplode(F.when(short, F.array(F.lit(""))).otherwise(F.col("needs"))).alias("branch", "need")).select(
+        "place", "pattern", "value", "branch", F.explode(keys(F.col("need"))).alias("gram"))
     # a trigram that no name has: the branch matches nothing
     held = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (wanted.join(held, "gram", "left").groupBy("rule", "branch")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).where("best.n > 0").select("rule", F.col("best.gram").alias("gram")))
-    posts = every.union(rarest).distinct()
-    hits = grams.join(posts, "gram").where(F.regexp_like(F.col("_name"), F.concat(F.lit("(?i)"), F.col("rule.pattern"))))
-    return hits.groupBy("_name").agg(F.min_by("rule.value", F.struct("rule.ord", "rule.pattern")).alias("value"))
+    rarest = (wanted.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("place", "pattern", "value", "branch")
+              .agg(F.min("n").alias("n"), F.min_by("gram", "n").alias("gram")).where("n > 0"))
+    posts = rarest.select("place", "pattern", "value", "gram").distinct()
+    hits = grams.join(posts, "gram").where(F.regexp_like(F.col("_name"), F.concat(F.lit("(?i)"), F.col("pattern"))))
+    return hits.groupBy("_name").agg(F.min_by("value", "place").alias("value"))

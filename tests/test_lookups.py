@@ -149,6 +149,40 @@ def test_pattern_plan_has_no_product(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "collect_list" not in plan
 
 
+def test_repeated_patterns_and_orders(spark):
+    """Rows of equal patterns, equal and missing orders, missing patterns and values: as one pass over all pairs, NULL order first, then by pattern."""
+    rnd = random.Random(7)
+    for trial in range(3):
+        rows = [(rnd.choice([None, *range(12)]) if rnd.random() < trial / 3 else n + 20, rnd.choice([*PATTERNS, None])) for n in range(150)]
+        value = {r: None if i % 9 == 4 else float(i) for i, r in enumerate(sorted(set(rows), key=repr))}  # by row: equal rows have equal values
+        df = spark.createDataFrame([(s,) for s in [*NAMES, None]], "name string")
+        for kind, as_ in (("double", float), ("string", str)):
+            table = spark.createDataFrame([(*r, None if value[r] is None else as_(value[r])) for r in rows], f"ord int, pattern string, v {kind}")
+            got = [(r["name"], r.v) for r in joins.lookup_first_match(df, "name", table, "v").collect()]
+            pairs = df.distinct().join(table).where(F.regexp_like("name", F.concat(F.lit("(?i)"), "pattern")))
+            want = {r["name"]: r.v for r in pairs.groupBy("name").agg(F.min_by("v", F.struct("ord", "pattern")).alias("v")).collect()}
+            assert sorted(got, key=repr) == sorted([(s, want.get(s)) for s in [*NAMES, None]], key=repr)
+
+
+def test_repeated_patterns_are_tried_once_and_nothing_is_sorted_by_pair(spark):
+    names = spark.createDataFrame([(s,) for s in NAMES], "_name string")
+    table = spark.range(6000).select(F.col("id").cast("int").alias("ord"), F.element_at(F.array(*map(F.lit, PATTERNS)), (F.col("id") % len(PATTERNS) + 1).cast("int")).alias("pattern"),
+                                     F.col("id").cast("double").alias("v"))
+    found = patterns.first_matches(names, table, "v")
+    rows, made, todo = found.collect(), [], [found._jdf.queryExecution().executedPlan()]
+    assert "SortAggregate" not in todo[0].toString()
+    while todo:  # the rows that each exploding step made
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        elif p.nodeName() == "Generate":
+            made.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert rows and made and max(made) < 1000
+
+
 def test_heavy_groups_are_salted_by_their_size(spark):
     from benchlens.operators import agg
     rows = [("hot", 1)] * 4000 + [(f"k{i % 900}", i) for i in range(8000)] + [(None, 1)] * 30 + [("single", 1)]
